@@ -7,7 +7,7 @@ per character between a model of random strings and a model of ordinary identifi
 Both models are of the second order over the characters of such runs, trained on labelled samples: random strings are the values of base spans in a bounded sample of documents plus
 seeded random ones of the usual alphabets; ordinary identifiers are words of the same documents outside base spans,
 plus joined forms of them (snake, kebab and camel case with version numbers).  The sample is the ``SAMPLE_DOCS`` first
-documents in the order of a hash of their text, at most ``SAMPLE_CHARS`` characters of each; every text is scanned whole.
+documents in the order of a hash of their id, at most ``SAMPLE_CHARS`` characters of each; every text is scanned whole.
 """
 
 from __future__ import annotations
@@ -113,8 +113,10 @@ def added_spans(text: str, base: list[tuple[str, int, int]], models: tuple[Marko
 
 
 def sample_texts(docs: DataFrame) -> list[str]:
-    rows = docs.select(F.substring("text", 1, SAMPLE_CHARS).alias("text"), F.xxhash64("text").alias("order")).filter("text is not null")
-    return [r["text"] for r in rows.orderBy("order", "text").limit(SAMPLE_DOCS).collect()]
+    ids = docs.select("doc_id").filter("doc_id is not null").distinct()
+    chosen = F.broadcast(ids.orderBy(F.xxhash64("doc_id"), "doc_id").limit(SAMPLE_DOCS))  # SAMPLE_DOCS ids at most
+    rows = docs.select("doc_id", F.substring("text", 1, SAMPLE_CHARS).alias("text")).filter("text is not null").join(chosen, "doc_id")
+    return [r["text"] for r in sorted(rows.collect())]
 
 
 SCHEMA = "array<struct<kind:string,start:int,end:int,base:boolean>>"
