@@ -68,7 +68,9 @@ def contamination(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     window = F.slice("hashes", F.greatest(F.col("at"), F.lit(0)) + 1, F.col("length"))
     probes = probes.withColumn("probe", F.when(F.col("at") >= 0, F.xxhash64(window)))
     same = (F.col("probe") == F.col("win_hash")) & (F.col("length") == F.col("win_len"))
-    found = probes.join(F.broadcast(windows) if small else windows, same, "left")
+    if not small:
+        return _contamination_by_shuffle(base, probes.filter("at >= 0").select("doc_id", "text_hash", "at", "length", "probe").join(windows, same))
+    found = probes.join(F.broadcast(windows), same, "left")
     # Compared after the join, so that the words are put together for the few equal hashes only.
     verified = F.when(F.col("win_text").isNotNull(), _window_text(F.col("at"), F.col("length")) == F.col("win_text"))
     hits = found.filter((F.col("at") < 0) | F.coalesce(verified, F.lit(False)))
@@ -81,6 +83,22 @@ def contamination(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     )
 
 
+def _contamination_by_shuffle(base: DataFrame, equal_hashes: DataFrame) -> DataFrame:
+    """As ``contamination``, where the windows are too many to broadcast: probes are shuffled without their documents, and equal hashes are compared where the documents are."""
+    hit = F.struct(F.col("at").alias("start"), "length", "win_text", "items")
+    maybe = equal_hashes.groupBy(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash")).agg(F.collect_set(hit).alias("maybe"))
+    rows = base.select("doc_id", "text_hash", "words").join(maybe, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("text_hash") == F.col("_hash")), "left")
+    true = F.filter(F.coalesce("maybe", F.array().cast(maybe.schema["maybe"].dataType)), lambda h: _window_text(h["start"], h["length"]) == h["win_text"])
+    slim = rows.withColumn("true", true).select(
+        "doc_id",
+        "text_hash",
+        F.size("words").cast("long").alias("n_words"),
+        F.array_sort(F.array_distinct(F.transform("true", lambda h: F.struct(h["start"].alias("start"), h["length"].alias("length"))))).alias("hits"),
+        F.array_sort(F.array_distinct(F.flatten(F.transform("true", lambda h: h["items"])))).alias("items"),
+    )
+    return slim.groupBy("doc_id", "text_hash", "n_words", "hits", "items").agg(F.count("*").alias("copies"))
+
+
 def words_hit(hits: str = "hits") -> Column:
     """Number of words in the union of the sorted hits."""
     step = lambda acc, h: F.struct(
