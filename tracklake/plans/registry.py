@@ -1,5 +1,7 @@
 """All survey queries and their SQL, by name."""
 
-QUERIES: dict = {}
-ORACLE: dict = {}
+from tracklake.plans import analytics, survey
+
+QUERIES: dict = {**survey.QUERIES, **analytics.QUERIES}
+ORACLE: dict = {**survey.ORACLE, **analytics.ORACLE}
 FLAGSHIP = "burst_sessions"
