@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from tracklake.config import SETTINGS
 from tracklake.functions import geo
 from tracklake.functions.text import short_id
+from tracklake.storage import checkpointed
 
 A = SETTINGS.alerts
 
@@ -164,7 +165,8 @@ def finalised(candidates: DataFrame, t_low: float = SETTINGS.t_low) -> DataFrame
 
 
 def alerts(h: DataFrame, stations: DataFrame, days: DataFrame, runs: DataFrame, moves: DataFrame, buffer_ratio: DataFrame) -> DataFrame:
-    """All ten rules, finalised."""
+    """All ten rules, finalised.  The frame is written once, as every rule reads it."""
+    h, stations, days = checkpointed(h), checkpointed(stations), checkpointed(days)
     rules = [
         centroid_shift(h), new_station(h, stations, days, runs), buffer_ward(h, stations, buffer_ratio), absence(h), directional_trend(h), decreasing_village_distance(h), activity_collapse(h), new_corridor(h, stations),
         travel_time_anomaly(h, moves), identity_confidence_collapse(h),
