@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-import tempfile
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tracklake.storage import checkpointed, shared_folder
+
+__all__ = ["SPACE", "checkpointed", "portable_hash", "shared_folder", "table", "text_or_empty"]
+
 #: White space that separates words in most contracts: blank, tab to carriage return.
 SPACE = r"[\x20\x09-\x0D]+"
 
@@ -19,29 +21,6 @@ def text_or_empty(column: str = "text") -> Column:
     return F.coalesce(F.col(column), F.lit(""))
 
 
-def shared_folder(spark: SparkSession) -> str:
-    """The folder that driver and executors share: the cluster's ``spark.checkpoint.dir``.
-
-    Only a local session may go without; it gets a temporary one.
-    """
-    context = spark.sparkContext
-    current = context._jsc.sc().getCheckpointDir()
-    if current.isEmpty():
-        folder = spark.conf.get("spark.checkpoint.dir", None)
-        if folder is None:
-            if not context.master.startswith("local["):
-                raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-            folder = tempfile.mkdtemp(prefix="tracklake-checkpoint-")
-        context.setCheckpointDir(folder)
-    return context._jsc.sc().getCheckpointDir().get()
-
-
-def checkpointed(df: DataFrame) -> DataFrame:
-    """``df`` written to the shared folder and read from there, so that a lost executor costs no recomputation."""
-    shared_folder(df.sparkSession)
-    return df.checkpoint(eager=True)
-
-
 def portable_hash(*columns: Column) -> Column:
     """60-bit non-negative hash of the columns' texts that any engine with SHA-256 can repeat; nulls count as empty."""
     joined = F.concat_ws("|", *[F.coalesce(c.cast("string"), F.lit("")) for c in columns])
