@@ -36,11 +36,13 @@ def filled_timestamps(frames: DataFrame, group: str, order: str, time: str, anch
     first known one that one's; in groups without any it is the anchor's.
     """
     place = Window.partitionBy(group).orderBy(order)
-    before, after = place.rowsBetween(Window.unboundedPreceding, -1), place.rowsBetween(1, Window.unboundedFollowing)
+    # What follows is looked up backwards: a frame that only shrinks is computed anew for every row.
+    before = place.rowsBetween(Window.unboundedPreceding, -1)
+    after = Window.partitionBy(group).orderBy(F.col("_i").desc()).rowsBetween(Window.unboundedPreceding, -1)
     whole = Window.partitionBy(group)
     known = F.when(F.col(time).isNotNull(), F.struct(F.unix_micros(F.col(time).cast("timestamp")).alias("t"), F.col("_i").alias("i")))
     df = frames.withColumn("_i", F.row_number().over(place))
-    df = df.withColumn("_prev", F.last(known, ignorenulls=True).over(before)).withColumn("_next", F.first(known, ignorenulls=True).over(after))
+    df = df.withColumn("_prev", F.last(known, ignorenulls=True).over(before)).withColumn("_next", F.last(known, ignorenulls=True).over(after))
     df = df.withColumn("_any", F.max(F.col(time).isNotNull()).over(whole))
     share = (F.col("_i") - F.col("_prev.i")) / (F.col("_next.i") - F.col("_prev.i"))
     between = F.col("_prev.t") + F.floor((F.col("_next.t") - F.col("_prev.t")) * share).cast("long")
