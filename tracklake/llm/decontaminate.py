@@ -110,7 +110,9 @@ def words_hit(hits: str = "hits") -> Column:
 
 def report(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """One row for every row of ``docs``: doc_id, n_words, n_hit, n_items, items_sha256, contaminated."""
-    rows = contamination(docs, benchmark).withColumn("n_hit", words_hit()).withColumn("_", F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies"))))
+    # A row is a few numbers: an eighth of the shuffle's partitions holds them well, in so many fewer files.
+    files = max(8, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")) // 8)
+    rows = contamination(docs, benchmark).coalesce(files).withColumn("n_hit", words_hit()).withColumn("_", F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies"))))
     return rows.select(
         "doc_id",
         "n_words",
