@@ -1,7 +1,7 @@
 """All survey queries and their SQL, by name."""
 
-from tracklake.plans import analytics, survey
+from tracklake.plans import analytics, review_queries, survey
 
-QUERIES: dict = {**survey.QUERIES, **analytics.QUERIES}
-ORACLE: dict = {**survey.ORACLE, **analytics.ORACLE}
+QUERIES: dict = {**survey.QUERIES, **analytics.QUERIES, **review_queries.QUERIES}
+ORACLE: dict = {**survey.ORACLE, **analytics.ORACLE, **review_queries.ORACLE}
 FLAGSHIP = "burst_sessions"
