@@ -43,13 +43,13 @@ _SCORES = """s AS (SELECT q.vec_id AS query_id, e.vec_id AS entity_id, e.label A
 
 
 @query(f"""WITH {_SCORES}, t AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, entity_id) AS rank FROM s)
-SELECT query_id, entity_id, ind_id, score, rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id, ind_id ORDER BY rank) AS f FROM t WHERE rank <= 5) WHERE f = 1""")
+SELECT query_id, entity_id, ind_id, score, CAST(rank AS INTEGER) AS rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id, ind_id ORDER BY rank) AS f FROM t WHERE rank <= 5) WHERE f = 1""")
 def vector_topk(spark: SparkSession, sf: str) -> DataFrame:
     return identity.best_entries(vector_scores(spark, sf), 5)
 
 
 @query(f"""WITH {_SCORES}, t AS (SELECT query_id, ind_id, max(score) AS score FROM s GROUP BY 1, 2)
-SELECT query_id, ind_id, score, rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, ind_id) AS rank FROM t) WHERE rank <= 5""")
+SELECT query_id, ind_id, score, CAST(rank AS INTEGER) AS rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, ind_id) AS rank FROM t) WHERE rank <= 5""")
 def vector_dedup(spark: SparkSession, sf: str) -> DataFrame:
     return identity.best_individuals(vector_scores(spark, sf), 5)
 

@@ -68,7 +68,7 @@ periods AS (
          coalesce(lead(started_at) OVER (ORDER BY started_at), started_at + (started_at - lag(started_at) OVER (ORDER BY started_at))) AS period_end
   FROM runs),
 bursts AS (
-  SELECT *, sum(fresh) OVER (PARTITION BY station_id ORDER BY captured_at, image_id ROWS UNBOUNDED PRECEDING) AS event_no
+  SELECT *, CAST(sum(fresh) OVER (PARTITION BY station_id ORDER BY captured_at, image_id ROWS UNBOUNDED PRECEDING) AS BIGINT) AS event_no
   FROM (SELECT *, CASE WHEN captured_at - lag(captured_at) OVER (PARTITION BY station_id ORDER BY captured_at, image_id) <= INTERVAL 6 HOUR THEN 0 ELSE 1 END AS fresh FROM captures)),
 station_days AS (
   SELECT station_id, run_id, round(sum(epoch_us(least(coalesce(end_date, period_end), period_end)) - epoch_us(greatest(start_date, period_start))) / 86400000000.0, 2) AS days

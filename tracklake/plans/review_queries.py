@@ -117,7 +117,7 @@ def station_changes(spark: SparkSession, sf: str) -> DataFrame:
     return review.station_changes(sets, "ind_id", "run_id", "stations").select("ind_id", "run_id", F.size("fresh").cast("long").alias("n_fresh"), F.size("again").cast("long").alias("n_again"))
 
 
-@query("SELECT l_orderkey, l_linenumber, bit_count(xor(l_partkey, l_suppkey)) AS bits FROM lineitem")
+@query("SELECT l_orderkey, l_linenumber, CAST(bit_count(xor(l_partkey, l_suppkey)) AS INTEGER) AS bits FROM lineitem")
 def hamming_distances(spark: SparkSession, sf: str) -> DataFrame:
     return d.table(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", review.hamming(F.col("l_partkey"), F.col("l_suppkey")).alias("bits"))
 

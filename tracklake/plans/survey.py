@@ -219,7 +219,7 @@ def travel_speed(spark: SparkSession, sf: str) -> DataFrame:
 
 @query("""WITH n AS (SELECT DISTINCT substr(p_name, 1, length(p_name) - 1) || 'x' AS name FROM part), s AS (SELECT min(p_partkey) AS station_id, regexp_replace(upper(p_name), '[^A-Z0-9]', '', 'g') AS m FROM part GROUP BY p_name),
 p AS (SELECT name, station_id, levenshtein(regexp_replace(upper(name), '[^A-Z0-9]', '', 'g'), m) AS distance FROM n, s)
-SELECT name, station_id, distance FROM (SELECT *, row_number() OVER (PARTITION BY name ORDER BY distance, station_id) AS r FROM p WHERE distance <= 2) WHERE r = 1""")
+SELECT name, station_id, CAST(distance AS INTEGER) AS distance FROM (SELECT *, row_number() OVER (PARTITION BY name ORDER BY distance, station_id) AS r FROM p WHERE distance <= 2) WHERE r = 1""")
 def station_fuzzy(spark: SparkSession, sf: str) -> DataFrame:
     part = d.table(spark, sf, "part")
     names = part.select(F.concat(F.substr("p_name", F.lit(1), F.char_length("p_name") - 1), F.lit("x")).alias("name"))
