@@ -125,3 +125,43 @@ def iou(a: Column, b: Column) -> Column:
     both = side("x", "w") * side("y", "h")
     either = a["w"] * a["h"] + b["w"] * b["h"] - both
     return F.when(either > 0, both / either).otherwise(0.0)
+
+
+def _turn(a: Column, b: Column, p: Column) -> Column:
+    """Positive where p lies to the left of the line from a to b."""
+    return (b["x"] - a["x"]) * (p["y"] - a["y"]) - (b["y"] - a["y"]) * (p["x"] - a["x"])
+
+
+def _once(value: Column, use) -> Column:
+    """``use(value)`` with the value computed once."""
+    return F.element_at(F.transform(F.array(value), use), 1)
+
+
+def clipped(ring: Column, convex: Column) -> Column:
+    """Part of a ring of structs (x, y) that lies in a convex ring in counter-clockwise order: cut by one edge after the other."""
+
+    def cut(points: Column, edge: Column) -> Column:
+        sided = F.transform(points, lambda p: F.struct(p["x"].alias("x"), p["y"].alias("y"), _turn(edge["a"], edge["b"], p).alias("side")))
+
+        def corner(p: Column, q: Column) -> Column:
+            share = p["side"] / F.when(p["side"] != q["side"], p["side"] - q["side"])
+            between = F.struct((p["x"] + share * (q["x"] - p["x"])).alias("x"), (p["y"] + share * (q["y"] - p["y"])).alias("y"))
+            crosses = ((q["side"] >= 0) & (p["side"] < 0)) | ((q["side"] < 0) & (p["side"] >= 0))
+            return F.array(F.when(crosses, between), F.when(q["side"] >= 0, F.struct(q["x"].alias("x"), q["y"].alias("y"))))
+
+        return _once(sided, lambda s: F.array_compact(F.flatten(F.zip_with(_turned(s), s, corner))))
+
+    plain = F.transform(ring, lambda p: F.struct(p["x"].cast("double").alias("x"), p["y"].cast("double").alias("y")))
+    edges = F.zip_with(_turned(convex), convex, lambda a, b: F.struct(a.alias("a"), b.alias("b")))
+    return F.when((F.size(ring) >= 3) & (F.size(convex) >= 3), F.aggregate(edges, plain, cut)).otherwise(F.slice(plain, 1, 0))
+
+
+def _turned(points: Column) -> Column:
+    """Each point's predecessor: the last point first."""
+    return F.concat(F.slice(points, -1, 1), F.slice(points, 1, F.greatest(F.size(points) - 1, F.lit(0))))
+
+
+def overlap(a: Column, b: Column) -> Column:
+    """Area that two hulls (x, y; both convex, counter-clockwise) share, as a share of the smaller one; 0 without area."""
+    smaller = F.least(shoelace(a), shoelace(b))
+    return F.when(smaller > 0, F.least(F.lit(1.0), _once(clipped(a, b), shoelace) / smaller)).otherwise(0.0)
