@@ -20,6 +20,8 @@ FANOUT = 16
 RECORDS_PER_FILE = FANOUT**2
 HEADER = "WARC/1.1\r\nWARC-Type: resource\r\nWARC-Record-ID: <urn:page:{id}>\r\nWARC-Target-URI: {uri}\r\nContent-Type: text/html\r\nContent-Length: {length}\r\n\r\n"
 NO_ID = -1
+#: Hex digits of a digest that deal the pages of one number into parts.
+PART_DIGITS = 3
 
 
 def record_bytes(record_id: Column, uri: Column, payload: Column) -> Column:
@@ -42,14 +44,22 @@ def manifest(pages: DataFrame) -> DataFrame:
     lines = content.select("record", F.octet_length("bytes").cast("long").alias("length"), F.sha2("bytes", 256).alias("digest"))
     # Equal records are counted before they meet, so a record that is repeated very often is one row here.
     counted = lines.groupBy("record", "length", "digest").agg(F.count("*").alias("copies"))
-    placed = counted.withColumn("file", F.floor(F.col("record") / RECORDS_PER_FILE).cast("long"))
-    order = Window.partitionBy("file").orderBy("record", "digest").rowsBetween(Window.unboundedPreceding, -1)
-    within = Window.partitionBy("file", "record").orderBy("digest").rowsBetween(Window.unboundedPreceding, -1)
-    start = F.coalesce(F.sum(F.col("length") * F.col("copies")).over(order), F.lit(0)).cast("long")
-    first = F.coalesce(F.sum("copies").over(within), F.lit(0)).cast("long")
-    summed = placed.withColumn("first_start", start).withColumn("first_copy", first)
+    placed = counted.withColumn("file", F.floor(F.col("record") / RECORDS_PER_FILE).cast("long")).withColumn("part", F.left("digest", F.lit(PART_DIGITS)))
+    # Sums by part first: a number that very many different pages share is dealt by their digests, not one group.
+    keys = ["file", "record", "part"]
+    parts = placed.groupBy(*keys).agg(F.sum(F.col("length") * F.col("copies")).alias("part_length"), F.sum("copies").alias("part_copies"))
+    before = lambda column, window: F.coalesce(F.sum(column).over(window.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).cast("long")
+    starts = parts.select(
+        *[F.col(k).alias(f"p_{k}") for k in keys],
+        before("part_length", Window.partitionBy("file").orderBy("record", "part")).alias("part_start"),
+        before("part_copies", Window.partitionBy("file", "record").orderBy("part")).alias("part_first"),
+    )
+    same = [F.col(k) == F.col(f"p_{k}") for k in keys]
+    inside = Window.partitionBy(*keys).orderBy("digest")
+    summed = placed.withColumn("own_start", before(F.col("length") * F.col("copies"), inside)).withColumn("own_first", before("copies", inside)).join(starts, same)
+    first_start, first_copy = F.col("part_start") + F.col("own_start"), F.col("part_first") + F.col("own_first")
     each = summed.withColumn("i", F.explode(F.sequence(F.lit(0).cast("long"), F.col("copies") - 1)))
-    return each.select("record", (F.col("first_copy") + F.col("i")).alias("copy"), "file", (F.col("first_start") + F.col("i") * F.col("length")).alias("offset"), "length", "digest")
+    return each.select("record", (first_copy + F.col("i")).alias("copy"), "file", (first_start + F.col("i") * F.col("length")).alias("offset"), "length", "digest")
 
 
 def _parents(nodes: DataFrame) -> DataFrame:
@@ -63,7 +73,9 @@ def record_nodes(lines: DataFrame) -> DataFrame:
     """The lowest nodes: one for each record number, over its offset, length and digests (copies counted, digests in order)."""
     same = lines.groupBy("record", "length", "digest").agg(F.count("*").alias("n"), F.min("offset").alias("offset"))
     said = F.concat_ws(":", F.col("length").cast("string"), F.col("digest"), F.col("n").cast("string"))
-    own = same.groupBy("record").agg(F.min("offset").alias("offset"), F.sum(F.col("length") * F.col("n")).alias("length"), F.array_join(F.array_sort(F.collect_list(said)), "\n").alias("all"))
+    # The digests of a part first, then those of the parts: the copies of one number are no single list.
+    some = same.groupBy("record", F.left("digest", F.lit(PART_DIGITS)).alias("part")).agg(F.min("offset").alias("offset"), F.sum(F.col("length") * F.col("n")).alias("length"), F.sha2(F.array_join(F.array_sort(F.collect_list(said)), "\n"), 256).alias("some"))
+    own = some.groupBy("record").agg(F.min("offset").alias("offset"), F.sum("length").alias("length"), F.array_join(F.array_sort(F.collect_list(F.concat_ws(":", "part", "some"))), "\n").alias("all"))
     return own.select(F.col("record").alias("node"), "offset", "length", F.sha2("all", 256).alias("digest"))
 
 
