@@ -7,7 +7,8 @@ per character between a model of random strings and a model of ordinary identifi
 Both models are of the second order over the characters of such runs, trained on labelled samples: random strings are the values of base spans in a bounded sample of documents plus
 seeded random ones of the usual alphabets; ordinary identifiers are words of the same documents outside base spans,
 plus joined forms of them (snake, kebab and camel case with version numbers).  The sample is the ``SAMPLE_DOCS`` first
-documents in the order of a hash of their id, at most ``SAMPLE_CHARS`` characters of each; every text is scanned whole.
+documents in the order of a hash of their id, each of them whole; its strings are found where the texts are, and only
+the distinct ones come to the driver.  Every text of the corpus is scanned whole.
 """
 
 from __future__ import annotations
@@ -28,7 +29,7 @@ HEX = re.compile(r"[0-9a-f]{32,}")
 TOKEN = re.compile(r"[A-Za-z0-9+/_=-]{20,}")
 MIN_ASSIGN, MIN_ACCESS, MIN_LENGTH = 8, 16, 20
 
-SAMPLE_DOCS, SAMPLE_CHARS = 2_000, 4_000
+SAMPLE_DOCS = 2_000
 SEED, SYNTHETIC = 11, 4_000
 #: Share of ordinary identifiers of the sample that may reach the threshold, and the least threshold (nats a character).
 FALSE_SHARE, LEAST_RATIO = 0.0005, 1.5
@@ -70,31 +71,40 @@ def ratio(models: tuple[Markov, Markov], s: str) -> float:
     return (models[0].of(s) - models[1].of(s)) / max(1, len(s) - 2)
 
 
-def labelled_strings(texts: list[str]) -> tuple[list[str], list[str]]:
-    """Random strings and ordinary identifiers of a sample of texts, with seeded synthetic ones of both."""
+def strings_of(text: str) -> tuple[set[str], set[str]]:
+    """Random strings (values of base spans that hold a digit) and ordinary words (outside base spans) of one text."""
+    spans = base_spans(text)
+    secret = {m[2] for m in ASSIGN.finditer(text) if len(m[2]) >= MIN_ASSIGN and any(c.isdigit() for c in m[2])}
+    taken = np.zeros(len(text) + 1, bool)
+    for _, start, end in spans:
+        taken[start:end] = True
+    return secret, {m[0] for m in re.finditer(r"[A-Za-z][a-z]{2,}", text) if not taken[m.start() : m.end()].any()}
+
+
+def labelled_strings(secret: list[str], words: list[str]) -> tuple[list[str], list[str]]:
+    """A sample's random strings and ordinary words (both sorted) with seeded synthetic ones of both."""
     rng = random.Random(SEED)
-    secret, plain = [], set()
-    for text in texts:
-        spans = base_spans(text)
-        secret += [m[2] for m in ASSIGN.finditer(text) if len(m[2]) >= MIN_ASSIGN and any(c.isdigit() for c in m[2])]
-        for word in re.finditer(r"[A-Za-z][a-z]{2,}", text):
-            if not any(a < word.end() and word.start() < b for _, a, b in spans):
-                plain.add(word[0])
+    secret = list(secret)
     alphabets = ["0123456789abcdef", ALPHABET[:62], ALPHABET[:64], ALPHABET[26:62], ALPHABET[:26] + ALPHABET[52:62], ALPHABET[:62] + "_-"]
     secret += ["".join(rng.choices(rng.choice(alphabets), k=rng.randint(MIN_LENGTH, 48))) for _ in range(SYNTHETIC)]
-    words = sorted(plain)
     joined = []
     for _ in range(SYNTHETIC if words else 0):
         some = [rng.choice(words) for _ in range(rng.randint(2, 6))]
         style = rng.randrange(5)
         number = [str(rng.randint(0, 2030))] if rng.random() < 0.7 else []
         joined.append(["_".join(some + number), "-".join(some + number), "".join(w.title() for w in some) + "".join(number), "/".join(some + number), "".join(some) + "".join(number)][style])
-    return secret, words[:50_000] + joined
+    return secret, words + joined
 
 
 def train(texts: list[str]) -> tuple[tuple[Markov, Markov], float]:
+    """As ``train_on``, from the strings of some texts."""
+    found = [strings_of(t) for t in texts]
+    return train_on(sorted(set().union(*(s for s, _ in found))), sorted(set().union(*(w for _, w in found))))
+
+
+def train_on(secret: list[str], words: list[str]) -> tuple[tuple[Markov, Markov], float]:
     """The models of random and of ordinary strings, trained on every other string, and the threshold from the rest."""
-    secret, plain = labelled_strings(texts)
+    secret, plain = labelled_strings(secret, words)
     models = Markov(secret[::2]), Markov(plain[::2])
     rest = sorted(ratio(models, s) for s in plain[1::2] if len(s) >= MIN_LENGTH)
     allowed = rest[min(len(rest) - 1, int(len(rest) * (1 - FALSE_SHARE)))] if rest else LEAST_RATIO
@@ -112,11 +122,20 @@ def added_spans(text: str, base: list[tuple[str, int, int]], models: tuple[Marko
     return out
 
 
-def sample_texts(docs: DataFrame) -> list[str]:
+def sample_strings(docs: DataFrame) -> tuple[list[str], list[str]]:
+    """The distinct random strings and ordinary words of the sample's whole texts, sorted."""
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            for text in frame["text"]:
+                secret, words = strings_of(text)
+                yield pd.DataFrame({"secret": [True] * len(secret) + [False] * len(words), "string": np.array([*secret, *words], object)})
+
     ids = docs.select("doc_id").filter("doc_id is not null").distinct()
     chosen = F.broadcast(ids.orderBy(F.xxhash64("doc_id"), "doc_id").limit(SAMPLE_DOCS))  # SAMPLE_DOCS ids at most
-    rows = docs.select("doc_id", F.substring("text", 1, SAMPLE_CHARS).alias("text")).filter("text is not null").join(chosen, "doc_id")
-    return [r["text"] for r in sorted(rows.collect())]
+    rows = docs.select("doc_id", "text").filter("text is not null").join(chosen, "doc_id").select("text")
+    found = rows.mapInPandas(run, "secret boolean, string string").distinct().collect()
+    return tuple(sorted(r["string"] for r in found if r["secret"] == kind) for kind in (True, False))
 
 
 SCHEMA = "array<struct<kind:string,start:int,end:int,base:boolean>>"
@@ -127,7 +146,7 @@ def find_secrets(docs: DataFrame) -> DataFrame:
 
     A null text is empty; repeated rows give repeated rows; an empty table gives an empty table; a column ``secrets`` is replaced.
     """
-    shared = docs.sparkSession.sparkContext.broadcast(train(sample_texts(docs)))
+    shared = docs.sparkSession.sparkContext.broadcast(train_on(*sample_strings(docs)))
 
     def find(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         models, threshold = shared.value
