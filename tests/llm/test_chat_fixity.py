@@ -76,3 +76,18 @@ def test_pipeline_stages_keep_the_columns(spark):
 
 def test_every_number_has_a_query():
     assert {n.split("_")[0] for n in QUERIES} == {f"op{i}" for i in range(1, 11)}
+
+
+def test_many_pages_of_one_number(spark, monkeypatch):
+    monkeypatch.setattr(fixity, "PART_DIGITS", 1)
+    pages = spark.createDataFrame([(5 if i % 3 else None, "u", f"page {i // 2}", 0) for i in range(120)] + [(6, "u", "x", 0)], PAGES)
+    lines = fixity.manifest(pages).collect()
+    for record, want in ((5, 80), (fixity.NO_ID, 40), (6, 1)):
+        assert sorted(r["copy"] for r in lines if r["record"] == record) == list(range(want))
+    own = sorted((r for r in lines if r["file"] == 0), key=lambda r: r["offset"])
+    assert [r["offset"] for r in own] == [sum(x["length"] for x in own[:i]) for i in range(81)]
+    assert [(r["record"], r["digest"]) for r in own] == sorted((r["record"], r["digest"]) for r in own)
+    a = fixity.manifest(pages)
+    other = pages.withColumn("html", F.when(F.col("html") == "page 7", "page seven").otherwise(F.col("html")))
+    assert {r["record"] for r in fixity.audit(a, fixity.manifest(other)).collect()} <= {5, 6, fixity.NO_ID}
+    assert {r["status"] for r in fixity.audit(a, fixity.manifest(other)).collect()} == {"changed"}

@@ -83,3 +83,11 @@ def test_secret_models_tell_random_from_ordinary():
     models, threshold = secret_scan.train(["The quick brown fox jumps over lazy dogs and other animals every morning"] * 3)
     assert secret_scan.ratio(models, "aB3dE5gH7jK9mN1pQ3sT5v") > threshold
     assert secret_scan.ratio(models, "quick_brown_animals_2020") < threshold
+
+
+def test_secret_sample_takes_whole_texts(spark):
+    late = "word " * 5000 + "password=abc123def456 lastword"
+    docs = spark.createDataFrame([(1, late), (2, None), (None, "lost words"), (3, "")], "doc_id long, text string")
+    secret, words = secret_scan.sample_strings(docs)
+    assert secret == ["abc123def456"] and words == ["lastword", "word"]
+    assert secret_scan.sample_strings(docs.limit(0)) == ([], [])
