@@ -74,3 +74,26 @@ def test_documents_or_spans_go_and_columns_stay(spark):
     assert sorted((r["doc_id"] or 0) for r in left.collect()) == [0, 3, 4, 5]
     cut = {r["doc_id"]: r["text"] for r in decontaminate.remove_contaminated(docs, benchmark, "spans").collect()}
     assert cut[1] == "before after" and cut[2] == "" and cut[5] == "w0 w1 w2" and cut[3] is None and cut[6] == ("x " * 50_000).rstrip()
+
+
+def test_spans_of_mixed_case_texts_leave_the_words_of_brute_force(spark):
+    texts = [
+        (1, "the USA and camelCase NASA " + LONG.upper() + " then USA stays, iPhone TOO"),
+        (2, "USA SHORT item Ünder TEN eBay"),
+        (3, "ABC " * 3 + "Alpha, BETA XYZ"),
+        (4, "NO hit HERE"),
+    ]
+    items = [(1, LONG), (2, "Short item Ünder ten"), (3, "alpha beta")]
+    docs, benchmark = rows(spark, texts, items)
+    cut = {r["doc_id"]: r["text"] for r in decontaminate.remove_contaminated(docs, benchmark, "spans").collect()}
+    for doc_id, text in texts:
+        w, hit = own_words(text), set()
+        for _, item in items:
+            v = own_words(item)
+            k = min(10, len(v))
+            windows = {tuple(v[i : i + k]) for i in range(len(v) - k + 1)}
+            for i in range(len(w) - k + 1):
+                if tuple(w[i : i + k]) in windows:
+                    hit.update(range(i, i + k))
+        assert own_words(cut[doc_id]) == [x for i, x in enumerate(w) if i not in hit]
+    assert cut[1] == "the USA and camelCase NASA then USA stays, iPhone TOO" and cut[4] == "NO hit HERE"

@@ -17,6 +17,8 @@ MAX_BROADCAST_WINDOWS = 500_000
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 SEPARATOR = r"\x00-\x2F\x3A-\x60\x7B-\x7F"
+#: The same for text in its own case, where A-Z are word characters.
+CASED_SEPARATOR = SEPARATOR.replace(r"\x3A-\x60", r"\x3A-\x40\x5B-\x60")
 
 
 def words(text: Column) -> Column:
@@ -131,7 +133,7 @@ def remove_contaminated(docs: DataFrame, benchmark: DataFrame, mode: str = "docu
     same = F.col("doc_id").eqNullSafe(F.col("_id")) & (F.xxhash64("text") == F.col("_hash"))
     if mode == "documents":
         return docs.join(dirty, same, "left_anti")
-    pieces = F.split("text", f"(?<=[^{SEPARATOR}])(?=[{SEPARATOR}])")  # each ends with a word, but what follows the last word
+    pieces = F.split("text", f"(?<=[^{CASED_SEPARATOR}])(?=[{CASED_SEPARATOR}])")  # each ends with a word, but what follows the last word
     left = F.array_join(F.filter(pieces, lambda p, i: ~F.exists("_hits", lambda h: (h["start"] <= i) & (i < h["start"] + h["length"]))), "")
     text = F.when(F.col("_hits").isNull(), F.col("text")).otherwise(left)
     return docs.join(dirty, same, "left").withColumn("text", text).select(*docs.columns)
