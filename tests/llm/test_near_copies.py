@@ -1,6 +1,6 @@
 import random
 
-from tracklake.llm import near_copies
+from tracklake.llm import near_copies, simhash
 
 
 def sets(text):
@@ -8,26 +8,56 @@ def sets(text):
     return {tuple(w[i : i + 5]) for i in range(len(w) - 4)} or ({tuple(w)} if w else set())
 
 
+def components(texts):
+    """Smallest position reachable over links of similarity 0.8 or two fingerprint bits."""
+    s, marks = [sets(t) for t in texts], [simhash.fingerprint(t) for t in texts]
+    label = list(range(len(s)))
+    for i in range(len(s)):
+        for j in range(i):
+            if len(s[i] & s[j]) >= 0.8 * len(s[i] | s[j]) or (marks[i] ^ marks[j]).bit_count() <= 2:
+                label = [min(label[i], label[j]) if x in (label[i], label[j]) else x for x in label]
+    return label
+
+
+def edited(rng, base, n):
+    w = list(base)
+    for at in rng.sample(range(len(w)), n):
+        w[at] = f"x{rng.randrange(10**6)}"
+    return " ".join(w)
+
+
 def test_no_two_rows_of_similarity_0_8_stay(spark):
     rng = random.Random(8)
     texts = []
     for _ in range(12):
         base = [f"v{rng.randrange(5000)}" for _ in range(150)]
-        for n in (0, 1, 2, 3, 3, 4, 8, 20):
-            w = list(base)
-            for at in rng.sample(range(150), n):
-                w[at] = f"x{rng.randrange(10**6)}"
-            texts.append(" ".join(w))
+        texts += [edited(rng, base, n) for n in (0, 1, 2, 3, 3, 4, 8, 20)]
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
     left = near_copies.first_of_each_group(docs)
     stay = {r["doc_id"] for r in left.collect()}
+    assert left.columns == docs.columns and stay == set(components(texts)) and len(stay) < len(texts) / 2
+
+
+def test_one_large_group_of_near_copies(spark):
+    rng = random.Random(3)
+    base = [f"v{rng.randrange(5000)}" for _ in range(140)]
+    texts = [edited(rng, base, rng.randrange(1, 9)) for _ in range(150)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    assert {r["doc_id"] for r in near_copies.first_of_each_group(docs).collect()} == set(components(texts))
+
+
+def test_rare_meetings_lose_no_pair_and_skip_most(spark):
+    rng = random.Random(4)
+    base = [f"v{rng.randrange(5000)}" for _ in range(140)]
+    texts = [edited(rng, base, rng.randrange(1, 12)) for _ in range(120)]
     s = [sets(t) for t in texts]
-    label = list(range(len(s)))
-    for i in range(len(s)):
-        for j in range(i):
-            if len(s[i] & s[j]) >= 0.8 * len(s[i] | s[j]):
-                label = [min(label[i], label[j]) if x in (label[i], label[j]) else x for x in label]
-    assert left.columns == docs.columns and stay == set(label) and len(stay) < len(texts) / 2
+    apart = spark.createDataFrame([(i, i) for i in range(len(texts))], "key long, component long")
+    tokens = spark.createDataFrame([(i, sorted(hash(x) for x in own)) for i, own in enumerate(s)], "key long, s array<long>")
+    got = {(r["a"], r["b"]) for r in near_copies._rare_meetings(apart, tokens).collect()}
+    true = {(i, j) for j in range(len(s)) for i in range(j) if len(s[i] & s[j]) >= 0.8 * len(s[i] | s[j])}
+    assert true <= got and len(got) < 120 * 119 / 4
+    one = spark.createDataFrame([(i, 0) for i in range(len(texts))], "key long, component long")
+    assert near_copies._rare_meetings(one, tokens).count() == 0
 
 
 def test_a_band_that_all_texts_share(spark, monkeypatch):
@@ -45,3 +75,11 @@ def test_rows_without_id_and_repeated_ids(spark):
     got = near_copies.first_of_each_group(spark.createDataFrame(rows, "doc_id long, text string")).collect()
     assert sorted((r["doc_id"] or 0, (r["text"] or "").lower()) for r in got) == [(0, "q r s"), (1, "a b c d"), (2, "other words here"), (3, "")]
     assert near_copies.first_of_each_group(spark.createDataFrame([], "doc_id long, text string")).count() == 0
+
+
+def test_other_texts_of_one_id_stay_and_names_may_clash(spark):
+    long = " ".join(f"w{i}" for i in range(30_000))
+    rows = [(1, "t u v w", 1, "a"), (7, "t u v w", 2, "b"), (7, "a wholly different text", 3, "c"), (7, "a wholly different text", 3, "c"), (8, long, 4, "d"), (9, long + " x", 5, "e")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, _key long, `_Id` string")
+    got = near_copies.first_of_each_group(docs)
+    assert got.columns == docs.columns and sorted((r["doc_id"], r["_key"]) for r in got.collect()) == [(1, 1), (7, 3), (8, 4)]

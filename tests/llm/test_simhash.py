@@ -77,13 +77,10 @@ def test_groups_equal_brute_force(spark):
     got = {r["doc_id"]: r["component_id"] for r in simhash.report(docs).collect()}
     want = dict(zip(ids, groups(ids, [brute_fingerprint(t) for t in texts]), strict=True))
     assert got == want
-    left = simhash.first_of_each_group(docs)
-    assert left.columns == docs.columns and {r["doc_id"] for r in left.collect()} == set(want.values())
 
 
 def test_repeated_and_missing_ids(spark):
     docs = spark.createDataFrame([(1, "a b c d"), (1, "a b c d"), (None, "a b c d"), (None, "q r s"), (2, "other words here")], "doc_id long, text string")
     got = sorted(((r["doc_id"] or 0), r["component_id"] or 0) for r in simhash.near_duplicates(docs).collect())
     assert got == [(0, 0), (0, 1), (1, 1), (1, 1), (2, 2)]
-    assert sorted((r["doc_id"] or 0) for r in simhash.first_of_each_group(docs).collect()) == [0, 0, 1, 2]
     assert simhash.report(docs.limit(0)).count() == 0

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from tracklake.storage import checkpointed, shared_folder
 
-__all__ = ["SPACE", "checkpointed", "portable_hash", "shared_folder", "table", "text_or_empty"]
+__all__ = ["SPACE", "checkpointed", "portable_hash", "private", "shared_folder", "table", "text_or_empty"]
 
 #: White space that separates words in most contracts: blank, tab to carriage return.
 SPACE = r"[\x20\x09-\x0D]+"
@@ -25,3 +25,12 @@ def portable_hash(*columns: Column) -> Column:
     """60-bit non-negative hash of the columns' texts that any engine with SHA-256 can repeat; nulls count as empty."""
     joined = F.concat_ws("|", *[F.coalesce(c.cast("string"), F.lit("")) for c in columns])
     return F.conv(F.substring(F.sha2(joined, 256), 1, 15), 16, 10).cast("long")
+
+
+def private(name: str, *tables: DataFrame) -> str:
+    """A column name that none of the tables has (names are compared without case)."""
+    taken = {c.lower() for t in tables for c in t.columns}
+    name = f"_{name}"
+    while name.lower() in taken:
+        name = f"_{name}"
+    return name

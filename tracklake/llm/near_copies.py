@@ -3,9 +3,11 @@
 Candidates: 16 bands of 4 minima of hashes each.  Two texts of similarity s share a band with probability
 1 - (1 - s^4)^16: 0.9998 at 0.8.  Every candidate pair is checked on its whole shingle sets (64-bit hashes), in Spark.
 
-A band with many texts is not compared all with all at once.  First each text meets two leaders of each of its bands;
-components of those links follow; then the texts of a band that are still in different components meet.  Pairs within
-a component need no check, as they would join nothing, so the components are those of all candidate pairs.
+A band with many texts is not compared all with all.  First each text meets two leaders of each of its bands, and
+components of those links follow.  The texts of bands that still hold several components then meet by their rarest
+shingles: in one order of all shingles (rare first), two sets of similarity 0.8 share one of the first fifth of each, at
+places that leave room for the overlap they need.  A copy with so many edits that it links to nothing has edits of its
+own there, and meets hardly anyone, however large its group.  Pairs within a component need no check.
 """
 
 from __future__ import annotations
@@ -19,7 +21,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, LongType, StructField, StructType
 
 from tracklake.llm import simhash
-from tracklake.llm.common import checkpointed, text_or_empty
+from tracklake.llm.common import checkpointed, private, text_or_empty
 from tracklake.llm.components import components
 
 SHINGLE = 5
@@ -86,12 +88,14 @@ def _may_be_close(n: Column, m: Column) -> Column:
     return 5 * F.least(n, m) >= 4 * F.greatest(n, m)
 
 
-def _checked(pairs: DataFrame, docs: DataFrame) -> DataFrame:
-    """The pairs (a, b) of keys whose texts' shingle sets have a similarity of 0.8 or more.  Sets are made for these texts alone."""
-    pairs = checkpointed(pairs)
-    asked = pairs.select(F.col("a").alias("key")).union(pairs.select("b")).distinct()
-    texts = docs.select(_key().alias("key"), "text").join(asked, "key", "left_semi").groupBy("key").agg(F.first("text").alias("text"))
-    sets = checkpointed(texts.select("key", _sets("text").alias("s")))
+def _sets_of(keys: DataFrame, docs: DataFrame) -> DataFrame:
+    """key and s (its text's shingle set) for the distinct ``keys``; sets are made for these texts alone."""
+    texts = docs.select(_key().alias("key"), "text").join(keys, "key", "left_semi").groupBy("key").agg(F.first("text").alias("text"))
+    return checkpointed(texts.select("key", _sets("text").alias("s")))
+
+
+def _checked(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """The pairs (a, b) of keys whose shingle sets have a similarity of 0.8 or more."""
     left, right = sets.select(F.col("key").alias("a"), "s"), sets.select(F.col("key").alias("b"), F.col("s").alias("t"))
     both = F.size(F.array_intersect("s", "t"))
     return pairs.join(left, "a").join(right, "b").filter(9 * both >= 4 * (F.size("s") + F.size("t"))).select("a", "b")
@@ -101,43 +105,69 @@ def _pair(x: str, y: str) -> list[Column]:
     return [F.least(x, y).alias("a"), F.greatest(x, y).alias("b")]
 
 
+def _rare_meetings(apart: DataFrame, sets: DataFrame) -> DataFrame:
+    """Pairs (a, b) of keys of ``apart`` (key, component) of different components that may have a similarity of 0.8: none that has is missing.
+
+    Of two sets of n and m shingles with that similarity, 4/9 (n + m) are common, and the first common one in any order of
+    all shingles stands at a place with that many left from it on, in both.  It is among the first n - 0.8 n + 1 of each.
+    """
+    rows = sets.join(apart, "key")
+    tokens = rows.select("key", "component", F.explode("s").alias("token"))
+    counts = tokens.groupBy("token").agg(F.count("*").alias("c"))
+    ordered = tokens.join(counts, "token").groupBy("key", "component").agg(F.sort_array(F.collect_list(F.struct("c", "token"))).alias("o"))
+    first = ordered.select("key", "component", F.size("o").alias("n"), F.posexplode(F.slice("o", 1, (F.size("o") / 5).cast("int") + 1)).alias("at", "t"))
+    known = checkpointed(first.filter("t.c > 1").select("key", "component", "n", "at", F.col("t.token").alias("token")))
+    other = known.select(*[F.col(c).alias(f"o_{c}") for c in known.columns])
+    left = F.least(F.col("n") - F.col("at"), F.col("o_n") - F.col("o_at"))
+    room = _may_be_close(F.col("n"), F.col("o_n")) & (9 * left >= 4 * (F.col("n") + F.col("o_n")))
+    met = known.join(other, (F.col("token") == F.col("o_token")) & (F.col("key") < F.col("o_key")) & (F.col("component") != F.col("o_component")) & room)
+    return met.select(F.col("key").alias("a"), F.col("o_key").alias("b")).distinct()
+
+
 def linked(nodes: DataFrame, docs: DataFrame) -> DataFrame:
     """node, component for the ``key``s of ``nodes`` (one row a text of ``docs``: key, fp, n shingles, bands) that have links."""
     members = nodes.select("key", "n", F.explode("bands").alias("band"))
     first = [F.min(F.struct(F.xxhash64("key", F.lit(i)).alias("h"), F.col("key").alias("lead"), F.col("n").alias("lead_n"))) for i in range(LEADERS)]
     crowded = members.groupBy("band").agg(F.array(*first).alias("leads"), F.count("*").alias("c")).filter("c > 1").drop("c")
     members = checkpointed(members.join(crowded, "band"))
+    sets = _sets_of(members.select("key").distinct(), docs)
     met = members.select("key", "n", F.explode("leads").alias("l")).select("key", "n", "l.lead", "l.lead_n").filter("key <> lead").filter(_may_be_close(F.col("n"), F.col("lead_n")))
-    near = _checked(met.select(*_pair("key", "lead")).distinct(), docs)
+    near = _checked(met.select(*_pair("key", "lead")).distinct(), sets)
     # op5's links: equal fingerprints through their smallest key, others by anchors.
     same = nodes.groupBy("fp").agg(F.min("key").alias("node"))
     alike = nodes.join(same, "fp").filter("key <> node").select(F.col("key").alias("a"), F.col("node").alias("b"))
     known = checkpointed(near.union(alike).union(simhash.links(checkpointed(same))))
     found = components(known)
 
-    placed = members.select("key", "n", "band").join(found.withColumnRenamed("node", "key"), "key", "left").withColumn("component", F.coalesce("component", "key"))
+    placed = members.select("key", "band").join(found.withColumnRenamed("node", "key"), "key", "left").withColumn("component", F.coalesce("component", "key"))
     mixed = placed.groupBy("band").agg(F.min("component").alias("low"), F.max("component").alias("high")).filter("low <> high").select("band")
-    apart = checkpointed(placed.join(mixed, "band"))
-    other = apart.select(*[F.col(c).alias(f"o_{c}") for c in apart.columns])
-    rest = apart.join(other, (F.col("band") == F.col("o_band")) & (F.col("key") < F.col("o_key")) & (F.col("component") != F.col("o_component")) & _may_be_close(F.col("n"), F.col("o_n")))
-    more = checkpointed(_checked(rest.select(*_pair("key", "o_key")).distinct(), docs))
+    apart = placed.join(mixed, "band", "left_semi").select("key", "component").distinct()
+    more = checkpointed(_checked(_rare_meetings(apart, sets), sets))
     return found if more.isEmpty() else components(known.union(more))
 
 
 def first_of_each_group(docs: DataFrame) -> DataFrame:
     """``docs`` with one row of each group: that of the smallest doc_id, one without id only where no row has one.
 
-    Texts without words (null too) are one group.  Of repeated rows of one id, one stays.
+    Texts without words (null too) are one group.  Of rows of one id and one text, one stays; rows of one id whose texts
+    are no near copies all stay.  Very long texts are read whole.  Extra columns are kept, whatever their names.  An empty
+    table gives an empty table.
     """
     read = checkpointed(docs.select("doc_id", _key().alias("key"), _read("text").alias("r")).select("doc_id", "key", "r.*"))
     nodes = checkpointed(read.groupBy("key").agg(*[F.first(c).alias(c) for c in ("fp", "n", "bands")]))
     rows = read.select("doc_id", "key").join(linked(nodes, docs).select(F.col("node").alias("key"), "component"), "key", "left").withColumn("component", F.coalesce("component", "key"))
     rows = checkpointed(rows.groupBy("component", "key", "doc_id").count())
     best = rows.groupBy("component").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "key")).alias("best"))
-    last = rows.join(best, "component").filter(~(F.col("key").eqNullSafe(F.col("best.key")) & F.col("doc_id").eqNullSafe(F.col("best.doc_id"))))
-    gone = last.select(F.col("key").alias("_key"), F.col("doc_id").alias("_id"))
-    rest = docs.join(gone, (_key() == F.col("_key")) & F.col("doc_id").eqNullSafe(F.col("_id")), "left_anti")
-    if rows.groupBy("doc_id").agg(F.sum("count").alias("n")).filter("n > 1").isEmpty():
+    first = F.col("key").eqNullSafe(F.col("best.key")) & F.col("doc_id").eqNullSafe(F.col("best.doc_id"))
+    key, named = private("key", docs), private("id", docs)
+    these = lambda which: which.select(F.col("key").alias(key), F.col("doc_id").alias(named))
+    same = (_key() == F.col(key)) & F.col("doc_id").eqNullSafe(F.col(named))
+    judged = rows.join(best, "component").withColumn("first", first)
+    rest = docs.join(these(judged.filter("not first")), same, "left_anti")
+    repeated = these(checkpointed(judged.filter("first and count > 1").select("key", "doc_id")))
+    if repeated.isEmpty():
         return rest
-    nameless = rest.filter("doc_id is null").withColumn("_key", _key()).dropDuplicates(["_key"]).drop("_key")
-    return nameless.unionByName(rest.filter("doc_id is not null").dropDuplicates(["doc_id"]))
+    # Only rows that repeat meet in a shuffle, one of each stays; for a group's many copies the first is found map-side.
+    columns = [F.col(c) for c in docs.columns]
+    many = rest.join(repeated, same, "left_semi").withColumn(key, _key()).groupBy(key, "doc_id").agg(F.first(F.struct(*columns)).alias(named))
+    return rest.join(repeated, same, "left_anti").unionByName(many.select(*[F.col(named).getField(c).alias(c) for c in docs.columns]))

@@ -130,15 +130,3 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
 def report(docs: DataFrame) -> DataFrame:
     return near_duplicates(docs).select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
-
-def first_of_each_group(docs: DataFrame) -> DataFrame:
-    """``docs`` without the documents whose component has a smaller doc_id.  Rows without id stay; of repeated rows of one id, one stays."""
-    later = near_duplicates(docs).filter(F.col("doc_id") != F.col("component_id")).select("doc_id").distinct()
-    rest = docs.join(later, "doc_id", "left_anti")
-    repeated = repeated_ids(docs)
-    return rest if repeated.isEmpty() else rest.filter("doc_id is null").unionByName(rest.filter("doc_id is not null").dropDuplicates(["doc_id"]))
-
-
-def repeated_ids(docs: DataFrame) -> DataFrame:
-    """The doc_ids that occur in more than one row."""
-    return docs.filter("doc_id is not null").groupBy("doc_id").count().filter("count > 1").select("doc_id")
