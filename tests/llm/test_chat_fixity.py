@@ -17,25 +17,53 @@ def test_events_fold_into_final_messages(spark):
         (2, 1, "user", 1, "message", "gone"), (2, 1, None, 2, "delete", None), (2, 2, "user", 3, "delta", "only"),
     ]
     got = sorted(tuple(r) for r in chat.final_messages(spark.createDataFrame(log, LOG).repartition(4)).collect())
-    assert got == [(1, 1, "user", "hello!"), (1, 2, "assistant", "right"), (2, 2, "user", "only")]
+    assert got == [(1, 1, "user", 1, "hello!"), (1, 2, "assistant", 2, "right"), (2, 2, "user", 3, "only")]
     with pytest.raises(Exception, match="unknown op"):
         chat.final_messages(spark.createDataFrame([(1, 1, "user", 1, "what", "x")], LOG)).collect()
 
 
+def formatted(chunks):
+    out = {}
+    for r in chunks.orderBy("conv_id", "offset").collect():
+        assert r["offset"] == len(out.setdefault(r["conv_id"], ""))
+        out[r["conv_id"]] += r["chunk"]
+    return out
+
+
+def test_messages_stand_by_their_first_event_whatever_their_ids(spark):
+    log = [("c", "zz", "user", 1, "message", "first"), ("c", "aa", "assistant", 2, "message", "second"), ("c", "zz", None, 3, "edit", "first, edited"), (None, "m", "user", 9, "delta", "alone")]
+    df = spark.createDataFrame(log, "conv_id string, msg_id string, role string, seq long, op string, text string").repartition(3)
+    shown = formatted(chat.rendered(chat.final_messages(df)))
+    assert chat.parse(shown["c"]) == [("user", "first, edited"), ("assistant", "second")] and chat.parse(shown[None]) == [("user", "alone")]
+
+
+def test_a_conversation_over_many_tasks_and_batches(spark):
+    turns = spark.range(30_000).selectExpr("if(id % 10 < 7, 1, id % 10) AS conv_id", "id AS turn", "if(id % 2 = 0, 'user', 'assistant') AS role", "concat('text ', id, repeat('é', cast(id % 5 AS int))) AS text")
+    chunks = chat.format_conversations(turns)
+    assert chunks.filter("conv_id = 1").select(F.spark_partition_id()).distinct().count() > 1
+    shown = formatted(chunks)
+    got = {r["conv_id"]: r for r in chat.report(turns).collect()}
+    for conv in (1, 7, 9):
+        own = [(r["role"], r["text"]) for r in turns.filter(F.col("conv_id") == conv).orderBy("turn").collect()]
+        assert chat.parse(shown[conv]) == own
+        assert got[conv]["loss_sha256"] == hashlib.sha256("".join(t for r, t in own if r == "assistant").encode()).hexdigest()
+    assert all(shown[r["conv_id"]][r["loss_start"] : r["loss_end"]].startswith("text ") for r in chunks.filter("loss_start is not null").limit(50).collect())
+
+
 def test_round_trip(spark):
     said = ["<|end|>\n", "\\### Assistant: </turn> ok", "\\l<", "", None, "x" * 100_000, "😀\\", "<|user|>\n\\\\"]
     turns = [(1, i, "assistant" if i % 2 else "user", t, 0) for i, t in enumerate(said)] + [(1, 3, "assistant", "tie", 0), (None, 1, None, "who", 0), (2, None, "user", "late", 0), (2, 1, "user", "early", 0)] + [(3, 1, "assistant", "same", 0)] * 3
     df = spark.createDataFrame(turns, "conv_id long, turn long, role string, text string, loss int")
-    shown = {r["conv_id"]: r for r in chat.format_conversations(df).collect()}
-    assert chat.parse(shown[1]["formatted"])[0] == ("user", "<|end|>\n")
+    shown = formatted(chat.format_conversations(df))
+    assert chat.parse(shown[1])[0] == ("user", "<|end|>\n")
     got = {r["conv_id"]: r for r in chat.report(df).collect()}
     ordered = sorted((t for t in turns if t[0] == 1), key=lambda t: (t[1], t[2], hashlib.sha256((t[3] or "").encode()).hexdigest()))
     digest = hashlib.sha256("".join(f"{t[2]}\n{t[3] or ''}\n" for t in ordered).encode()).hexdigest()
     trained = "".join(t[3] or "" for t in ordered if t[2] == "assistant")
     assert (got[1]["n_turns"], got[1]["turns_sha256"]) == (9, digest)
     assert (got[1]["loss_chars"], got[1]["loss_sha256"]) == (len(trained), hashlib.sha256(trained.encode()).hexdigest())
-    assert got[1]["formatted_chars"] == len(shown[1]["formatted"])
-    assert chat.parse(shown[2]["formatted"]) == [("user", "early"), ("user", "late")]
+    assert got[1]["formatted_chars"] == len(shown[1])
+    assert chat.parse(shown[2]) == [("user", "early"), ("user", "late")]
     assert got[3]["n_turns"] == 3 and got[3]["loss_chars"] == 12 and got[None]["n_turns"] == 1
     assert chat.report(df.limit(0)).count() == 0
 

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from tracklake.storage import checkpointed, shared_folder
 
-__all__ = ["SPACE", "checkpointed", "portable_hash", "private", "shared_folder", "table", "text_or_empty"]
+__all__ = ["SPACE", "checkpointed", "numbered", "portable_hash", "private", "shared_folder", "table", "text_or_empty"]
 
 #: White space that separates words in most contracts: blank, tab to carriage return.
 SPACE = r"[\x20\x09-\x0D]+"
@@ -34,3 +34,10 @@ def private(name: str, *tables: DataFrame) -> str:
     while name.lower() in taken:
         name = f"_{name}"
     return name
+
+
+def numbered(df: DataFrame, count: str, name: str) -> DataFrame:
+    """Every row as often as its column ``count`` says, numbered from 0 in ``name``; in two steps, so that no array is as long as the count."""
+    block, step = private("block", df), 4096
+    blocks = df.filter(F.col(count) > 0).withColumn(block, F.explode(F.sequence(F.lit(0).cast("long"), F.col(count) - 1, F.lit(step).cast("long"))))
+    return blocks.withColumn(name, F.explode(F.sequence(F.col(block), F.least(F.col(block) + step, F.col(count)) - 1))).drop(block)
