@@ -74,14 +74,48 @@ PAGES = "page_id long, url string, html string, offset int"
 def test_audit_finds_each_fault_and_nothing_else(spark):
     pages = spark.createDataFrame([(i, f"http://x/{i}", "é" * (i % 50), 0) for i in range(0, 3000, 2)] + [(4, "again", "b", 0), (4, "again", "b", 0), (None, None, None, 0)], PAGES)
     lines = fixity.manifest(pages)
-    changed = pages.withColumn("html", F.when(F.col("page_id").isin(10, 2222), "other").otherwise(F.col("html"))).filter("page_id is null or page_id <> 600").union(spark.createDataFrame([(601, "new", "x", 0)], PAGES))
-    # Offsets after a change move too, within its file: those records differ as well.
+    html = F.when(F.col("page_id") == 10, "é" * 9 + "xy").when(F.col("page_id") == 2222, "é" * 21 + "z").otherwise(F.col("html"))
+    changed = pages.withColumn("html", html).filter("page_id is null or page_id <> 600").union(spark.createDataFrame([(601, "new", "x", 0)], PAGES))
     found = {r["record"]: r["status"] for r in fixity.audit(lines, fixity.manifest(changed)).collect()}
-    assert {10, 2222, 600, 601} <= set(found) and found[600] == "missing" and found[601] == "added" and found[10] == "changed"
-    assert all(fixity.RECORDS_PER_FILE * (r // fixity.RECORDS_PER_FILE) <= r for r in found) and len(found) == 4
+    assert found[10] == "changed" and found[2222] == "changed" and found[600] == "missing" and found[601] == "added"
+    # What stands behind a record of another length, in its file, has moved, and nothing else.
+    before, after = ({(r["record"], r["copy"]): (r["offset"], r["digest"]) for r in m.collect()} for m in (lines, fixity.manifest(changed)))
+    moved = {k[0] for k in before if k in after and before[k][1] == after[k][1] and before[k][0] != after[k][0]}
+    assert {r for r, status in found.items() if status == "moved"} == moved and all(512 <= r < 768 or 2048 <= r < 2304 for r in moved)
     assert fixity.audit(lines, lines).count() == 0
 
 
+def test_records_at_other_offsets_are_moved(spark):
+    lines = [(i, 0, i // 100, i % 100 * 3000, 3000, f"d{i}") for i in range(400)]
+    schema = "record long, copy long, file long, offset long, length long, digest string"
+    other = [list(x) for x in lines]
+    other[7][3], other[90][3] = other[90][3], other[7][3]  # a swap within a file
+    other[250][2], other[250][3] = 0, 900_000  # another file
+    other[300][5] = "rot"
+    del other[399]
+    a, b = spark.createDataFrame(lines, schema), spark.createDataFrame([tuple(x) for x in other], schema)
+    got = sorted((r["record"], r["status"]) for r in fixity.audit(a, b).collect())
+    assert got == [(7, "moved"), (90, "moved"), (250, "moved"), (300, "changed"), (399, "missing")]
+    touched = {(r["file"], r["node"]) for r in fixity.differing_ranges(a, b).collect()}
+    assert touched == {(0, 7 * 3000 >> 16), (0, 90 * 3000 >> 16), (2, 50 * 3000 >> 16), (0, 900_000 >> 16), (3, 0), (3, 99 * 3000 >> 16)}
+
+
+def test_surplus_copies(spark):
+    schema = "record long, copy long, file long, offset long, length long, digest string"
+    a = spark.createDataFrame([(1, i, 0, 200 * i, 200, "d") for i in range(4)], schema)
+    b = spark.createDataFrame([(1, i, 0, 200 * i, 200, "d") for i in range(2)] + [(-5, 0, 0, 0, 10, "n")], schema)
+    assert sorted((r["record"], r["status"]) for r in fixity.audit(a, b).collect()) == [(-5, "added"), (1, "missing"), (1, "missing")]
+    assert {r["status"] for r in fixity.audit(a.limit(0), b).collect()} == {"added"} and fixity.audit(a.limit(0), b.limit(0)).count() == 0
+
+
+def test_report_shows_every_kind_of_fault(spark):
+    pages = spark.createDataFrame([(i, f"http://x/{i}", f"<p>{i}</p>", 0) for i in range(1500)], PAGES)
+    got = fixity.report(pages).groupBy("status").count().collect()
+    counts = {r["status"]: r["count"] for r in got}
+    assert set(counts) == {"sound", "changed", "moved", "missing", "added"} and counts["sound"] > 1300
+    assert sum(n for s, n in counts.items() if s != "added") == 1500
+
+
 def test_manifest_offsets_are_those_of_the_file(spark):
     pages = spark.createDataFrame([(1, "u", "ab", 0), (0, None, "ü", 0), (0, None, "ü", 0), (2, "v", None, 0)], PAGES)
     lines = fixity.manifest(pages).orderBy("offset").collect()
@@ -118,4 +152,4 @@ def test_many_pages_of_one_number(spark, monkeypatch):
     a = fixity.manifest(pages)
     other = pages.withColumn("html", F.when(F.col("html") == "page 7", "page seven").otherwise(F.col("html")))
     assert {r["record"] for r in fixity.audit(a, fixity.manifest(other)).collect()} <= {5, 6, fixity.NO_ID}
-    assert {r["status"] for r in fixity.audit(a, fixity.manifest(other)).collect()} == {"changed"}
+    assert {r["status"] for r in fixity.audit(a, fixity.manifest(other)).collect()} <= {"changed", "moved"}

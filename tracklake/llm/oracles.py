@@ -65,13 +65,17 @@ _RECORD = """'WARC/1.1' || chr(13) || chr(10) || 'WARC-Type: resource' || chr(13
 
 OP9 = f"""
 WITH p AS (SELECT coalesce(page_id, {fixity.NO_ID}) AS record, url, html FROM pages),
-l AS (SELECT record, strlen({_RECORD}) AS length, sha256({_RECORD}) AS digest,
+l AS (SELECT record, strlen({_RECORD}) AS length, sha256({_RECORD}) AS digest, html,
              CAST('0x' || substr(md5('fault:' || record), 1, 4) AS INTEGER) AS draw FROM p),
-o AS (SELECT *, CAST(floor(record / {float(fixity.RECORDS_PER_FILE)}) AS BIGINT) AS file FROM l)
-SELECT record, row_number() OVER (PARTITION BY record ORDER BY digest) - 1 AS copy, file,
-       CAST(sum(length) OVER (PARTITION BY file ORDER BY record, digest ROWS UNBOUNDED PRECEDING) - length AS BIGINT) AS "offset",
-       length, digest, CASE WHEN draw % 128 = 2 THEN 'missing' WHEN draw % 64 = 1 THEN 'changed' ELSE 'sound' END AS status
-FROM o
+o AS (SELECT *, CAST(floor(record / {float(fixity.RECORDS_PER_FILE)}) AS BIGINT) AS file FROM l),
+f AS (SELECT *, CAST(sum(length) OVER (PARTITION BY file ORDER BY record, digest ROWS UNBOUNDED PRECEDING) - length AS BIGINT) AS "offset" FROM o),
+e AS (SELECT *, max("offset" + length) OVER (PARTITION BY file) AS file_end FROM f)
+SELECT record, file, "offset", length, digest,
+       CASE WHEN draw % 128 = 2 THEN 'missing' WHEN draw % 64 = 1 AND ascii(coalesce(html, '')) BETWEEN 1 AND 127 THEN 'changed'
+            WHEN draw % 128 = 3 THEN 'moved' ELSE 'sound' END AS status
+FROM e
+UNION ALL
+SELECT -2 - record, file, CAST("offset" + 2 * file_end AS BIGINT), length, sha256(digest), 'added' FROM e WHERE draw % 128 = 4 AND record >= 0
 """
 
 _SAID = r"\### Assistant: </turn> ok"
