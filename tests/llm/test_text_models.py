@@ -1,6 +1,9 @@
+import random
 import re
+import string
 import zlib
 from collections import Counter
+from pathlib import Path
 
 import numpy as np
 
@@ -11,7 +14,8 @@ SF = "/root/testdata/sf0.01"
 
 def test_base_measures_equal_brute_force():
     texts = ["", "one", "a b c d e a b c d e f", "x x x x x x x", "l one\nl one\n\n l one\n \n", "ä ö ü #*$ %&|<>\x85 a\xa0b\x1fc", "w " * 30_000, "q\x0br\x0cs"]
-    got = fertility.Fertility(fertility.MODEL).measure(texts)
+    tool = fertility.Fertility(Path(fertility.PIECES).read_bytes(), Path(fertility.RANKS).read_bytes())
+    got = tool.measure(texts)
     for text, row in zip(texts, got.itertuples(), strict=True):
         w = re.findall(r"[^\x20\x09-\x0D]+", text)
         counts = Counter(tuple(w[i : i + 5]) for i in range(len(w) - 4))
@@ -22,8 +26,8 @@ def test_base_measures_equal_brute_force():
                 lines += line in seen
                 seen.add(line)
         assert (row.n_words, row.word_chars, row.n_symbols, row.n_dup_lines, row.n_repeat_words) == (len(w), sum(map(len, w)), len(re.findall(r"[#*$%&|<>]", text)), lines, len(hit))
-        own = fertility.Fertility(fertility.MODEL).pieces
-        tokens = [t for x in w for t in own.encode(x)]
+        tokens = [t for x in w for t in tool.pieces.encode(x)]
+        assert abs(row.chars_per_byte_token - sum(map(len, w)) / max(1, sum(len(tool.ranks.encode_ordinary(x)) for x in w))) < 1e-9
         assert row.n_tokens == len(tokens)
         share = np.array(list(Counter(tokens).values())) / max(1, len(tokens))
         assert abs(row.token_entropy - float(-(share * np.log2(share)).sum())) < 1e-9
@@ -31,15 +35,44 @@ def test_base_measures_equal_brute_force():
 
 def test_fertility_rejects_outliers_and_keeps_the_rest(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text", "lang")
-    odd = spark.createDataFrame([(-1, " ".join(chr(0x1F300 + i % 700) * 3 + str(i) for i in range(400)), "en"), (-2, None, None), (-3, "", "xx")], docs.schema)
+    rng = random.Random(5)
+    junk = [" ".join("".join(rng.choices(string.ascii_letters + string.digits + "+/", k=60)) for _ in range(30)), " ".join(chr(0x1F300 + i % 700) for i in range(20)), " ".join(chr(0x1F300 + i % 700) * 3 + str(i) for i in range(400))]
+    some = [r["text"] for r in docs.filter("lang = 'en' and length(text) > 800").limit(20).collect()]
+    junk += [re.sub(r" ", lambda _: rng.choice(["### ", "&&& ", "%%% "]), t) for t in some]
+    odd = spark.createDataFrame([(-100 - i, t, "en") for i, t in enumerate(junk)] + [(-2, None, None), (-3, "", "xx")], docs.schema)
     got = {r["doc_id"]: r for r in fertility.report(docs.union(odd)).collect()}
-    assert not got[-1]["kept"] and not got[-1]["base_failed"]
     assert not got[-2]["kept"] and not got[-3]["kept"]
+    assert all(not got[-100 - i]["base_failed"] for i in range(len(junk)))
+    assert all(not got[-100 - i]["kept"] for i in range(3)) and sum(got[-100 - i]["kept"] for i in range(3, len(junk))) <= 1
     passed = [r for r in got.values() if not r["base_failed"] and r["doc_id"] >= 0]
-    assert sum(r["kept"] for r in passed) > 0.99 * len(passed)
+    clean = [r for r in passed if r["n_symbols"] <= 0.05 * r["word_chars"]]
+    dirty = [r for r in passed if r["n_symbols"] > 0.05 * r["word_chars"]]
+    assert sum(r["kept"] for r in clean) > 0.99 * len(clean) and sum(r["kept"] for r in dirty) < 0.3 * len(dirty)
+    assert all(r["distance"] is not None for r in passed)
     assert fertility.report(docs.limit(0)).count() == 0
 
 
+def test_a_third_of_bad_texts_does_not_move_the_band(spark):
+    rng = np.random.default_rng(6)
+    good, bad = rng.normal(4.0, 0.1, 2000), rng.normal(2.0, 0.1, 1000)
+    rows = [("en", 8, False, float(x), 0.0, 6.0, float(x)) for x in np.concatenate([good, bad])] + [(None, 8, False, 4.0, 0.0, 6.0, 4.0)]
+    df = spark.createDataFrame(rows, "lang string, length_class int, base_failed boolean, chars_per_token double, byte_share double, token_entropy double, chars_per_byte_token double")
+    got = {(r["lang"], r["measure"]): r for r in fertility.bands(df).collect()}
+    own = got["en", "chars_per_token"]
+    x = np.concatenate([good, bad])
+    assert abs(own["middle"] - np.median(x)) < 0.03 and abs(own["spread"] - 1.4826 * np.median(np.abs(x - np.median(x)))) < 0.03
+    assert own["middle"] - fertility.REACH * own["spread"] > 2.3 and own["middle"] + 2 * own["spread"] > 4.2
+    assert got[None, "byte_share"]["spread"] == 0.02 and len(got) == 8
+
+
+def test_fertility_of_repeated_rows_and_clashing_names(spark, monkeypatch):
+    monkeypatch.setattr(fertility, "BATCH_CHARS", 40)
+    rows = [(1, "one two three four five six seven eight nine ten", None, 1, "a")] * 3 + [(2, "w " * 20_000, "en", 2, "b")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, distance int, kept string")
+    got = sorted((r["doc_id"], r["base_failed"], r["kept"]) for r in fertility.report(docs).collect())
+    assert got == [(1, False, True)] * 3 + [(2, True, False)]
+
+
 def test_toxicity_on_held_out_rows(spark):
     docs, labels = spark.read.parquet(f"{SF}/documents.parquet"), spark.read.parquet(f"{SF}/labels.parquet")
     got = toxicity.report(docs, labels).join(labels, "doc_id").filter("held_out").toPandas()
