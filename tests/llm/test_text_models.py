@@ -113,14 +113,47 @@ def test_secret_base_spans(spark):
 
 
 def test_secret_models_tell_random_from_ordinary():
-    models, threshold = secret_scan.train(["The quick brown fox jumps over lazy dogs and other animals every morning"] * 3)
-    assert secret_scan.ratio(models, "aB3dE5gH7jK9mN1pQ3sT5v") > threshold
-    assert secret_scan.ratio(models, "quick_brown_animals_2020") < threshold
+    own = secret_scan.train(["The quick brown fox jumps over lazy dogs and other animals every morning 1999 2024"] * 3)
+    high, low = own.ratios(["aB3dE5gH7jK9mN1pQ3sT5v", "quick_brown_animals_2020"])
+    assert high >= own.threshold > low and 6 <= own.shortest <= 12
+    alone = [own.ratios([s])[0] for s in ("aB3dE5gH7jK9mN1pQ3sT5v", "quick_brown_animals_2020")]
+    assert np.allclose(alone, [high, low], atol=1e-3) and len(own.ratios([])) == 0
+    by_hand = 0.0
+    codes = [len(secret_scan.ALPHABET)] * 2 + [secret_scan.CODE[c] for c in "aB3dE5gH7jK9mN1pQ3sT5v"] + [len(secret_scan.ALPHABET)]
+    for i in range(2, len(codes)):
+        by_hand += float(own.ratio[codes[i - 2], codes[i - 1], codes[i]])
+    assert abs(by_hand - high) < 1e-2
+
+
+def test_planted_secrets_without_a_keyword_are_added_and_others_are_left_alone(spark):
+    rng = random.Random(12)
+    docs = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text").filter("text is not null")
+    kinds = {"base62": string.ascii_letters + string.digits, "letters": string.ascii_letters, "lower": string.ascii_lowercase + string.digits, "base64": string.ascii_letters + string.digits + "+/"}
+    planted, where = [], {}
+    for i, r in enumerate(docs.orderBy("doc_id").limit(160).collect()):
+        kind, n = list(kinds)[i % 4], (14, 20, 32, 40)[i // 4 % 4]
+        key = "".join(rng.choices(kinds[kind], k=n))
+        at = len(r["text"]) // 2
+        at = r["text"].find(" ", at) if " " in r["text"][at:] else len(r["text"])
+        text = f"{r['text'][:at]} {key} {r['text'][at:].lstrip()}"
+        planted.append((10**9 + i, text))
+        where[10**9 + i] = f"markov:{at + 1}:{at + 1 + n}"
+    got = {r["doc_id"]: r for r in secret_scan.report(docs.union(spark.createDataFrame(planted, docs.schema))).collect()}
+    assert sum(where[i] in got[i]["spans"].split(",") for i in where) >= 0.97 * len(where)
+    others = [r for i, r in got.items() if i < 10**9]
+    assert sum("markov" in r["spans"] for r in others) <= 0.002 * len(others)
+
+
+def test_secrets_of_repeated_rows_empty_tables_and_clashing_names(spark):
+    key = "hT7xQ9vLw2ZpRk4NdY8s"
+    docs = spark.createDataFrame([(1, f"see {key} here", 5)] * 2 + [(2, None, 6)], "doc_id long, text string, secrets int")
+    assert sorted((r["doc_id"], r["spans"]) for r in secret_scan.report(docs).collect()) == [(1, "markov:4:24")] * 2 + [(2, "")]
+    assert secret_scan.report(docs.limit(0)).count() == 0 and secret_scan.find_secrets(docs).columns == docs.columns
 
 
 def test_secret_sample_takes_whole_texts(spark):
     late = "word " * 5000 + "password=abc123def456 lastword"
     docs = spark.createDataFrame([(1, late), (2, None), (None, "lost words"), (3, "")], "doc_id long, text string")
     secret, words = secret_scan.sample_strings(docs)
-    assert secret == ["abc123def456"] and words == ["lastword", "word"]
+    assert secret == ["abc123def456"] and words == ["lastword", "word"]  # the keyword is part of the span
     assert secret_scan.sample_strings(docs.limit(0)) == ([], [])

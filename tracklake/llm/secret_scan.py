@@ -1,14 +1,18 @@
 r"""Secrets by two character Markov models.
 
-Base spans: three patterns (assignments, access keys, hex runs).  Added spans: runs of ``[A-Za-z0-9+/_=-]`` of
-``MIN_LENGTH`` characters and more that hold letters and digits, overlap no base span, and whose log-likelihood ratio
-per character between a model of random strings and a model of ordinary identifiers is at least the calibrated threshold.
-
-Both models are of the second order over the characters of such runs, trained on labelled samples: random strings are the values of base spans in a bounded sample of documents plus
-seeded random ones of the usual alphabets; ordinary identifiers are words of the same documents outside base spans,
-plus joined forms of them (snake, kebab and camel case with version numbers).  The sample is the ``SAMPLE_DOCS`` first
-documents in the order of a hash of their id, each of them whole; its strings are found where the texts are, and only
-the distinct ones come to the driver.  Every text of the corpus is scanned whole.
+Base spans: three patterns (assignments, access keys, hex runs).  Added spans: runs of ``[A-Za-z0-9+/_=-]`` that overlap
+no base span and whose log-likelihood ratio between a model of random strings and a model of ordinary identifiers
+reaches a calibrated threshold.  The ratio is that of the whole run, so a longer run needs less of each character; no
+kind of run is left out.  Runs are scored from the length on at which a random string can reach the threshold at all:
+the shortest at which ``SEEN_SHARE`` of held-out random strings do.
+
+Both models are of the second order over the characters of such runs, with a mark at both ends, and trained on labelled
+samples: random strings are the values of base spans in a bounded sample of documents plus seeded random ones of the
+usual alphabets and all lengths; ordinary identifiers are the runs of plain form (words, numbers, both joined by signs)
+of the same documents, plus joined forms of the words (snake, kebab and camel case with version numbers).  Every other string trains, the rest
+calibrates: the threshold is reached by ``FALSE_SHARE`` of the ordinary ones at most.  The sample is the
+``SAMPLE_DOCS`` first documents in the order of a hash of their id, each of them whole; its strings are found where the
+texts are, and only the distinct ones come to the driver.  Every text of the corpus is scanned whole.
 """
 
 from __future__ import annotations
@@ -26,13 +30,18 @@ KINDS = ("assign", "access", "hex")
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.ASCII | re.IGNORECASE)
 ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 HEX = re.compile(r"[0-9a-f]{32,}")
-TOKEN = re.compile(r"[A-Za-z0-9+/_=-]{20,}")
-MIN_ASSIGN, MIN_ACCESS, MIN_LENGTH = 8, 16, 20
+RUN = "[A-Za-z0-9+/_=-]"
+#: What labels a run as ordinary for training: words in one case and numbers, joined by signs.  A key without a keyword is not of this form.
+PLAIN = re.compile(r"[+/_=-]*(?:[A-Za-z][a-z]*|[A-Z]+|[0-9]+)(?:[+/_=-]+(?:[A-Za-z][a-z]*|[A-Z]+|[0-9]+))*[+/_=-]*")
+MIN_ASSIGN, MIN_ACCESS = 8, 16
 
 SAMPLE_DOCS = 2_000
-SEED, SYNTHETIC = 11, 4_000
-#: Share of ordinary identifiers of the sample that may reach the threshold, and the least threshold (nats a character).
-FALSE_SHARE, LEAST_RATIO = 0.0005, 1.5
+SEED, SYNTHETIC, SHORTEST, LONGEST = 11, 12_000, 6, 64
+#: Share of held-out ordinary identifiers that may reach the threshold; the least threshold (nats, about one in 10^11); share of held-out random strings of a
+#: length that must reach it for that length to be scanned.
+FALSE_SHARE, LEAST_RATIO, SEEN_SHARE = 0.001, 25.0, 0.01
+#: Scores of distinct runs that a worker keeps.
+MOST_KNOWN = 500_000
 ALPHABET = "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789+/_=-"
 CODE = {c: i for i, c in enumerate(ALPHABET)}
 
@@ -47,79 +56,106 @@ def base_spans(text: str) -> list[tuple[str, int, int]]:
 
 
 class Markov:
-    """Second-order model of the characters of ALPHABET with add-one smoothing towards lower orders."""
+    """Second-order model of the characters of ALPHABET and a mark for the ends, smoothed towards lower orders."""
 
     def __init__(self, strings: list[str]):
-        n = len(ALPHABET)
-        one, two, three = np.zeros(n), np.zeros((n, n)), np.zeros((n, n, n))
-        for s in strings:
-            c = np.array([CODE[x] for x in s if x in CODE], np.int64)
-            np.add.at(one, c, 1)
-            np.add.at(two, (c[:-1], c[1:]), 1)
-            np.add.at(three, (c[:-2], c[1:-1], c[2:]), 1)
+        n = len(ALPHABET) + 1
+        codes, _ = coded(strings)
+        one = np.bincount(codes, minlength=n).astype(float)
+        two = np.bincount(codes[:-1] * n + codes[1:], minlength=n * n).reshape(n, n).astype(float) if len(codes) else np.zeros((n, n))
+        three = np.bincount((codes[:-2] * n + codes[1:-1]) * n + codes[2:], minlength=n**3).reshape(n, n, n).astype(float) if len(codes) else np.zeros((n, n, n))
         p1 = (one + 1) / (one.sum() + n)
         p2 = (two + 8 * p1) / (two.sum(axis=1, keepdims=True) + 8)
         self.log = np.log((three + 8 * p2[None]) / (three.sum(axis=2, keepdims=True) + 8)).astype(np.float32)
 
-    def of(self, s: str) -> float:
-        c = np.array([CODE[x] for x in s], np.int64)
-        return float(self.log[c[:-2], c[1:-1], c[2:]].sum())
 
+def coded(strings: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """The codes of all strings in a row, two marks before each and one behind the last; and where each string's own begin."""
+    mark = len(ALPHABET)
+    flat = np.frombuffer("".join(f"\x00\x00{s}" for s in strings).encode("ascii"), np.uint8)
+    table = np.full(128, mark, np.int64)
+    table[[ord(c) for c in ALPHABET]] = np.arange(mark)
+    lengths = np.array([len(s) + 2 for s in strings], np.int64)
+    return np.append(table[flat], mark), np.cumsum(lengths) - lengths + 2
 
-def ratio(models: tuple[Markov, Markov], s: str) -> float:
-    """Log-likelihood ratio per character: random against ordinary."""
-    return (models[0].of(s) - models[1].of(s)) / max(1, len(s) - 2)
+
+class Detector:
+    """Log-likelihood ratios of runs, random against ordinary, with the threshold and the shortest length that can reach it."""
+
+    def __init__(self, random_model: Markov, ordinary: Markov):
+        self.ratio = random_model.log - ordinary.log
+        self.threshold, self.shortest = LEAST_RATIO, SHORTEST
+        self.known: dict[str, bool] = {}
+
+    def ratios(self, strings: list[str]) -> np.ndarray:
+        if not strings:
+            return np.zeros(0)
+        codes, begins = coded(strings)
+        each = self.ratio[codes[:-2], codes[1:-1], codes[2:]]  # each[i] is that of the character i + 2; the mark behind a string counts too
+        total = np.concatenate(([0.0], np.cumsum(each, dtype=float)))
+        ends = begins + np.array([len(s) for s in strings]) + 1
+        return total[np.minimum(ends - 2, len(each))] - total[begins - 2]
+
+    def random(self, strings: set[str]) -> None:
+        """Make sure that all of these strings are known."""
+        if len(self.known) > MOST_KNOWN:
+            self.known = {}
+        new = sorted(strings - self.known.keys())
+        self.known.update(zip(new, (self.ratios(new) >= self.threshold).tolist(), strict=True))
+
+    def added(self, texts: list[str], bases: list[list[tuple[str, int, int]]]) -> list[list[tuple[str, int, int]]]:
+        """The spans that the models add to each text's base spans."""
+        runs = [list(re.finditer(f"{RUN}{{{self.shortest},}}", t)) for t in texts]
+        self.random({m[0] for own in runs for m in own})
+        return [[("markov", m.start(), m.end()) for m in own if self.known[m[0]] and not any(a < m.end() and m.start() < b for _, a, b in base)] for own, base in zip(runs, bases, strict=True)]
 
 
 def strings_of(text: str) -> tuple[set[str], set[str]]:
-    """Random strings (values of base spans that hold a digit) and ordinary words (outside base spans) of one text."""
-    spans = base_spans(text)
+    """Random strings (values of base spans that hold a digit) and ordinary runs (of plain form, outside base spans) of one text."""
     secret = {m[2] for m in ASSIGN.finditer(text) if len(m[2]) >= MIN_ASSIGN and any(c.isdigit() for c in m[2])}
-    taken = np.zeros(len(text) + 1, bool)
-    for _, start, end in spans:
-        taken[start:end] = True
-    return secret, {m[0] for m in re.finditer(r"[A-Za-z][a-z]{2,}", text) if not taken[m.start() : m.end()].any()}
+    at, rest = 0, []
+    for _, start, end in base_spans(text):
+        rest.append(text[at : max(at, start)])
+        at = max(at, end)
+    return {"".join(c for c in s if c in CODE) for s in secret}, {x for part in [*rest, text[at:]] for x in re.findall(f"{RUN}{{3,}}", part) if PLAIN.fullmatch(x)}
 
 
-def labelled_strings(secret: list[str], words: list[str]) -> tuple[list[str], list[str]]:
-    """A sample's random strings and ordinary words (both sorted) with seeded synthetic ones of both."""
+def labelled_strings(secret: list[str], plain: list[str]) -> tuple[list[str], list[str]]:
+    """A sample's random strings and ordinary runs (both sorted) with seeded synthetic ones of both."""
     rng = random.Random(SEED)
-    secret = list(secret)
-    alphabets = ["0123456789abcdef", ALPHABET[:62], ALPHABET[:64], ALPHABET[26:62], ALPHABET[:26] + ALPHABET[52:62], ALPHABET[:62] + "_-"]
-    secret += ["".join(rng.choices(rng.choice(alphabets), k=rng.randint(MIN_LENGTH, 48))) for _ in range(SYNTHETIC)]
+    alphabets = ["0123456789abcdef", ALPHABET[:62], ALPHABET[:64], ALPHABET[26:62], ALPHABET[:26] + ALPHABET[52:62], ALPHABET[:62] + "_-", ALPHABET[:52]]
+    lengths = range(SHORTEST, LONGEST + 1)
+    secret = [*secret, *("".join(rng.choices(alphabets[i % len(alphabets)], k=lengths[i % len(lengths)])) for i in range(SYNTHETIC))]
+    words = [w for w in plain if w.isalpha()]
     joined = []
-    for _ in range(SYNTHETIC if words else 0):
+    for i in range(SYNTHETIC if words else 0):
         some = [rng.choice(words) for _ in range(rng.randint(2, 6))]
-        style = rng.randrange(5)
         number = [str(rng.randint(0, 2030))] if rng.random() < 0.7 else []
-        joined.append(["_".join(some + number), "-".join(some + number), "".join(w.title() for w in some) + "".join(number), "/".join(some + number), "".join(some) + "".join(number)][style])
-    return secret, words + joined
+        joined.append(["_".join(some + number), "-".join(some + number), "".join(w.title() for w in some) + "".join(number), "/".join(some + number), "".join(some) + "".join(number)][i % 5])
+    return secret, [*plain, *joined]
 
 
-def train(texts: list[str]) -> tuple[tuple[Markov, Markov], float]:
+def train(texts: list[str]) -> Detector:
     """As ``train_on``, from the strings of some texts."""
     found = [strings_of(t) for t in texts]
     return train_on(sorted(set().union(*(s for s, _ in found))), sorted(set().union(*(w for _, w in found))))
 
 
-def train_on(secret: list[str], words: list[str]) -> tuple[tuple[Markov, Markov], float]:
-    """The models of random and of ordinary strings, trained on every other string, and the threshold from the rest."""
-    secret, plain = labelled_strings(secret, words)
-    models = Markov(secret[::2]), Markov(plain[::2])
-    rest = sorted(ratio(models, s) for s in plain[1::2] if len(s) >= MIN_LENGTH)
-    allowed = rest[min(len(rest) - 1, int(len(rest) * (1 - FALSE_SHARE)))] if rest else LEAST_RATIO
-    return models, max(LEAST_RATIO, allowed)
-
-
-def added_spans(text: str, base: list[tuple[str, int, int]], models: tuple[Markov, Markov], threshold: float) -> list[tuple[str, int, int]]:
-    out = []
-    for m in TOKEN.finditer(text):
-        s = m[0]
-        if any(a < m.end() and m.start() < b for _, a, b in base):
-            continue
-        if sum(c.isdigit() for c in s) >= 3 and sum(c.isalpha() for c in s) >= 3 and ratio(models, s) >= threshold:
-            out.append(("markov", m.start(), m.end()))
-    return out
+def train_on(secret: list[str], plain: list[str]) -> Detector:
+    """Models of random and of ordinary strings from every other string, threshold and shortest length from the rest."""
+    secret, plain = labelled_strings(secret, plain)
+    rng = random.Random(SEED + 1)
+    rng.shuffle(secret)
+    rng.shuffle(plain)
+    own = Detector(Markov(secret[::2]), Markov(plain[::2]))
+    ordinary = np.sort(own.ratios(plain[1::2]))
+    if len(ordinary):
+        own.threshold = max(LEAST_RATIO, float(ordinary[-1 - int(len(ordinary) * FALSE_SHARE)]) + 1e-6)
+    rest = secret[1::2]
+    reached = own.ratios(rest) >= own.threshold
+    lengths = np.array([len(s) for s in rest])
+    own.shortest = min((n for n in range(SHORTEST, LONGEST + 1) if (lengths == n).any() and reached[lengths == n].mean() >= SEEN_SHARE), default=LONGEST)
+    return own
 
 
 def sample_strings(docs: DataFrame) -> tuple[list[str], list[str]]:
@@ -144,20 +180,19 @@ SCHEMA = "array<struct<kind:string,start:int,end:int,base:boolean>>"
 def find_secrets(docs: DataFrame) -> DataFrame:
     """``docs`` with a column secrets: spans with kind, start, end and base, by start, then kind as listed, added ones last at a start.
 
-    A null text is empty; repeated rows give repeated rows; an empty table gives an empty table; a column ``secrets`` is replaced.
+    A null text is empty; repeated rows give repeated rows; an empty table gives an empty table; a column ``secrets`` is
+    replaced, other extra columns stay.  Very long texts are scanned whole.  Two spans of one start stand by kind.
     """
     shared = docs.sparkSession.sparkContext.broadcast(train_on(*sample_strings(docs)))
+    order = (*KINDS, "markov").index
 
     def find(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        models, threshold = shared.value
-        for texts in batches:
-            out = []
-            for text in texts:
-                text = text or ""
-                base = base_spans(text)
-                more = added_spans(text, base, models, threshold)
-                out.append([{"kind": k, "start": a, "end": b, "base": k != "markov"} for k, a, b in sorted(base + more, key=lambda s: (s[1], (*KINDS, "markov").index(s[0])))])
-            yield pd.Series(out)
+        detector = shared.value
+        for batch in batches:
+            texts = [t or "" for t in batch]
+            bases = [base_spans(t) for t in texts]
+            spans = [sorted(base + more, key=lambda s: (s[1], order(s[0]))) for base, more in zip(bases, detector.added(texts, bases), strict=True)]
+            yield pd.Series([[{"kind": k, "start": a, "end": b, "base": k != "markov"} for k, a, b in own] for own in spans])
 
     find.__annotations__ = {"batches": Iterator[pd.Series], "return": Iterator[pd.Series]}
     return docs.withColumn("secrets", F.pandas_udf(find, SCHEMA)("text"))
