@@ -1,4 +1,5 @@
 import hashlib
+import random
 import re
 
 from tracklake.llm import pii
@@ -63,12 +64,44 @@ def test_base_spans_stay_among_all(spark):
 
 
 def test_estimation_trusts_agreeing_labelers():
-    counts = [("email", (1, 1, 1, 0, 1), 90), ("email", (-1, -1, 0, -1, 1), 60), ("phone", (-1, -1, 0, -1, 1), 40), ("phone", (1, 1, 0, 0, 1), 50)]
-    chance, right = pii.estimate_reliabilities(counts)
-    assert chance["email", (1, 1, 1, 0, 1)] > 0.95 and chance["phone", (-1, -1, 0, -1, 1)] < 0.05
-    assert right[0] > right[4]
+    counts = [("email", True, (1, 1, 1, 0, 0), 90), ("email", False, (-1, -1, 0, -1, 0), 60), ("phone", False, (-1, -1, 0, -1, 0), 40), ("phone", True, (1, 1, 0, 0, 0), 50), ("phone", False, (1, 1, 1, 0, 0), 9)]
+    chance, share = pii.estimate_reliabilities(counts)
+    assert chance["email", True, (1, 1, 1, 0, 0)] > 0.95 and chance["phone", False, (-1, -1, 0, -1, 0)] < 0.05
+    assert chance["phone", False, (1, 1, 1, 0, 0)] > 0.9
+    assert share[0, 1, 1] > share[0, 0, 1] and abs(sum(share[0, 1, x] for x in (-1, 0, 1)) - 1) < 1e-9
     weights = pii.fit_classifier(counts, chance)
-    assert weights["shape"] > 0
+    assert weights["shape+"] > 0 > weights["touching-"]
+    assert pii.estimate_reliabilities([])[0] == {}
+
+
+def test_a_labeler_that_always_says_yes_tells_nothing():
+    counts = [("email", True, (1, 1, 1, 1, 0), 50), ("email", False, (-1, -1, 0, 1, 0), 50)]
+    _, share = pii.estimate_reliabilities(counts)
+    assert abs(share[3, 1, 1] - share[3, 0, 1]) < 0.05
+
+
+def test_loose_spans_are_added_and_numbers_are_not(spark):
+    rng = random.Random(2)
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text")
+    name = lambda: "".join(rng.choices("abcdefghij", k=6))
+    long = "x" * 90 + " [at] " + "y" * 80 + " [dot] com"
+    number = lambda n: "".join(rng.choices("0123456789", k=n))
+    planted, want = [], {}
+    for i in range(150):
+        value = f"{name()} [at] {name()} [dot] {rng.choice(['com', 'org', 'de'])}" if i else long
+        planted.append((10**6 + i, f"write to {value} for more, {name()}"))
+        want[10**6 + i] = f"email:9:{9 + len(value)}"
+    for i in range(150, 300):
+        value = f"({number(3)}) {number(3)}-{number(4)}"
+        planted.append((10**6 + i, f"please call {value} today"))
+        want[10**6 + i] = f"phone:12:{12 + len(value)}"
+    clean = ["born 1999-12-31 and 2024-01-15", f"isbn 978-3-16-{number(6)}-0", "the total = 1234567.8901", "years 1999 / 2024 and 12.5.2020", "serial 12345678 x", "meet at noon. dot your eyes at home", f"id_{number(10)}x and {number(30)}"]
+    planted += [(2 * 10**6 + i, t) for i, t in enumerate(clean * 20)]
+    rows = {r["doc_id"]: r for r in pii.report(docs.union(spark.createDataFrame(planted, docs.schema))).collect()}
+    assert sum(want[i] in rows[i]["spans"].split(",") for i in want) >= 0.98 * len(want)
+    added = lambda r: len(r["spans"].split(",")) - (r["n_email"] + r["n_ip"] + r["n_card"] + r["n_phone"]) if r["spans"] else 0
+    assert not [clean[(i - 2 * 10**6) % len(clean)] for i, r in rows.items() if i >= 2 * 10**6 and added(r)]
+    assert sum(added(r) for i, r in rows.items() if i < 10**6) == 0
 
 
 def test_no_documents(spark):
@@ -78,3 +111,9 @@ def test_no_documents(spark):
 def test_masked(spark):
     docs = spark.createDataFrame([(1, "mail a@b.cd now", "x"), (2, None, "y"), (3, "clean", "z")], "doc_id long, text string, base string")
     assert sorted(tuple(r) for r in pii.masked(docs).collect()) == [(1, "mail [email] now", "x"), (2, None, "y"), (3, "clean", "z")]
+
+
+def test_masked_with_clashing_names_and_added_spans(spark):
+    docs = spark.createDataFrame([(1, "mail a@b.cd now", "x", 1)] * 2, "doc_id long, text string, _id string, _spans int")
+    got = pii.masked(docs)
+    assert got.columns == docs.columns and [tuple(r) for r in got.collect()] == [(1, "mail [email] now", "x", 1)] * 2
