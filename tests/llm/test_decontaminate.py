@@ -97,3 +97,13 @@ def test_spans_of_mixed_case_texts_leave_the_words_of_brute_force(spark):
                     hit.update(range(i, i + k))
         assert own_words(cut[doc_id]) == [x for i, x in enumerate(w) if i not in hit]
     assert cut[1] == "the USA and camelCase NASA then USA stays, iPhone TOO" and cut[4] == "NO hit HERE"
+
+
+def test_clashing_names_and_repeated_rows(spark):
+    passage = " ".join(f"b{i}" for i in range(12))
+    docs = spark.createDataFrame([(1, f"x {passage} y", "a", 1)] * 3 + [(2, "clean", "b", 2)], "doc_id long, text string, _id string, _hits int")
+    bench = spark.createDataFrame([("q", passage)], "item_id string, text string")
+    for mode, want in (("documents", ["clean"]), ("spans", ["clean"] + ["x y"] * 3)):
+        got = decontaminate.remove_contaminated(docs, bench, mode)
+        assert got.columns == docs.columns and sorted(r["text"] for r in got.collect()) == want
+    assert [r["n_hit"] for r in decontaminate.report(docs, bench).orderBy("doc_id").collect()] == [12, 12, 12, 0]

@@ -12,6 +12,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tracklake.llm.common import numbered, private
+
 WINDOW = 10
 MAX_BROADCAST_WINDOWS = 500_000
 
@@ -112,9 +114,7 @@ def words_hit(hits: str = "hits") -> Column:
 
 def report(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """One row for every row of ``docs``: doc_id, n_words, n_hit, n_items, items_sha256, contaminated."""
-    # A row is a few numbers: an eighth of the shuffle's partitions holds them well, in so many fewer files.
-    files = max(8, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")) // 8)
-    rows = contamination(docs, benchmark).coalesce(files).withColumn("n_hit", words_hit()).withColumn("_", F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies"))))
+    rows = numbered(contamination(docs, benchmark).withColumn("n_hit", words_hit()), "copies", "copy")
     return rows.select(
         "doc_id",
         "n_words",
@@ -126,16 +126,20 @@ def report(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 
 
 def remove_contaminated(docs: DataFrame, benchmark: DataFrame, mode: str = "documents") -> DataFrame:
-    """``docs`` without the contaminated documents, or (mode ``spans``) without the words that were hit and what stands before each of them."""
+    """``docs`` without the contaminated documents, or (mode ``spans``) without the words that were hit and what stands before each of them.
+
+    Extra columns stay, whatever their names.  Repeated rows are treated alike.  Very long texts are read whole.
+    """
     if mode not in ("documents", "spans"):
         raise ValueError(f"mode is documents or spans, not {mode!r}")
-    dirty = contamination(docs, benchmark).filter(F.size("hits") > 0).select(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash"), F.col("hits").alias("_hits"))
-    same = F.col("doc_id").eqNullSafe(F.col("_id")) & (F.xxhash64("text") == F.col("_hash"))
+    id_, hash_, hits_ = (private(n, docs) for n in ("id", "hash", "hits"))
+    dirty = contamination(docs, benchmark).filter(F.size("hits") > 0).select(F.col("doc_id").alias(id_), F.col("text_hash").alias(hash_), F.col("hits").alias(hits_))
+    same = F.col("doc_id").eqNullSafe(F.col(id_)) & (F.xxhash64("text") == F.col(hash_))
     if mode == "documents":
         return docs.join(dirty, same, "left_anti")
     pieces = F.split("text", f"(?<=[^{CASED_SEPARATOR}])(?=[{CASED_SEPARATOR}])")  # each ends with a word, but what follows the last word
-    left = F.array_join(F.filter(pieces, lambda p, i: ~F.exists("_hits", lambda h: (h["start"] <= i) & (i < h["start"] + h["length"]))), "")
-    text = F.when(F.col("_hits").isNull(), F.col("text")).otherwise(left)
+    left = F.array_join(F.filter(pieces, lambda p, i: ~F.exists(hits_, lambda h: (h["start"] <= i) & (i < h["start"] + h["length"]))), "")
+    text = F.when(F.col(hits_).isNull(), F.col("text")).otherwise(left)
     return docs.join(dirty, same, "left").withColumn("text", text).select(*docs.columns)
 
 
