@@ -50,6 +50,20 @@ def test_mixed_documents_hold_the_words_taken(spark):
     assert words == {k: v for k, v in taken.items() if v}
 
 
+def test_many_equal_rows_without_id(spark):
+    schema = "doc_id long, text string, source string, _hash int, `_n` string"
+    rows = [(None, "same words here", "s0", 1, "a")] * 500 + [(None, f"w{i} x", "s0", 2, "b") for i in range(100)] + [(None, "same words here", "s1", 3, "c")] * 40 + [(1, None, "s1", 4, None)]
+    docs = spark.createDataFrame(rows, schema)
+    got = mixing.mix(docs).collect()
+    assert len(got) == len(rows) and all(r["taken"] <= 2 * r["size"] for r in got)
+    mixed = mixing.mixed_documents(docs)
+    assert mixed.columns == docs.columns
+    for source in ("s0", "s1"):
+        want = sum(r["taken"] for r in got if r["source"] == source)
+        assert sum(len(r["text"].split()) for r in mixed.filter(F.col("source") == source).collect()) == want > 0
+    assert mixing._decided(docs).count() == 103
+
+
 def test_no_documents(spark):
     empty = spark.createDataFrame([], SCHEMA)
     assert mixing.mix(empty).count() == 0 and mixing.mixed_documents(empty).count() == 0

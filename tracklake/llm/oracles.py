@@ -27,7 +27,7 @@ FROM d LEFT JOIN cover USING (rid) LEFT JOIN items USING (rid)
 OP3 = rf"""
 WITH d AS (
   SELECT doc_id, source, len(list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda w: w <> '')) AS size,
-         sha256('{mixing.SEED}|' || coalesce(CAST(doc_id AS VARCHAR), '')) AS mix_key FROM documents),
+         sha256('{mixing.SEED}|' || coalesce(CAST(doc_id AS VARCHAR), '') || '|' || md5(coalesce(text, ''))) AS mix_key FROM documents),
 s AS (SELECT source, CAST(sum(size) AS DOUBLE) AS source_size FROM d GROUP BY source),
 w AS (SELECT *, [5.0, 2.0, 1.0][CAST((row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1 AS INT)]::DOUBLE AS weight FROM s),
 steps AS (
