@@ -157,3 +157,18 @@ def test_secret_sample_takes_whole_texts(spark):
     secret, words = secret_scan.sample_strings(docs)
     assert secret == ["abc123def456"] and words == ["lastword", "word"]  # the keyword is part of the span
     assert secret_scan.sample_strings(docs.limit(0)) == ([], [])
+
+
+def test_thresholds_come_from_rows_that_did_not_train(spark, monkeypatch):
+    docs, labels = spark.read.parquet(f"{SF}/documents.parquet"), spark.read.parquet(f"{SF}/labels.parquet")
+    trained, calibrated = [], []
+    train, thresholds = toxicity.train, toxicity.language_thresholds
+    monkeypatch.setattr(toxicity, "EPOCHS", 1)
+    monkeypatch.setattr(toxicity, "train", lambda texts, y: trained.extend(texts) or train(texts, y))
+    monkeypatch.setattr(toxicity, "language_thresholds", lambda m, s: calibrated.append(s) or thresholds(m, s))
+    _, limits = toxicity.fit(docs, labels)
+    own = calibrated[0]
+    assert len(own) > 0 and own["toxic"].nunique() == 2 and len(trained) > 3 * len(own)
+    assert all(zlib.crc32(str(i).encode()) % 3 != 1 for i in own["doc_id"]) and limits[""] == 0.7
+    kept = toxicity.without_toxic(docs.withColumn("_toxicity", toxicity.F.lit(1)).limit(20), labels)
+    assert "_toxicity" in kept.columns
