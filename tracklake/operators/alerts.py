@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from tracklake.config import SETTINGS
 from tracklake.functions import geo
 from tracklake.functions.text import short_id
+from tracklake.operators.effort import in_reserves
 from tracklake.storage import checkpointed
 
 A = SETTINGS.alerts
@@ -30,16 +31,20 @@ def transits(events: DataFrame, stations: DataFrame, keys: list[str]) -> DataFra
     return moved.withColumn("km", km).withColumn("hours", hours).withColumn("kmh", F.col("km") / F.col("hours")).drop("a_lat", "a_lon", "b_lat", "b_lon")
 
 
-def history(occupancy: DataFrame, runs: DataFrame, stations: DataFrame, confidences: DataFrame, coverages: DataFrame) -> DataFrame:
+def history(occupancy: DataFrame, runs: DataFrame, stations: DataFrame, confidences: DataFrame, coverages: DataFrame, individuals: DataFrame | None = None) -> DataFrame:
     """The wide frame.
 
-    ``occupancy``: run_id, ind_id, station_set, centroid_lat, centroid_lon, event_count.  ``runs``: run_id, started_at.
-    ``confidences``: run_id, ind_id, id_conf.  ``coverages``: run_id, ind_id, coverage.  Individuals are carried into
-    every run from their first row on, so that absences show.
+    ``occupancy``: run_id, ind_id, station_set, centroid_lat, centroid_lon, event_count.  ``runs``: run_id, started_at,
+    and reserve_id where there are several reserves.  ``confidences``: run_id, ind_id, id_conf.  ``coverages``: run_id,
+    ind_id, coverage.  Individuals are carried into every run of their reserve from their first row on, so that absences
+    show; with ``individuals`` (ind_id) only those that still exist are.
     """
-    first = occupancy.join(runs, "run_id").groupBy("ind_id").agg(F.min("started_at").alias("first_at"))
-    numbered = runs.select("run_id", "started_at")
-    spread = first.join(numbered, F.col("started_at") >= F.col("first_at")).select("ind_id", "run_id", "started_at")
+    numbered = in_reserves(runs).select("run_id", "reserve_id", "started_at")
+    if individuals is not None:
+        occupancy = occupancy.join(individuals.select("ind_id").distinct(), "ind_id", "left_semi")
+    first = occupancy.join(numbered, "run_id").groupBy("reserve_id", "ind_id").agg(F.min("started_at").alias("first_at"))
+    # Runs are few and their number is that of the survey's cycles; individuals meet those of their own reserve.
+    spread = first.join(numbered, "reserve_id").filter(F.col("started_at") >= F.col("first_at")).select("reserve_id", "ind_id", "run_id", "started_at")
     rows = spread.join(occupancy.withColumn("_present", F.lit(True)), ["run_id", "ind_id"], "left").join(confidences, ["run_id", "ind_id"], "left").join(coverages, ["run_id", "ind_id"], "left")
     zones = stations.select("station_id", "name", "zone", "lat", "lon", "village_dist_km")
     # Zone share and nearest village of a row, from its stations; a reserve's stations are few.
@@ -48,14 +53,14 @@ def history(occupancy: DataFrame, runs: DataFrame, stations: DataFrame, confiden
         .agg(F.avg((F.col("zone") == "buffer").cast("int")).alias("buffer_share"), F.min("village_dist_km").alias("nearest_km"))
     )
     rows = rows.join(about, ["run_id", "ind_id"], "left")
-    past = Window.partitionBy("ind_id").orderBy("started_at").rowsBetween(Window.unboundedPreceding, -1)
+    past = Window.partitionBy("reserve_id", "ind_id").orderBy("started_at").rowsBetween(Window.unboundedPreceding, -1)
     row = F.struct("run_id", "station_set", "centroid_lat", "centroid_lon", "event_count", "buffer_share", "nearest_km")
     rows = rows.withColumn("prior", F.collect_list(F.when(F.col("_present"), row)).over(past))
     rows = rows.withColumn("conf_last", F.last(F.when(F.col("event_count") > 0, F.struct("id_conf")), ignorenulls=True).over(past)["id_conf"])
     rows = rows.withColumn("seen_before", F.array_distinct(F.flatten(F.transform("prior", lambda p: p["station_set"]))))
     rows = rows.withColumn("last", F.try_element_at("prior", F.lit(-1))).withColumn("n_prior", F.size("prior"))
     fresh = F.array_except(F.coalesce("station_set", F.array().cast("array<bigint>")), "seen_before")
-    earlier_runs = F.count("*").over(Window.orderBy("started_at").rowsBetween(Window.unboundedPreceding, -1))
+    earlier_runs = F.count("*").over(Window.partitionBy("reserve_id").orderBy("started_at").rowsBetween(Window.unboundedPreceding, -1))
     with_rank = numbered.select("run_id", earlier_runs.alias("n_earlier"))
     return rows.withColumn("fresh", fresh).join(with_rank, "run_id").filter("n_earlier > 0")
 
@@ -81,8 +86,8 @@ def centroid_shift(h: DataFrame) -> DataFrame:
 def new_station(h: DataFrame, stations: DataFrame, days: DataFrame, runs: DataFrame) -> DataFrame:
     """First capture at a station outside the buffer; suppressed where the station or the individual could not have been seen there before."""
     each = h.filter("n_prior > 0").withColumn("station_id", F.explode("fresh")).join(stations.select("station_id", "zone"), "station_id").filter("zone <> 'buffer'")
-    active = days.filter("days > 0").join(runs.select("run_id", F.col("started_at").alias("d_start")), "run_id").select("station_id", F.col("run_id").alias("d_run"), "d_start")
-    met = each.join(active, "station_id", "left")
+    active = days.filter("days > 0").join(in_reserves(runs).select("run_id", "reserve_id", F.col("started_at").alias("d_start")), "run_id").select("station_id", "reserve_id", F.col("run_id").alias("d_run"), "d_start")
+    met = each.join(active, ["station_id", "reserve_id"], "left")
     before = F.col("d_start") < F.col("started_at")
     detected = F.exists("prior", lambda p: (p["run_id"] == F.col("d_run")) & (p["event_count"] > 0))
     keys = ["run_id", "ind_id", "station_id"]

@@ -182,9 +182,9 @@ def upsert_columns(spark: SparkSession, sf: str) -> DataFrame:
     return changes.upserted(local, remote, ["id"], ["price"]).select("id", "price", "origin")
 
 
-@query(sql("SELECT station_id, ind_id, count(*) AS attempts, arg_max(status, captured_at) AS last_error FROM captures WHERE k < 20 GROUP BY 1, 2"))
+@query(sql("SELECT station_id, ind_id, count(*) AS attempts, arg_max(status, captured_at) AS last_error FROM captures WHERE status = 'error' GROUP BY 1, 2"))
 def dead_letters(spark: SparkSession, sf: str) -> DataFrame:
-    failures = d.captures(spark, sf).filter("k < 20").select("station_id", "ind_id", F.col("status").alias("error"), F.col("captured_at").alias("at"))
+    failures = d.captures(spark, sf).filter("status = 'error'").select("station_id", "ind_id", F.col("status").alias("error"), F.col("captured_at").alias("at"))
     return changes.with_attempts(failures, ["station_id", "ind_id"]).drop("last_at")
 
 
@@ -262,23 +262,23 @@ def blank_frames(spark: SparkSession, sf: str) -> DataFrame:
     return triage.blank_frames(grids(spark, sf))
 
 
-@query(sql("""SELECT station_id AS image_id, CASE WHEN count(*) FILTER (k = 1) > 0 THEN 'person' WHEN count(*) FILTER (k = 2) > 0 THEN 'vehicle' WHEN count(*) FILTER (k > 50) > 0 THEN 'animal' ELSE 'blank' END AS route,
-coalesce(max(confidence) FILTER (k = 1), max(confidence) FILTER (k = 2), max(confidence) FILTER (k > 50)) AS conf FROM captures WHERE run_id = 1 GROUP BY station_id"""))
+@query(sql("""SELECT 3 * ind_id + run_id AS image_id, CASE WHEN count(*) FILTER (k = 1) > 0 THEN 'person' WHEN count(*) FILTER (k = 2) > 0 THEN 'vehicle' WHEN count(*) FILTER (k > 50) > 0 THEN 'animal' ELSE 'blank' END AS route,
+coalesce(max(confidence) FILTER (k = 1), max(confidence) FILTER (k = 2), max(confidence) FILTER (k > 50)) AS conf FROM visits GROUP BY 1"""))
 def routed(spark: SparkSession, sf: str) -> DataFrame:
     label = F.when(F.col("k") == 1, "person").when(F.col("k") == 2, "vehicle").when(F.col("k") > 50, "animal").otherwise("other")
-    return triage.routed(d.captures(spark, sf).filter("run_id = 1").select(F.col("station_id").alias("image_id"), label.alias("label"), F.col("confidence").alias("conf")))
+    return triage.routed(d.visits(spark, sf).select((3 * F.col("ind_id") + F.col("run_id")).alias("image_id"), label.alias("label"), F.col("confidence").alias("conf")))
 
 
 # Home ranges and alerts -----------------------------------------------------------------------------------------------
 
 
 def inputs(spark: SparkSession, sf: str) -> DataFrame:
-    b = survey.bursts(spark, sf).filter("k < 3")
+    b = survey.visit_bursts(spark, sf)
     return b.groupBy("run_id", "ind_id", "station_id").agg(F.countDistinct("event_no").alias("event_count"))
 
 
 def home_ranges(spark: SparkSession, sf: str) -> DataFrame:
-    everyone = spark.range(13).select(F.col("id").alias("ind_id"), F.explode(F.sequence(F.lit(0), F.lit(2))).alias("run_id")).select("run_id", "ind_id")
+    everyone = spark.range(d.N_INDIVIDUALS).select(F.col("id").alias("ind_id"), F.explode(F.sequence(F.lit(0), F.lit(2))).alias("run_id")).select("run_id", "ind_id")
     return occupancy.occupancy(inputs(spark, sf), d.stations(spark), survey.effort_days(spark, sf), everyone)
 
 
@@ -288,12 +288,12 @@ def occupancy_ranges(spark: SparkSession, sf: str) -> DataFrame:
 
 
 _OCC = """
-n AS (SELECT run_id, ind_id, station_id, count(DISTINCT event_no) AS n FROM bursts WHERE k < 3 GROUP BY 1, 2, 3),
+n AS (SELECT run_id, ind_id, station_id, count(DISTINCT event_no) AS n FROM vbursts GROUP BY 1, 2, 3),
 occ AS (SELECT run_id, ind_id, CAST(sum(n) AS BIGINT) AS event_count, round(sum(lat * n) / sum(n), 5) AS centroid_lat, round(sum(lon * n) / sum(n), 5) AS centroid_lon, round(sum(coalesce(days, 0)), 2) AS effort_days
   FROM n JOIN stations USING (station_id) LEFT JOIN station_days USING (station_id, run_id) GROUP BY 1, 2)"""
 
 
-@query(sql(f"-- more{_OCC} SELECT run_id, ind_id, coalesce(event_count, 0) AS event_count, centroid_lat, centroid_lon, coalesce(effort_days, 0) AS effort_days FROM (SELECT run_id, range AS ind_id FROM runs, range(13)) LEFT JOIN occ USING (run_id, ind_id)"))
+@query(sql(f"-- more{_OCC} SELECT run_id, ind_id, coalesce(event_count, 0) AS event_count, centroid_lat, centroid_lon, coalesce(effort_days, 0) AS effort_days FROM (SELECT run_id, range AS ind_id FROM runs, range(1009)) LEFT JOIN occ USING (run_id, ind_id)"))
 def occupancy_rows(spark: SparkSession, sf: str) -> DataFrame:
     return home_ranges(spark, sf).select("run_id", "ind_id", "event_count", "centroid_lat", "centroid_lon", "effort_days")
 
@@ -301,12 +301,12 @@ def occupancy_rows(spark: SparkSession, sf: str) -> DataFrame:
 def alert_frame(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
     """The wide frame and the moves of the runs."""
     occ = home_ranges(spark, sf).filter("event_count > 0").select("run_id", "ind_id", "station_set", "centroid_lat", "centroid_lon", "event_count")
-    conf = d.captures(spark, sf).filter("k < 3").groupBy("run_id", "ind_id").agg(F.round(F.avg("confidence"), 3).alias("id_conf"))
+    conf = d.visits(spark, sf).groupBy("run_id", "ind_id").agg(F.round(F.avg("confidence"), 3).alias("id_conf"))
     used = inputs(spark, sf).select("run_id", "ind_id", "station_id")
     earlier = used.filter("run_id < 2").withColumn("run_id", F.explode(F.sequence(F.col("run_id") + 1, F.lit(2)))).distinct()
     cov = effort.coverage(earlier, survey.effort_days(spark, sf), survey.periods(spark, sf))
     h = rules.history(occ, d.runs(spark), d.stations(spark), conf, cov)
-    events = survey.bursts(spark, sf).filter("k < 3").groupBy("run_id", "ind_id", "station_id", "event_no").agg(F.min("captured_at").alias("started_at"), F.max("captured_at").alias("ended_at"))
+    events = survey.visit_bursts(spark, sf).groupBy("run_id", "ind_id", "station_id", "event_no").agg(F.min("captured_at").alias("started_at"), F.max("captured_at").alias("ended_at"))
     return h, rules.transits(events, d.stations(spark), ["run_id", "ind_id"])
 
 
@@ -330,7 +330,7 @@ def alerts_activity_collapse(spark: SparkSession, sf: str) -> DataFrame:
 
 
 @query(sql("""-- more
-u AS (SELECT DISTINCT run_id, ind_id, station_id FROM captures WHERE k < 3)
+u AS (SELECT DISTINCT run_id, ind_id, station_id FROM visits)
 SELECT u.run_id, u.ind_id, u.station_id AS key FROM u JOIN stations USING (station_id) WHERE zone <> 'buffer' AND EXISTS (SELECT 1 FROM u p WHERE p.ind_id = u.ind_id AND p.run_id < u.run_id)
 AND NOT EXISTS (SELECT 1 FROM u p WHERE p.ind_id = u.ind_id AND p.station_id = u.station_id AND p.run_id < u.run_id)"""))
 def alerts_new_station(spark: SparkSession, sf: str) -> DataFrame:
@@ -339,7 +339,7 @@ def alerts_new_station(spark: SparkSession, sf: str) -> DataFrame:
 
 
 @query(sql("""-- more
-u AS (SELECT DISTINCT run_id, ind_id, station_id FROM captures WHERE k < 3),
+u AS (SELECT DISTINCT run_id, ind_id, station_id FROM visits),
 f AS (SELECT u.run_id, u.ind_id, min(u.station_id) AS key FROM u JOIN stations USING (station_id) WHERE zone = 'corridor' AND u.run_id > 0 AND EXISTS (SELECT 1 FROM u p WHERE p.ind_id = u.ind_id AND p.run_id < u.run_id)
 AND NOT EXISTS (SELECT 1 FROM u p WHERE p.ind_id = u.ind_id AND p.station_id = u.station_id AND p.run_id < u.run_id) GROUP BY 1, 2)
 SELECT * FROM f"""))
@@ -348,7 +348,7 @@ def alerts_new_corridor(spark: SparkSession, sf: str) -> DataFrame:
 
 
 @query(sql("""-- more
-u AS (SELECT run_id, ind_id, min(village_dist_km) AS near FROM (SELECT DISTINCT run_id, ind_id, station_id FROM captures WHERE k < 3) JOIN stations USING (station_id) GROUP BY 1, 2),
+u AS (SELECT run_id, ind_id, min(village_dist_km) AS near FROM (SELECT DISTINCT run_id, ind_id, station_id FROM visits) JOIN stations USING (station_id) GROUP BY 1, 2),
 x AS (SELECT run_id, ind_id, near, lag(near) OVER (PARTITION BY ind_id ORDER BY run_id) AS before FROM u)
 SELECT run_id, ind_id FROM x WHERE near < before AND near <= 2.5"""))
 def alerts_village_distance(spark: SparkSession, sf: str) -> DataFrame:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 BURST_SECONDS = 6 * 3600
@@ -12,12 +12,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def captures(spark: SparkSession, sf_dir: str) -> DataFrame:
+def captures(spark: SparkSession, sf_dir: str, station: Column | None = None, individual: Column | None = None) -> DataFrame:
     k = F.get_json_object("props", "$.k").cast("int")
     return table(spark, sf_dir, "events").select(
         F.col("event_id").alias("image_id"),
-        (F.col("user_id") % 36).alias("station_id"),
-        (F.col("user_id") % 13).alias("ind_id"),
+        (F.col("user_id") % 36 if station is None else station).alias("station_id"),
+        (F.col("user_id") % 13 if individual is None else individual).alias("ind_id"),
         F.col("ts").alias("captured_at"),
         F.least(F.lit(2), F.floor((F.dayofmonth("ts") - 1) / 10).cast("int")).alias("run_id"),
         F.col("event_type").alias("status"),
@@ -27,6 +27,16 @@ def captures(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+#: Individuals of ``visits``.
+N_INDIVIDUALS = 1009
+
+
+def visits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All captures dealt to many individuals, each of which comes to some stations only."""
+    user = F.col("user_id")
+    return captures(spark, sf_dir, (user + F.get_json_object("props", "$.k").cast("int")) % 36, user % N_INDIVIDUALS)
+
+
 def stations(spark: SparkSession, sf_dir: str = "") -> DataFrame:
     s = F.col("station_id")
     zone = F.when(s % 6 <= 3, "core").when(s % 6 == 4, "corridor").otherwise("buffer")
@@ -54,6 +64,8 @@ captures AS (
          CAST(json_extract_string(props, '$.k') AS INTEGER) AS k,
          CASE WHEN CAST(json_extract_string(props, '$.k') AS INTEGER) % 2 = 0 THEN 'L' ELSE 'R' END AS side
   FROM events),
+visits AS (
+  SELECT c.* REPLACE ((user_id + k) % 36 AS station_id, user_id % 1009 AS ind_id) FROM captures c JOIN events ON event_id = image_id),
 stations AS (
   SELECT s AS station_id, 'STN_' || s AS name, 21.5 + (s // 6) * 0.02::DOUBLE AS lat, 79.2 + (s % 6) * 0.02::DOUBLE AS lon,
          CASE WHEN s % 6 <= 3 THEN 'core' WHEN s % 6 = 4 THEN 'corridor' ELSE 'buffer' END AS zone, 0.5::DOUBLE + s % 7 AS village_dist_km
@@ -70,6 +82,9 @@ periods AS (
 bursts AS (
   SELECT *, CAST(sum(fresh) OVER (PARTITION BY station_id ORDER BY captured_at, image_id ROWS UNBOUNDED PRECEDING) AS BIGINT) AS event_no
   FROM (SELECT *, CASE WHEN captured_at - lag(captured_at) OVER (PARTITION BY station_id ORDER BY captured_at, image_id) <= INTERVAL 6 HOUR THEN 0 ELSE 1 END AS fresh FROM captures)),
+vbursts AS (
+  SELECT *, CAST(sum(fresh) OVER (PARTITION BY station_id ORDER BY captured_at, image_id ROWS UNBOUNDED PRECEDING) AS BIGINT) AS event_no
+  FROM (SELECT *, CASE WHEN captured_at - lag(captured_at) OVER (PARTITION BY station_id ORDER BY captured_at, image_id) <= INTERVAL 6 HOUR THEN 0 ELSE 1 END AS fresh FROM visits)),
 station_days AS (
   SELECT station_id, run_id, round(sum(epoch_us(least(coalesce(end_date, period_end), period_end)) - epoch_us(greatest(start_date, period_start))) / 86400000000.0, 2) AS days
   FROM activity, periods WHERE least(coalesce(end_date, period_end), period_end) > greatest(start_date, period_start) GROUP BY station_id, run_id)

@@ -103,17 +103,17 @@ def signal_ranges(spark: SparkSession, sf: str) -> DataFrame:
     return review.signal_ranges(d.captures(spark, sf), ["status", "side"], "confidence")
 
 
-@query(sql("SELECT run_id, ind_id, CASE WHEN avg(CASE WHEN zone = 'buffer' THEN 1 ELSE 0 END) > 0.5 THEN 'buffer' ELSE 'core' END AS zone FROM (SELECT DISTINCT run_id, ind_id, station_id FROM captures WHERE k = 1) JOIN stations USING (station_id) GROUP BY 1, 2"))
+@query(sql("SELECT run_id, ind_id, CASE WHEN avg(CASE WHEN zone = 'buffer' THEN 1 ELSE 0 END) > 0.5 THEN 'buffer' ELSE 'core' END AS zone FROM (SELECT DISTINCT run_id, ind_id, station_id FROM visits) JOIN stations USING (station_id) GROUP BY 1, 2"))
 def dominant_zone(spark: SparkSession, sf: str) -> DataFrame:
-    return review.dominant_zone(d.captures(spark, sf).filter("k = 1").select("run_id", "ind_id", "station_id").distinct(), d.stations(spark), ["run_id", "ind_id"])
+    return review.dominant_zone(d.visits(spark, sf).select("run_id", "ind_id", "station_id").distinct(), d.stations(spark), ["run_id", "ind_id"])
 
 
 @query(sql("""-- more
-u AS (SELECT DISTINCT ind_id, run_id, station_id FROM captures WHERE k < 4),
+u AS (SELECT DISTINCT ind_id, run_id, station_id FROM visits),
 x AS (SELECT u.*, EXISTS (SELECT 1 FROM u p WHERE p.ind_id = u.ind_id AND p.station_id = u.station_id AND p.run_id < u.run_id) AS old FROM u)
 SELECT ind_id, run_id, count(*) FILTER (NOT old) AS n_fresh, count(*) FILTER (old) AS n_again FROM x GROUP BY 1, 2"""))
 def station_changes(spark: SparkSession, sf: str) -> DataFrame:
-    sets = d.captures(spark, sf).filter("k < 4").groupBy("ind_id", "run_id").agg(F.collect_set("station_id").alias("stations"))
+    sets = d.visits(spark, sf).groupBy("ind_id", "run_id").agg(F.collect_set("station_id").alias("stations"))
     return review.station_changes(sets, "ind_id", "run_id", "stations").select("ind_id", "run_id", F.size("fresh").cast("long").alias("n_fresh"), F.size("again").cast("long").alias("n_again"))
 
 
@@ -223,11 +223,11 @@ def range_features(spark: SparkSession, sf: str) -> DataFrame:
 
 
 @query(sql("""-- more
-x AS (SELECT ind_id, captured_at, confidence FROM captures WHERE k < 30)
+x AS (SELECT ind_id, captured_at, confidence FROM captures)
 SELECT ind_id, round(avg(confidence) FILTER (captured_at < TIMESTAMP '2024-01-16'), 3) AS before, round(avg(confidence) FILTER (captured_at >= TIMESTAMP '2024-01-16'), 3) AS after FROM x GROUP BY ind_id"""))
 def confidence_by_half(spark: SparkSession, sf: str) -> DataFrame:
     early = F.col("captured_at") < F.lit("2024-01-16").cast("timestamp_ntz")
-    return d.captures(spark, sf).filter("k < 30").groupBy("ind_id").agg(F.round(F.avg(F.when(early, F.col("confidence"))), 3).alias("before"), F.round(F.avg(F.when(~early, F.col("confidence"))), 3).alias("after"))
+    return d.captures(spark, sf).groupBy("ind_id").agg(F.round(F.avg(F.when(early, F.col("confidence"))), 3).alias("before"), F.round(F.avg(F.when(~early, F.col("confidence"))), 3).alias("after"))
 
 
 @query(sql("SELECT DISTINCT ind_id FROM captures WHERE run_id < 2 UNION SELECT DISTINCT ind_id FROM captures WHERE run_id = 2"))

@@ -29,6 +29,10 @@ def bursts(spark: SparkSession, sf: str) -> DataFrame:
     return sessions.burst_sessions(d.captures(spark, sf), BURST_SECONDS)
 
 
+def visit_bursts(spark: SparkSession, sf: str) -> DataFrame:
+    return sessions.burst_sessions(d.visits(spark, sf), BURST_SECONDS)
+
+
 def periods(spark: SparkSession, sf: str) -> DataFrame:
     return sessions.cycle_periods(d.runs(spark), 90)
 
@@ -81,9 +85,9 @@ def flag_counts(spark: SparkSession, sf: str) -> DataFrame:
     return catalogue.flag_counts(d.captures(spark, sf).withColumn("flags", flags), "flags")
 
 
-@query(sql("SELECT station_id, count(image_id) AS n_images FROM stations LEFT JOIN (SELECT * FROM captures WHERE k < 3) USING (station_id) GROUP BY station_id"))
+@query(sql("SELECT station_id, count(image_id) AS n_images FROM stations LEFT JOIN captures USING (station_id) GROUP BY station_id"))
 def station_image_counts(spark: SparkSession, sf: str) -> DataFrame:
-    return catalogue.station_image_counts(d.stations(spark), d.captures(spark, sf).filter("k < 3"))
+    return catalogue.station_image_counts(d.stations(spark), d.captures(spark, sf))
 
 
 @query(sql("""SELECT ind_id, count(*) AS crop_count, count(DISTINCT station_id) AS station_count, string_agg(DISTINCT side, ',' ORDER BY side) AS sides, round(avg(confidence), 4) AS mean_confidence,
@@ -97,19 +101,18 @@ def entities(spark: SparkSession, sf: str) -> DataFrame:
     return catalogue.entities(d.captures(spark, sf))
 
 
-@query(sql("SELECT user_id AS ind_id, min(side) AS side FROM (SELECT DISTINCT user_id, side FROM captures JOIN events ON image_id = event_id WHERE k < 4) GROUP BY user_id HAVING count(*) = 1"))
+@query(sql("SELECT image_id % 7919 AS ind_id, min(side) AS side FROM captures GROUP BY 1 HAVING count(DISTINCT side) = 1"))
 def single_flank(spark: SparkSession, sf: str) -> DataFrame:
-    users = d.table(spark, sf, "events").select(F.col("event_id").alias("image_id"), F.col("user_id").alias("ind_id"))
-    return catalogue.single_flank(catalogue.entities(d.captures(spark, sf).filter("k < 4").drop("ind_id").join(users, "image_id")))
+    return catalogue.single_flank(catalogue.entities(d.captures(spark, sf).withColumn("ind_id", F.col("image_id") % 7919)))
 
 
 @query(sql("""SELECT i.ind_id, coalesce(e.sides, 0) AS sides, CAST(coalesce(e.crops, 0) AS BIGINT) AS crops, coalesce(a.n, 0) AS auto_count, a.m AS mean_confidence FROM (SELECT range AS ind_id FROM range(15)) i
-LEFT JOIN (SELECT ind_id, count(DISTINCT side) AS sides, count(*) AS crops FROM captures WHERE k < 60 GROUP BY ind_id) e USING (ind_id)
+LEFT JOIN (SELECT ind_id, count(DISTINCT side) AS sides, count(*) AS crops FROM captures GROUP BY ind_id) e USING (ind_id)
 LEFT JOIN (SELECT ind_id, count(*) FILTER (confidence >= 0.95) AS n, round(avg(confidence), 3) AS m FROM captures GROUP BY ind_id) a USING (ind_id)"""))
 def catalogue_health(spark: SparkSession, sf: str) -> DataFrame:
     all_ = d.captures(spark, sf)
     decided = all_.withColumn("decision", F.when(F.col("confidence") >= 0.95, "auto").otherwise("review"))
-    return catalogue.catalogue_health(spark.range(15).withColumnRenamed("id", "ind_id"), catalogue.entities(all_.filter("k < 60")), decided)
+    return catalogue.catalogue_health(spark.range(15).withColumnRenamed("id", "ind_id"), catalogue.entities(all_), decided)
 
 
 @query(sql("SELECT station_id || '-' || event_no AS event_key, ind_id, min(station_id) AS station_id, min(captured_at) AS started_at, count(*) AS frames FROM bursts GROUP BY 1, 2"))
@@ -149,12 +152,12 @@ def cycle_periods(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def earlier_stations(spark: SparkSession, sf: str) -> DataFrame:
-    used = d.captures(spark, sf).filter("k < 10").select("run_id", "ind_id", "station_id").distinct()
+    used = d.visits(spark, sf).select("run_id", "ind_id", "station_id").distinct()
     return used.filter("run_id < 2").withColumn("run_id", F.explode(F.sequence(F.col("run_id") + 1, F.lit(2)))).distinct()
 
 
 @query(sql("""-- more
-hist AS (SELECT DISTINCT r.run_id, ind_id, station_id FROM captures c JOIN runs r ON c.run_id < r.run_id WHERE k < 10),
+hist AS (SELECT DISTINCT r.run_id, ind_id, station_id FROM visits c JOIN runs r ON c.run_id < r.run_id),
 tot AS (SELECT h.run_id, h.ind_id, s.run_id AS d_run, round(sum(days), 2) AS total FROM hist h JOIN station_days s USING (station_id) GROUP BY 1, 2, 3)
 SELECT run_id, ind_id, round(coalesce(sum(total) FILTER (d_run = run_id), 0) / (sum(total) FILTER (d_run < run_id) / run_id), 3) AS coverage FROM tot GROUP BY run_id, ind_id"""))
 def effort_coverage(spark: SparkSession, sf: str) -> DataFrame:
@@ -257,12 +260,12 @@ def distances_and_bearings(spark: SparkSession, sf: str) -> DataFrame:
 
 @query(sql("""SELECT s.station_id, coalesce(n_images, 0) AS n_images, last_capture, first_start, last_end, coalesce(days, 0) AS days,
 CASE WHEN coalesce(days, 0) = 0 THEN 'offline' WHEN coalesce(n_images, 0) = 0 THEN 'idle' WHEN days < 8 THEN 'ended_early' ELSE 'active' END AS state
-FROM stations s LEFT JOIN (SELECT station_id, count(*) AS n_images, max(captured_at) AS last_capture FROM captures WHERE k < 5 GROUP BY 1) USING (station_id)
+FROM stations s LEFT JOIN (SELECT station_id, count(*) AS n_images, max(captured_at) AS last_capture FROM captures GROUP BY 1) USING (station_id)
 LEFT JOIN (SELECT station_id, min(start_date) AS first_start, max(coalesce(end_date, TIMESTAMP '9999-12-31')) AS last_end FROM activity GROUP BY 1) USING (station_id)
 LEFT JOIN (SELECT station_id, days FROM station_days WHERE run_id = 2) USING (station_id)"""))
 def stations_with_state(spark: SparkSession, sf: str) -> DataFrame:
     days = effort_days(spark, sf).filter("run_id = 2").select("station_id", "days")
-    return catalogue.stations_with_state(d.stations(spark), d.captures(spark, sf).filter("k < 5"), d.activity(spark), days, 10.0)
+    return catalogue.stations_with_state(d.stations(spark), d.captures(spark, sf), d.activity(spark), days, 10.0)
 
 
 @query(sql("SELECT run_id, reserve_id, started_at, n_images, n_blank, (SELECT round(avg(confidence), 4) FROM captures) AS mean_auto_conf FROM runs JOIN (SELECT run_id, count(*) AS n_images, count(*) FILTER (status = 'error') AS n_blank FROM captures GROUP BY 1) USING (run_id)"))
@@ -299,11 +302,11 @@ def keyset(spark: SparkSession, sf: str) -> DataFrame:
     return catalogue.keyset_page(d.table(spark, sf, "orders").select("o_orderkey", "o_custkey"), "o_orderkey", 700, 200)
 
 
-@query("SELECT o_orderkey, CASE WHEN o_orderpriority = '1-URGENT' THEN 0 WHEN o_orderpriority = '2-HIGH' THEN 1 ELSE 2 END AS rank FROM orders ORDER BY rank, o_totalprice DESC, o_orderkey LIMIT 100")
+@query("SELECT o_orderkey, CASE WHEN o_orderpriority = '1-URGENT' THEN 0 WHEN o_orderpriority = '2-HIGH' THEN 1 ELSE 2 END AS rank FROM orders")
 def severity_order(spark: SparkSession, sf: str) -> DataFrame:
     severity = F.when(F.col("o_orderpriority") == "1-URGENT", "act").when(F.col("o_orderpriority") == "2-HIGH", "watch").otherwise("info")
     ranked = d.table(spark, sf, "orders").withColumn("rank", catalogue.severity_order(severity))
-    return ranked.orderBy("rank", F.col("o_totalprice").desc(), "o_orderkey").limit(100).select("o_orderkey", "rank")
+    return ranked.orderBy("rank", F.col("o_totalprice").desc(), "o_orderkey").select("o_orderkey", "rank")
 
 
 @query("SELECT c_custkey, c_name, c_mktsegment FROM customer WHERE c_name ILIKE '%00012%' OR c_mktsegment ILIKE '%achin%'")

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 # First bytes of the image formats.
-MAGIC = {"jpeg": "FFD8FF", "png": "89504E470D0A1A0A", "gif": "47494638", "bmp": "424D", "tiff": "49492A00", "tiff_be": "4D4D002A", "webp": "52494646"}
+MAGIC = {"jpeg": "FFD8FF", "png": "89504E470D0A1A0A", "bmp": "424D", "tiff": "49492A00", "tiff_be": "4D4D002A", "webp": "52494646"}
 
 
 def sniffed_format(content):
