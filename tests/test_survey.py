@@ -221,6 +221,7 @@ def test_stage_machine_claims_sessions_progress(spark):
     assert changes.next_stage("preflight", "confirmed") == "confirmed"
     with pytest.raises(ValueError):
         changes.next_stage("preflight", "complete")
+    assert changes.next_stage("complete", "identified") == "identified" and changes.next_stage("failed", "triaged") == "triaged"
     now = F.lit(day(1))
     queue = spark.createDataFrame([(1, "claimed", "x", day(0)), (2, "claimed", "x", day(1))], "id long, state string, claimed_by string, claimed_at timestamp")
     assert [r["state"] for r in changes.released(queue, now).orderBy("id").collect()] == ["open", "claimed"]
@@ -239,3 +240,56 @@ def test_bootstrap_holds_the_mean(spark):
     df = spark.createDataFrame([("g", i % 2) for i in range(400)], "g string, v int")
     row = evaluation.bootstrap_interval(df, "g", "v").first()
     assert row["low"] < 0.5 < row["high"] and row["high"] - row["low"] < 0.12
+
+
+def test_reserves_do_not_mix(spark):
+    runs = spark.createDataFrame([("a0", "A", day(0)), ("a1", "A", day(30)), ("b0", "B", day(5)), ("b1", "B", day(35)), ("b2", "B", day(65))], "run_id string, reserve_id string, started_at timestamp")
+    activity = spark.createDataFrame([(1, 1, day(0), day(60)), (2, 2, day(5), day(200))], "activity_id long, station_id long, start_date timestamp, end_date timestamp")
+    periods = sessions.cycle_periods(runs, 90)
+    days = effort.station_days(activity, periods)
+    cov = effort.coverage(spark.createDataFrame([("a1", 7, 1)], "run_id string, ind_id long, station_id long"), days, periods)
+    assert [tuple(r) for r in cov.collect()] == [("a1", 7, 1.0)]
+    kept = effort.station_days(activity.withColumn("reserve_id", F.when(F.col("station_id") == 1, "A").otherwise("B")), periods)
+    assert {(r["station_id"], r["run_id"][0]) for r in kept.collect()} == {(1, "a"), (2, "b")}
+    stations = spark.createDataFrame([(1, "S", 0.0, 0.0, "core", 9.0)], "station_id long, name string, lat double, lon double, zone string, village_dist_km double")
+    occ = spark.createDataFrame([("a0", 7, [1], 1.0, 1.0, 4), ("a1", 7, [1], 1.0, 1.0, 4), ("a0", 8, [1], 1.0, 1.0, 4)], "run_id string, ind_id long, station_set array<long>, centroid_lat double, centroid_lon double, event_count long")
+    none = "run_id string, ind_id long, "
+    h = alerts.history(occ, runs, stations, spark.createDataFrame([], none + "id_conf double"), cov)
+    assert {(r["run_id"], r["ind_id"]) for r in h.collect()} == {("a1", 7), ("a1", 8)}
+    alive = spark.createDataFrame([(7,)], "ind_id long")
+    assert {r["ind_id"] for r in alerts.history(occ, runs, stations, spark.createDataFrame([], none + "id_conf double"), cov, alive).collect()} == {7}
+
+
+def test_cascade_takes_equal_children_over_two_links(spark):
+    a = spark.createDataFrame([(1,), (2,)], "a long")
+    b = spark.createDataFrame([(1, 1), (2, 2)], "b long, a long")
+    c = spark.createDataFrame([(1, 1), (1, 1), (2, 2)], "a long, b long")
+    out = changes.cascaded({"a": a, "b": b, "c": c}, [("b", "a", "a", "a"), ("c", "a", "a", "a"), ("c", "b", "b", "b")], {"a": a.filter("a = 1")})
+    assert [tuple(r) for r in out["c"].collect()] == [(2, 2)] and out["b"].count() == 1 and out["a"].count() == 1
+
+
+def test_merges_follow_chains_and_refuse_bad_ones(spark):
+    rows = spark.createDataFrame([(1, "a", None), (2, "b", None), (3, "a", 9)], "assign_id long, ind_id string, superseded_by long")
+    pairs = lambda *p: spark.createDataFrame(list(p), "source string, target string")
+    merged = changes.merged_individuals(rows, pairs(("a", "b"), ("b", "c")))
+    assert sorted((r["assign_id"], r["ind_id"]) for r in merged.collect()) == [(1, "c"), (2, "c"), (3, "a")]
+    people = spark.createDataFrame([("a", "R", "old", False), ("b", "R", None, False), ("c", "S", None, True)], "ind_id string, reserve_id string, notes string, provisional boolean")
+    for bad in (pairs(("a", "a")), pairs(("a", "b"), ("b", "a")), pairs(("a", "b"), ("a", "c"))):
+        with pytest.raises(ValueError):
+            changes.merged_individuals(rows, bad)
+    for bad in (pairs(("a", "c")), pairs(("a", "x"))):
+        with pytest.raises(ValueError):
+            changes.merged_individuals(rows, bad, people)
+    got = {r["ind_id"]: r for r in changes.retired(people, pairs(("a", "b")), F.lit("T")).collect()}
+    assert got["a"]["notes"] == "old | merged into b on T" and got["a"]["provisional"] and not got["b"]["provisional"]
+    clocked = people.withColumns({"lamport": F.lit(1).cast("long"), "synced_at": F.lit("x"), "row_hash": F.lit("h")})
+    now = {r["ind_id"]: r for r in changes.promoted(clocked, spark.createDataFrame([("c",), ("a",)], "ind_id string"), 5, ["ind_id", "provisional"]).collect()}
+    assert (now["c"]["provisional"], now["c"]["lamport"], now["c"]["synced_at"]) == (False, 5, None) and now["c"]["row_hash"] != "h" and now["a"]["lamport"] == 1
+    assert changes.next_clock({"x": clocked}) == 2 and changes.next_clock({}) == 1
+    assert {r["synced_at"] for r in changes.marked_synced(clocked.withColumn("synced_at", F.lit(None).cast("string")), 1, F.lit("now")).collect()} == {"now"}
+
+
+def test_replaced_takes_one_of_equal_new_keys(spark):
+    old = spark.createDataFrame([(1, "a"), (2, "b")], "id long, v string")
+    new = spark.createDataFrame([(2, "x"), (2, "y")], "id long, v string")
+    assert sorted(tuple(r) for r in changes.replaced(old, new, ["id"]).collect()) == [(1, "a"), (2, "y")]

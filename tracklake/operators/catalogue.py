@@ -13,10 +13,18 @@ def live(assignments: DataFrame) -> DataFrame:
     return assignments.filter(F.col("superseded_by").isNull())
 
 
-def run_counts(images: DataFrame, run: str, status: str, animal: Column) -> DataFrame:
-    """Conditional counts by run; statuses are compared as they are written."""
-    count = lambda value: F.count_if(F.col(status) == value).alias(f"n_{value}")
-    return images.groupBy(run).agg(F.count("*").alias("n_images"), *[count(v) for v in ("view", "click", "error")], F.countDistinct(F.when(animal, F.col("image_id"))).alias("n_animal"))
+# Statuses and stages that a run's counts name.
+STATUSES, STAGES = ("blank", "person", "vehicle", "corrupt", "quarantined"), ("A", "B")
+
+
+def run_counts(images: DataFrame, run: str, status: str, animal: Column, statuses: tuple[str, ...] = STATUSES, stage: str | None = None) -> DataFrame:
+    """Conditional counts by run; statuses are compared as they are written.
+
+    ``animal`` says which images have an animal detection; with a column of triage stages those are counted too.
+    """
+    count = lambda column, value, name: F.count_if(F.coalesce(F.col(column) == value, F.lit(False))).alias(f"n_{name}")
+    stages = [count(stage, x, f"stage_{x.lower()}") for x in STAGES] if stage else []
+    return images.groupBy(run).agg(F.count("*").alias("n_images"), *[count(status, v, v) for v in statuses], *stages, F.countDistinct(F.when(animal, F.col("image_id"))).alias("n_animal"))
 
 
 def counted(df: DataFrame, column: str) -> DataFrame:
@@ -73,21 +81,35 @@ def map_events(captures: DataFrame) -> DataFrame:
     return captures.groupBy(event, "ind_id").agg(F.min("station_id").alias("station_id"), F.min("captured_at").alias("started_at"), F.count("*").alias("frames")).orderBy(F.col("started_at").asc_nulls_last(), "event_key", "ind_id")
 
 
-def stations_with_state(stations: DataFrame, captures: DataFrame, activity: DataFrame, days: DataFrame, window_days: float) -> DataFrame:
-    """Images, last capture, first start, days of effort in a window and the state of every station."""
-    images = captures.groupBy("station_id").agg(F.count("*").alias("n_images"), F.max("captured_at").alias("last_capture"))
+def stations_with_state(stations: DataFrame, captures: DataFrame, activity: DataFrame, days: DataFrame, start: Column, end: Column) -> DataFrame:
+    """Images in all and in a window, last capture, first start, days of effort, flags and the state of every station.
+
+    Offline: was active before the window and has no effort in it, or under four fifths of it; new: installed in it;
+    idle: no image at all.
+    """
+    inside = (F.col("captured_at") >= start) & (F.col("captured_at") < end)
+    images = captures.groupBy("station_id").agg(F.count("*").alias("n_images"), F.max("captured_at").alias("last_capture"), F.count_if(inside).alias("n_in_window"))
     spans = activity.groupBy("station_id").agg(F.min("start_date").alias("first_start"), F.max(F.coalesce("end_date", F.to_timestamp_ntz(F.lit("9999-12-31 00:00:00")))).alias("last_end"))
     joined = stations.select("station_id").join(images, "station_id", "left").join(spans, "station_id", "left").join(days, "station_id", "left")
-    filled = joined.na.fill(0, ["n_images"]).na.fill(0.0, ["days"])
-    state = F.when(F.col("days") == 0, "offline").when(F.col("n_images") == 0, "idle").when(F.col("days") < 0.8 * window_days, "ended_early").otherwise("active")
-    return filled.withColumn("state", state)
+    filled = joined.na.fill(0, ["n_images", "n_in_window"]).na.fill(0.0, ["days"])
+    window = (F.unix_micros(end.cast("timestamp")) - F.unix_micros(start.cast("timestamp"))) / 86_400_000_000.0
+    before = F.coalesce(F.col("first_start") < start, F.lit(False))
+    flagged = filled.withColumns({"installed": F.coalesce(F.col("first_start") >= start, F.lit(False)), "active_before": before, "ended_early": before & (window > 0) & (F.col("days") < 0.8 * window)})
+    return flagged.withColumn("state", station_state(F.col("days"), F.col("active_before"), F.col("ended_early"), F.col("installed"), F.col("n_images")))
+
+
+def station_state(days: Column, before: Column, ended_early: Column, installed: Column, n_images: Column) -> Column:
+    """The first state that holds: offline, new, idle, active."""
+    return F.when((days == 0) & before, "offline").when(ended_early, "offline").when(installed, "new").when(F.coalesce(n_images, F.lit(0)) == 0, "idle").otherwise("active")
 
 
-def drift(runs: DataFrame, images: DataFrame, run: str, newest: int = 10) -> DataFrame:
-    """Images and blanks of the newest runs, each with the mean automatic confidence of all runs."""
-    counts = images.groupBy(run).agg(F.count("*").alias("n_images"), F.count_if(F.col("status") == "error").alias("n_blank"))
-    overall = images.agg(F.round(F.avg("confidence"), 4).alias("m")).first()["m"]
-    return runs.join(counts, run, "left").na.fill(0, ["n_images", "n_blank"]).withColumn("mean_auto_conf", F.lit(overall).cast("double")).orderBy(F.col("started_at").desc(), run).limit(newest)
+def drift(runs: DataFrame, images: DataFrame, assignments: DataFrame, queue: DataFrame, run: str, newest: int = 10) -> DataFrame:
+    """Images and blanks (in quarantine) of the newest runs, each with the mean confidence of live automatic assignments and the open review items, of all runs."""
+    counts = images.groupBy(run).agg(F.count("*").alias("n_images"), F.count_if(F.col("status") == "quarantined").alias("n_blank"))
+    mean = live(assignments).filter("decision = 'auto'").agg(F.round(F.avg("confidence"), 3).alias("mean_auto_conf"))
+    open_ = queue.agg(F.count_if(F.col("state") == "open").alias("review_open"))
+    latest = runs.orderBy(F.col("started_at").desc(), run).limit(newest)
+    return latest.join(counts, run, "left").na.fill(0, ["n_images", "n_blank"]).join(F.broadcast(mean), F.lit(True)).join(F.broadcast(open_), F.lit(True))
 
 
 def pending_sync(tables: dict[str, DataFrame]) -> DataFrame:
@@ -142,11 +164,14 @@ def severity_order(severity: Column) -> Column:
     return F.when(severity == "act", 0).when(severity == "watch", 1).otherwise(2)
 
 
-def searched(log: DataFrame, text: str, columns: list[str]) -> DataFrame:
-    """Rows in which a column holds the text, whatever its case; nulls do not match."""
+def searched(log: DataFrame, text: str, columns: list[str], prefix: bool = False, **equal) -> DataFrame:
+    """Rows in which a column holds (or starts with) the text, whatever its case, and others are equal to a value; nulls do not match."""
     hit = F.lit(False)
     for c in columns:
-        hit = hit | F.coalesce(F.col(c).cast("string").ilike(f"%{text}%"), F.lit(False))
+        value = F.lower(F.col(c).cast("string"))
+        hit = hit | F.coalesce(F.startswith(value, F.lit(text.lower())) if prefix else F.contains(value, F.lit(text.lower())), F.lit(False))
+    for c, wanted in sorted(equal.items()):
+        hit = hit & F.coalesce(F.col(c) == wanted, F.lit(False))
     return log.filter(hit)
 
 

@@ -5,10 +5,15 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tracklake.functions.text import row_hash
+from tracklake.storage import checkpointed
+
 
 def replaced(old: DataFrame, new: DataFrame, key: list[str]) -> DataFrame:
-    """Rows of ``new`` take the place of those with their key."""
-    return old.join(new.select(*key), key, "left_anti").unionByName(new)
+    """Rows of ``new`` take the place of those with their key; of equal new keys the row that is largest in its other columns wins."""
+    rest = [c for c in new.columns if c not in key]
+    one = new.groupBy(*key).agg(F.max(F.struct(*rest)).alias("_row")).select(*key, *[F.col("_row")[c].alias(c) for c in rest]) if rest else new.dropDuplicates(key)
+    return old.join(new.select(*key), key, "left_anti").unionByName(one.select(*new.columns))
 
 
 def inserted_only(old: DataFrame, new: DataFrame, key: list[str]) -> DataFrame:
@@ -63,9 +68,11 @@ def rows_since(df: DataFrame, lamport: int) -> DataFrame:
     return df.filter(F.col("lamport") > lamport)
 
 
-def stamped(df: DataFrame, clock: int, origin: str) -> DataFrame:
-    """All rows with the next clock value and origin."""
-    return df.withColumn("lamport", F.lit(clock + 1).cast("long")).withColumn("origin", F.lit(origin))
+def stamped(df: DataFrame, clock: int, origin: str, which: Column | None = None) -> DataFrame:
+    """All rows, or those of a condition (such as a run's), with the next clock value and origin."""
+    which = F.lit(True) if which is None else F.coalesce(which, F.lit(False))
+    old = lambda c, kind: F.col(c) if c in df.columns else F.lit(None).cast(kind)
+    return df.withColumns({"lamport": F.when(which, F.lit(clock + 1)).otherwise(old("lamport", "long")).cast("long"), "origin": F.when(which, F.lit(origin)).otherwise(old("origin", "string"))})
 
 
 def replaced_alerts(old: DataFrame, new: DataFrame) -> DataFrame:
@@ -82,19 +89,29 @@ def replaced_partition(old: DataFrame, new: DataFrame, column: str) -> DataFrame
 def cascaded(tables: dict[str, DataFrame], links: list[tuple[str, str, str, str]], gone: dict[str, DataFrame]) -> dict[str, DataFrame]:
     """Tables without the rows of ``gone`` and all that hang on them.
 
-    ``links`` (child, child column, parent, parent column) in the order of the chain.
+    ``links`` (child, child column, parent, parent column) in the order of the chain.  ``gone`` holds whole rows of its
+    tables; what hangs on them goes by its link's key alone, so equal child rows go together.
     """
     lost = dict(gone)
+    left = {name: df.exceptAll(lost[name]) if name in lost else df for name, df in tables.items()}
     for child, column, parent, key in links:
         if parent in lost:
             ids = lost[parent].select(F.col(key).alias(column)).distinct()
-            rows = tables[child].join(ids, column, "left_semi")
-            lost[child] = lost[child].unionByName(rows).distinct() if child in lost else rows
-    return {name: df.exceptAll(lost[name]) if name in lost else df for name, df in tables.items()}
+            rows = tables[child].join(ids, column, "left_semi").select(*tables[child].columns)
+            left[child] = left[child].join(ids, column, "left_anti").select(*tables[child].columns)
+            lost[child] = lost[child].unionByName(rows) if child in lost else rows
+    return left
 
 
-#: Stages of a run and those that may follow.
-NEXT_STAGES = {"preflight": {"confirmed", "failed"}, "confirmed": {"triage", "failed"}, "triage": {"identify", "failed"}, "identify": {"postprocess", "failed"}, "postprocess": {"complete", "failed"}, "complete": set(), "failed": {"preflight"}}
+# The stages of a run and those that may follow.
+NEXT_STAGES = {
+    "preflight": {"confirmed", "failed"},
+    "confirmed": {"triaged", "failed"},
+    "triaged": {"identified", "triaged", "failed"},
+    "identified": {"complete", "identified", "failed"},
+    "complete": {"identified", "failed"},
+    "failed": {"confirmed", "triaged", "identified"},
+}
 
 
 def next_stage(now: str, wanted: str) -> str:
@@ -130,14 +147,72 @@ def acknowledged(alerts: DataFrame, wanted: Column, user: str, now: Column) -> D
     return alerts.withColumns({"acknowledged_at": F.when(fresh, now).otherwise(F.col("acknowledged_at")), "acknowledged_by": F.when(fresh, F.lit(user)).otherwise(F.col("acknowledged_by"))})
 
 
-def merged_individuals(assignments: DataFrame, merges: DataFrame) -> DataFrame:
-    """Live assignments of merged individuals (source, target) point to the target."""
+def merged_individuals(assignments: DataFrame, merges: DataFrame, individuals: DataFrame | None = None, rounds: int = 20) -> DataFrame:
+    """Live assignments of merged individuals (source, target) point to the target, and on along chains of merges.
+
+    A merge with itself, of one source with several targets, in a circle, or, where ``individuals`` (ind_id, reserve_id)
+    are given, of unknown individuals or of two reserves, is an error.
+    """
     if not merges.filter("source = target").isEmpty():
         raise ValueError("an individual cannot be merged with itself")
-    moved = assignments.join(merges.select(F.col("source").alias("ind_id"), F.col("target").alias("_to")), "ind_id", "left")
+    if not merges.distinct().groupBy("source").count().filter("count > 1").isEmpty():
+        raise ValueError("an individual has several targets")
+    if individuals is not None:
+        named = lambda c: individuals.select(F.col("ind_id").alias(c), F.col("reserve_id").alias(f"{c}_reserve"))
+        both = merges.join(named("source"), "source", "left").join(named("target"), "target", "left")
+        known = F.col("source_reserve").isNotNull() & F.col("target_reserve").isNotNull()
+        if not both.filter(~known | (F.col("source_reserve") != F.col("target_reserve"))).isEmpty():
+            raise ValueError("both individuals must exist, in one reserve")
+    ends = checkpointed(merges.distinct())
+    for _ in range(rounds):  # each round doubles the length of the chains that are followed
+        on = ends.select(F.col("source").alias("target"), F.col("target").alias("_next"))
+        step = ends.join(on, "target", "left")
+        if step.filter("_next is not null").isEmpty():
+            break
+        ends = checkpointed(step.select("source", F.coalesce("_next", "target").alias("target")))
+    else:
+        raise ValueError("merges go in a circle")
+    moved = assignments.join(ends.select(F.col("source").alias("ind_id"), F.col("target").alias("_to")), "ind_id", "left")
     return moved.withColumn("ind_id", F.when(F.col("superseded_by").isNull(), F.coalesce("_to", "ind_id")).otherwise(F.col("ind_id"))).drop("_to").select(*assignments.columns)
 
 
+def retired(individuals: DataFrame, merges: DataFrame, at: Column) -> DataFrame:
+    """Merged individuals are provisional again, and their notes say into which one they were merged and when."""
+    said = F.concat(F.lit("merged into "), F.col("_to").cast("string"), F.lit(" on "), at.cast("string"))
+    joined = individuals.join(merges.select(F.col("source").alias("ind_id"), F.col("target").alias("_to")), "ind_id", "left")
+    notes = F.when(F.col("_to").isNotNull(), F.concat(F.coalesce(F.concat("notes", F.lit(" | ")), F.lit("")), said)).otherwise(F.col("notes"))
+    return joined.withColumn("notes", notes).withColumn("provisional", F.col("provisional") | F.col("_to").isNotNull()).select(*individuals.columns)
+
+
+def promoted(individuals: DataFrame, ids: DataFrame, lamport: int, hashed: list[str]) -> DataFrame:
+    """Provisional individuals of ``ids`` (ind_id) are settled, with a new clock value and row hash, and are to be sent again."""
+    due = ids.select("ind_id").distinct().withColumn("_due", F.lit(True))
+    mark = F.coalesce(F.col("_due"), F.lit(False)) & F.col("provisional")
+    out = individuals.join(due, "ind_id", "left").withColumn("_now", mark)
+    out = out.withColumns({"provisional": F.col("provisional") & ~F.col("_now"), "lamport": F.when(F.col("_now"), F.lit(lamport)).otherwise(F.col("lamport")), "synced_at": F.when(~F.col("_now"), F.col("synced_at"))})
+    return out.withColumn("row_hash", F.when(F.col("_now"), row_hash(*hashed)).otherwise(F.col("row_hash"))).select(*individuals.columns)
+
+
+def next_clock(tables: dict[str, DataFrame]) -> int:
+    """The largest clock value of all tables and one more."""
+    return 1 + max((df.agg(F.coalesce(F.max("lamport"), F.lit(0)).alias("m")).first()["m"] for df in tables.values()), default=0)
+
+
+def marked_synced(df: DataFrame, upto: int, at: Column) -> DataFrame:
+    """Rows up to a clock value that were not sent yet count as sent."""
+    return df.withColumn("synced_at", F.when(F.col("synced_at").isNull() & (F.col("lamport") <= upto), at).otherwise(F.col("synced_at")))
+
+
+def merged_tables(local: dict[str, DataFrame], remote: dict[str, DataFrame], keys: dict[str, list[str]], columns: dict[str, list[str]]) -> dict[str, DataFrame]:
+    """``merged_by_clock`` of every table that both sides have; a table of one side stays as it is there."""
+    return {name: merged_by_clock(local[name], remote[name], keys[name], columns[name]) if name in local and name in remote else (local | remote)[name] for name in sorted({*local, *remote})}
+
+
+def restored_tables(live: dict[str, DataFrame], backup: dict[str, DataFrame], preserved: tuple[str, ...] = ("users", "sessions")) -> dict[str, DataFrame]:
+    """The tables of a backup, with the live accounts in place of its own."""
+    return {name: live[name] if name in preserved and name in live else df for name, df in backup.items()}
+
+
 def merged_json(left: Column, right: Column) -> Column:
     """Union of two JSON objects of strings; the right one wins."""
     kind = "map<string,string>"

@@ -30,7 +30,7 @@ def station_days(activity: DataFrame, periods: DataFrame) -> DataFrame:
     """
     if not {"reserve_id"} <= set(activity.columns) & set(periods.columns):
         activity, periods = activity.withColumn("reserve_id", F.lit("")), periods.withColumn("reserve_id", F.lit(""))
-    ends = periods.agg(F.unix_micros(F.max("period_end")).alias("last")).first()["last"] or 0
+    ends = periods.agg(F.unix_micros(F.max("period_end").cast("timestamp")).alias("last")).first()["last"] or 0
     micros = lambda c: F.unix_micros(F.col(c).cast("timestamp"))
     active = activity.select("station_id", "reserve_id", micros("start_date").alias("a_low"), F.least(F.coalesce(micros("end_date"), F.lit(ends)), F.lit(ends)).alias("a_high"))
     spans = periods.select("run_id", "reserve_id", micros("period_start").alias("p_low"), micros("period_end").alias("p_high"))

@@ -34,7 +34,7 @@ def vector_scores(spark: SparkSession, sf: str) -> DataFrame:
     e = d.table(spark, sf, "embeddings").withColumn("side", F.col("label") % 2)
     queries = e.filter("vec_id % 50 = 0").select(F.col("vec_id").alias("query_id"), "embedding", "side")
     entries = e.select(F.col("vec_id").alias("entity_id"), F.col("label").alias("ind_id"), "embedding", "side")
-    return identity.match_scores(queries, entries, "side").filter("query_id <> entity_id")
+    return identity.match_scores(queries, entries, "side").filter("query_id <> entity_id").withColumn("score", F.round("score", 4))
 
 
 _SCORES = """s AS (SELECT q.vec_id AS query_id, e.vec_id AS entity_id, e.label AS ind_id, q.label AS q_label,

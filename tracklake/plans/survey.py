@@ -61,10 +61,22 @@ def weighted_centroid(spark: SparkSession, sf: str) -> DataFrame:
     return centroids(occupancy_inputs(spark, sf), d.stations(spark), ["ind_id"])
 
 
-@query(sql("""SELECT run_id, count(*) AS n_images, count(*) FILTER (status = 'view') AS n_view, count(*) FILTER (status = 'click') AS n_click, count(*) FILTER (status = 'error') AS n_error,
-count(DISTINCT image_id) FILTER (k >= 50) AS n_animal FROM captures GROUP BY run_id"""))
+#: Status and triage stage of a capture by its number k.
+_STATUSES = ("blank", "person", "vehicle", "corrupt", "quarantined", "identified", "CORRUPT")
+STATUS_SQL = f"{list(_STATUSES)!r}[k % 7 + 1] AS status, CASE k % 3 WHEN 0 THEN 'A' WHEN 1 THEN 'B' END AS stage"
+
+
+def with_statuses(spark: SparkSession, sf: str) -> DataFrame:
+    k = F.col("k")
+    status = F.element_at(F.array(*[F.lit(x) for x in _STATUSES]), (k % 7 + 1).cast("int"))
+    return d.captures(spark, sf).withColumn("status", status).withColumn("stage", F.when(k % 3 == 0, "A").when(k % 3 == 1, "B"))
+
+
+@query(sql(f"""SELECT run_id, count(*) AS n_images, {", ".join(f"count(*) FILTER (status = '{x}') AS n_{x}" for x in _STATUSES[:5])},
+count(*) FILTER (stage = 'A') AS n_stage_a, count(*) FILTER (stage = 'B') AS n_stage_b, count(DISTINCT image_id) FILTER (k >= 50) AS n_animal
+FROM (SELECT image_id, run_id, k, {STATUS_SQL} FROM captures) GROUP BY run_id"""))
 def run_counts(spark: SparkSession, sf: str) -> DataFrame:
-    return catalogue.run_counts(d.captures(spark, sf), "run_id", "status", F.col("k") >= 50)
+    return catalogue.run_counts(with_statuses(spark, sf), "run_id", "status", F.col("k") >= 50, stage="stage")
 
 
 @query("SELECT event_type AS status, count(*) AS n FROM events GROUP BY event_type")
@@ -258,19 +270,28 @@ def distances_and_bearings(spark: SparkSession, sf: str) -> DataFrame:
     return pairs.select("a_id", "b_id", F.round(geo.distance_km(*ends), 6).alias("km"), F.round(geo.bearing(*ends), 6).alias("bearing"))
 
 
-@query(sql("""SELECT s.station_id, coalesce(n_images, 0) AS n_images, last_capture, first_start, last_end, coalesce(days, 0) AS days,
-CASE WHEN coalesce(days, 0) = 0 THEN 'offline' WHEN coalesce(n_images, 0) = 0 THEN 'idle' WHEN days < 8 THEN 'ended_early' ELSE 'active' END AS state
-FROM stations s LEFT JOIN (SELECT station_id, count(*) AS n_images, max(captured_at) AS last_capture FROM captures GROUP BY 1) USING (station_id)
+@query(sql("""-- more
+w AS (SELECT TIMESTAMP '2024-01-03' AS a, TIMESTAMP '2024-01-21' AS b),
+x AS (SELECT s.station_id, coalesce(n_images, 0) AS n_images, coalesce(n_in_window, 0) AS n_in_window, last_capture, first_start, last_end, coalesce(days, 0) AS days,
+  coalesce(first_start >= a, FALSE) AS installed, coalesce(first_start < a, FALSE) AS active_before, coalesce(first_start < a, FALSE) AND coalesce(days, 0) < 0.8 * 18 AS ended_early
+FROM w, stations s LEFT JOIN (SELECT station_id, count(*) AS n_images, max(captured_at) AS last_capture, count(*) FILTER (captured_at >= a AND captured_at < b) AS n_in_window FROM captures, w GROUP BY 1) USING (station_id)
 LEFT JOIN (SELECT station_id, min(start_date) AS first_start, max(coalesce(end_date, TIMESTAMP '9999-12-31')) AS last_end FROM activity GROUP BY 1) USING (station_id)
-LEFT JOIN (SELECT station_id, days FROM station_days WHERE run_id = 2) USING (station_id)"""))
+LEFT JOIN (SELECT station_id, round(sum(epoch_us(least(coalesce(end_date, b), b)) - epoch_us(greatest(start_date, a))) / 86400000000.0, 2) AS days FROM activity, w WHERE least(coalesce(end_date, b), b) > greatest(start_date, a) GROUP BY 1) USING (station_id))
+SELECT *, CASE WHEN days = 0 AND active_before OR ended_early THEN 'offline' WHEN installed THEN 'new' WHEN n_images = 0 THEN 'idle' ELSE 'active' END AS state FROM x"""))
 def stations_with_state(spark: SparkSession, sf: str) -> DataFrame:
-    days = effort_days(spark, sf).filter("run_id = 2").select("station_id", "days")
-    return catalogue.stations_with_state(d.stations(spark), d.captures(spark, sf), d.activity(spark), days, 10.0)
+    start, end = (F.to_timestamp_ntz(F.lit(f"2024-01-{day} 00:00:00")) for day in ("03", "21"))
+    window = spark.range(1).select(F.lit(0).alias("run_id"), start.alias("period_start"), end.alias("period_end"))
+    days = effort.station_days(d.activity(spark), window).select("station_id", "days")
+    return catalogue.stations_with_state(d.stations(spark), d.captures(spark, sf), d.activity(spark), days, start, end)
 
 
-@query(sql("SELECT run_id, reserve_id, started_at, n_images, n_blank, (SELECT round(avg(confidence), 4) FROM captures) AS mean_auto_conf FROM runs JOIN (SELECT run_id, count(*) AS n_images, count(*) FILTER (status = 'error') AS n_blank FROM captures GROUP BY 1) USING (run_id)"))
+@query(sql(f"""SELECT run_id, reserve_id, started_at, n_images, n_blank, (SELECT round(avg(confidence), 3) FROM captures WHERE k % 4 = 1 AND k % 3 <> 0) AS mean_auto_conf, (SELECT count(*) FROM captures WHERE k % 6 = 0) AS review_open
+FROM runs JOIN (SELECT run_id, count(*) AS n_images, count(*) FILTER (status = 'quarantined') AS n_blank FROM (SELECT run_id, {STATUS_SQL} FROM captures) GROUP BY 1) USING (run_id)"""))
 def drift(spark: SparkSession, sf: str) -> DataFrame:
-    return catalogue.drift(d.runs(spark), d.captures(spark, sf), "run_id")
+    c, k = d.captures(spark, sf), F.col("k")
+    assignments = c.select("confidence", F.when(k % 4 == 1, "auto").otherwise("review").alias("decision"), F.when(k % 3 == 0, F.col("image_id")).alias("superseded_by"))
+    queue = c.select(F.when(k % 6 == 0, "open").otherwise("done").alias("state"))
+    return catalogue.drift(d.runs(spark), with_statuses(spark, sf), assignments, queue, "run_id")
 
 
 @query("SELECT 'customer' AS table_name, count(*) FILTER (c_acctbal > 5000) AS n FROM customer UNION ALL SELECT 'orders', count(*) FILTER (o_orderstatus <> 'F') FROM orders")
