@@ -4,14 +4,11 @@ from __future__ import annotations
 
 import math
 
-import numpy as np
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, DoubleType, StructField, StructType
 
 KM_PER_DEGREE, KM_PER_EQUATOR_DEGREE = 111.0, 111.320
-POINTS = ArrayType(StructType([StructField("lat", DoubleType()), StructField("lon", DoubleType())]))
 
 
 def distance_km(lat1: Column, lon1: Column, lat2: Column, lon2: Column) -> Column:
@@ -71,44 +68,44 @@ def shoelace(points: Column) -> Column:
     return F.when(F.size(points) < 3, 0.0).otherwise(F.abs(F.aggregate(crossed, F.lit(0.0), lambda acc, c: acc + c)) / 2)
 
 
-def _hull(points: list) -> list[tuple[float, float]]:
-    """Corners of the convex hull, counter-clockwise by (lat, lon), without points on its edges."""
-    unique = np.unique(np.array([(p["lat"], p["lon"]) for p in points], float).reshape(-1, 2), axis=0)
-    if len(unique) < 3:
-        return [tuple(p) for p in unique]
+def _corners(points: list) -> list[int]:
+    """Places in ``points`` of the corners of their convex hull, counter-clockwise by (lat, lon), without points on its edges; all distinct points if fewer than three."""
+    place = {}
+    for i, p in enumerate(points):
+        place.setdefault((float(p["lat"]), float(p["lon"])), i)
+    ordered = sorted(place)
+    if len(ordered) < 3:
+        return [place[p] for p in ordered]
 
-    def chain(ordered):
+    def chain(side):
         out = []
-        for p in ordered:
-            while len(out) >= 2 and np.cross(out[-1] - out[-2], p - out[-2]) <= 0:
+        for lat, lon in side:
+            while len(out) >= 2:
+                (a_lat, a_lon), (b_lat, b_lon) = out[-2:]
+                if (b_lat - a_lat) * (lon - a_lon) - (b_lon - a_lon) * (lat - a_lat) > 0:
+                    break
                 out.pop()
-            out.append(p)
+            out.append((lat, lon))
         return out[:-1]
 
-    return [tuple(map(float, p)) for p in chain(unique) + chain(unique[::-1])]
+    return [place[p] for p in chain(ordered) + chain(ordered[::-1])]
 
 
-def hull_of(points: pd.Series) -> pd.Series:
-    with np.errstate(all="ignore"):
-        import warnings
+def corners_of(points: pd.Series) -> pd.Series:
+    return pd.Series([None if p is None else _corners(p) for p in points])
 
-        with warnings.catch_warnings():
-            warnings.simplefilter("ignore", DeprecationWarning)
-            return pd.Series([None if p is None else [{"lat": a, "lon": o} for a, o in _hull(p)] for p in points])
 
-
-hull_of.__annotations__ = {"points": pd.Series, "return": pd.Series}
+corners_of.__annotations__ = {"points": pd.Series, "return": pd.Series}
 
 
 def convex_hull(points: Column) -> Column:
-    """Hull of an array of structs (lat, lon)."""
-    return F.pandas_udf(hull_of, POINTS)(points)
+    """Hull of an array of structs (lat, lon and other fields, which the corners keep)."""
+    return F.transform(F.pandas_udf(corners_of, "array<int>")(points), lambda i: F.get(points, i))
 
 
-def area_km2(hull: Column, epsg: int) -> Column:
-    """Area of a hull of (lat, lon) in the zone's projection; null for fewer than three corners or no area."""
-    projected = F.transform(hull, lambda p: F.struct(utm(p["lat"], p["lon"], epsg)[0].alias("x"), utm(p["lat"], p["lon"], epsg)[1].alias("y")))
-    area = shoelace(projected) / 1e6
+def ring_area_km2(hull: Column) -> Column:
+    """Area of a hull whose corners carry their projected x and y (``utm``); null for fewer than three corners or no area."""
+    area = shoelace(hull) / 1e6
     return F.when((F.size(hull) >= 3) & (area > 0), F.round(area, 2))
 
 

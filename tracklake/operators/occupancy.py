@@ -24,17 +24,19 @@ def occupancy(inputs: DataFrame, stations: DataFrame, days: DataFrame, eligible:
     are gathered; its captures never are.
     """
     keys = ["run_id", "ind_id"]
-    placed = inputs.join(stations.select("station_id", "lat", "lon"), "station_id").join(days, ["station_id", "run_id"], "left")
+    east, north = geo.utm(F.col("lat"), F.col("lon"), epsg)  # once a station, not once a corner of every hull
+    spots = stations.select("station_id", "lat", "lon", east.alias("x"), north.alias("y"))
+    placed = inputs.join(spots, "station_id").join(days, ["station_id", "run_id"], "left")
     grouped = placed.groupBy(*keys).agg(
         F.sort_array(F.collect_set("station_id")).alias("station_set"),
-        F.collect_list(F.struct("lat", "lon")).alias("points"),
+        F.sort_array(F.collect_list(F.struct("lat", "lon", "x", "y"))).alias("points"),
         F.round(F.sum(F.col("lat") * F.col("event_count")) / F.sum("event_count"), 5).alias("centroid_lat"),
         F.round(F.sum(F.col("lon") * F.col("event_count")) / F.sum("event_count"), 5).alias("centroid_lon"),
         F.sum("event_count").alias("event_count"),
         F.round(F.sum(F.coalesce("days", F.lit(0.0))), 2).alias("effort_days"),
     )
     hulled = grouped.withColumn("hull", F.when(F.size("station_set") >= SETTINGS.min_stations_for_hull, geo.convex_hull(F.col("points"))))
-    shaped = hulled.withColumn("area_km2", geo.area_km2(F.col("hull"), epsg))
+    shaped = hulled.withColumn("area_km2", geo.ring_area_km2(F.col("hull")))
     everyone = eligible.select(*keys).union(inputs.select(*keys)).distinct()
     joined = everyone.join(shaped, keys, "left")
     reason = (

@@ -11,6 +11,7 @@ from tracklake.operators import catalogue, changes, effort, evaluation, identity
 from tracklake.plans import derived as d
 from tracklake.plans import survey
 from tracklake.plans.derived import sql
+from tracklake.storage import checkpointed
 
 QUERIES: dict = {}
 ORACLE: dict[str, str] = {}
@@ -272,14 +273,23 @@ def routed(spark: SparkSession, sf: str) -> DataFrame:
 # Home ranges and alerts -----------------------------------------------------------------------------------------------
 
 
-def inputs(spark: SparkSession, sf: str) -> DataFrame:
-    b = survey.visit_bursts(spark, sf)
-    return b.groupBy("run_id", "ind_id", "station_id").agg(F.countDistinct("event_no").alias("event_count"))
+def visit_events(spark: SparkSession, sf: str) -> DataFrame:
+    """The events of the individuals, with their first and last capture."""
+    keys = ["run_id", "ind_id", "station_id", "event_no"]
+    return survey.visit_bursts(spark, sf).groupBy(*keys).agg(F.min("captured_at").alias("started_at"), F.max("captured_at").alias("ended_at"))
+
+
+def inputs(events: DataFrame) -> DataFrame:
+    return events.groupBy("run_id", "ind_id", "station_id").agg(F.count("*").alias("event_count"))
 
 
 def home_ranges(spark: SparkSession, sf: str) -> DataFrame:
+    return ranges_of(spark, inputs(visit_events(spark, sf)), survey.effort_days(spark, sf))
+
+
+def ranges_of(spark: SparkSession, used: DataFrame, days: DataFrame) -> DataFrame:
     everyone = spark.range(d.N_INDIVIDUALS).select(F.col("id").alias("ind_id"), F.explode(F.sequence(F.lit(0), F.lit(2))).alias("run_id")).select("run_id", "ind_id")
-    return occupancy.occupancy(inputs(spark, sf), d.stations(spark), survey.effort_days(spark, sf), everyone)
+    return occupancy.occupancy(used, d.stations(spark), days, everyone)
 
 
 @query()
@@ -298,28 +308,28 @@ def occupancy_rows(spark: SparkSession, sf: str) -> DataFrame:
     return home_ranges(spark, sf).select("run_id", "ind_id", "event_count", "centroid_lat", "centroid_lon", "effort_days")
 
 
-def alert_frame(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
-    """The wide frame and the moves of the runs."""
-    occ = home_ranges(spark, sf).filter("event_count > 0").select("run_id", "ind_id", "station_set", "centroid_lat", "centroid_lon", "event_count")
+def alert_frame(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """The wide frame, the moves of the runs and the effort.  Events are found and written once: ranges, coverage and moves all start from them."""
+    events, days = checkpointed(visit_events(spark, sf)), checkpointed(survey.effort_days(spark, sf))
+    used = checkpointed(inputs(events))
+    occ = checkpointed(ranges_of(spark, used, days).filter("event_count > 0").select("run_id", "ind_id", "station_set", "centroid_lat", "centroid_lon", "event_count"))
     conf = d.visits(spark, sf).groupBy("run_id", "ind_id").agg(F.round(F.avg("confidence"), 3).alias("id_conf"))
-    used = inputs(spark, sf).select("run_id", "ind_id", "station_id")
-    earlier = used.filter("run_id < 2").withColumn("run_id", F.explode(F.sequence(F.col("run_id") + 1, F.lit(2)))).distinct()
-    cov = effort.coverage(earlier, survey.effort_days(spark, sf), survey.periods(spark, sf))
+    earlier = used.filter("run_id < 2").select(F.explode(F.sequence(F.col("run_id") + 1, F.lit(2))).alias("run_id"), "ind_id", "station_id").distinct()
+    cov = effort.coverage(earlier, days, survey.periods(spark, sf))
     h = rules.history(occ, d.runs(spark), d.stations(spark), conf, cov)
-    events = survey.visit_bursts(spark, sf).groupBy("run_id", "ind_id", "station_id", "event_no").agg(F.min("captured_at").alias("started_at"), F.max("captured_at").alias("ended_at"))
-    return h, rules.transits(events, d.stations(spark), ["run_id", "ind_id"])
+    return h, rules.transits(events, d.stations(spark), ["run_id", "ind_id"]), days
 
 
-def buffer_ratio(spark: SparkSession, sf: str) -> DataFrame:
+def buffer_ratio(spark: SparkSession, sf: str, days: DataFrame) -> DataFrame:
     stations = d.stations(spark).filter("zone = 'buffer'").select("station_id")
     every = stations.withColumn("run_id", F.explode(F.array(F.lit(1), F.lit(2)))).withColumn("ind_id", F.lit(-1).cast("long"))
-    return effort.coverage(every.select("run_id", "ind_id", "station_id"), survey.effort_days(spark, sf), survey.periods(spark, sf)).select("run_id", F.col("coverage").alias("ratio"))
+    return effort.coverage(every.select("run_id", "ind_id", "station_id"), days, survey.periods(spark, sf)).select("run_id", F.col("coverage").alias("ratio"))
 
 
 @query()
 def alerts(spark: SparkSession, sf: str) -> DataFrame:
-    h, moves = alert_frame(spark, sf)
-    return rules.alerts(h, d.stations(spark), survey.effort_days(spark, sf), d.runs(spark), moves, buffer_ratio(spark, sf))
+    h, moves, days = alert_frame(spark, sf)
+    return rules.alerts(h, d.stations(spark), days, d.runs(spark), moves, buffer_ratio(spark, sf, days))
 
 
 @query(sql(f"""-- more{_OCC},
@@ -334,7 +344,8 @@ u AS (SELECT DISTINCT run_id, ind_id, station_id FROM visits)
 SELECT u.run_id, u.ind_id, u.station_id AS key FROM u JOIN stations USING (station_id) WHERE zone <> 'buffer' AND EXISTS (SELECT 1 FROM u p WHERE p.ind_id = u.ind_id AND p.run_id < u.run_id)
 AND NOT EXISTS (SELECT 1 FROM u p WHERE p.ind_id = u.ind_id AND p.station_id = u.station_id AND p.run_id < u.run_id)"""))
 def alerts_new_station(spark: SparkSession, sf: str) -> DataFrame:
-    found = rules.new_station(alert_frame(spark, sf)[0], d.stations(spark), survey.effort_days(spark, sf), d.runs(spark))
+    h, _, days = alert_frame(spark, sf)
+    found = rules.new_station(h, d.stations(spark), days, d.runs(spark))
     return found.select("run_id", "ind_id", F.col("key").cast("long").alias("key"))
 
 
