@@ -326,7 +326,52 @@ def buffer_ratio(spark: SparkSession, sf: str, days: DataFrame) -> DataFrame:
     return effort.coverage(every.select("run_id", "ind_id", "station_id"), days, survey.periods(spark, sf)).select("run_id", F.col("coverage").alias("ratio"))
 
 
-@query()
+#: The alert frame and the ten rules over it.  c: a row of an individual in a run with the two rows before it (l_, p_).
+_ALERTS = f"""-- more{_OCC},
+u AS (SELECT run_id, ind_id, station_id FROM n),
+about AS (SELECT run_id, ind_id, avg(CAST(zone = 'buffer' AS INTEGER)) AS buffer_share, min(village_dist_km) AS nearest FROM u JOIN stations USING (station_id) GROUP BY 1, 2),
+conf AS (SELECT run_id, ind_id, round(avg(confidence), 3) AS id_conf FROM visits GROUP BY 1, 2),
+earlier AS (SELECT DISTINCT r.run_id, u.ind_id, u.station_id FROM u JOIN runs r ON r.run_id > u.run_id),
+totals AS (SELECT e.run_id, ind_id, s.run_id AS d_run, round(sum(days), 2) AS total FROM earlier e JOIN station_days s USING (station_id) GROUP BY 1, 2, 3),
+cov AS (SELECT run_id, ind_id, CASE WHEN sum(total) FILTER (d_run < run_id) > 0 THEN round(coalesce(sum(total) FILTER (d_run = run_id), 0) / (sum(total) FILTER (d_run < run_id) / run_id), 3) END AS coverage FROM totals GROUP BY 1, 2),
+b_totals AS (SELECT run_id, round(sum(days), 2) AS total FROM station_days JOIN stations USING (station_id) WHERE zone = 'buffer' GROUP BY 1),
+ratio AS (SELECT a.run_id, round(a.total / (sum(b.total) / a.run_id), 3) AS ratio FROM b_totals a JOIN b_totals b ON b.run_id < a.run_id GROUP BY a.run_id, a.total),
+known AS (SELECT *, lag(run_id) OVER o AS l_run, lag(run_id, 2) OVER o AS p_run FROM occ JOIN about USING (run_id, ind_id) JOIN conf USING (run_id, ind_id) WINDOW o AS (PARTITION BY ind_id ORDER BY run_id)),
+spread AS (SELECT r.run_id, f.ind_id FROM (SELECT ind_id, min(run_id) AS first_run FROM occ GROUP BY 1) f JOIN runs r ON r.run_id >= first_run WHERE r.run_id > 0),
+last_two AS (SELECT s.run_id, s.ind_id, max(k.run_id) AS l_run, count(k.run_id) AS n_prior FROM spread s LEFT JOIN known k ON k.ind_id = s.ind_id AND k.run_id < s.run_id GROUP BY 1, 2),
+c AS (SELECT t.run_id, t.ind_id, n_prior, k.event_count, k.centroid_lat AS lat, k.centroid_lon AS lon, k.nearest, k.id_conf, coverage,
+  l.event_count AS l_count, l.centroid_lat AS l_lat, l.centroid_lon AS l_lon, l.nearest AS l_nearest, l.id_conf AS l_conf, l.buffer_share AS l_share, p.event_count AS p_count, p.centroid_lat AS p_lat, p.centroid_lon AS p_lon
+  FROM last_two t LEFT JOIN known k ON k.ind_id = t.ind_id AND k.run_id = t.run_id LEFT JOIN known l ON l.ind_id = t.ind_id AND l.run_id = t.l_run LEFT JOIN known p ON p.ind_id = t.ind_id AND p.run_id = l.l_run
+  LEFT JOIN cov ON cov.run_id = t.run_id AND cov.ind_id = t.ind_id),
+fresh AS (SELECT u.run_id, u.ind_id, u.station_id, zone FROM u JOIN stations USING (station_id) WHERE u.run_id > 0 AND NOT EXISTS (SELECT 1 FROM u q WHERE q.ind_id = u.ind_id AND q.station_id = u.station_id AND q.run_id < u.run_id)),
+watch AS (SELECT f.run_id, f.ind_id, f.station_id, count(s.run_id) AS active_before, count(q.run_id) AS watched FROM fresh f LEFT JOIN station_days s ON s.station_id = f.station_id AND s.days > 0 AND s.run_id < f.run_id
+  LEFT JOIN occ q ON q.ind_id = f.ind_id AND q.run_id = s.run_id WHERE zone <> 'buffer' GROUP BY 1, 2, 3),
+ev AS (SELECT run_id, ind_id, station_id, event_no, min(captured_at) AS a, max(captured_at) AS b FROM vbursts GROUP BY 1, 2, 3, 4),
+steps AS (SELECT *, lag(station_id) OVER o AS s0, lag(b) OVER o AS b0 FROM ev WINDOW o AS (PARTITION BY run_id, ind_id ORDER BY a, station_id, event_no)),
+moves AS (SELECT m.*, greatest(0.01, (epoch_us(a) - epoch_us(b0)) / 3600000000.0) AS hours, sqrt(power((y.lat - x.lat) * 111.0, 2) + power((y.lon - x.lon) * 111.320 * cos(radians((x.lat + y.lat) / 2)), 2)) AS km
+  FROM steps m JOIN stations x ON x.station_id = s0 JOIN stations y ON y.station_id = m.station_id WHERE s0 <> m.station_id),
+fast AS (SELECT *, row_number() OVER (PARTITION BY run_id, ind_id ORDER BY a, event_no, s0, station_id) AS r FROM moves WHERE km / hours > 25 AND km > 3),
+km AS (SELECT *, sqrt(power((lat - l_lat) * 111.0, 2) + power((lon - l_lon) * 111.320 * cos(radians((lat + l_lat) / 2)), 2)) AS d2, sqrt(power((l_lat - p_lat) * 111.0, 2) + power((l_lon - p_lon) * 111.320 * cos(radians((l_lat + p_lat) / 2)), 2)) AS d1,
+  CASE WHEN l_share > 0.5 THEN 5.0::DOUBLE ELSE sqrt(17.5::DOUBLE / pi()) END AS most, least(event_count, l_count) AS few,
+  (degrees(atan2(sin(radians(lon - l_lon)) * cos(radians(lat)), cos(radians(l_lat)) * sin(radians(lat)) - sin(radians(l_lat)) * cos(radians(lat)) * cos(radians(lon - l_lon)))) + 360) % 360 AS b2,
+  (degrees(atan2(sin(radians(l_lon - p_lon)) * cos(radians(l_lat)), cos(radians(p_lat)) * sin(radians(l_lat)) - sin(radians(p_lat)) * cos(radians(l_lat)) * cos(radians(l_lon - p_lon)))) + 360) % 360 AS b1,
+  (l_count + coalesce(p_count, 0)) / (CASE WHEN p_count IS NULL THEN 1 ELSE 2 END) AS recent FROM c),
+raw AS (
+SELECT run_id, ind_id, 'centroid_shift' AS type, 'watch' AS severity, '' AS key, least(0.95, 0.55 + 0.25 * (d2 - most) / most) AS strength, id_conf, coverage, few < 5 AS held, 'only ' || few || ' events, below the minimum' AS reason FROM km WHERE d2 > most
+UNION ALL SELECT run_id, ind_id, 'new_station', 'info', CAST(station_id AS VARCHAR), 0.6, id_conf, coverage, active_before < 1 OR watched = 0, CASE WHEN active_before < 1 THEN 'station was installed this cycle' ELSE 'individual was not detected while the station was active' END FROM watch JOIN c USING (run_id, ind_id) WHERE n_prior > 0
+UNION ALL SELECT run_id, ind_id, 'buffer_ward', 'act', CAST(s AS VARCHAR), 0.85 * CASE WHEN ratio > 1.2 THEN 0.5 ELSE 1 END, id_conf, coverage, FALSE, NULL FROM (SELECT run_id, ind_id, min(station_id) AS s FROM fresh WHERE zone = 'buffer' GROUP BY 1, 2) JOIN c USING (run_id, ind_id) LEFT JOIN ratio USING (run_id)
+UNION ALL SELECT run_id, ind_id, 'absence', 'watch', '', 0.7, l_conf, coverage, coalesce(coverage, 0) < 0.6, 'coverage ' || coalesce(coverage, 0.0::DOUBLE) || ' is too low' FROM c WHERE n_prior >= 2 AND event_count IS NULL
+UNION ALL SELECT run_id, ind_id, 'directional_trend', 'watch', '', 0.75, id_conf, coverage, least(abs(b1 - b2), 360 - abs(b1 - b2)) > 50, 'movement is not in one direction' FROM km WHERE d1 >= 1 AND d2 >= 1
+UNION ALL SELECT run_id, ind_id, 'decreasing_village_distance', 'act', '', 0.85, id_conf, coverage, FALSE, NULL FROM c WHERE nearest < l_nearest AND nearest <= 2.5
+UNION ALL SELECT run_id, ind_id, 'activity_collapse', 'watch', '', 0.75, id_conf, coverage, coalesce(coverage, 0) < 0.6, 'survey coverage dropped' FROM km WHERE recent >= 4 AND event_count > 0 AND event_count <= 0.25 * recent
+UNION ALL SELECT run_id, ind_id, 'new_corridor', 'watch', CAST(s AS VARCHAR), 0.8, id_conf, coverage, FALSE, NULL FROM (SELECT run_id, ind_id, min(station_id) AS s FROM fresh WHERE zone = 'corridor' GROUP BY 1, 2) JOIN c USING (run_id, ind_id) WHERE n_prior > 0
+UNION ALL SELECT run_id, ind_id, 'travel_time_anomaly', 'watch', s0 || '_' || station_id, 0.85, id_conf, coverage, FALSE, NULL FROM fast JOIN c USING (run_id, ind_id) WHERE r = 1 AND n_prior > 0
+UNION ALL SELECT run_id, ind_id, 'identity_confidence_collapse', 'watch', '', 0.8, id_conf, coverage, FALSE, NULL FROM c WHERE l_conf >= 0.8 AND l_conf - id_conf >= 0.25)
+SELECT 'al_' || substr(sha256(run_id || '|' || ind_id || '|' || type || '|' || key), 1, 16) AS alert_id, run_id, ind_id, type, severity, key, round(least(coalesce(id_conf, 1), strength) * least(1, coalesce(coverage, 1)), 3) AS confidence,
+coalesce(coverage, 1) AS coverage, held OR coalesce(id_conf < 0.55, FALSE) AS suppressed, CASE WHEN held THEN reason WHEN id_conf < 0.55 THEN 'identity confidence is below the review threshold' END AS suppress_reason FROM raw"""
+
+
+@query(sql(_ALERTS))
 def alerts(spark: SparkSession, sf: str) -> DataFrame:
     h, moves, days = alert_frame(spark, sf)
     return rules.alerts(h, d.stations(spark), days, d.runs(spark), moves, buffer_ratio(spark, sf, days))
