@@ -107,3 +107,10 @@ def test_clashing_names_and_repeated_rows(spark):
         got = decontaminate.remove_contaminated(docs, bench, mode)
         assert got.columns == docs.columns and sorted(r["text"] for r in got.collect()) == want
     assert [r["n_hit"] for r in decontaminate.report(docs, bench).orderBy("doc_id").collect()] == [12, 12, 12, 0]
+
+
+def test_report_with_clashing_names_and_repeated_rows(spark):
+    docs = spark.createDataFrame([(1, LONG, 5, "h")] * 2 + [(None, None, 6, "i")], "doc_id long, text string, n_hit int, items string")
+    benchmark = spark.createDataFrame([(1, LONG, "x")] * 2, "item_id long, text string, doc_id string")
+    got = sorted((r["doc_id"] or 0, r["n_words"], r["n_hit"], r["n_items"], r["contaminated"]) for r in decontaminate.report(docs, benchmark).collect())
+    assert got == [(0, 0, 0, 0, False), (1, 30, 30, 1, True), (1, 30, 30, 1, True)]

@@ -86,3 +86,13 @@ def test_equal_keys_share_a_shard(spark):
     docs = spark.createDataFrame([(1, "a", "x", 1), (1, "b", "y", 2), (None, None, None, None)], SCHEMA).withColumn("shard", F.lit("old"))
     placed = sharding.assign_shards(docs, F.col("doc_id"), sharding.shard_names(5)).collect()
     assert len(placed) == 3 and len({r["shard"] for r in placed if r["doc_id"] == 1}) == 1 and all(r["shard"].startswith("shard-") for r in placed)
+
+
+def test_keys_of_any_length_and_clashing_names(spark):
+    keys = [(None, 1), ("", 2), ("k" * 1_000_000, 3), ("k" * 1_000_000, 4), ("ü", 5)]
+    docs = spark.createDataFrame(keys, "key string, _owner int").withColumn("shard_slot", F.lit("old"))
+    placed = {r["_owner"]: r for r in sharding.assign_shards(docs, F.col("key"), sharding.shard_names(3)).collect()}
+    assert len(placed) == 5 and placed[1]["shard_slot"] == placed[2]["shard_slot"] and placed[3]["shard"] == placed[4]["shard"]
+    owner = sharding.lookup_table(sharding.shard_names(3))
+    assert all(r["shard"] == sharding.shard_names(3)[owner[r["shard_slot"]]] for r in placed.values())
+    assert sharding.assign_shards(docs.limit(0), F.col("key"), ["one"]).count() == 0

@@ -117,3 +117,10 @@ def test_masked_with_clashing_names_and_added_spans(spark):
     docs = spark.createDataFrame([(1, "mail a@b.cd now", "x", 1)] * 2, "doc_id long, text string, _id string, _spans int")
     got = pii.masked(docs)
     assert got.columns == docs.columns and [tuple(r) for r in got.collect()] == [(1, "mail [email] now", "x", 1)] * 2
+
+
+def test_long_texts_repeated_rows_and_rows_without_id(spark):
+    long = "word " * 100_000 + "last@example.org"
+    docs = spark.createDataFrame([(1, long, "x")] * 2 + [(None, "a@b.cd", "y"), (None, None, "z"), (2, "", "z")], "doc_id long, text string, spans string")
+    got = sorted(((r["doc_id"] or 0, r["n_email"], r["spans"]) for r in pii.report(docs).collect()))
+    assert got == [(0, 0, ""), (0, 1, "email:0:6"), (1, 1, "email:500000:500016"), (1, 1, "email:500000:500016"), (2, 0, "")]

@@ -113,7 +113,11 @@ def words_hit(hits: str = "hits") -> Column:
 
 
 def report(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """One row for every row of ``docs``: doc_id, n_words, n_hit, n_items, items_sha256, contaminated."""
+    """One row for every row of ``docs``, repeated ones too: doc_id, n_words, n_hit, n_items, items_sha256, contaminated.
+
+    Texts are read whole, however long.  Extra columns of both tables are ignored, whatever their names.  An empty table
+    gives an empty table.
+    """
     rows = numbered(contamination(docs, benchmark).withColumn("n_hit", words_hit()), "copies", "copy")
     return rows.select(
         "doc_id",

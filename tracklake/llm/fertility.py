@@ -246,5 +246,6 @@ def judged(docs: DataFrame, pieces: str = PIECES, ranks: str = RANKS) -> DataFra
 
 
 def report(docs: DataFrame, pieces: str = PIECES, ranks: str = RANKS) -> DataFrame:
+    """The columns of ``judged`` for every row, ``outside`` as text.  A null or empty text fails the base rules."""
     shown = ["doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "n_tokens", *[name for name, *_ in MEASURES], "distance"]
     return judged(docs, pieces, ranks).select(*shown, F.array_join("outside", ",").alias("outside"))

@@ -269,7 +269,11 @@ def find_personal_data(docs: DataFrame) -> DataFrame:
 
 
 def report(docs: DataFrame) -> DataFrame:
-    """doc_id, the number of base spans of each kind, base_sha256 and spans."""
+    """doc_id, the number of base spans of each kind, base_sha256 and spans (base and added) of every row.
+
+    A null or empty text has none.  Repeated rows give repeated rows, a null doc_id stays null, an empty table gives an
+    empty table.  Very long texts are read whole, and so are very long spans.  Extra columns are ignored.
+    """
     found = find_personal_data(docs)
     count = lambda kind: F.size(F.filter("base", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
     return found.select("doc_id", *[count(k) for k in KINDS], F.sha2(_ordered(F.col("base")), 256).alias("base_sha256"), _ordered(F.concat("base", "added")).alias("spans"))

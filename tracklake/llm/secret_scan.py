@@ -199,6 +199,7 @@ def find_secrets(docs: DataFrame) -> DataFrame:
 
 
 def report(docs: DataFrame) -> DataFrame:
+    """doc_id, the number of base spans of each kind, base_sha256 and spans (base and added) of every row; ``find_secrets`` says what odd rows give."""
     found = find_secrets(docs.select("doc_id", "text"))
     listed = lambda spans: F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string"))), ",")
     count = lambda kind: F.size(F.filter("secrets", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")

@@ -61,7 +61,8 @@ def assign_shards(docs: DataFrame, key: Column, shards: list[str], slot_column:
     """``docs`` with the slot and the shard name of ``key``.
 
     Nulls in the key count as the empty text, so all rows without a key share a slot; rows with equal keys always meet
-    in one shard; an empty table gives an empty table; columns of these two names are replaced.  No shuffle.
+    in one shard; a key may be of any length and any type that has a text; an empty table gives an empty table; columns
+    of these two names are replaced, other extra columns stay.  No shuffle.
     """
     owner = lookup_table(shards)
     spark = docs.sparkSession
