@@ -50,13 +50,22 @@ STAGES = [
 ]
 
 
+def _remove(spark: SparkSession, at: str) -> None:
+    path = spark._jvm.org.apache.hadoop.fs.Path(at)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The last stage's documents.  A stage's table is removed once the next one is written; the caller owns the last."""
     docs = table(spark, sf_dir, "documents")
-    folder = f"{shared_folder(spark)}/pipeline-{uuid.uuid4().hex}"
+    folder, before = f"{shared_folder(spark)}/pipeline-{uuid.uuid4().hex}", None
     for i, (_, stage) in enumerate(STAGES):
         at = f"{folder}/{i}"
         stage(spark, docs, sf_dir).write.parquet(at)
         docs = spark.read.parquet(at)
+        if before is not None:
+            _remove(spark, before)
+        before = at
     return docs
 
 

@@ -5,7 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tracklake.functions.text import row_hash
-from tracklake.operators import sessions
+from tracklake.operators import evaluation, sessions
 from tracklake.sources import exchange, files
 from tracklake.streaming.bursts import merge_batches, streamed_bursts
 
@@ -105,3 +105,18 @@ def test_streamed_merge(spark, tmp_path):
     query.processAllAvailable()
     query.stop()
     assert sorted((r["id"], r["v"]) for r in spark.read.parquet(str(tmp_path / "t/v1")).collect()) == [(1, "b"), (2, "c")]
+
+
+def test_package_descriptor_and_empty_tables(spark, tmp_path):
+    told = exchange.package_descriptor("TR-1", "North", 7, created=datetime(2024, 3, 1, 12, 0, 5, 9))
+    assert told["name"] == "tracklake-tr-1-7" and told["created"] == "2024-03-01T12:00:05" and "7" in told["title"] and [r["name"] for r in told["resources"]] == ["deployments", "media", "observations"]
+    some = spark.createDataFrame([(1, "a")], "mediaID long, filePath string").coalesce(1)
+    exchange.write_package({"media": some, "observations": some.limit(0)}, str(tmp_path), told)
+    read = lambda name: "".join(p.read_text() for p in sorted((tmp_path / name).glob("part-*")))
+    assert read("media") == "mediaID,filePath\n1,a\n" and read("observations") == "" and json.loads(read("datapackage")) == told
+
+
+def test_pairs_leave_out_near_frames_of_one_entity(spark):
+    rows = spark.createDataFrame([(1, 1, "L", 0), (2, 1, "L", 50), (3, 1, "L", 51), (4, 2, "L", 1), (5, 2, "R", 1), (6, None, "L", 1)], "vec_id long, entity_id long, side string, frame int")
+    pairs = lambda by_side: {(r["gallery_id"], r["same"]) for r in evaluation.evaluation_pairs(rows.filter("vec_id = 1"), rows, by_side=by_side).collect()}
+    assert pairs(True) == {(3, True), (4, False), (6, None)} and pairs(False) == pairs(True) | {(5, False)}

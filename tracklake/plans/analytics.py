@@ -73,6 +73,13 @@ def labelled_pairs(spark: SparkSession, sf: str) -> DataFrame:
     return scores.join(labels, "query_id").withColumn("same", F.col("own") == F.col("ind_id"))
 
 
+@query("""SELECT q.vec_id AS query_id, e.vec_id AS gallery_id, q.label = e.label AS same FROM embeddings q JOIN embeddings e ON q.label % 2 = e.label % 2
+WHERE q.vec_id % 50 = 0 AND q.vec_id <> e.vec_id AND NOT (q.label = e.label AND abs(q.vec_id - e.vec_id) <= 50)""")
+def evaluation_pairs(spark: SparkSession, sf: str) -> DataFrame:
+    rows = d.table(spark, sf, "embeddings").select("vec_id", F.col("label").alias("entity_id"), (F.col("label") % 2).alias("side"), F.col("vec_id").alias("frame"))
+    return evaluation.evaluation_pairs(rows.filter("vec_id % 50 = 0"), rows)
+
+
 @query(f"""WITH {_SCORES}, r AS (SELECT *, q_label = ind_id AS same, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, entity_id) AS rank FROM s),
 h AS (SELECT *, sum(CASE WHEN same THEN 1 ELSE 0 END) OVER (PARTITION BY query_id ORDER BY rank ROWS UNBOUNDED PRECEDING) AS hits FROM r)
 SELECT query_id, round(avg(hits / rank) FILTER (same), 6) AS average_precision, max(same AND rank <= 1) AS top1, max(same AND rank <= 5) AS top5 FROM h GROUP BY query_id HAVING count(*) FILTER (same) > 0""")

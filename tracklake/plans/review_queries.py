@@ -212,11 +212,20 @@ def package_media(spark: SparkSession, sf: str) -> DataFrame:
     return package(spark, sf)["media"]
 
 
-@query()
+_FEATURE = "to_json({{'type': 'Feature',{id} 'geometry': {{'type': 'Point', 'coordinates': [lon, lat]}}, 'properties': {{'station_id': station_id, 'name': name, 'zone': zone, 'village_dist_km': village_dist_km{more}}}}})"
+
+
+@query(sql(f"SELECT CAST({_FEATURE.format(id='', more='')} AS VARCHAR) AS feature FROM stations"))
 def station_features(spark: SparkSession, sf: str) -> DataFrame:
     return exchange.station_features(d.stations(spark))
 
 
+@query(sql(f"""SELECT CAST({_FEATURE.format(id=" 'id': station_id,", more=", 'folder_hint': NULL, 'camera_make': 'M' || station_id % 3, 'camera_model': NULL, 'camera_serial': NULL")} AS VARCHAR) AS feature FROM stations"""))
+def station_features_full(spark: SparkSession, sf: str) -> DataFrame:
+    make = F.concat(F.lit("M"), (F.col("station_id") % 3).cast("string"))
+    return exchange.station_features(d.stations(spark).withColumn("camera_make", make), full=True)
+
+
 @query()
 def range_features(spark: SparkSession, sf: str) -> DataFrame:
     return exchange.range_features(analytics.home_ranges(spark, sf), True)

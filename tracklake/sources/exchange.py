@@ -5,6 +5,7 @@ from __future__ import annotations
 import hashlib
 import hmac
 import json
+from datetime import datetime
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -13,6 +14,10 @@ ALIASES = {"station_id": ["station_id", "id"], "name": ["name", "station"], "lat
 ZONES = ["core", "buffer", "corridor"]
 
 
+#: Fixed value: the published profile of camera trap packages.
+PACKAGE_PROFILE = "https://raw.githubusercontent.com/tdwg/camtrap-dp/1.0/camtrap-dp-profile.json"
+
+
 def _stations(rows: DataFrame, place: Column) -> tuple[DataFrame, DataFrame]:
     """Good rows and errors from rows with the raw text columns of ALIASES."""
     lat, lon = F.expr("try_cast(lat AS double)"), F.expr("try_cast(lon AS double)")
@@ -49,14 +54,23 @@ def stations_from_geojson(spark: SparkSession, path: str) -> tuple[DataFrame, Da
     return _stations(rows, F.col("station_id"))
 
 
-def _feature(geometry: Column, properties: Column) -> Column:
-    return F.to_json(F.struct(F.lit("Feature").alias("type"), geometry.alias("geometry"), properties.alias("properties")), {"ignoreNullFields": "false"})
+def _feature(geometry: Column, properties: Column, name: Column | None = None) -> Column:
+    own = [] if name is None else [name.alias("id")]
+    return F.to_json(F.struct(F.lit("Feature").alias("type"), *own, geometry.alias("geometry"), properties.alias("properties")), {"ignoreNullFields": "false"})
+
 
+#: What a full station feature tells besides; columns that the table lacks are null.
+CAMERA_COLUMNS = ("folder_hint", "camera_make", "camera_model", "camera_serial")
 
-def station_features(stations: DataFrame) -> DataFrame:
-    """One GeoJSON feature a row, to be written as lines."""
+
+def station_features(stations: DataFrame, full: bool = False) -> DataFrame:
+    """One GeoJSON feature a row, to be written as lines; ``full`` ones have an id and the camera columns."""
     point = F.struct(F.lit("Point").alias("type"), F.array("lon", "lat").alias("coordinates"))
-    return stations.select(_feature(point, F.struct("station_id", "name", "zone", "village_dist_km")).alias("feature"))
+    told = ["station_id", "name", "zone", "village_dist_km"]
+    if not full:
+        return stations.select(_feature(point, F.struct(*told)).alias("feature"))
+    camera = [F.col(c) if c in stations.columns else F.lit(None).cast("string").alias(c) for c in CAMERA_COLUMNS]
+    return stations.select(_feature(point, F.struct(*told, *camera), F.col("station_id")).alias("feature"))
 
 
 def range_features(occupancy: DataFrame, with_positions: bool) -> DataFrame:
@@ -109,10 +123,26 @@ def camera_trap_package(stations: DataFrame, activity: DataFrame, media: DataFra
     return {"deployments": deployments, "media": shown, "observations": observed.unionByName(blanks)}
 
 
-def write_package(tables: dict[str, DataFrame], folder: str) -> None:
-    """The tables as CSV folders."""
+def package_descriptor(reserve_id: str, reserve: str, run_id: object, cycle: str | None = None, created: datetime | None = None) -> dict:
+    """What a package says about itself: its name, title and the folders of its tables."""
+    tables = [{"name": name, "path": name, "profile": "tabular-data-resource"} for name in ("deployments", "media", "observations")]
+    return {
+        "name": f"tracklake-{reserve_id}-{run_id}".lower(),
+        "profile": PACKAGE_PROFILE,
+        "created": (created or datetime.now()).isoformat(timespec="seconds"),
+        "title": f"Camera traps of {reserve}, {cycle or run_id}",
+        "resources": tables,
+        "sources": [{"title": "tracklake"}],
+    }
+
+
+def write_package(tables: dict[str, DataFrame], folder: str, descriptor: dict | None = None) -> None:
+    """The tables as CSV folders, an empty table without header; the descriptor as a line of text in ``datapackage``."""
     for name, df in tables.items():
-        df.write.mode("overwrite").option("header", "true").csv(f"{folder}/{name}")
+        df.write.mode("overwrite").option("header", str(not df.isEmpty()).lower()).csv(f"{folder}/{name}")
+    if descriptor is not None:
+        session = next(iter(tables.values())).sparkSession
+        session.range(1).select(F.lit(json.dumps(descriptor))).coalesce(1).write.mode("overwrite").text(f"{folder}/datapackage")
 
 
 class SchemaNotAvailable(NotImplementedError):
