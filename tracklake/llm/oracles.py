@@ -92,4 +92,37 @@ SELECT conv_id, count(*) AS n_turns,
 FROM t GROUP BY conv_id
 """
 
-ORACLE = {"op1_decontamination": OP1, "op3_mixing": OP3, "op7_sharding": _op7(), "op9_fixity": OP9, "op10_chat": OP10}
+OP11 = """
+WITH w AS (SELECT doc_id, coalesce(CAST(source AS VARCHAR), '') AS part, coalesce(text, '') AS text,
+                  list_filter(string_split_regex(coalesce(text, ''), '[\\x20\\x09-\\x0D]+'), lambda x: x <> '') AS words FROM documents),
+l AS (SELECT doc_id, bool_or(quality = 1) AS good, bool_or(toxic = 1) AS toxic FROM labels GROUP BY doc_id),
+f AS (SELECT part, coalesce(good, false) AS good, coalesce(toxic, false) AS toxic,
+             [len(words) < 200,
+              100 * len(list_distinct(words)) < 50 * len(words),
+              100 * (length(text) - length(regexp_replace(text, '[A-Z]', '', 'g'))) > 2 * length(text),
+              regexp_matches(text, '[#$%&*|]'),
+              coalesce(w.doc_id > min(w.doc_id) OVER (PARTITION BY text), false)] AS fails
+      FROM w LEFT JOIN l ON w.doc_id = l.doc_id),
+b AS (SELECT part, fails, count(*) AS n, count(*) FILTER (good) AS good, count(*) FILTER (toxic) AS toxic FROM f GROUP BY ALL),
+letters AS (SELECT unnest(range(1, 6)) AS i),
+orders AS (SELECT [a.i, b.i, c.i, d.i, 15 - a.i - b.i - c.i - d.i] AS filters FROM letters a, letters b, letters c, letters d
+           WHERE len(list_distinct([a.i, b.i, c.i, d.i])) = 4),
+s AS (SELECT filters, array_to_string(list_transform(filters, lambda x: chr(CAST(64 + x AS INTEGER))), '') AS filter_order, i AS step, filters[i] AS own, filters[:i - 1] AS earlier FROM orders, letters),
+x AS (SELECT part, filter_order, step, own, n, good, toxic, fails[own] AS failed, list_bool_or(list_transform(earlier, lambda e: fails[e])) IS TRUE AS gone,
+             list_sum(list_transform(fails, lambda y: CAST(y AS INTEGER))) AS failures
+      FROM b, s),
+y AS (SELECT part, filter_order, step, own,
+             coalesce(sum(n) FILTER (NOT failed AND NOT gone), 0) AS kept,
+             coalesce(sum(n) FILTER (failed AND NOT gone), 0) AS removed,
+             coalesce(sum(n) FILTER (failed AND gone), 0) AS redundant,
+             coalesce(sum(n) FILTER (failed AND failures = 1), 0) AS unique_fails,
+             coalesce(sum(good) FILTER (failed AND NOT gone), 0) AS good_lost,
+             coalesce(sum(toxic) FILTER (failed AND NOT gone), 0) AS toxic_lost
+      FROM x GROUP BY ALL)
+SELECT part, filter_order, CAST(step AS INTEGER) AS step, CAST(kept AS BIGINT) AS kept, CAST(removed AS BIGINT) AS removed, CAST(redundant AS BIGINT) AS redundant,
+       CAST(unique_fails AS BIGINT) AS unique_fails, CAST(good_lost AS BIGINT) AS good_lost, CAST(toxic_lost AS BIGINT) AS toxic_lost,
+       CAST(sum(removed) OVER (PARTITION BY part, own) AS BIGINT) AS shapley
+FROM y
+"""
+
+ORACLE = {"op1_decontamination": OP1, "op3_mixing": OP3, "op7_sharding": _op7(), "op9_fixity": OP9, "op10_chat": OP10, "op11_filter_audit": OP11}
