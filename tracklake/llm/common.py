@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from tracklake.storage import checkpointed, shared_folder
 
-__all__ = ["SPACE", "checkpointed", "numbered", "portable_hash", "private", "shared_folder", "table", "text_or_empty"]
+__all__ = ["SPACE", "checkpointed", "numbered", "portable_hash", "private", "removed", "shared_folder", "table", "text_or_empty"]
 
 #: White space that separates words in most contracts: blank, tab to carriage return.
 SPACE = r"[\x20\x09-\x0D]+"
@@ -17,6 +17,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def removed(spark: SparkSession, at: str) -> None:
+    """Removes a file or folder that Spark can reach."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(at)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def text_or_empty(column: str = "text") -> Column:
     return F.coalesce(F.col(column), F.lit(""))
 

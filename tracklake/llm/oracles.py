@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tracklake.llm import fixity, mixing, sharding
+from tracklake.llm import fixity, mixing, sharding, vector_codes
 
 _WORDS = r"list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), lambda w: w <> '')"
 
@@ -125,4 +125,35 @@ SELECT part, filter_order, CAST(step AS INTEGER) AS step, CAST(kept AS BIGINT) A
 FROM y
 """
 
-ORACLE = {"op1_decontamination": OP1, "op3_mixing": OP3, "op7_sharding": _op7(), "op9_fixity": OP9, "op10_chat": OP10, "op11_filter_audit": OP11}
+
+
+def _op13() -> str:
+    parts, entries = vector_codes.PARTS, vector_codes.ENTRIES
+    assign = lambda books, name: f"""{name} AS (SELECT vec_id, row_no, part, entry, distance FROM (
+  SELECT v.vec_id, v.row_no, v.part, b.entry, list_sum(list_transform(list_zip(v.x, b.x), lambda z: (z[1] - z[2]) * (z[1] - z[2]))) AS distance,
+         row_number() OVER (PARTITION BY v.row_no, v.part ORDER BY distance, b.entry) AS place
+  FROM p v JOIN {books} b ON v.part = b.part) WHERE place = 1)"""
+    move = lambda books, assigned, name: f"""{name}m AS (SELECT part, entry, position, sum(c) AS s, count(*) AS n FROM (
+  SELECT p.part, a.entry, unnest(p.x) AS c, unnest(range(len(p.x))) AS position FROM p JOIN {assigned} a ON p.row_no = a.row_no AND p.part = a.part) GROUP BY ALL),
+{name}n AS (SELECT part, entry, list((s - ((s % n) + n) % n) // n ORDER BY position) AS x FROM {name}m GROUP BY part, entry),
+{name} AS (SELECT b.part, b.entry, coalesce(n.x, b.x) AS x FROM {books} b LEFT JOIN {name}n n ON b.part = n.part AND b.entry = n.entry)"""
+    return f"""
+WITH u AS (SELECT vec_id, label, row_number() OVER (ORDER BY vec_id NULLS LAST, embedding) AS row_no,
+                  list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS x
+           FROM embeddings WHERE embedding IS NOT NULL AND NOT list_bool_or(list_transform(embedding, lambda x: x IS NULL OR NOT isfinite(x)))),
+w AS (SELECT *, len(x) // {parts} AS width FROM u),
+p AS (SELECT vec_id, row_no, part, x[part * width + 1:(part + 1) * width] AS x FROM (SELECT *, unnest(range({parts})) AS part FROM w)),
+b0 AS (SELECT part, row_no - 1 AS entry, x FROM p WHERE row_no <= {entries} AND vec_id IS NOT NULL),
+{assign('b0', 'a0')},
+{move('b0', 'a0', 'b1')},
+{assign('b1', 'a1')},
+{move('b1', 'a1', 'b2')},
+{assign('b2', 'a2')},
+c AS (SELECT row_no, string_agg(lower(printf('%02x', entry)), '' ORDER BY part) AS code, sum(distance) AS error FROM a2 GROUP BY row_no),
+h AS (SELECT sha256(string_agg(array_to_string(x, ','), ',' ORDER BY part, entry)) AS codebooks_sha256 FROM b2)
+SELECT u.vec_id, code, CAST(error AS BIGINT) AS error, CAST(sum(error) OVER (PARTITION BY u.label) AS BIGINT) AS label_error, codebooks_sha256
+FROM u JOIN c ON u.row_no = c.row_no, h
+"""
+
+
+ORACLE = {"op1_decontamination": OP1, "op3_mixing": OP3, "op7_sharding": _op7(), "op9_fixity": OP9, "op10_chat": OP10, "op11_filter_audit": OP11, "op13_vector_codes": _op13()}

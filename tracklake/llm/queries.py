@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tracklake.llm import chat, decontaminate, fertility, filter_audit, fixity, mixing, pii, secret_scan, sharding, simhash, toxicity
+from tracklake.llm import chat, decontaminate, fertility, filter_audit, fixity, mixing, pii, secret_scan, sharding, simhash, token_files, toxicity, vector_codes
 from tracklake.llm.common import table
 from tracklake.llm.oracles import ORACLE
 
@@ -68,4 +68,12 @@ def op11_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return filter_audit.audit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
-QUERIES = {f.__name__: f for f in (op1_decontamination, op2_pii, op3_mixing, op4_fertility, op5_simhash, op6_toxicity, op7_sharding, op8_secrets, op9_fixity, op10_chat, op11_filter_audit)}
+def op12_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_files.report(table(spark, sf_dir, "documents"))
+
+
+def op13_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vector_codes.report(table(spark, sf_dir, "embeddings"))
+
+
+QUERIES = {f.__name__: f for f in (op1_decontamination, op2_pii, op3_mixing, op4_fertility, op5_simhash, op6_toxicity, op7_sharding, op8_secrets, op9_fixity, op10_chat, op11_filter_audit, op12_token_files, op13_vector_codes)}
