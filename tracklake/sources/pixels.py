@@ -15,10 +15,14 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tracklake.config import SETTINGS
+
 THUMBNAIL = 128
 GRID, BAND = 16, 0.08
 NIGHT_BELOW = 12
 BLUR_RADIUS = 25
+FLANK_WIDTH, FLANK_HEIGHT = 256, 128
+AXIS = ("sx", "sy", "hx", "hy", "depth", "margin")
 #: Bytes of a file that are searched for camera data.
 HEAD = 1 << 17
 
@@ -287,3 +291,116 @@ def predicted(parts: DataFrame, model: Callable[[list[np.ndarray]], list], retur
 
     run.__annotations__ = {"data": pd.Series, "width": pd.Series, "height": pd.Series, "return": pd.Series}
     return parts.withColumn(column, F.pandas_udf(run, returns)("data", "width", "height"))
+
+
+# Flanks ------------------------------------------------------------------------------------------------------------
+
+
+def flank_axis(points: Column, side: Column, box: Column | None = None, width: Column | None = None, height: Column | None = None, s=SETTINGS) -> Column:
+    """Struct of sx, sy, hx, hy (shoulder and hip in pixels), depth and margin of the side's flank; null where there is none to speak of.
+
+    ``points`` maps names to (x, y, v).  Both points of the side must be visible, and at least a pixel apart.  Where they
+    span too little of the longer edge of the detection's ``box`` (x, y, w, h in shares of the frame of ``width`` and
+    ``height``), the axis is the box's own middle line.
+    """
+    point = lambda part: F.when(side == "R", points[f"right_{part}"]).when(side == "L", points[f"left_{part}"])
+    shoulder, hip = point("shoulder"), point("hip")
+    seen = (F.coalesce(shoulder["v"], F.lit(0)) > 0) & (F.coalesce(hip["v"], F.lit(0)) > 0)
+    axis = lambda sx, sy, hx, hy, depth: F.struct(
+        *[c.cast("double").alias(n) for n, c in (("sx", sx), ("sy", sy), ("hx", hx), ("hy", hy), ("depth", depth), ("margin", s.flank_margin * F.hypot(hx - sx, hy - sy)))]
+    )
+    length = F.hypot(hip["x"] - shoulder["x"], hip["y"] - shoulder["y"])
+    posed = axis(shoulder["x"], shoulder["y"], hip["x"], hip["y"], s.flank_depth * length)
+    if box is None:
+        return F.when(seen & (length >= 1), posed)
+    bw, bh = box["w"] * width, box["h"] * height
+    left, middle = box["x"] * width, box["y"] * height + bh / 2
+    whole = axis(left + s.box_inset * bw, middle, left + (1 - s.box_inset) * bw, middle, s.box_depth * bh)
+    collapsed = F.coalesce(length < s.least_body_span * F.greatest(bw, bh), F.lit(False))
+    return F.when(seen & (length >= 1), F.when(~collapsed, posed).when((1 - 2 * s.box_inset) * bw >= 1, whole))
+
+
+def _sampled(flat: np.ndarray, start: np.ndarray, shape: np.ndarray, x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Bilinear samples of many frames at once: frame i's pixels (shape[i] rows and columns) begin at start[i] of ``flat`` (pixels, 3); outside is black.
+
+    x and y have a row of places for each frame.
+    """
+    x0, y0 = np.floor(x), np.floor(y)
+    fx, fy = (x - x0)[..., None], (y - y0)[..., None]
+    rows, columns = shape[:, 0, None], shape[:, 1, None]
+
+    def at(px: np.ndarray, py: np.ndarray) -> np.ndarray:
+        inside = (px >= 0) & (px < columns) & (py >= 0) & (py < rows)
+        index = np.where(inside, start[:, None] + py * columns + px, 0).astype(np.int64)
+        return flat[index] * inside[..., None]
+
+    top = at(x0, y0) * (1 - fx) + at(x0 + 1, y0) * fx
+    bottom = at(x0, y0 + 1) * (1 - fx) + at(x0 + 1, y0 + 1) * fx
+    return top * (1 - fy) + bottom * fy
+
+
+def flank_places(axes: np.ndarray, width: int = FLANK_WIDTH, height: int = FLANK_HEIGHT) -> tuple[np.ndarray, np.ndarray]:
+    """Where in its frame every pixel of a flank's rectangle lies: x and y, a row for each axis (sx, sy, hx, hy, depth, margin).
+
+    The rectangle's long edge runs from ``margin`` before the shoulder to ``margin`` behind the hip, its short one over ``depth`` across.
+    """
+    sx, sy, hx, hy, depth, margin = (axes[:, i, None] for i in range(6))
+    length = np.hypot(hx - sx, hy - sy)
+    ux, uy = (hx - sx) / length, (hy - sy) / length
+    v, u = (g.ravel()[None] for g in np.mgrid[0:height, 0:width])
+    along, across = u / (width - 1) * (length + 2 * margin) - margin, (v / (height - 1) - 0.5) * depth
+    return sx + ux * along - uy * across, sy + uy * along + ux * across
+
+
+#: Flanks that are sampled at a time.
+FLANKS_AT_ONCE = 16
+
+
+def rectified(frames: DataFrame, axes: DataFrame) -> DataFrame:
+    """path, det_id, width, height and pixels (rows of RGB) of every flank of ``axes`` (path, det_id, axis as of ``flank_axis``) in decoded ``frames``.
+
+    The axis lies along the rectangle's long edge.  An axis that is null has no pixels.  The axes of a frame are
+    gathered, a handful each, and brought to the frames; all flanks of a batch are sampled together.
+    """
+    own = axes.groupBy("path").agg(F.collect_list(F.struct("det_id", "axis")).alias("flanks"))
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            images = [pixels(r.data, int(r.height), int(r.width), int(r.channels)) for r in batch.itertuples(index=False)]
+            starts = np.cumsum([0, *(a.shape[0] * a.shape[1] for a in images)])
+            flat = np.concatenate([a.reshape(-1, 3) for a in images]) if images else np.zeros((0, 3))
+            todo = [(i, path, f["det_id"], f["axis"]) for i, (path, flanks) in enumerate(zip(batch["path"], batch["flanks"], strict=True)) for f in flanks]
+            good = [t for t in todo if t[3] is not None]
+            rows = [(path, det, None, None, None) for _, path, det, axis in todo if axis is None]
+            for at in range(0, len(good), FLANKS_AT_ONCE):
+                some = good[at : at + FLANKS_AT_ONCE]
+                which = np.array([t[0] for t in some])
+                x, y = flank_places(np.array([[t[3][n] for n in AXIS] for t in some], float))
+                found = _sampled(flat, starts[which], np.array([images[i].shape[:2] for i in which]), x, y)
+                found = np.clip(np.rint(found), 0, 255).astype(np.uint8)
+                rows += [(path, det, FLANK_WIDTH, FLANK_HEIGHT, a.tobytes()) for (_, path, det, _), a in zip(some, found, strict=True)]
+            yield pd.DataFrame(rows, columns=[c.split()[0] for c in CROPS.split(", ")])
+
+    return frames.filter("data is not null").join(own, "path").select("path", "width", "height", "channels", "data", "flanks").mapInPandas(run, CROPS)
+
+
+def crop_measures(parts: DataFrame) -> DataFrame:
+    """``parts`` (width, height, data as rows of RGB) with blur (variance of the Laplacian), exposure (mean grey) and saturated (share of grey from 250 on); null without pixels."""
+
+    def run(data: pd.Series, width: pd.Series, height: pd.Series) -> pd.DataFrame:
+        rows = []
+        for d, w, h in zip(data, width, height, strict=True):
+            if d is None:
+                rows.append((None, None, None))
+                continue
+            g = np.rint(grey(np.frombuffer(d, np.uint8).reshape(int(h), int(w), 3)))
+            # Edges are mirrored without repeating the outermost pixels; a single row or column has no neighbour but itself.
+            p = np.pad(g, [(1, 1) if n > 1 else (0, 0) for n in g.shape], mode="reflect")
+            p = np.pad(p, [(0, 0) if n > 1 else (1, 1) for n in g.shape], mode="edge")
+            laplacian = p[:-2, 1:-1] + p[2:, 1:-1] + p[1:-1, :-2] + p[1:-1, 2:] - 4 * g
+            rows.append((float(laplacian.var()), float(g.mean()), float((g >= 250).mean())))
+        return pd.DataFrame(rows, columns=["blur", "exposure", "saturated"])
+
+    run.__annotations__ = {"data": pd.Series, "width": pd.Series, "height": pd.Series, "return": pd.DataFrame}
+    measured = F.pandas_udf(run, "struct<blur:double,exposure:double,saturated:double>")
+    return parts.withColumn("_m", measured("data", "width", "height")).select(*parts.columns, "_m.blur", "_m.exposure", "_m.saturated")
