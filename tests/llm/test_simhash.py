@@ -83,4 +83,29 @@ def test_repeated_and_missing_ids(spark):
     docs = spark.createDataFrame([(1, "a b c d"), (1, "a b c d"), (None, "a b c d"), (None, "q r s"), (2, "other words here")], "doc_id long, text string")
     got = sorted(((r["doc_id"] or 0), r["component_id"] or 0) for r in simhash.near_duplicates(docs).collect())
     assert got == [(0, 0), (0, 1), (1, 1), (1, 1), (2, 2)]
+    odd = spark.createDataFrame([(1, "w " * 90_000, 7, "x")], "doc_id long, text string, fp int, node string")
+    assert simhash.report(odd).first()["component_id"] == 1
     assert simhash.report(docs.limit(0)).count() == 0
+
+
+def test_links_through_rows_without_id_hold(spark, monkeypatch):
+    """A third of the rows has no id; chains of fingerprints 2 bits apart lead through them."""
+    rng = random.Random(9)
+    fps, ids = [], []
+    for _ in range(12):
+        fp = rng.getrandbits(63)
+        for _ in range(15):
+            fp ^= 1 << rng.randrange(63) | 1 << rng.randrange(63)
+            fps.append(fp)
+            ids.append(None if rng.random() < 1 / 3 else rng.randrange(10**6))
+    rows = spark.createDataFrame(list(zip(ids, fps, strict=True)), "doc_id long, fp long")
+    monkeypatch.setattr(simhash, "with_fingerprints", lambda docs: docs)
+    got = sorted(((r["doc_id"] is not None, r["doc_id"], r["fp"]), r["component_id"]) for r in simhash.near_duplicates(rows).collect())
+    label = groups(list(range(len(fps))), fps)
+    smallest = {}
+    for c, i in zip(label, ids, strict=True):
+        if i is not None:
+            smallest[c] = min(i, smallest.get(c, i))
+    want = sorted(((i is not None, i, fp), smallest.get(c)) for i, fp, c in zip(ids, fps, label, strict=True))
+    assert got == want
+    assert any(smallest.get(c) is not None and i is None for i, c in zip(ids, label, strict=True))

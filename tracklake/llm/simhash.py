@@ -9,7 +9,8 @@ home.  So each fingerprint goes, for each half, to its home and to all anchors w
 compared, per anchor, with those at home there.  Every link is found, and exactly once: from the smaller of its two
 fingerprints, in the first half if that differs by at most one bit.
 
-Equal fingerprints are one node, so copies are never paired.  Components run over nodes named by their smallest doc_id.
+Equal fingerprints are one node, so copies are never paired.  Components run over fingerprints, whether or not a row with
+that one has an id; a component then gets the smallest id of its rows.
 """
 
 from __future__ import annotations
@@ -115,16 +116,19 @@ def with_fingerprints(docs: DataFrame) -> DataFrame:
 def near_duplicates(docs: DataFrame) -> DataFrame:
     """doc_id, fp and component_id (smallest doc_id reachable over links) of every row of ``docs``.
 
-    Texts without words (null too) have fingerprint 0 and are linked like any other.  Rows may repeat.  A row without
-    doc_id takes part by its fingerprint; where no row with an id is reachable, component_id is null.  An empty table
-    gives an empty table.  Extra columns are ignored.
+    Texts without words (null too) have fingerprint 0 and are linked like any other; very long texts are read whole.
+    Rows may repeat.  A row without doc_id takes part by its fingerprint, links through it hold, and it gets its
+    component's smallest id; where no row of a component has an id, component_id is null.  An empty table gives an empty
+    table.  Extra columns are ignored, whatever their names.
     """
     marked = checkpointed(with_fingerprints(docs))
-    nodes = checkpointed(marked.groupBy("fp").agg(F.min("doc_id").alias("node")).filter("node is not null"))
-    found = components(links(nodes))
-    # Of the nodes, only those with links have a row in ``found``.
-    renamed = nodes.join(found, "node", "left").select(F.col("fp").alias("_fp"), F.coalesce("component", "node").alias("component_id"))
-    return marked.join(renamed, F.col("fp") == F.col("_fp"), "left").drop("_fp")
+    nodes = checkpointed(marked.groupBy("fp").agg(F.min("doc_id").alias("first")))
+    found = components(links(nodes.select("fp", F.col("fp").alias("node"))))
+    # Of the fingerprints, only those with links have a row in ``found``.
+    placed = nodes.join(found, F.col("fp") == F.col("node"), "left").select(F.col("fp").alias("_fp"), "first", F.coalesce("component", "fp").alias("component"))
+    smallest = placed.groupBy("component").agg(F.min("first").alias("component_id"))
+    named = placed.join(smallest, "component").select("_fp", "component_id")
+    return marked.join(named, F.col("fp") == F.col("_fp"), "left").drop("_fp")
 
 
 def report(docs: DataFrame) -> DataFrame:
