@@ -65,7 +65,7 @@ def test_a_band_that_all_texts_share(spark, monkeypatch):
     texts = [" ".join(f"{c}{i}" for i in range(60)) for c in "abcdefgh"]
     texts += [f"{t} end" for t in texts]
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
-    read = docs.select(near_copies._key().alias("key"), near_copies._read("text").alias("r")).select("key", "r.*")
+    read = docs.select(near_copies.F.monotonically_increasing_id().alias("key"), near_copies._digest().alias("digest"), near_copies._read("text").alias("r")).select("key", "digest", "r.*")
     got = near_copies.linked(read.withColumn("bands", near_copies.F.array(near_copies.F.lit(1).cast("long"))), docs)
     assert got.count() == 16 and got.select("component").distinct().count() == 8
 
@@ -83,3 +83,17 @@ def test_other_texts_of_one_id_stay_and_names_may_clash(spark):
     docs = spark.createDataFrame(rows, "doc_id long, text string, _key long, `_Id` string")
     got = near_copies.first_of_each_group(docs)
     assert got.columns == docs.columns and sorted((r["doc_id"], r["_key"]) for r in got.collect()) == [(1, 1), (7, 3), (8, 4)]
+
+
+def test_the_same_rows_stay_whatever_the_partitions(spark):
+    text = " ".join(f"w{i}" for i in range(80))
+    rows = [(5, text, s, n) for s in "fbdaec" for n in (2, 1)] + [(5, text + " more", "z", 0), (5, text, None, 9), (None, text, "a", 0), (None, "alone here", "b", 1), (None, "alone here", "a", 1)]
+    rows += [(6, "", "q", 1), (6, None, "p", 1)]
+    want = None
+    for parts in (1, 2, 3, 8):
+        docs = spark.createDataFrame(rows, "doc_id long, text string, source string, n int").repartition(parts)
+        got = sorted(map(str, near_copies.first_of_each_group(docs).collect()))
+        want = want or got
+        assert got == want and len(got) == 3
+    docs = spark.createDataFrame(rows[::-1], docs.schema)
+    assert sorted(map(str, near_copies.first_of_each_group(docs).collect())) == want

@@ -79,8 +79,9 @@ def _sets(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
         yield pd.Series([shingles(t).view(np.int64) for t in batch])
 
 
-def _key() -> Column:
-    return F.xxhash64(text_or_empty())
+def _digest() -> Column:
+    """What a text is told by: its SHA-256, null as empty."""
+    return F.unhex(F.sha2(text_or_empty().cast("binary"), 256))
 
 
 def _may_be_close(n: Column, m: Column) -> Column:
@@ -89,8 +90,8 @@ def _may_be_close(n: Column, m: Column) -> Column:
 
 
 def _sets_of(keys: DataFrame, docs: DataFrame) -> DataFrame:
-    """key and s (its text's shingle set) for the distinct ``keys``; sets are made for these texts alone."""
-    texts = docs.select(_key().alias("key"), "text").join(keys, "key", "left_semi").groupBy("key").agg(F.first("text").alias("text"))
+    """key and s (its text's shingle set) for the distinct ``keys`` (key, digest); sets are made for these texts alone."""
+    texts = docs.select(_digest().alias("digest"), "text").join(keys, "digest").groupBy("key").agg(F.first("text").alias("text"))
     return checkpointed(texts.select("key", _sets("text").alias("s")))
 
 
@@ -125,12 +126,12 @@ def _rare_meetings(apart: DataFrame, sets: DataFrame) -> DataFrame:
 
 
 def linked(nodes: DataFrame, docs: DataFrame) -> DataFrame:
-    """node, component for the ``key``s of ``nodes`` (one row a text of ``docs``: key, fp, n shingles, bands) that have links."""
+    """node, component for the ``key``s of ``nodes`` (one row a text of ``docs``: key, digest, fp, n shingles, bands) that have links."""
     members = nodes.select("key", "n", F.explode("bands").alias("band"))
     first = [F.min(F.struct(F.xxhash64("key", F.lit(i)).alias("h"), F.col("key").alias("lead"), F.col("n").alias("lead_n"))) for i in range(LEADERS)]
     crowded = members.groupBy("band").agg(F.array(*first).alias("leads"), F.count("*").alias("c")).filter("c > 1").drop("c")
     members = checkpointed(members.join(crowded, "band"))
-    sets = _sets_of(members.select("key").distinct(), docs)
+    sets = _sets_of(nodes.select("key", "digest").join(members.select("key").distinct(), "key"), docs)
     met = members.select("key", "n", F.explode("leads").alias("l")).select("key", "n", "l.lead", "l.lead_n").filter("key <> lead").filter(_may_be_close(F.col("n"), F.col("lead_n")))
     near = _checked(met.select(*_pair("key", "lead")).distinct(), sets)
     # op5's links: equal fingerprints through their smallest key, others by anchors.
@@ -149,25 +150,29 @@ def linked(nodes: DataFrame, docs: DataFrame) -> DataFrame:
 def first_of_each_group(docs: DataFrame) -> DataFrame:
     """``docs`` with one row of each group: that of the smallest doc_id, one without id only where no row has one.
 
-    Texts without words (null too) are one group.  Of rows of one id and one text, one stays; rows of one id whose texts
-    are no near copies all stay.  Very long texts are read whole.  Extra columns are kept, whatever their names.  An empty
-    table gives an empty table.
+    Texts without words (null too) are one group.  Of a group's rows of its smallest id the one of the smallest SHA-256
+    stays; of rows of one id and one text that whose other columns, as JSON, come first: the same one whatever the
+    partitions.  Rows of one id whose texts are no near copies all stay.  Very long texts are read whole.  Extra columns
+    are kept, whatever their names.  An empty table gives an empty table.
     """
-    read = checkpointed(docs.select("doc_id", _key().alias("key"), _read("text").alias("r")).select("doc_id", "key", "r.*"))
-    nodes = checkpointed(read.groupBy("key").agg(*[F.first(c).alias(c) for c in ("fp", "n", "bands")]))
-    rows = read.select("doc_id", "key").join(linked(nodes, docs).select(F.col("node").alias("key"), "component"), "key", "left").withColumn("component", F.coalesce("component", "key"))
-    rows = checkpointed(rows.groupBy("component", "key", "doc_id").count())
-    best = rows.groupBy("component").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "key")).alias("best"))
-    first = F.col("key").eqNullSafe(F.col("best.key")) & F.col("doc_id").eqNullSafe(F.col("best.doc_id"))
-    key, named = private("key", docs), private("id", docs)
-    these = lambda which: which.select(F.col("key").alias(key), F.col("doc_id").alias(named))
-    same = (_key() == F.col(key)) & F.col("doc_id").eqNullSafe(F.col(named))
+    read = checkpointed(docs.select("doc_id", _digest().alias("digest"), _read("text").alias("r")).select("doc_id", "digest", "r.*"))
+    # Texts are told apart by their digests, and numbered once, so that what follows compares short numbers.
+    one = read.groupBy("digest").agg(*[F.first(c).alias(c) for c in ("fp", "n", "bands")])
+    nodes = checkpointed(one.withColumn("key", F.monotonically_increasing_id()))
+    placed = nodes.select("key", "digest").join(linked(nodes, docs).select(F.col("node").alias("key"), "component"), "key", "left").select("digest", F.coalesce("component", "key").alias("component"))
+    rows = checkpointed(read.groupBy("digest", "doc_id").count().join(placed, "digest"))
+    best = rows.groupBy("component").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "digest")).alias("best"))
+    first = F.col("digest").eqNullSafe(F.col("best.digest")) & F.col("doc_id").eqNullSafe(F.col("best.doc_id"))
+    digest, named = private("digest", docs), private("id", docs)
+    these = lambda which: which.select(F.col("digest").alias(digest), F.col("doc_id").alias(named))
+    same = (_digest() == F.col(digest)) & F.col("doc_id").eqNullSafe(F.col(named))
     judged = rows.join(best, "component").withColumn("first", first)
     rest = docs.join(these(judged.filter("not first")), same, "left_anti")
-    repeated = these(checkpointed(judged.filter("first and count > 1").select("key", "doc_id")))
+    repeated = these(checkpointed(judged.filter("first and count > 1").select("digest", "doc_id")))
     if repeated.isEmpty():
         return rest
     # Only rows that repeat meet in a shuffle, one of each stays; for a group's many copies the first is found map-side.
-    columns = [F.col(c) for c in docs.columns]
-    many = rest.join(repeated, same, "left_semi").withColumn(key, _key()).groupBy(key, "doc_id").agg(F.first(F.struct(*columns)).alias(named))
+    columns = [F.col(f"`{c}`") for c in docs.columns]
+    order = F.to_json(F.struct(*[F.col(f"`{c}`") for c in docs.columns if c not in ("text", "doc_id")], F.col("text").isNull()))
+    many = rest.join(repeated, same, "left_semi").withColumn(digest, _digest()).groupBy(digest, "doc_id").agg(F.min_by(F.struct(*columns), order).alias(named))
     return rest.join(repeated, same, "left_anti").unionByName(many.select(*[F.col(named).getField(c).alias(c) for c in docs.columns]))
