@@ -115,7 +115,7 @@ def test_secret_base_spans(spark):
 def test_secret_models_tell_random_from_ordinary():
     own = secret_scan.train(["The quick brown fox jumps over lazy dogs and other animals every morning 1999 2024"] * 3)
     high, low = own.ratios(["aB3dE5gH7jK9mN1pQ3sT5v", "quick_brown_animals_2020"])
-    assert high >= own.threshold > low and 6 <= own.shortest <= 12
+    assert high >= own.threshold > low and 1 <= own.shortest <= 12
     alone = [own.ratios([s])[0] for s in ("aB3dE5gH7jK9mN1pQ3sT5v", "quick_brown_animals_2020")]
     assert np.allclose(alone, [high, low], atol=1e-3) and len(own.ratios([])) == 0
     by_hand = 0.0
@@ -172,3 +172,38 @@ def test_thresholds_come_from_rows_that_did_not_train(spark, monkeypatch):
     assert all(zlib.crc32(str(i).encode()) % 3 != 1 for i in own["doc_id"]) and limits[""] == 0.7
     kept = toxicity.without_toxic(docs.withColumn("_toxicity", toxicity.F.lit(1)).limit(20), labels)
     assert "_toxicity" in kept.columns
+
+
+def test_no_shorter_string_reaches_the_threshold():
+    own = secret_scan.train(["The quick brown fox jumps over lazy dogs 1999 2024 main_index run-time"] * 3)
+    for threshold in (3.0, 5.0, 8.0):
+        own.reach(threshold)
+        greedy = max(own.ratios(["".join(p) for p in __import__("itertools").product(secret_scan.ALPHABET, repeat=2)]))
+        assert (own.shortest <= 2) == (greedy >= threshold - 1e-3)
+    lengths = []
+    for threshold in (3.0, 10.0, 25.0, 40.0):
+        own.reach(threshold)
+        lengths.append(own.shortest)
+        some = ["".join(random.Random(i).choices(secret_scan.ALPHABET, k=own.shortest - 1)) for i in range(3000)] if own.shortest > 1 else []
+        assert not some or max(own.ratios(some)) < threshold
+    assert lengths == sorted(lengths)
+
+
+def test_one_id_that_is_repeated_is_sampled_once_and_bytes_are_bounded(spark, monkeypatch):
+    F = toxicity.F
+    docs = spark.range(10_000).select(F.lit(3).cast("long").alias("doc_id"), F.concat(F.lit("text number "), F.col("id").cast("string")).alias("text"), F.lit("en").alias("lang"))
+    more = spark.createDataFrame([(i, f"doc {i} password=abc{i:05d}xyz", None) for i in range(4, 40)] + [(50, None, "de")], "doc_id long, text string, lang string")
+    labels = spark.createDataFrame([(3, 1), (3, 0), *((i, i % 2) for i in range(4, 40)), (50, 1), (60, 1)], "doc_id long, toxic int")
+    sample = toxicity.training_rows(docs.union(more), labels)
+    known = [i for i in (3, *range(4, 40), 50) if zlib.crc32(str(i).encode()) % 3 != 1]
+    assert sample["doc_id"].tolist() == known
+    if 3 in known:
+        smallest = min((f"text number {i}" for i in range(10_000)), key=lambda t: __import__("hashlib").sha256(t.encode()).hexdigest())
+        assert sample.set_index("doc_id").loc[3, "text"] == smallest
+    monkeypatch.setattr(toxicity, "MAX_SAMPLE_BYTES", 200)
+    small = toxicity.training_rows(docs.union(more), labels)
+    assert 0 < len(small) < len(sample) and small["text"].str.encode("utf-8").str.len().sum() <= 200
+    secret, _ = secret_scan.sample_strings(docs.union(more).select("doc_id", "text"))
+    assert secret == sorted(f"abc{i:05d}xyz" for i in range(4, 40))
+    monkeypatch.setattr(secret_scan, "SAMPLE_BYTES", 200)
+    assert 0 < len(secret_scan.sample_strings(docs.union(more).select("doc_id", "text"))[0]) < 9

@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType, StructField, StructType
 
 from tracklake.storage import checkpointed, shared_folder
 
-__all__ = ["SPACE", "checkpointed", "numbered", "portable_hash", "private", "removed", "shared_folder", "table", "text_or_empty"]
+__all__ = ["SPACE", "bounded_texts", "checkpointed", "numbered", "portable_hash", "private", "removed", "shared_folder", "table", "text_or_empty"]
 
 #: White space that separates words in most contracts: blank, tab to carriage return.
 SPACE = r"[\x20\x09-\x0D]+"
@@ -33,6 +34,26 @@ def portable_hash(*columns: Column) -> Column:
     return F.conv(F.substring(F.sha2(joined, 256), 1, 15), 16, 10).cast("long")
 
 
+def bounded_texts(docs: DataFrame, chosen: DataFrame, most_bytes: int) -> DataFrame:
+    """One row of ``docs`` for each of the ``chosen`` ids (doc_id, a bounded number), with at most ``most_bytes`` of text in all.
+
+    Of several rows of an id the text of the smallest SHA-256 counts.  Ids come in the order of a hash; one whose text no
+    longer fits is passed over.  The driver sees ids, digests and sizes alone.  Returns doc_id and text.
+    """
+    rows = docs.select("doc_id", text_or_empty().alias("text")).join(F.broadcast(chosen.select("doc_id")), "doc_id")
+    sized = rows.select("doc_id", F.struct(F.sha2("text", 256).alias("digest"), F.octet_length("text").alias("size")).alias("own"))
+    found = sized.groupBy("doc_id").agg(F.min("own").alias("own")).orderBy(F.xxhash64("doc_id"), "doc_id").collect()
+    taken, total = [], 0
+    for r in found:
+        if total + r["own"]["size"] <= most_bytes:
+            taken.append((r["doc_id"], r["own"]["digest"]))
+            total += r["own"]["size"]
+    kind = rows.schema["doc_id"].dataType
+    picked = docs.sparkSession.createDataFrame(taken, StructType([StructField("picked", kind), StructField("digest", StringType())]))
+    same = (F.col("doc_id") == F.col("picked")) & (F.sha2("text", 256) == F.col("digest"))
+    return rows.join(F.broadcast(picked), same).groupBy("doc_id").agg(F.min("text").alias("text"))
+
+
 def private(name: str, *tables: DataFrame) -> str:
     """A column name that none of the tables has (names are compared without case)."""
     taken = {c.lower() for t in tables for c in t.columns}

@@ -3,16 +3,16 @@ r"""Secrets by two character Markov models.
 Base spans: three patterns (assignments, access keys, hex runs).  Added spans: runs of ``[A-Za-z0-9+/_=-]`` that overlap
 no base span and whose log-likelihood ratio between a model of random strings and a model of ordinary identifiers
 reaches a calibrated threshold.  The ratio is that of the whole run, so a longer run needs less of each character; no
-kind of run is left out.  Runs are scored from the length on at which a random string can reach the threshold at all:
-the shortest at which ``SEEN_SHARE`` of held-out random strings do.
+kind of run is left out, and the threshold alone decides.  Runs so short that no string of their length reaches it need
+not be looked at: the largest ratio of any string of n characters follows from that of n - 1.
 
 Both models are of the second order over the characters of such runs, with a mark at both ends, and trained on labelled
 samples: random strings are the values of base spans in a bounded sample of documents plus seeded random ones of the
 usual alphabets and all lengths; ordinary identifiers are the runs of plain form (words, numbers, both joined by signs)
 of the same documents, plus joined forms of the words (snake, kebab and camel case with version numbers).  Every other string trains, the rest
 calibrates: the threshold is reached by ``FALSE_SHARE`` of the ordinary ones at most.  The sample is the
-``SAMPLE_DOCS`` first documents in the order of a hash of their id, each of them whole; its strings are found where the
-texts are, and only the distinct ones come to the driver.  Every text of the corpus is scanned whole.
+``SAMPLE_DOCS`` first documents in the order of a hash of their id, each of them whole and an id once, with
+``SAMPLE_BYTES`` of text at most; its strings are found where the texts are, and only the distinct ones come to the driver.  Every text of the corpus is scanned whole.
 """
 
 from __future__ import annotations
@@ -26,6 +26,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tracklake.llm.common import bounded_texts, checkpointed
+
 KINDS = ("assign", "access", "hex")
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.ASCII | re.IGNORECASE)
 ACCESS = re.compile(r"AKIA[A-Z0-9]+")
@@ -35,11 +37,10 @@ RUN = "[A-Za-z0-9+/_=-]"
 PLAIN = re.compile(r"[+/_=-]*(?:[A-Za-z][a-z]*|[A-Z]+|[0-9]+)(?:[+/_=-]+(?:[A-Za-z][a-z]*|[A-Z]+|[0-9]+))*[+/_=-]*")
 MIN_ASSIGN, MIN_ACCESS = 8, 16
 
-SAMPLE_DOCS = 2_000
+SAMPLE_DOCS, SAMPLE_BYTES = 2_000, 64 << 20
 SEED, SYNTHETIC, SHORTEST, LONGEST = 11, 12_000, 6, 64
-#: Share of held-out ordinary identifiers that may reach the threshold; the least threshold (nats, about one in 10^11); share of held-out random strings of a
-#: length that must reach it for that length to be scanned.
-FALSE_SHARE, LEAST_RATIO, SEEN_SHARE = 0.001, 25.0, 0.01
+#: Share of held-out ordinary identifiers that may reach the threshold; the least threshold (nats, about one in 10^11).
+FALSE_SHARE, LEAST_RATIO = 0.001, 25.0
 #: Scores of distinct runs that a worker keeps.
 MOST_KNOWN = 500_000
 ALPHABET = "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789+/_=-"
@@ -83,9 +84,24 @@ class Detector:
     """Log-likelihood ratios of runs, random against ordinary, with the threshold and the shortest length that can reach it."""
 
     def __init__(self, random_model: Markov, ordinary: Markov):
-        self.ratio = random_model.log - ordinary.log
-        self.threshold, self.shortest = LEAST_RATIO, SHORTEST
+        self.ratio = random_model.log - ordinary.log  # log-likelihood ratio of a character after two others
         self.known: dict[str, bool] = {}
+        self.reach(LEAST_RATIO)
+
+    def reach(self, threshold: float) -> None:
+        """Sets the threshold, and the length of the shortest string that reaches it (LONGEST + 1 stands for any longer one)."""
+        self.threshold, self.shortest = threshold, LONGEST + 1
+        mark = len(ALPHABET)
+        ends = self.ratio[:, :, mark].astype(float)
+        most = np.full((mark + 1, mark + 1), -np.inf)  # by the last two characters
+        most[mark, mark] = 0.0
+        for n in range(1, LONGEST + 1):
+            grown = (most[:, :, None] + self.ratio).max(axis=0)
+            grown[:, mark] = -np.inf
+            most = grown
+            if (most + ends).max() >= threshold - 1e-3:  # ratios are summed in another order elsewhere
+                self.shortest = n
+                break
 
     def ratios(self, strings: list[str]) -> np.ndarray:
         if not strings:
@@ -142,7 +158,7 @@ def train(texts: list[str]) -> Detector:
 
 
 def train_on(secret: list[str], plain: list[str]) -> Detector:
-    """Models of random and of ordinary strings from every other string, threshold and shortest length from the rest."""
+    """Models of random and of ordinary strings from every other string, the threshold from the rest of the ordinary ones."""
     secret, plain = labelled_strings(secret, plain)
     rng = random.Random(SEED + 1)
     rng.shuffle(secret)
@@ -150,11 +166,7 @@ def train_on(secret: list[str], plain: list[str]) -> Detector:
     own = Detector(Markov(secret[::2]), Markov(plain[::2]))
     ordinary = np.sort(own.ratios(plain[1::2]))
     if len(ordinary):
-        own.threshold = max(LEAST_RATIO, float(ordinary[-1 - int(len(ordinary) * FALSE_SHARE)]) + 1e-6)
-    rest = secret[1::2]
-    reached = own.ratios(rest) >= own.threshold
-    lengths = np.array([len(s) for s in rest])
-    own.shortest = min((n for n in range(SHORTEST, LONGEST + 1) if (lengths == n).any() and reached[lengths == n].mean() >= SEEN_SHARE), default=LONGEST)
+        own.reach(max(LEAST_RATIO, float(ordinary[-1 - int(len(ordinary) * FALSE_SHARE)]) + 1e-6))
     return own
 
 
@@ -168,8 +180,8 @@ def sample_strings(docs: DataFrame) -> tuple[list[str], list[str]]:
                 yield pd.DataFrame({"secret": [True] * len(secret) + [False] * len(words), "string": np.array([*secret, *words], object)})
 
     ids = docs.select("doc_id").filter("doc_id is not null").distinct()
-    chosen = F.broadcast(ids.orderBy(F.xxhash64("doc_id"), "doc_id").limit(SAMPLE_DOCS))  # SAMPLE_DOCS ids at most
-    rows = docs.select("doc_id", "text").filter("text is not null").join(chosen, "doc_id").select("text")
+    chosen = checkpointed(ids.orderBy(F.xxhash64("doc_id"), "doc_id").limit(SAMPLE_DOCS))
+    rows = bounded_texts(docs, chosen, SAMPLE_BYTES).select("text")
     found = rows.mapInPandas(run, "secret boolean, string string").distinct().collect()
     return tuple(sorted(r["string"] for r in found if r["secret"] == kind) for kind in (True, False))
 
