@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tracklake.functions.text import json_list
+from tracklake.operators.segments import numbered
 
 
 def live(assignments: DataFrame) -> DataFrame:
@@ -176,11 +177,9 @@ def searched(log: DataFrame, text: str, columns: list[str], prefix: bool = False
 
 
 def evenly_spaced(frames: DataFrame, group: str, order: str, most: int) -> DataFrame:
-    """Of each group, all rows or ``most`` ones at even distances from the first to the last."""
-    w = Window.partitionBy(group)
-    numbered = frames.withColumn("_i", F.row_number().over(w.orderBy(order)) - 1).withColumn("_n", F.count("*").over(w))
+    """Of each group, all rows or ``most`` ones at even distances from the first to the last.  Rows are numbered by blocks, so a large group is many tasks."""
+    rows = numbered(frames, group, [order]).withColumn("_i", F.col("_i") - 1)
     # Row i is taken if some j in 0..most-1 has j * (n - 1) div (most - 1) = i; the least j that can is tried.
     j = F.expr(f"(_i * {most - 1} + greatest(_n - 2, 0)) div greatest(_n - 1, 1)")
     taken = (F.col("_n") <= most) | (F.expr(f"(_j * (_n - 1)) div {most - 1}") == F.col("_i"))
-    numbered = numbered.withColumn("_j", j)
-    return numbered.filter(taken).drop("_i", "_n", "_j")
+    return rows.withColumn("_j", j).filter(taken).select(*frames.columns)

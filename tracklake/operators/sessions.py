@@ -6,18 +6,24 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tracklake.functions.text import short_id
+from tracklake.operators.segments import along, earlier, in_blocks, inside, joined, numbered
 
 
 def burst_sessions(frames: DataFrame, gap_seconds: float, station: str = "station_id", time: str = "captured_at", image: str = "image_id") -> DataFrame:
-    """``frames`` with event_no and event_id: a new burst starts where the previous frame of the station is more than the gap away.
+    """``frames`` with event_no: a new burst starts where the previous frame of the station is more than the gap away.
 
-    Frames without time belong to no burst and are left out.  One window per station; stations are many and their frames
-    spill, so no group has to fit in memory.
+    Frames without time belong to no burst and are left out.  Bursts are counted inside blocks of a station and carried
+    over their edges, so a station with very many frames is many tasks.
     """
-    order = Window.partitionBy(station).orderBy(time, image)
-    apart = F.unix_micros(F.col(time).cast("timestamp")) - F.unix_micros(F.lag(time).over(order).cast("timestamp"))
-    starts = F.when(apart <= int(gap_seconds * 1e6), 0).otherwise(1)
-    return frames.filter(F.col(time).isNotNull()).withColumn("_new", starts).withColumn("event_no", F.sum("_new").over(order)).drop("_new")
+    gap = int(gap_seconds * 1e6)
+    rows = in_blocks(frames.filter(F.col(time).isNotNull()), station, [time, image])
+    at, order = F.unix_micros(F.col(time).cast("timestamp")), inside(station, [time, image])
+    # A block's first row counts as no start here; whether it is one depends on the block before.
+    rows = rows.withColumn("_apart", at - F.lag(at).over(order)).withColumn("_no", F.sum(F.when(F.col("_apart") > gap, 1).otherwise(0)).over(order))
+    ends = rows.groupBy(station, "_block").agg(F.min(at).alias("_first"), F.max(at).alias("_last"), F.max("_no").alias("_more"))
+    starts = F.when(F.col("_first") - F.lag("_last").over(along(station)) <= gap, 0).otherwise(1)
+    before = ends.withColumn("_start", starts).select(station, "_block", (F.sum(F.col("_start") + F.col("_more")).over(along(station)) - F.col("_more")).alias("_before"))
+    return joined(rows, before, station).select(*frames.columns, (F.col("_before") + F.col("_no")).alias("event_no"))
 
 
 def burst_events(frames: DataFrame, gap_seconds: float, station: str = "station_id", time: str = "captured_at", image: str = "image_id") -> DataFrame:
@@ -33,17 +39,23 @@ def filled_timestamps(frames: DataFrame, group: str, order: str, time: str, anch
     """``frames`` with filled_at, source and confidence for frames without time.
 
     Between two known frames the time is interpolated by place; after the last known one it is that one's, before the
-    first known one that one's; in groups without any it is the anchor's.
+    first known one that one's; in groups without any it is the anchor's.  Places and known times are carried over the
+    edges of blocks, so a group with very many frames is many tasks.
     """
-    place = Window.partitionBy(group).orderBy(order)
+    rows = numbered(frames, group, [order])
+    known = F.when(F.col(time).isNotNull(), F.struct(F.col("_i").alias("i"), F.unix_micros(F.col(time).cast("timestamp")).alias("t")))
+    rows = rows.withColumn("_known", known)
+    ends = rows.groupBy(group, "_block").agg(F.min("_known").alias("_low"), F.max("_known").alias("_high"))
+    ends = ends.select(
+        group,
+        "_block",
+        F.last("_high", ignorenulls=True).over(earlier(along(group))).alias("_prev_end"),
+        F.last("_low", ignorenulls=True).over(earlier(along(group, backwards=True))).alias("_next_end"),
+    )
     # What follows is looked up backwards: a frame that only shrinks is computed anew for every row.
-    before = place.rowsBetween(Window.unboundedPreceding, -1)
-    after = Window.partitionBy(group).orderBy(F.col("_i").desc()).rowsBetween(Window.unboundedPreceding, -1)
-    whole = Window.partitionBy(group)
-    known = F.when(F.col(time).isNotNull(), F.struct(F.unix_micros(F.col(time).cast("timestamp")).alias("t"), F.col("_i").alias("i")))
-    df = frames.withColumn("_i", F.row_number().over(place))
-    df = df.withColumn("_prev", F.last(known, ignorenulls=True).over(before)).withColumn("_next", F.last(known, ignorenulls=True).over(after))
-    df = df.withColumn("_any", F.max(F.col(time).isNotNull()).over(whole))
+    before, after = (earlier(inside(group, [c])) for c in (F.col("_i"), F.col("_i").desc()))
+    df = joined(rows, ends, group)
+    df = df.withColumn("_prev", F.coalesce(F.last("_known", ignorenulls=True).over(before), "_prev_end")).withColumn("_next", F.coalesce(F.last("_known", ignorenulls=True).over(after), "_next_end"))
     share = (F.col("_i") - F.col("_prev.i")) / (F.col("_next.i") - F.col("_prev.i"))
     between = F.col("_prev.t") + F.floor((F.col("_next.t") - F.col("_prev.t")) * share).cast("long")
     own = F.unix_micros(F.col(time).cast("timestamp"))
