@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from tracklake.functions import geo, vision
 from tracklake.operators import alerts as rules
-from tracklake.operators import catalogue, changes, effort, evaluation, identity, occupancy, triage
+from tracklake.operators import catalogue, changes, effort, evaluation, identity, occupancy, tiles, triage
 from tracklake.plans import derived as d
 from tracklake.plans import survey
 from tracklake.plans.derived import sql
@@ -30,12 +30,16 @@ def query(text: str | None = None):
 # Matching -------------------------------------------------------------------------------------------------------------
 
 
-def vector_scores(spark: SparkSession, sf: str) -> DataFrame:
-    """Every 50th vector against all others of its side (label parity); labels are the individuals."""
+def sided_vectors(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
+    """Every 50th vector as a query, and all vectors as entries, with a side (label parity); labels are the individuals."""
     e = d.table(spark, sf, "embeddings").withColumn("side", F.col("label") % 2)
     queries = e.filter("vec_id % 50 = 0").select(F.col("vec_id").alias("query_id"), "embedding", "side")
-    entries = e.select(F.col("vec_id").alias("entity_id"), F.col("label").alias("ind_id"), "embedding", "side")
-    return identity.match_scores(queries, entries, "side").filter("query_id <> entity_id").withColumn("score", F.round("score", 4))
+    return queries, e.select(F.col("vec_id").alias("entity_id"), F.col("label").alias("ind_id"), "embedding", "side")
+
+
+def vector_scores(spark: SparkSession, sf: str) -> DataFrame:
+    """Scores of the queries with all others of their side."""
+    return tiles.all_scores(*sided_vectors(spark, sf), "side", digits=4, skip_self=True)
 
 
 _SCORES = """s AS (SELECT q.vec_id AS query_id, e.vec_id AS entity_id, e.label AS ind_id, q.label AS q_label,
@@ -46,18 +50,18 @@ _SCORES = """s AS (SELECT q.vec_id AS query_id, e.vec_id AS entity_id, e.label A
 @query(f"""WITH {_SCORES}, t AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, entity_id) AS rank FROM s)
 SELECT query_id, entity_id, ind_id, score, CAST(rank AS INTEGER) AS rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id, ind_id ORDER BY rank) AS f FROM t WHERE rank <= 5) WHERE f = 1""")
 def vector_topk(spark: SparkSession, sf: str) -> DataFrame:
-    return identity.best_entries(vector_scores(spark, sf), 5)
+    return identity.matched(*sided_vectors(spark, sf), "side", 5, digits=4, skip_self=True)
 
 
 @query(f"""WITH {_SCORES}, t AS (SELECT query_id, ind_id, max(score) AS score FROM s GROUP BY 1, 2)
 SELECT query_id, ind_id, score, CAST(rank AS INTEGER) AS rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, ind_id) AS rank FROM t) WHERE rank <= 5""")
 def vector_dedup(spark: SparkSession, sf: str) -> DataFrame:
-    return identity.best_individuals(vector_scores(spark, sf), 5)
+    return identity.matched_individuals(*sided_vectors(spark, sf), "side", 5, digits=4, skip_self=True)
 
 
 @query(f"""WITH {_SCORES} SELECT query_id, max(score) AS best, CASE WHEN max(score) >= 0.5 THEN 'auto' WHEN max(score) >= 0.3 THEN 'review' ELSE 'enroll' END AS decision FROM s GROUP BY query_id""")
 def decisions(spark: SparkSession, sf: str) -> DataFrame:
-    best = vector_scores(spark, sf).groupBy("query_id").agg(F.max("score").alias("best"))
+    best = tiles.top_entries(*sided_vectors(spark, sf), "side", 1, digits=4, skip_self=True).groupBy("query_id").agg(F.max("score").alias("best"))
     return best.withColumn("decision", vision.decide(F.col("best"), 0.3, 0.5))
 
 

@@ -76,7 +76,7 @@ def queue_counts(spark: SparkSession, sf: str) -> DataFrame:
 @query(f"""WITH {analytics._SCORES}, t AS (SELECT query_id, ind_id, max(score) AS score FROM s GROUP BY 1, 2), r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, ind_id) AS r FROM t)
 SELECT query_id, max(score) AS priority, count(*) AS n FROM r WHERE r <= 3 GROUP BY query_id""")
 def candidate_lists(spark: SparkSession, sf: str) -> DataFrame:
-    best = identity.best_individuals(analytics.vector_scores(spark, sf), 5)
+    best = identity.matched_individuals(*analytics.sided_vectors(spark, sf), "side", 5, digits=4, skip_self=True)
     listed = review.candidate_list(best.select("query_id", "ind_id", "score"), 3)
     return listed.select("query_id", "priority", F.size(F.from_json("candidates", "array<struct<ind_id:long,score:double>>")).cast("long").alias("n"))
 
