@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 from tracklake.functions.text import row_hash
 from tracklake.operators import evaluation, sessions
 from tracklake.sources import exchange, files
-from tracklake.streaming.bursts import merge_batches, streamed_bursts
+from tracklake.sources.tables import TableLog
+from tracklake.streaming.bursts import ClockTable, streamed_bursts
 
 T0 = datetime(2026, 1, 1)
 
@@ -99,12 +100,17 @@ def test_streamed_bursts_equal_batch(spark, tmp_path):
 
 def test_streamed_merge(spark, tmp_path):
     schema = "id long, v string, lamport long, origin string, row_hash string"
-    spark.createDataFrame([(1, "a", 1, "x", "h1")], schema).write.parquet(str(tmp_path / "t/v0"))
+    log = TableLog(spark, str(tmp_path / "tables"))
+    table = ClockTable(log, "things", ["id"], buckets=8)
+    table.merge(spark.createDataFrame([(1, "a", 1, "x", "h1")], schema), -1)  # what was there before the stream
+    table.merge(spark.createDataFrame([(1, "a", 1, "x", "h1")], schema), 0)
+    log.commit([], cursor=("merge:things", {"batch": 0}))
     spark.createDataFrame([(1, "b", 2, "y", "h2"), (2, "c", 1, "y", "h3")], schema).write.parquet(str(tmp_path / "in"))
-    query = spark.readStream.schema(schema).parquet(str(tmp_path / "in")).writeStream.foreachBatch(merge_batches(str(tmp_path / "t"), ["id"], ["v"])).option("checkpointLocation", str(tmp_path / "cp")).start()
+    stream = spark.readStream.schema(schema).parquet(str(tmp_path / "in"))
+    query = stream.writeStream.foreachBatch(lambda batch, number: table.merge(batch, number + 1)).option("checkpointLocation", str(tmp_path / "cp")).start()
     query.processAllAvailable()
     query.stop()
-    assert sorted((r["id"], r["v"]) for r in spark.read.parquet(str(tmp_path / "t/v1")).collect()) == [(1, "b"), (2, "c")]
+    assert sorted((r["id"], r["v"]) for r in table.rows().collect()) == [(1, "b"), (2, "c")]
 
 
 def test_package_descriptor_and_empty_tables(spark, tmp_path):

@@ -49,21 +49,46 @@ def superseded(old: DataFrame, new: DataFrame, subject: str, key: str) -> DataFr
     return closed.select(*old.columns).unionByName(new.withColumn("superseded_by", F.lit(None).cast(old.schema["superseded_by"].dataType)).select(*old.columns))
 
 
+def _clock(prefix: str = "") -> Column:
+    """What decides between two versions of a row: null clocks count as 0, null origins as empty."""
+    return F.struct(F.coalesce(F.col(f"{prefix}lamport"), F.lit(0)), F.coalesce(F.col(f"{prefix}origin"), F.lit("")))
+
+
+def newest_by_clock(rows: DataFrame, key: list[str]) -> DataFrame:
+    """One row a key: that of the greatest (lamport, origin), then row_hash."""
+    whole = F.max_by(F.struct(*rows.columns), F.struct(_clock(), F.coalesce("row_hash", F.lit(""))))
+    return rows.groupBy(*key).agg(whole.alias("_row")).select(*[F.col("_row")[c].alias(c) for c in rows.columns])
+
+
 def merged_by_clock(local: DataFrame, remote: DataFrame, key: list[str], columns: list[str]) -> DataFrame:
     """Last writer wins: for each key the row with the greater (lamport, origin), with outcome inserted, unchanged or conflict_resolved.
 
-    Null clocks count as 0, null origins as empty.  Keys only in ``local`` come with outcome kept.
+    Of several remote rows of a key the newest counts.  Null clocks count as 0, null origins as empty.  Keys only in
+    ``local`` come with outcome kept.
     """
-    out = remote.select(*[F.col(c).alias(f"r_{c}") for c in remote.columns])
+    out = newest_by_clock(remote, key).select(*[F.col(c).alias(f"r_{c}") for c in remote.columns])
     joined = local.join(out, [F.col(k).eqNullSafe(F.col(f"r_{k}")) for k in key], "full")
-    clock = lambda p: F.struct(F.coalesce(F.col(f"{p}lamport"), F.lit(0)), F.coalesce(F.col(f"{p}origin"), F.lit("")))
     here, there = F.col("row_hash").isNotNull(), F.col("r_row_hash").isNotNull()
     outcome = F.when(~there, "kept").when(~here, "inserted").when(F.col("row_hash") == F.col("r_row_hash"), "unchanged").otherwise("conflict_resolved")
-    remote_wins = there & (~here | (clock("r_") > clock("")) & (F.col("row_hash") != F.col("r_row_hash")))
+    remote_wins = there & (~here | (_clock("r_") > _clock()) & (F.col("row_hash") != F.col("r_row_hash")))
     pick = lambda c: F.when(remote_wins, F.col(f"r_{c}")).otherwise(F.col(c)).alias(c)
     return joined.select(*[pick(c) for c in [*key, *columns, "lamport", "origin", "row_hash"]], outcome.alias("outcome"))
 
 
+def folded_by_clock(versions: DataFrame, key: list[str], order: str) -> DataFrame:
+    """One row a key: what merging its versions by ``merged_by_clock`` one after the other, by ``order``, leaves.
+
+    A version takes the place of the one before it if its content differs and its (lamport, origin) is greater.
+    """
+    fields = [c for c in versions.columns if c not in (*key, order)]
+    ordered = F.array_sort(F.collect_list(F.struct(F.col(order).alias("_at"), *fields)))
+    each = versions.groupBy(*key).agg(ordered.alias("_v"))
+    clock = lambda v: F.struct(F.coalesce(v["lamport"], F.lit(0)), F.coalesce(v["origin"], F.lit("")))
+    wins = lambda old, new: (new["row_hash"] != old["row_hash"]) & (clock(new) > clock(old))
+    last = F.aggregate(F.slice("_v", 2, F.greatest(F.size("_v") - 1, F.lit(0))), F.col("_v")[0], lambda old, new: F.when(wins(old, new), new).otherwise(old))
+    return each.withColumn("_row", last).select(*key, *[F.col("_row")[c].alias(c) for c in fields])
+
+
 def rows_since(df: DataFrame, lamport: int) -> DataFrame:
     return df.filter(F.col("lamport") > lamport)
 
