@@ -34,7 +34,7 @@ def test_stations_in_and_out(spark, tmp_path):
     (tmp_path / "s.csv").write_text("ID,Latitude,longitude,Zone,make\nS1,21.5,79.2,Buffer,Cam\nS2,0,79.2,core,\nS3,21.5,79.3,nowhere,\n,1,1,core,\n")
     good, errors = exchange.stations_from_csv(spark, str(tmp_path / "s.csv"))
     assert sorted((r["station_id"], r["zone"], r["village_dist_km"]) for r in good.collect()) == [("S1", "buffer", 5.0), ("S3", "core", 5.0)]
-    assert sorted(r["error"] for r in errors.collect()) == ["no id", "no valid position"]
+    assert sorted((r["row"], r["error"]) for r in errors.collect()) == [(2, "no valid position"), (4, "no id")]
     features = [json.loads(r["feature"]) for r in exchange.station_features(good).collect()]
     features.append({"type": "Feature", "geometry": {"type": "LineString", "coordinates": [[1, 2], [3, 4]]}, "properties": {}})
     (tmp_path / "s.geojson").write_text(json.dumps({"type": "FeatureCollection", "features": features}))
@@ -44,6 +44,24 @@ def test_stations_in_and_out(spark, tmp_path):
         exchange.export_mstripes()
 
 
+def test_rows_in_error_are_numbered_in_a_file_of_many_blocks(spark, tmp_path):
+    lines = ["station_id,lat,lon,village_dist_km,serial,folder_hint"] + [f"S{i},{0 if i % 50 == 3 else 21.5},79.2,{'far' if i % 70 == 5 else ''},C{i},{'' if i % 2 else 'F'}" for i in range(1, 401)]
+    (tmp_path / "s.csv").write_text("\n".join(lines) + "\n")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "1500b")
+    try:
+        good, errors = exchange.stations_from_csv(spark, str(tmp_path / "s.csv"))
+        assert good.rdd.getNumPartitions() >= 1
+        want = {i: "no valid position" for i in range(1, 401) if i % 50 == 3} | {i: "no valid distance" for i in range(1, 401) if i % 70 == 5 and i % 50 != 3}
+        assert {r["row"]: r["error"] for r in errors.collect()} == want
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    one = {r["station_id"]: r for r in good.collect()}
+    assert one["S1"]["folder_hint"] == "S1" and one["S2"]["folder_hint"] == "F" and one["S2"]["camera_serial"] == "C2" and one["S2"]["grid_cell"] is None
+    features = [{"type": "Feature", "id": "a", "geometry": {"type": "Point", "coordinates": [79.2, 21.5]}, "properties": {}}, {"type": "Feature", "geometry": {"type": "Polygon", "coordinates": []}, "properties": {}}, {"type": "Feature", "id": "b", "geometry": {"type": "Point", "coordinates": [79.2, 0]}, "properties": {}}]
+    (tmp_path / "s.geojson").write_text(json.dumps({"type": "FeatureCollection", "features": features}))
+    assert [(r["row"], r["error"]) for r in exchange.stations_from_geojson(spark, str(tmp_path / "s.geojson"))[1].collect()] == [(3, "no valid position")]
+
+
 def test_range_exports_hide_positions(spark):
     occ = spark.createDataFrame([(1, 2, [3, 4], "POLYGON((1.0 2.0, 3.0 4.0, 5.0 1.0, 1.0 2.0))", 9.5, 2.0, 3.0, 7, 1.5, None), (1, 3, [], None, None, None, None, 0, 0.0, "no captures this cycle")], "run_id int, ind_id long, station_set array<long>, hull_wkt string, area_km2 double, centroid_lat double, centroid_lon double, event_count long, effort_days double, insufficient_reason string")
     shown, hidden = ([json.loads(r["feature"]) for r in exchange.range_features(occ, w).collect()] for w in (True, False))
@@ -62,22 +80,53 @@ def test_package(spark):
     shown = {r["mediaID"]: (r["deploymentID"], r["filePublic"]) for r in tables["media"].collect()}
     assert shown == {1: (10, True), 2: (11, False), 4: (10, True), 5: (10, True)}
     seen = {r["observationID"]: (r["observationType"], r["scientificName"], r["classificationProbability"]) for r in tables["observations"].collect()}
-    assert seen == {"100": ("animal", "Panthera tigris", 0.8), "101": ("unclassified", None, None), "blank-4": ("blank", None, None)}
-
-
-def test_bundle_round_trip_and_tampering(spark, tmp_path):
-    rows = spark.createDataFrame([(i, f"v{i}", i) for i in range(20)], "id long, v string, lamport long").withColumn("row_hash", row_hash("id", "v"))
-    signed = exchange.write_bundle({"t": rows}, 9, str(tmp_path / "b"), b"secret")
-    read = lambda at, s: exchange.read_bundle(spark, at, ["t"], 9, s, b"secret", {"t": ["id", "v"]})["t"]
-    assert read(str(tmp_path / "b"), signed).count() == 10
-    with pytest.raises(ValueError):
-        read(str(tmp_path / "b"), "")
-    spark.read.parquet(str(tmp_path / "b/t")).withColumn("v", F.lit("x")).write.parquet(str(tmp_path / "c/t"))
-    with pytest.raises(ValueError):
-        read(str(tmp_path / "c"), signed)
-    spark.read.parquet(str(tmp_path / "b/t")).filter("id <> 12").write.parquet(str(tmp_path / "e/t"))
-    with pytest.raises(ValueError):
-        read(str(tmp_path / "e"), signed)
+    assert seen == {"100": ("animal", "Panthera tigris", 0.8), "101": ("unclassified", None, None), "blank_4": ("blank", None, None)}
+    far = exchange.camera_trap_package(stations, activity, media, detections, F.lit(T0 + timedelta(days=30)), include_locations=False)
+    ends = {r["deploymentID"]: (r["deploymentEnd"], r["latitude"], r["locationName"]) for r in far["deployments"].collect()}
+    assert ends == {10: (T0 + timedelta(days=5), None, "S1"), 11: (T0 + timedelta(days=30), None, "S1")}
+    assert {r["mediaID"]: r["fileName"] for r in exchange.camera_trap_package(stations, activity, media.withColumn("path", F.concat(F.lit("/a/b/"), "path")), detections)["media"].collect()}[1] == "p1"
+
+
+def test_bundle_round_trip_and_tampering(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(exchange, "ROWS_PER_LEAF", 4)
+    monkeypatch.setattr(exchange, "CHILDREN", 3)
+    rows = spark.createDataFrame([(i, f"v{i}", i, None if i % 3 else 0.5 * i) for i in range(120)], "id long, v string, lamport long, x double").withColumn("row_hash", row_hash("id", "v"))
+    keys, secret = {"t": ["id"], "empty": ["id"]}, b"secret"
+    signed = exchange.write_bundle({"t": rows, "empty": rows.limit(0)}, 9, str(tmp_path / "b"), secret, keys)
+    audit = lambda at, s=signed, key=secret: exchange.audited_bundle(spark, at, ["t", "empty"], 9, s, key, keys)
+    sound = exchange.read_bundle(spark, str(tmp_path / "b"), ["t", "empty"], 9, signed, secret, keys)
+    assert sound["t"].count() == 110 and sound["empty"].count() == 0
+    for s, key in (("", secret), (signed, b"other"), (exchange.signature({"t": [1, ""]}, 9, b"other"), secret)):
+        with pytest.raises(ValueError, match="signature"):
+            audit(str(tmp_path / "b"), s, key)
+    leaves, t = 110 // 4, spark.read.parquet(str(tmp_path / "b/t"))
+    where = {r["id"]: r["node"] for r in t.select("id", (F.conv(F.substring(F.sha2(exchange._json(["id"]), 256), 1, 12), 16, 10).cast("decimal(20,0)") * leaves / F.lit(1 << 48)).cast("long").alias("node")).collect()}
+    other = F.when(F.col("id") == 30, "v31").when(F.col("id") == 31, "v30").otherwise(F.col("v"))
+    damage = {
+        "replaced": (t.withColumn("v", F.when(F.col("id") == 50, "x").otherwise(F.col("v"))), {50}, 0),
+        "clock": (t.withColumn("lamport", F.when(F.col("id") == 50, 999).otherwise(F.col("lamport"))), {50}, 0),
+        "lost": (t.filter("id <> 12"), {12}, -1),
+        "repeated": (t.union(t.filter("id = 77")), {77}, 1),
+        "swapped": (t.withColumn("v", other).withColumn("row_hash", row_hash("id", "v")), {30, 31}, 0),
+        "added": (t.union(t.filter("id = 20").withColumn("id", F.lit(10).cast("long"))), {10}, 1),
+    }
+    for name, (df, ids, more) in damage.items():
+        at = str(tmp_path / name)
+        df.write.parquet(f"{at}/t")
+        for part in ("empty", "_trees/t", "_trees/empty"):
+            spark.read.parquet(str(tmp_path / "b" / part)).write.parquet(f"{at}/{part}")
+        spark.read.text(str(tmp_path / "b/_trees/_roots")).write.text(f"{at}/_trees/_roots")
+        found = audit(at).collect()
+        assert {r["node"] for r in found} == {where[i] for i in ids} and {r["table"] for r in found} == {"t"}, name
+        assert sum(r["found_rows"] - r["signed_rows"] for r in found) == more
+        with pytest.raises(ValueError, match="t range"):
+            exchange.read_bundle(spark, at, ["t", "empty"], 9, signed, secret, keys)
+    # A forged tree for other rows does not lead to the signed root.
+    at = str(tmp_path / "replaced")
+    forged = exchange.tree_of(spark.read.parquet(f"{at}/t"), "t", ["id"], b"guess", leaves)
+    forged.write.mode("overwrite").parquet(f"{at}/_trees/t")
+    with pytest.raises(ValueError, match="tree of t"):
+        audit(at)
 
 
 def test_streamed_bursts_equal_batch(spark, tmp_path):

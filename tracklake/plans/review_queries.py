@@ -195,19 +195,36 @@ def station_match(spark: SparkSession, sf: str) -> DataFrame:
 
 def package(spark: SparkSession, sf: str) -> dict[str, DataFrame]:
     c = d.captures(spark, sf)
-    media = c.select("image_id", "station_id", "captured_at", F.when(F.col("k") == 0, "person").when(F.col("k") < 10, "blank").otherwise("animal").alias("status"), F.concat(F.lit("img/"), F.col("image_id").cast("string")).alias("path"))
-    detections = c.filter("k >= 10").select("image_id", (F.col("image_id") * 10).alias("det_id"), F.when(F.col("k") < 90, "animal").otherwise("odd").alias("label"), F.when(F.col("side") == "L", "tiger").otherwise("deer").alias("species"), F.col("confidence").alias("conf"), F.lit(0.0).alias("assign_confidence"))
-    return exchange.camera_trap_package(d.stations(spark), d.activity(spark), media, detections)
-
-
-@query(sql("""SELECT CASE WHEN k >= 10 THEN CAST(image_id * 10 AS VARCHAR) ELSE 'blank-' || image_id END AS "observationID", station_id AS "deploymentID", image_id AS "mediaID", captured_at AS "eventStart",
-CASE WHEN k < 10 THEN 'blank' WHEN k < 90 THEN 'animal' ELSE 'unclassified' END AS "observationType", CASE WHEN k >= 10 THEN CASE WHEN side = 'L' THEN 'Panthera tigris' ELSE 'deer' END END AS "scientificName",
-CASE WHEN k >= 10 THEN confidence END AS "classificationProbability" FROM captures WHERE k >= 10 OR k BETWEEN 1 AND 9"""))
+    k, image = F.col("k"), F.col("image_id").cast("string")
+    media = c.select("image_id", "station_id", "captured_at", F.when(k == 0, "person").when(k < 10, "blank").otherwise("animal").alias("status"), F.concat(F.lit("img/"), image, F.lit(".jpg")).alias("path"))
+    label = F.when(k < 70, "animal").when(k < 80, "person").when(k < 85, "vehicle").when(k < 90, "blank").otherwise("odd")
+    detections = c.filter("k >= 10").select(
+        "image_id",
+        (F.col("image_id") * 10).alias("det_id"),
+        label.alias("label"),
+        F.when(F.col("side") == "L", "tiger").when(k < 60, "deer").otherwise("").alias("species"),
+        F.col("confidence").alias("conf"),
+        F.when(k % 4 == 0, 0.75).otherwise(0.0).alias("assign_confidence"),
+        F.when(k % 3 == 0, F.concat(F.lit("ev_"), F.col("station_id").cast("string"))).alias("event_id"),
+        F.when(k < 70, F.col("ind_id")).alias("ind_id"),
+        F.when(k % 8 == 0, "human").otherwise("embed").alias("assign_method"),
+    )
+    activity = d.activity(spark).withColumn("note", F.when(F.col("station_id") % 2 == 0, "by the road"))
+    return exchange.camera_trap_package(d.stations(spark), activity, media, detections, F.lit("2024-02-01").cast("timestamp_ntz"))
+
+
+@query(sql("""SELECT CASE WHEN k >= 10 THEN CAST(image_id * 10 AS VARCHAR) ELSE 'blank_' || image_id END AS "observationID", station_id AS "deploymentID", image_id AS "mediaID",
+CASE WHEN k >= 10 AND k % 3 = 0 THEN 'ev_' || station_id END AS "eventID", captured_at AS "eventStart", captured_at AS "eventEnd", 'media' AS "observationLevel",
+CASE WHEN k < 10 THEN 'blank' WHEN k < 70 THEN 'animal' WHEN k < 80 THEN 'human' WHEN k < 85 THEN 'vehicle' ELSE 'unclassified' END AS "observationType",
+CASE WHEN k >= 10 THEN CASE WHEN side = 'L' THEN 'Panthera tigris' WHEN k < 60 THEN 'deer' END END AS "scientificName", CASE WHEN k >= 10 THEN 1 END AS count,
+CASE WHEN k BETWEEN 10 AND 69 THEN CAST(ind_id AS VARCHAR) END AS "individualID", CASE WHEN k >= 10 AND k % 8 = 0 THEN 'human' ELSE 'machine' END AS "classificationMethod",
+CASE WHEN k < 10 THEN NULL WHEN k % 4 = 0 THEN 0.75::DOUBLE ELSE nullif(confidence, 0) END AS "classificationProbability" FROM captures WHERE k >= 1"""))
 def package_observations(spark: SparkSession, sf: str) -> DataFrame:
     return package(spark, sf)["observations"]
 
 
-@query(sql("""SELECT image_id AS "mediaID", station_id AS "deploymentID", captured_at AS "timestamp", 'img/' || image_id AS "filePath", k <> 0 AS "filePublic" FROM captures"""))
+@query(sql("""SELECT image_id AS "mediaID", station_id AS "deploymentID", captured_at AS "timestamp", 'img/' || image_id || '.jpg' AS "filePath", k <> 0 AS "filePublic",
+image_id || '.jpg' AS "fileName", 'image/jpeg' AS "fileMediatype" FROM captures"""))
 def package_media(spark: SparkSession, sf: str) -> DataFrame:
     return package(spark, sf)["media"]
 
