@@ -12,7 +12,10 @@ from pyspark.sql import functions as F
 from tracklake.config import SETTINGS
 from tracklake.functions import geo
 from tracklake.functions.text import short_id
+from tracklake.operators import effort
 from tracklake.operators.effort import in_reserves
+from tracklake.operators.occupancy import occupancy
+from tracklake.operators.sessions import burst_sessions, cycle_periods
 from tracklake.storage import checkpointed
 
 A = SETTINGS.alerts
@@ -180,3 +183,31 @@ def alerts(h: DataFrame, stations: DataFrame, days: DataFrame, runs: DataFrame,
     for r in rules[1:]:
         out = out.unionByName(r)
     return finalised(out)
+
+
+def survey_alerts(captures: DataFrame, stations: DataFrame, activity: DataFrame, runs: DataFrame, gap_seconds: float = SETTINGS.burst_gap_seconds) -> DataFrame:
+    """All alerts of a survey from its captures (image_id, run_id, ind_id, station_id, captured_at, confidence), for all reserves and runs at once.
+
+    Events, home ranges, effort and coverage are found on the way, each once.  Stations, activity and runs have a
+    reserve_id where there are several reserves; a capture without individual, station or time takes no part.
+    """
+    runs, stations, activity = checkpointed(in_reserves(runs).select("run_id", "reserve_id", "started_at")), checkpointed(in_reserves(stations)), in_reserves(activity)
+    known = captures.filter("ind_id is not null and station_id is not null")
+    events = checkpointed(
+        burst_sessions(known, gap_seconds).groupBy("run_id", "ind_id", "station_id", "event_no")
+        .agg(F.min("captured_at").alias("started_at"), F.max("captured_at").alias("ended_at"))
+    )
+    periods = checkpointed(cycle_periods(runs, A.default_cycle_days))
+    days = checkpointed(effort.station_days(activity, periods))
+    used = checkpointed(events.groupBy("run_id", "ind_id", "station_id").agg(F.countDistinct("event_no").alias("event_count")))
+    occupied = occupancy(used, stations, days.select("station_id", "run_id", "days"), used.limit(0)).filter("event_count > 0").select("run_id", "ind_id", "station_set", "centroid_lat", "centroid_lon", "event_count")
+    trust = known.groupBy("run_id", "ind_id").agg(F.round(F.avg("confidence"), 3).alias("id_conf"))
+    own = runs.select("run_id", "reserve_id", F.col("started_at").alias("own_at"))
+    later = runs.select(F.col("run_id").alias("later_run"), F.col("reserve_id").alias("later_reserve"), "started_at")
+    follows = own.join(later, (F.col("reserve_id") == F.col("later_reserve")) & (F.col("started_at") > F.col("own_at"))).select("run_id", "later_run")
+    earlier = used.join(follows, "run_id").select(F.col("later_run").alias("run_id"), "ind_id", "station_id").distinct()
+    coverages = effort.coverage(earlier, days, periods)
+    buffers = stations.filter("zone = 'buffer'").select("station_id", "reserve_id").join(runs.select("run_id", "reserve_id"), "reserve_id").select("run_id", F.lit(-1).cast("long").alias("ind_id"), "station_id")
+    ratio = effort.coverage(buffers, days, periods).select("run_id", F.col("coverage").alias("ratio"))
+    frame = history(occupied, runs, stations, trust, coverages)
+    return alerts(frame, stations, days, runs, transits(events, stations, ["run_id", "ind_id"]), ratio)
