@@ -72,9 +72,10 @@ def test_tables_merge_and_restore(spark):
 
 
 def test_weak_passwords_and_names(spark):
-    df = spark.createDataFrame([("u", "short"), ("ranger", "xxRANGERxx12"), ("u2", "aaaabbbbcccc"), ("q", "long enough 42")], "u string, p string")
+    df = spark.createDataFrame([("u", "short"), ("ranger", "xxRANGERxx12"), ("u2", "..ChangeMe!?"), ("u3", "12345678"), ("q", "long enough 42"), ("", "another one 7")], "u string, p string")
     got = [r["w"] for r in df.select(lists.weak_password(F.col("p"), F.col("u")).alias("w")).collect()]
-    assert got == [["too short"], ["holds the user name"], ["too few different characters"], []]
+    assert got == [["too short"], ["holds the user name"], ["too common"], ["too short", "too common"], [], []]
+    assert [r["c"] for r in spark.createDataFrame([(" ab-cd 12 ",), ("AB CD12",)], "c string").select(lists.recovery_code(F.col("c")).alias("c")).collect()] == ["ABCD12", "ABCD12"]
     assert lists.by_name(df, "u", ("p",)).columns == ["u"]
 
 
@@ -82,3 +83,18 @@ def test_file_name_times(spark):
     names = ["IMG_20260102_030405.JPG", "2026-01-02 03:04:05.jpg", "x2026_01_02T03-04-05", "20261302_030405", "short_2026"]
     got = [r["t"] for r in spark.createDataFrame([(n,) for n in names], "n string").select(text.filename_timestamp(F.col("n")).alias("t")).collect()]
     assert got[:3] == [datetime(2026, 1, 2, 3, 4, 5)] * 3 and got[3:] == [None, None]
+
+
+def test_annotation_files(spark, tmp_path):
+    import json
+
+    from tracklake.sources import files
+
+    told = {"images": [{"id": f"i{n}", "file_name": f"{n}.jpg", "location": 7 + n, "date_captured": None if n else "2024-01-01 00:00:00"} for n in range(5)],
+            "annotations": [{"image_id": "i0", "category_id": 30}, {"image_id": "i1", "category_id": 30}, {"image_id": "i1", "category_id": 5}, {"image_id": "i2", "category_id": 4}]}
+    (tmp_path / "a.json").write_text(json.dumps(told, indent=1))
+    images, marks = files.annotations(spark, str(tmp_path / "a.json"))
+    got = {r["image_id"]: (r["station_id"], r["captured_at"], r["is_animal"]) for r in lists.image_truth(images, marks).collect()}
+    assert got == {"i0": ("7", "2024-01-01 00:00:00", False), "i1": ("8", "", True), "i2": ("9", "", True), "i3": ("10", "", True), "i4": ("11", "", True)}
+    there = spark.createDataFrame([("1.jpg", "/b/1.jpg"), ("1.jpg", "/a/1.jpg"), ("9.jpg", "/a/9.jpg")], "name string, path string")
+    assert [(r["id"], r["orig_path"]) for r in files.found_images(images, there).collect()] == [("i1", "/a/1.jpg")]

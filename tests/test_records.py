@@ -119,3 +119,12 @@ def test_hull_overlap(spark):
     one = spark.range(1)
     got = one.select(geo.shoelace(geo.clipped(square, shifted)), geo.overlap(square, shifted), geo.overlap(square, inner), geo.overlap(inner, square), geo.overlap(square, far), geo.overlap(square, line), geo.overlap(square, square)).first()
     assert [round(v, 9) for v in got] == [1.0, 0.25, 1.0, 1.0, 0.0, 0.0, 1.0]
+
+
+def test_of_several_updates_of_a_key_the_same_wins(spark):
+    images = spark.createDataFrame([(1, "old", None, 5, "h", None)], "image_id long, status string, triage_stage string, lamport long, row_hash string, synced_at timestamp")
+    updates = [(1, s, None) for s in "prsqab"]
+    for parts in (1, 3, 6):
+        df = spark.createDataFrame(updates, "image_id long, status string, triage_stage string").repartition(parts)
+        assert records.with_status(images, df, 7, ["image_id", "status"]).first()["status"] == "s"
+        assert records.set_many(images, df.select("image_id", "status"), "image_id").first()["status"] == "s"

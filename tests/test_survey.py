@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from tracklake.functions import geo, vision
 from tracklake.functions.text import exif_timestamp, filename_timestamp, json_list, plausible
-from tracklake.operators import alerts, changes, effort, evaluation, identity, occupancy, sessions, triage
+from tracklake.operators import alerts, changes, effort, evaluation, identity, occupancy, review, sessions, tiles, triage
 
 BASE = datetime(2026, 1, 1)
 
@@ -146,7 +146,7 @@ def test_matching_by_blocks_equals_broadcast(spark, monkeypatch):
     entries = spark.createDataFrame([(i, i % 5, vector(), "LR"[i % 2]) for i in range(60)], "entity_id long, ind_id long, embedding array<float>, side string")
     queries = spark.createDataFrame([(i, vector(), "LR"[i % 2]) for i in range(6)], "query_id long, embedding array<float>, side string")
     wide = sorted(tuple(r) for r in identity.match_scores(queries, entries, "side").collect())
-    monkeypatch.setattr(identity, "MAX_BROADCAST_ROWS", 3)
+    monkeypatch.setattr(tiles, "MAX_BROADCAST_BYTES", 3)
     assert sorted(tuple(r) for r in identity.match_scores(queries, entries, "side").collect()) == wide and len(wide) == 180
 
 
@@ -164,14 +164,44 @@ def test_fuzzy_stations_equal_brute_force(spark):
         return row[-1]
 
     want = {}
-    for n in names:
-        d, s = min((edits(n.upper(), m.upper()), i) for i, m in stations)
+    for n in filter(None, names):
+        d, s = min((edits(n.upper(), hint.upper()), i) for i, m in stations for hint in (str(i), m) if hint)
         if d <= 2:
             want[n] = (s, d)
     got = identity.fuzzy_station(spark.createDataFrame([(n,) for n in names], "name string"), spark.createDataFrame(stations, "station_id long, station_name string")).collect()
     assert {r["name"]: (r["station_id"], r["distance"]) for r in got} == want
 
 
+def test_stations_called_by_three_hints(spark):
+    stations = [(9, "PNC-009", "North Pond", "stn_north", "R", 2), (3, "ZZ", "North Pont", None, "R", 1), (4, "", "", "", "R", 0), (5, "PNC-009", "x", "x", "Q", 0)]
+    df = spark.createDataFrame(stations, "station_id long, name string, station_name string, folder_hint string, reserve_id string, place int")
+    ask = lambda *n: spark.createDataFrame([("R", x) for x in n], "reserve_id string, name string")
+    got = {r["name"]: (r["station_id"], r["distance"]) for r in identity.fuzzy_station(ask("pnc009", "STN NORT", "northpond", "North Pon", "nothing like it", "", "--", "9"), df, group="reserve_id", place="place").collect()}
+    # The hint, the exact name although another station comes first, the first by place on a tie, the id itself.
+    assert got == {"pnc009": (9, 0), "STN NORT": (9, 1), "northpond": (9, 0), "North Pon": (3, 1), "9": (9, 0)}
+    folders = ask("PNC_0009", "North Pond", "nowhere").withColumnRenamed("name", "folder")
+    none = F.lit(None).cast("string")
+    file = {"folder": F.col("folder"), "file_name": none, "serial": none, "body": none, "time": none}
+    station = {"folder_hint": F.col("folder_hint"), "name": F.col("station_name"), "serial": none, "body": none, "active_from": none, "active_to": none}
+    found = {r["folder"]: (r["station_id"], r["score"], r["signal"]) for r in review.best_station_match(folders, df, identity.station_score(file, station), 0.36).collect()}
+    assert found == {"PNC_0009": (9, 0.65, "folder_fuzzy"), "North Pond": (3, 0.36, "signals")}
+
+
+def test_routes_and_what_they_change(spark):
+    rows = [(1, 10, "animal", 0.9), (1, 11, "person", 0.3), (1, 12, "person", 0.4), (2, 20, "vehicle", 0.5), (2, 21, "animal", 0.99), (3, 30, "animal", 0.7), (3, 31, "animal", 0.7), (4, 40, "odd", 0.9)]
+    boxes = spark.createDataFrame([(*r, 0.1, 0.2, 0.3, r[1] / 100) for r in rows], "image_id long, det_id long, label string, conf double, x double, y double, w double, h double").repartition(4)
+    images = spark.createDataFrame([(i, "r1", f"p{i}", 5 * i) for i in range(1, 7)], "image_id long, run_id string, orig_path string, bytes long")
+    got = {r["image_id"]: (r["route"], r["conf"], r["best"]["det_id"] if r["best"] else None) for r in triage.routed(boxes, images).collect()}
+    assert got == {1: ("person", 0.4, 12), 2: ("vehicle", 0.5, 20), 3: ("animal", 0.7, 30), 4: ("blank", None, None), 5: ("blank", None, None), 6: ("blank", None, None)}
+    held = spark.createDataFrame([(5, None), (6, day(0))], "image_id long, restored_at timestamp")
+    changed = triage.route_changes(triage.routed(boxes, images), images, held, "m@1", 0.2, F.lit(day(1)))
+    assert {r["image_id"]: r["status"] for r in changed["images"].collect()} == {1: "person", 2: "vehicle", 3: "subject", 4: "blank", 5: "blank", 6: "blank"}
+    assert sorted((r["image_id"], r["bytes"], r["restored_at"]) for r in changed["quarantine"].collect()) == [(4, 20, None), (6, 30, None)]
+    assert [(r["image_id"], r["det_id"], r["conf"]) for r in changed["persons_restricted"].collect()] == [(1, 12, 0.4)]
+    again = triage.route_changes(triage.routed(boxes, images), images, held.unionByName(changed["quarantine"].select("image_id", "restored_at")), "m@1", 0.2, F.lit(day(1)))
+    assert again["quarantine"].isEmpty()
+
+
 def test_station_score(spark):
     lit = lambda v: F.lit(v)
     file = {"folder": lit("PNC001"), "file_name": lit("IMG_1.JPG"), "serial": lit("CB88902"), "body": lit("Cam X"), "time": lit("2026-02-01")}

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tracklake.functions.text import json_list
@@ -183,3 +183,31 @@ def evenly_spaced(frames: DataFrame, group: str, order: str, most: int) -> DataF
     j = F.expr(f"(_i * {most - 1} + greatest(_n - 2, 0)) div greatest(_n - 1, 1)")
     taken = (F.col("_n") <= most) | (F.expr(f"(_j * (_n - 1)) div {most - 1}") == F.col("_i"))
     return rows.withColumn("_j", j).filter(taken).select(*frames.columns)
+
+
+def open_until(rows: DataFrame, column: str, until: Column) -> DataFrame:
+    """Rows whose time is not after ``until``; those without a time count as before it."""
+    return rows.filter(F.col(column).isNull() | (F.col(column) <= until))
+
+
+def eligible_or_seen(eligible: DataFrame, seen: DataFrame, key: str = "ind_id") -> DataFrame:
+    """The individuals of either table, each once."""
+    return eligible.select(key).union(seen.select(key)).distinct()
+
+
+def latest_of(rows: DataFrame, key: str, time: str, first: str) -> DataFrame:
+    """key, ``first`` and ``time`` of each key's newest row, of equal times the greatest ``first``."""
+    return rows.groupBy(key).agg(F.max_by(first, F.struct(time, first)).alias(first), F.max(time).alias(time))
+
+
+def prior_centroids(runs: DataFrame, occupancy: DataFrame) -> DataFrame:
+    """run_id, ind_id, prior_lat, prior_lon: the centroids of the run of the same reserve that started before, where there is one."""
+    order = Window.partitionBy("reserve_id").orderBy("started_at", "run_id")
+    prior = runs.select("run_id", F.lag("run_id").over(order).alias("_prior"))
+    known = occupancy.filter("centroid_lat is not null and centroid_lon is not null")
+    return prior.join(known.select(F.col("run_id").alias("_prior"), "ind_id", F.col("centroid_lat").alias("prior_lat"), F.col("centroid_lon").alias("prior_lon")), "_prior").drop("_prior")
+
+
+def station_activity(activity: DataFrame, stations: DataFrame) -> DataFrame:
+    """Intervals of activity with their station's name and place, by name and start."""
+    return activity.join(stations.select("station_id", "name", "lat", "lon"), "station_id").orderBy("name", "start_date", "activity_id")

@@ -129,12 +129,42 @@ def reserves_of(runs: DataFrame, run_ids: DataFrame) -> DataFrame:
     return runs.join(hit, "reserve_id", "left_semi").orderBy("started_at", "run_id")
 
 
-def weak_password(password: Column, username: Column, least: int = 10) -> Column:
-    """Reasons why a password is weak; an empty list if there is none."""
+#: Passwords that anyone would guess.
+WEAK_PASSWORDS = ("password", "tiger", "reserve", "12345678", "123456789", "qwertyuiop", "changeme", "letmein", "welcome")
+
+
+def weak_password(password: Column, username: Column, least: int = 10, weak: tuple[str, ...] = WEAK_PASSWORDS) -> Column:
+    """Reasons why a password is weak; an empty list if there is none.  ``weak`` words count with signs around them too."""
     low = F.lower(password)
+    bare = F.regexp_replace(low, r"^\p{Punct}+|\p{Punct}+$", "")
     reasons = [
         F.when(F.char_length(password) < least, "too short"),
+        F.when(low.isin(*weak) | bare.isin(*weak), "too common"),
         F.when((F.char_length(username) > 0) & F.contains(low, F.lower(username)), "holds the user name"),
-        F.when(F.size(F.array_distinct(F.split(password, ""))) < 5, "too few different characters"),
     ]
     return F.array_compact(F.array(*reasons))
+
+
+def recovery_code(code: Column) -> Column:
+    """A code as it is compared: upper case, without blanks and hyphens."""
+    return F.regexp_replace(F.upper(F.trim(code)), "[ -]", "")
+
+
+def images_of_run(images: DataFrame, run_id) -> DataFrame:
+    """A run's images by station and time."""
+    return images.filter(F.col("run_id") == F.lit(run_id)).orderBy("station_id", "captured_at", "image_id")
+
+
+def audit_tail(log: DataFrame, limit: int = 200) -> DataFrame:
+    """The newest entries of the audit log."""
+    return log.orderBy(F.col("log_id").desc()).limit(limit)
+
+
+def recent_failures(items: DataFrame, limit: int = 25) -> DataFrame:
+    """The newest failed items, of all jobs."""
+    return items.filter("state = 'failed'").orderBy(F.col("updated_at").desc(), "job_id", "item_id").limit(limit)
+
+
+def latest_runs(runs: DataFrame) -> DataFrame:
+    """The newest run of every reserve."""
+    return runs.groupBy("reserve_id").agg(F.max_by(F.struct(*runs.columns), F.struct("started_at", "run_id")).alias("r")).select("r.*")

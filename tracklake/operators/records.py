@@ -68,9 +68,20 @@ def image_rows(probed: DataFrame, run_id: str, reserve_id: str, clock: int, orig
     return rows.withColumn("lamport", F.lit(clock + 1).cast("long")).withColumn("origin", F.lit(origin)).withColumn("row_hash", row_hash(*business))
 
 
+def greatest_of(updates: DataFrame, key: str) -> DataFrame:
+    """One row a key: that whose other columns, in their order, are greatest, whatever the partitions."""
+    columns = [c for c in updates.columns if c != key]
+    if not columns:
+        return updates.distinct()
+    return updates.groupBy(key).agg(F.max(F.struct(*columns)).alias("_row")).select(key, *[F.col("_row")[c].alias(c) for c in columns])
+
+
 def with_status(images: DataFrame, updates: DataFrame, clock: int, business: list[str]) -> DataFrame:
-    """``updates`` (image_id, status, triage_stage) applied.  A changed row that carries a clock gets the next one, a new hash, and counts as not synced."""
-    new = updates.dropDuplicates(["image_id"]).select("image_id", F.col("status").alias("_status"), F.col("triage_stage").alias("_stage"), F.lit(True).alias("_hit"))
+    """``updates`` (image_id, status, triage_stage) applied; of several for an image that of the greatest (status, triage_stage).
+
+    A changed row that carries a clock gets the next one, a new hash, and counts as not synced.
+    """
+    new = greatest_of(updates.select("image_id", "status", "triage_stage"), "image_id").select("image_id", F.col("status").alias("_status"), F.col("triage_stage").alias("_stage"), F.lit(True).alias("_hit"))
     hit, tracked = F.col("_hit").isNotNull(), F.col("_hit").isNotNull() & F.col("lamport").isNotNull()
     out = images.join(new, "image_id", "left").withColumn("status", F.when(hit, F.col("_status")).otherwise(F.col("status"))).withColumn("triage_stage", F.when(hit, F.col("_stage")).otherwise(F.col("triage_stage")))
     out = out.withColumn("row_hash", F.when(tracked, row_hash(*business)).otherwise(F.col("row_hash"))).withColumn("synced_at", F.when(~tracked, F.col("synced_at")))
@@ -78,9 +89,12 @@ def with_status(images: DataFrame, updates: DataFrame, clock: int, business: lis
 
 
 def set_many(table: DataFrame, updates: DataFrame, key: str) -> DataFrame:
-    """The columns of ``updates`` besides ``key`` set for the keys it names; other rows stay, unknown keys are ignored."""
+    """The columns of ``updates`` besides ``key`` set for the keys it names; other rows stay, unknown keys are ignored.
+
+    Of several updates of a key that counts whose other columns, in their order, are greatest.
+    """
     columns = [c for c in updates.columns if c != key]
-    new = updates.dropDuplicates([key]).select(key, *[F.col(c).alias(f"_{c}") for c in columns], F.lit(True).alias("_hit"))
+    new = greatest_of(updates, key).select(key, *[F.col(c).alias(f"_{c}") for c in columns], F.lit(True).alias("_hit"))
     joined = table.join(new, key, "left")
     for c in columns:
         joined = joined.withColumn(c, F.when(F.col("_hit").isNotNull(), F.col(f"_{c}")).otherwise(F.col(c)))
@@ -137,6 +151,12 @@ def _decided(associations: DataFrame, ids: DataFrame, status: str, user: str, no
 # Crops and review --------------------------------------------------------------------------------------------------
 
 
+def crop_context(crops: DataFrame, detections: DataFrame, images: DataFrame) -> DataFrame:
+    """crop_id with its side, its detection's box, and its image's path, run, reserve, station and time; crops whose detection or image is gone are left out."""
+    own = crops.select("crop_id", "det_id", "side").join(detections.select("det_id", "image_id", "x", "y", "w", "h"), "det_id")
+    return own.join(images.select("image_id", "orig_path", "run_id", "reserve_id", "station_id", "captured_at"), "image_id")
+
+
 def crop_paths(crops: DataFrame, detections: DataFrame, images: DataFrame, files: DataFrame) -> DataFrame:
     """crop_id, shown: the crop's own file if it exists (files: path), else the frame it was cut from if that exists, else null."""
     have = files.select(F.col("path").alias("_at")).distinct()

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tracklake.functions import geo
+from tracklake.operators import identity
 
 
 def spine(images: DataFrame, detections: DataFrame, crops: DataFrame, assignments: DataFrame, live_only: bool = True) -> DataFrame:
@@ -85,11 +86,35 @@ def generalised_for_role(rows: DataFrame, role: str, roles: tuple[str, ...] = ("
     return out.withColumn("hull_wkt", F.lit(None).cast("string")) if "hull_wkt" in rows.columns else out
 
 
-def best_station_match(folders: DataFrame, stations: DataFrame, score: Column, accept: float = 0.75) -> DataFrame:
-    """folder, station_id, score: the best station of each distinct folder from ``accept`` on; the first on ties.
+#: Fixed value: what a match by the folder's name alone is worth.
+FUZZY_SCORE = 0.65
 
-    A stated set of distinct folders meets the stations of its own reserve: both carry reserve_id, which is the join key.
+
+def best_station_match(folders: DataFrame, stations: DataFrame, score: Column, accept: float = 0.75, most_edits: int = 2) -> DataFrame:
+    """folder, station_id, score, signal: the best station of each distinct folder from ``accept`` on (``signals``), else the one that is called like the folder (``folder_fuzzy``).
+
+    On ties the first by ``place`` counts.  A stated set of distinct folders meets the stations of its own reserve: both
+    carry reserve_id, which is the join key.
     """
     pairs = folders.join(stations, "reserve_id").withColumn("score", score)
-    best = pairs.groupBy("folder").agg(F.max_by("station_id", F.struct("score", -F.col("place"))).alias("station_id"), F.max("score").alias("score"))
-    return best.filter(F.col("score") >= accept)
+    best = pairs.groupBy("reserve_id", "folder").agg(F.max_by("station_id", F.struct("score", -F.col("place"))).alias("station_id"), F.max("score").alias("score"))
+    sure = best.filter(F.col("score") >= accept).withColumn("signal", F.lit("signals"))
+    rest = folders.select("reserve_id", F.col("folder").alias("name")).distinct().join(sure.select("reserve_id", F.col("folder").alias("name")), ["reserve_id", "name"], "left_anti")
+    called = identity.fuzzy_station(rest, stations, most_edits, "reserve_id", "place")
+    return sure.unionByName(called.select("reserve_id", F.col("name").alias("folder"), "station_id", F.lit(FUZZY_SCORE).alias("score"), F.lit("folder_fuzzy").alias("signal"))).drop("reserve_id")
+
+
+def individual_events(events: DataFrame, members: DataFrame, images: DataFrame, detections: DataFrame, crops: DataFrame, assignments: DataFrame) -> DataFrame:
+    """The bursts (event_id, station_id, started_at, ended_at) in which an individual was caught: one row an individual and burst, by individual and start.
+
+    ``members``: image_id, event_id.  Superseded assignments count too, as a burst's history is what is asked for.
+    """
+    caught = spine(images.select("image_id"), detections.select("det_id", "image_id"), crops.select("crop_id", "det_id"), assignments, live_only=False).select("image_id", "ind_id")
+    each = caught.join(members.select("image_id", "event_id"), "image_id").select("ind_id", "event_id").distinct()
+    return each.join(events.select("event_id", "station_id", "started_at", "ended_at"), "event_id").orderBy("ind_id", "started_at", "event_id")
+
+
+def mean_confidences(images: DataFrame, detections: DataFrame, crops: DataFrame, assignments: DataFrame) -> DataFrame:
+    """run_id, ind_id and the mean confidence of the live assignments, to 3 places."""
+    rows = spine(images.select("image_id", "run_id"), detections.select("det_id", "image_id"), crops.select("crop_id", "det_id"), assignments)
+    return rows.groupBy("run_id", "ind_id").agg(F.round(F.avg("confidence"), 3).alias("mean_confidence"))

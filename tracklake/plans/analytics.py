@@ -115,6 +115,7 @@ def bootstrap_interval(spark: SparkSession, sf: str) -> DataFrame:
 
 # Evaluation -----------------------------------------------------------------------------------------------------------
 
+#: The thresholds of the sweep.
 THRESHOLDS = [0.01, 0.02, 0.03, 0.05, 0.08, 0.1, 0.12, 0.15, 0.2]
 
 
@@ -274,11 +275,34 @@ def blank_frames(spark: SparkSession, sf: str) -> DataFrame:
     return triage.blank_frames(grids(spark, sf))
 
 
-@query(sql("""SELECT 3 * ind_id + run_id AS image_id, CASE WHEN count(*) FILTER (k = 1) > 0 THEN 'person' WHEN count(*) FILTER (k = 2) > 0 THEN 'vehicle' WHEN count(*) FILTER (k > 50) > 0 THEN 'animal' ELSE 'blank' END AS route,
-coalesce(max(confidence) FILTER (k = 1), max(confidence) FILTER (k = 2), max(confidence) FILTER (k > 50)) AS conf FROM visits GROUP BY 1"""))
+def boxes(spark: SparkSession, sf: str) -> DataFrame:
+    """Detections of the images of the individuals' runs."""
+    k, c = F.col("k"), d.visits(spark, sf)
+    label = F.when(k == 1, "person").when(k == 2, "vehicle").when(k > 50, "animal").otherwise("other")
+    return c.select((3 * F.col("ind_id") + F.col("run_id")).alias("image_id"), F.col("image_id").alias("det_id"), label.alias("label"), F.col("confidence").alias("conf"), (k / 100).alias("x"), (k / 200).alias("y"), F.lit(0.1).alias("w"), F.lit(0.2).alias("h"))
+
+
+_ROUTED = """-- more
+b AS (SELECT 3 * ind_id + run_id AS image_id, image_id AS det_id, CASE WHEN k = 1 THEN 'person' WHEN k = 2 THEN 'vehicle' WHEN k > 50 THEN 'animal' ELSE 'other' END AS label, confidence AS conf, k / 100 AS x, k / 200 AS y FROM visits),
+r AS (SELECT *, CASE label WHEN 'person' THEN 3 WHEN 'vehicle' THEN 2 WHEN 'animal' THEN 1 ELSE 0 END AS rank FROM b),
+t AS (SELECT *, row_number() OVER (PARTITION BY image_id ORDER BY rank DESC, conf DESC, det_id) AS n FROM r)"""
+
+
+@query(sql(f"""{_ROUTED}
+SELECT image_id, CASE WHEN rank = 0 THEN 'blank' ELSE label END AS route, CASE WHEN rank > 0 THEN conf END AS conf, CASE WHEN rank > 0 THEN det_id END AS det_id, CASE WHEN rank > 0 THEN x END AS x, CASE WHEN rank > 0 THEN y END AS y FROM t WHERE n = 1"""))
 def routed(spark: SparkSession, sf: str) -> DataFrame:
-    label = F.when(F.col("k") == 1, "person").when(F.col("k") == 2, "vehicle").when(F.col("k") > 50, "animal").otherwise("other")
-    return triage.routed(d.visits(spark, sf).select((3 * F.col("ind_id") + F.col("run_id")).alias("image_id"), label.alias("label"), F.col("confidence").alias("conf")))
+    return triage.routed(boxes(spark, sf)).select("image_id", "route", "conf", "best.det_id", "best.x", "best.y")
+
+
+@query(sql(f"""{_ROUTED},
+i AS (SELECT range AS image_id FROM range(3040))
+SELECT image_id, 'q_' || substr(sha256('run-1|' || image_id), 1, 12) AS q_id, image_id * 10 AS bytes FROM i LEFT JOIN (SELECT * FROM t WHERE n = 1) USING (image_id) WHERE coalesce(rank, 0) = 0 AND image_id % 5 <> 0"""))
+def quarantined_blanks(spark: SparkSession, sf: str) -> DataFrame:
+    """Images without person, vehicle or animal, of those with detections and others, that do not lie in quarantine yet."""
+    images = spark.range(3040).select(F.col("id").alias("image_id"), F.lit("run-1").alias("run_id"), F.concat(F.lit("p"), F.col("id").cast("string")).alias("orig_path"), (F.col("id") * 10).alias("bytes"))
+    held = images.filter("image_id % 5 = 0").select("image_id", F.lit(None).cast("timestamp").alias("restored_at"))
+    changed = triage.route_changes(triage.routed(boxes(spark, sf), images), images, held, "detector@1", 0.2, F.lit("2024-02-01").cast("timestamp"))
+    return changed["quarantine"].select("image_id", "q_id", "bytes")
 
 
 # Home ranges and alerts -----------------------------------------------------------------------------------------------
@@ -295,7 +319,7 @@ def inputs(events: DataFrame) -> DataFrame:
 
 
 def home_ranges(spark: SparkSession, sf: str) -> DataFrame:
-    return ranges_of(spark, inputs(visit_events(spark, sf)), survey.effort_days(spark, sf))
+    return ranges_of(spark, inputs(visit_events(spark, sf)), survey.survey_days(spark, sf))
 
 
 def ranges_of(spark: SparkSession, used: DataFrame, days: DataFrame) -> DataFrame:
@@ -321,7 +345,7 @@ def occupancy_rows(spark: SparkSession, sf: str) -> DataFrame:
 
 def alert_frame(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame, DataFrame]:
     """The wide frame, the moves of the runs and the effort.  Events are found and written once: ranges, coverage and moves all start from them."""
-    events, days = checkpointed(visit_events(spark, sf)), checkpointed(survey.effort_days(spark, sf))
+    events, days = checkpointed(visit_events(spark, sf)), checkpointed(survey.survey_days(spark, sf))
     used = checkpointed(inputs(events))
     occ = checkpointed(ranges_of(spark, used, days).filter("event_count > 0").select("run_id", "ind_id", "station_set", "centroid_lat", "centroid_lon", "event_count"))
     conf = d.visits(spark, sf).groupBy("run_id", "ind_id").agg(F.round(F.avg("confidence"), 3).alias("id_conf"))
@@ -422,11 +446,11 @@ def alerts_village_distance(spark: SparkSession, sf: str) -> DataFrame:
     return rules.decreasing_village_distance(alert_frame(spark, sf)[0]).select("run_id", "ind_id")
 
 
-@query(sql("""SELECT station_id, round(sqrt(power((lat - 21.6) * 111.0, 2) + power((lon - 79.3) * 111.320 * cos(radians((lat + 21.6) / 2)), 2)), 1) AS km, TRUE AS close FROM stations"""))
+@query(sql("""SELECT station_id, round(sqrt(power((lat - 21.6) * 111.0, 2) + power((lon - 79.3) * 111.320 * cos(radians((lat + 21.6) / 2)), 2)), 1) AS km, TRUE AS close FROM sites"""))
 def utm_distances(spark: SparkSession, sf: str) -> DataFrame:
     """Distances in the projection agree with the equirectangular ones within 1 %."""
     east, north = geo.utm(F.col("lat"), F.col("lon"), 32644)
     e0, n0 = geo.utm(F.lit(21.6), F.lit(79.3), 32644)
     plain = geo.distance_km(F.lit(21.6), F.lit(79.3), F.col("lat"), F.col("lon"))
     projected = F.hypot(east - e0, north - n0) / 1000
-    return d.stations(spark).select("station_id", F.round(plain, 1).alias("km"), (F.abs(projected - plain) <= 0.01 * plain + 1e-6).alias("close"))
+    return d.sites(spark, sf).select("station_id", F.round(plain, 1).alias("km"), (F.abs(projected - plain) <= 0.01 * plain + 1e-6).alias("close"))

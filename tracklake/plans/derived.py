@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tracklake.operators.segments import numbered
+
 BURST_SECONDS = 6 * 3600
 
 
@@ -53,6 +55,35 @@ def activity(spark: SparkSession, sf_dir: str = "") -> DataFrame:
     )
 
 
+def sites(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A station for every supplier."""
+    s, n = F.col("s_suppkey"), F.col("s_nationkey")
+    zone = F.when(n % 6 <= 3, "core").when(n % 6 == 4, "corridor").otherwise("buffer")
+    return table(spark, sf_dir, "supplier").select(
+        s.alias("station_id"), F.col("s_name").alias("name"), (21.5 + F.floor(s / 40) * 0.02).alias("lat"), (79.2 + (s % 40) * 0.02).alias("lon"), zone.alias("zone"), (0.5 + s % 7).alias("village_dist_km")
+    )
+
+
+def site_activity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One or two intervals for every site."""
+    s = F.col("s_suppkey")
+    day = lambda first, n: F.dateadd(F.to_date(F.lit(first)), n.cast("int")).cast("timestamp_ntz")
+    own = table(spark, sf_dir, "supplier").select(s.alias("activity_id"), s.alias("station_id"), day("2024-01-01", s % 4).alias("start_date"), F.when(s % 5 != 0, day("2024-01-30", -(s % 6))).alias("end_date"))
+    return own.unionByName(own.filter("station_id % 3 = 0").select((F.col("activity_id") + 1_000_000).alias("activity_id"), "station_id", (F.col("start_date") - F.expr("INTERVAL 9 DAYS")).alias("start_date"), F.col("start_date").alias("end_date")))
+
+
+def order_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A run for every priority, as a reserve, and month of the orders."""
+    month = F.date_format("o_orderdate", "yyyyMM").cast("int")
+    return table(spark, sf_dir, "orders").groupBy(F.col("o_orderpriority").alias("reserve_id"), month.alias("run_id")).agg(F.min("o_orderdate").cast("timestamp_ntz").alias("started_at"))
+
+
+def in_order(df: DataFrame) -> DataFrame:
+    """A sorted table with each row's place, from 1."""
+    rows = numbered(df.withColumns({"_all": F.lit(0), "_at": F.monotonically_increasing_id()}), "_all", ["_at"])
+    return rows.select(*df.columns, F.col("_i").alias("place"))
+
+
 def runs(spark: SparkSession, sf_dir: str = "") -> DataFrame:
     return spark.range(3).select(F.col("id").cast("int").alias("run_id"), F.lit("R").alias("reserve_id"), F.dateadd(F.to_date(F.lit("2024-01-01")), (F.col("id") * 10).cast("int")).cast("timestamp_ntz").alias("started_at"))
 
@@ -74,6 +105,18 @@ activity AS (
   SELECT s AS activity_id, s AS station_id, TIMESTAMP '2024-01-01' + to_days(CAST(s % 4 AS INTEGER)) AS start_date,
          CASE WHEN s % 5 <> 0 THEN TIMESTAMP '2024-01-30' - to_days(CAST(s % 6 AS INTEGER)) END AS end_date
   FROM range(36) t(s)),
+sites AS (
+  SELECT s_suppkey AS station_id, s_name AS name, 21.5 + (s_suppkey // 40) * 0.02::DOUBLE AS lat, 79.2 + (s_suppkey % 40) * 0.02::DOUBLE AS lon,
+         CASE WHEN s_nationkey % 6 <= 3 THEN 'core' WHEN s_nationkey % 6 = 4 THEN 'corridor' ELSE 'buffer' END AS zone, 0.5::DOUBLE + s_suppkey % 7 AS village_dist_km
+  FROM supplier),
+first_activity AS (
+  SELECT s_suppkey AS activity_id, s_suppkey AS station_id, TIMESTAMP '2024-01-01' + to_days(CAST(s_suppkey % 4 AS INTEGER)) AS start_date,
+         CASE WHEN s_suppkey % 5 <> 0 THEN TIMESTAMP '2024-01-30' - to_days(CAST(s_suppkey % 6 AS INTEGER)) END AS end_date
+  FROM supplier),
+site_activity AS (
+  FROM first_activity UNION ALL SELECT activity_id + 1000000, station_id, start_date - INTERVAL 9 DAY, start_date FROM first_activity WHERE station_id % 3 = 0),
+order_runs AS (
+  SELECT o_orderpriority AS reserve_id, CAST(strftime(o_orderdate, '%Y%m') AS INTEGER) AS run_id, CAST(min(o_orderdate) AS TIMESTAMP) AS started_at FROM orders GROUP BY 1, 2),
 runs AS (SELECT CAST(c AS INTEGER) AS run_id, 'R' AS reserve_id, TIMESTAMP '2024-01-01' + to_days(CAST(10 * c AS INTEGER)) AS started_at FROM range(3) t(c)),
 periods AS (
   SELECT run_id, started_at AS period_start,

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tracklake.functions import vision
-from tracklake.operators import changes, lists
+from tracklake.operators import changes, identity, lists
 from tracklake.plans import derived as d
 from tracklake.plans.derived import sql
 
@@ -46,10 +46,10 @@ def catalogue_of_side(spark: SparkSession, sf: str) -> DataFrame:
     return lists.catalogue_of_side(d.visits(spark, sf).select("ind_id", "side").distinct(), "L")
 
 
-@query("SELECT o_orderkey AS alert_id, CASE WHEN o_orderstatus = 'F' THEN o_orderdate END AS acknowledged_at FROM orders")
+@query("SELECT o_orderkey AS alert_id, CASE WHEN o_orderstatus = 'F' THEN o_orderdate END AS acknowledged_at, row_number() OVER (ORDER BY o_orderstatus = 'F', o_orderkey) AS place FROM orders")
 def acknowledged_last(spark: SparkSession, sf: str) -> DataFrame:
     rows = d.table(spark, sf, "orders").select(F.col("o_orderkey").alias("alert_id"), F.when(F.col("o_orderstatus") == "F", F.col("o_orderdate")).alias("acknowledged_at"))
-    return lists.acknowledged_last(rows, "alert_id")
+    return d.in_order(lists.acknowledged_last(rows, "alert_id"))
 
 
 @query(sql("SELECT image_id, confidence AS conf, station_id, captured_at FROM captures WHERE k % 5 <> 0 ORDER BY confidence, image_id LIMIT 24"))
@@ -66,11 +66,11 @@ def quarantine_manifest(spark: SparkSession, sf: str) -> DataFrame:
     return lists.quarantine_manifest(ids.filter("image_id % 2 = 0").withColumn("path", F.lit("old")), new.union(new))
 
 
-@query("SELECT c_custkey AS ind_id, CASE WHEN c_acctbal > 0 THEN c_acctbal END AS area_km2, c_custkey % 3 = 0 AS provisional FROM customer WHERE c_custkey % 2 = 0")
+@query("SELECT c_custkey AS ind_id, CASE WHEN c_acctbal > 0 THEN c_acctbal END AS area_km2, c_custkey % 3 = 0 AS provisional, row_number() OVER (ORDER BY CASE WHEN c_acctbal > 0 THEN c_acctbal END DESC NULLS LAST, c_custkey) AS place FROM customer WHERE c_custkey % 2 = 0")
 def occupancy_listed(spark: SparkSession, sf: str) -> DataFrame:
     rows = d.table(spark, sf, "customer").select(F.col("c_custkey").alias("ind_id"), F.when(F.col("c_acctbal") > 0, F.col("c_acctbal")).alias("area_km2"))
     known = d.table(spark, sf, "customer").filter("c_custkey % 2 = 0").select(F.col("c_custkey").alias("ind_id"), (F.col("c_custkey") % 3 == 0).alias("provisional"))
-    return lists.occupancy_listed(rows, known)
+    return d.in_order(lists.occupancy_listed(rows, known))
 
 
 def jobs(spark: SparkSession, sf: str) -> DataFrame:
@@ -83,9 +83,9 @@ def recent_jobs(spark: SparkSession, sf: str) -> DataFrame:
     return lists.recent_jobs(jobs(spark, sf)).select("job_id", "kind", "created_at")
 
 
-@query("SELECT o_orderkey AS job_id, o_orderdate AS created_at FROM orders WHERE o_custkey % 3 = 1")
+@query("SELECT o_orderkey AS job_id, o_orderdate AS created_at, row_number() OVER (ORDER BY o_orderdate DESC, o_orderkey) AS place FROM orders WHERE o_custkey % 3 = 1")
 def jobs_of_run(spark: SparkSession, sf: str) -> DataFrame:
-    return lists.jobs_of_run(jobs(spark, sf), 1).select("job_id", "created_at")
+    return d.in_order(lists.jobs_of_run(jobs(spark, sf), 1).select("job_id", "created_at"))
 
 
 @query("SELECT l_orderkey AS job_id, l_linenumber AS item, CAST(o_custkey % 3 AS INTEGER) AS run_id, o_orderpriority AS kind FROM lineitem JOIN orders ON l_orderkey = o_orderkey WHERE l_returnflag = 'R'")
@@ -94,17 +94,40 @@ def failed_items(spark: SparkSession, sf: str) -> DataFrame:
     return lists.failed_items(items, jobs(spark, sf)).select("job_id", "item", "run_id", "kind")
 
 
-@query(sql("""-- more
-e AS (SELECT image_id AS query_id, ind_id, side, ind_id || '-' || side AS entity, confidence FROM captures WHERE run_id = 1),
-p AS (SELECT a.query_id, a.ind_id AS qi, a.side AS qs, a.entity AS qe, b.ind_id, b.side, b.entity, 1 - abs(a.confidence - b.confidence) AS score, b.query_id AS other FROM e a JOIN e b ON (a.query_id % 97 = b.query_id % 97) AND a.query_id <> b.query_id),
-t AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, entity DESC, other DESC) AS r FROM p)
-SELECT count(*) AS total, count(*) FILTER (entity = qe) AS correct_entity_hits, count(*) FILTER (entity <> qe AND ind_id = qi AND side <> qs) AS opposite_flank_hits FROM t WHERE r = 1"""))
+@query("""WITH e AS (SELECT vec_id, label AS ind, CASE WHEN vec_id % 2 = 0 THEN 'L' ELSE 'R' END AS side, embedding::DOUBLE[] AS v FROM embeddings),
+p AS (SELECT q.vec_id AS query_id, q.ind AS qi, q.side AS qs, e.ind, e.side, e.vec_id, round(list_dot_product(q.v, e.v), 9) AS score FROM e q JOIN e ON q.vec_id % 50 = 0 AND q.vec_id <> e.vec_id),
+t AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS r FROM p)
+SELECT count(*) AS total, count(*) FILTER (ind = qi AND side = qs) AS correct_entity_hits, count(*) FILTER (ind = qi AND side <> qs) AS opposite_flank_hits FROM t WHERE r = 1""")
 def side_leakage(spark: SparkSession, sf: str) -> DataFrame:
-    """One run's captures, each against those of its bucket."""
-    e = d.captures(spark, sf).filter("run_id = 1").select("image_id", "ind_id", "side", F.concat_ws("-", F.col("ind_id").cast("string"), "side").alias("entity_id"), "confidence")
-    q = e.select(F.col("image_id").alias("query_id"), F.col("ind_id").alias("query_ind"), F.col("side").alias("query_side"), F.col("entity_id").alias("query_entity"), F.col("confidence").alias("query_confidence"))
-    met = q.join(e, (F.col("query_id") % 97 == F.col("image_id") % 97) & (F.col("query_id") != F.col("image_id")))
-    return lists.side_leakage(met.withColumn("score", F.round(1 - F.abs(F.col("query_confidence") - F.col("confidence")), 9)))
+    """Every 50th vector against all others in one pool; an individual's sides are by parity of the vector's id."""
+    e = d.table(spark, sf, "embeddings").select(F.col("vec_id").alias("entity_id"), F.col("label").alias("ind_id"), "embedding", F.lit(0).alias("pool"))
+    best = identity.matched(e.filter("entity_id % 50 = 0").select(F.col("entity_id").alias("query_id"), "embedding", "pool"), e, "pool", 1, digits=9, skip_self=True)
+    side = lambda c: F.when(F.col(c) % 2 == 0, "L").otherwise("R")
+    named = lambda ind, of: F.concat_ws("-", F.col(ind).cast("string"), side(of))
+    own = e.select(F.col("entity_id").alias("query_id"), F.col("ind_id").alias("query_ind"))
+    rows = best.join(own, "query_id").select("query_id", "query_ind", side("query_id").alias("query_side"), named("query_ind", "query_id").alias("query_entity"), named("ind_id", "entity_id").alias("entity"), "ind_id", side("entity_id").alias("side"), "score")
+    return lists.side_leakage(rows.withColumnRenamed("entity", "entity_id"))
+
+
+@query("SELECT o_orderkey AS log_id, o_orderpriority AS actor FROM orders ORDER BY o_orderkey DESC LIMIT 200")
+def audit_tail(spark: SparkSession, sf: str) -> DataFrame:
+    return lists.audit_tail(d.table(spark, sf, "orders").select(F.col("o_orderkey").alias("log_id"), F.col("o_orderpriority").alias("actor")))
+
+
+@query("SELECT l_orderkey AS job_id, l_linenumber AS item_id, l_shipdate AS updated_at FROM lineitem WHERE l_returnflag = 'R' ORDER BY l_shipdate DESC, l_orderkey, l_linenumber LIMIT 25")
+def recent_failures(spark: SparkSession, sf: str) -> DataFrame:
+    rows = d.table(spark, sf, "lineitem").select(F.col("l_orderkey").alias("job_id"), F.col("l_linenumber").alias("item_id"), F.col("l_shipdate").alias("updated_at"), F.when(F.col("l_returnflag") == "R", "failed").otherwise("done").alias("state"))
+    return lists.recent_failures(rows).drop("state")
+
+
+@query(sql("SELECT reserve_id, run_id, started_at FROM (SELECT *, row_number() OVER (PARTITION BY reserve_id ORDER BY started_at DESC, run_id DESC) AS r FROM order_runs) WHERE r = 1"))
+def latest_runs(spark: SparkSession, sf: str) -> DataFrame:
+    return lists.latest_runs(d.order_runs(spark, sf))
+
+
+@query(sql("SELECT image_id, station_id, captured_at, row_number() OVER (ORDER BY station_id, captured_at, image_id) AS place FROM captures WHERE run_id = 1"))
+def images_of_run(spark: SparkSession, sf: str) -> DataFrame:
+    return d.in_order(lists.images_of_run(d.captures(spark, sf), 1).select("image_id", "station_id", "captured_at"))
 
 
 @query(sql("""SELECT image_id, station_id, '' AS captured_at, NOT (k % 3 = 0) AS is_animal FROM (SELECT image_id, CAST(station_id AS VARCHAR) AS station_id, k FROM captures)"""))

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tracklake.functions import geo, vision
-from tracklake.operators import catalogue, changes, identity, review, sessions
+from tracklake.operators import catalogue, changes, identity, lists, records, review, sessions
 from tracklake.plans import analytics, survey
 from tracklake.plans import derived as d
 from tracklake.plans.derived import sql
@@ -179,18 +179,67 @@ def restored_images(spark: SparkSession, sf: str) -> DataFrame:
     return out.select("image_id", F.when(F.col("status") == "quarantined", "error").when(F.col("status") == "blank", "view").otherwise(F.col("status")).alias("status"))
 
 
-@query("""WITH n AS (SELECT DISTINCT p_type AS folder FROM part), s AS (SELECT range AS place, (['ECONOMY', 'SMALL', 'STANDARDS', 'LARG', 'PROMOTION'])[range + 1] AS name FROM range(5)),
-p AS (SELECT folder, place AS station_id, greatest(0, 1 - levenshtein(folder, name) / greatest(length(folder), length(name))::DOUBLE) AS ratio FROM n, s),
-z AS (SELECT folder, station_id, round(CASE WHEN ratio > 0.6 THEN 0.4 * ratio ELSE 0 END + CASE WHEN ratio > 0.4 THEN 0.1 * ratio ELSE 0 END, 3) AS score FROM p)
-SELECT folder, station_id, score FROM (SELECT *, row_number() OVER (PARTITION BY folder ORDER BY score DESC, station_id) AS r FROM z) WHERE r = 1 AND score >= 0.35""")
+@query("""WITH n AS (SELECT DISTINCT p_type AS folder FROM part), s AS (SELECT min(p_partkey) AS station_id, p_type || 'X' AS name FROM part WHERE p_partkey % 4 = 1 GROUP BY p_type),
+p AS (SELECT folder, station_id, greatest(0, 1 - levenshtein(folder, name) / greatest(length(folder), length(name))::DOUBLE) AS ratio,
+  levenshtein(regexp_replace(upper(folder), '[^A-Z0-9]', '', 'g'), regexp_replace(upper(name), '[^A-Z0-9]', '', 'g')) AS edits FROM n, s),
+z AS (SELECT folder, station_id, edits, round(CASE WHEN ratio > 0.6 THEN 0.4 * ratio ELSE 0 END + CASE WHEN ratio > 0.4 THEN 0.1 * ratio ELSE 0 END, 3) AS score FROM p),
+a AS (SELECT *, row_number() OVER (PARTITION BY folder ORDER BY score DESC, station_id) AS r FROM z),
+f AS (SELECT *, row_number() OVER (PARTITION BY folder ORDER BY edits, station_id) AS q FROM z WHERE edits <= 2)
+SELECT folder, station_id, score, 'signals' AS signal FROM a WHERE r = 1 AND score >= 0.477
+UNION ALL SELECT folder, station_id, 0.65::DOUBLE, 'folder_fuzzy' FROM f WHERE q = 1 AND folder NOT IN (SELECT folder FROM a WHERE score >= 0.477)""")
 def station_match(spark: SparkSession, sf: str) -> DataFrame:
-    folders = d.table(spark, sf, "part").select(F.lit("R").alias("reserve_id"), F.col("p_type").alias("folder")).distinct()
-    names = F.array(*[F.lit(x) for x in ("ECONOMY", "SMALL", "STANDARDS", "LARG", "PROMOTION")])
-    stations = spark.range(5).select(F.lit("R").alias("reserve_id"), F.col("id").alias("station_id"), F.col("id").alias("place"), F.element_at(names, (F.col("id") + 1).cast("int")).alias("name"))
+    """Folders against stations that are called like every fourth of them, with a letter more."""
+    part = d.table(spark, sf, "part")
+    folders = part.select(F.lit("R").alias("reserve_id"), F.col("p_type").alias("folder")).distinct()
+    stations = part.filter("p_partkey % 4 = 1").groupBy(F.concat("p_type", F.lit("X")).alias("name")).agg(F.min("p_partkey").alias("station_id")).select(F.lit("R").alias("reserve_id"), "station_id", F.col("station_id").alias("place"), "name")
     none = F.lit(None).cast("string")
     file = {"folder": F.col("folder"), "file_name": F.col("folder"), "serial": none, "body": none, "time": none}
     station = {"folder_hint": none, "name": F.col("name"), "serial": none, "body": none, "active_from": none, "active_to": none}
-    return review.best_station_match(folders, stations, identity.station_score(file, station), 0.35)
+    return review.best_station_match(folders, stations, identity.station_score(file, station), 0.477)
+
+
+_CHAIN = """-- more
+b AS (SELECT *, 'e' || station_id || '-' || event_no AS event_id FROM bursts)"""
+
+
+def chain(spark: SparkSession, sf: str) -> dict[str, DataFrame]:
+    """Captures as images, detections, crops, assignments, bursts and their members; every third assignment is superseded."""
+    b = survey.bursts(spark, sf).withColumn("event_id", F.concat(F.lit("e"), F.col("station_id").cast("string"), F.lit("-"), F.col("event_no").cast("string")))
+    i = F.col("image_id")
+    events = b.groupBy("event_id", "station_id").agg(F.min("captured_at").alias("started_at"), F.max("captured_at").alias("ended_at"))
+    return {
+        "images": b.select("image_id", "run_id", F.lit("R").alias("reserve_id"), "station_id", "captured_at", F.concat(F.lit("img/"), i.cast("string")).alias("orig_path")),
+        "detections": b.filter("k > 4").select("image_id", (i * 2).alias("det_id"), (F.col("k") / 100).alias("x"), F.lit(0.5).alias("y"), F.lit(0.2).alias("w"), F.lit(0.3).alias("h")),
+        "crops": b.filter("k > 4").select((i * 2).alias("det_id"), (i * 3).alias("crop_id"), "side"),
+        "assignments": b.filter("k > 9").select((i * 3).alias("crop_id"), "ind_id", "confidence", F.when(F.col("k") % 3 == 0, "later").alias("superseded_by")),
+        "members": b.select("image_id", "event_id"),
+        "events": events,
+    }
+
+
+@query(sql(f"""{_CHAIN},
+e AS (SELECT event_id, station_id, min(captured_at) AS started_at, max(captured_at) AS ended_at FROM b GROUP BY 1, 2)
+SELECT *, row_number() OVER (ORDER BY ind_id, started_at, event_id) AS place FROM (SELECT DISTINCT event_id, ind_id FROM b WHERE k > 9) JOIN e USING (event_id)"""))
+def individual_events(spark: SparkSession, sf: str) -> DataFrame:
+    t = chain(spark, sf)
+    return d.in_order(review.individual_events(t["events"], t["members"], t["images"], t["detections"], t["crops"], t["assignments"]))
+
+
+@query(sql(f"""{_CHAIN} SELECT run_id, ind_id, round(avg(confidence), 3) AS mean_confidence FROM b WHERE k > 9 AND k % 3 <> 0 GROUP BY 1, 2"""))
+def mean_confidences(spark: SparkSession, sf: str) -> DataFrame:
+    t = chain(spark, sf)
+    return review.mean_confidences(t["images"], t["detections"], t["crops"], t["assignments"])
+
+
+@query(sql(f"""{_CHAIN} SELECT image_id * 3 AS crop_id, image_id * 2 AS det_id, image_id, side, k / 100 AS x, 'img/' || image_id AS orig_path, run_id, station_id, captured_at FROM b WHERE k > 4"""))
+def crop_context(spark: SparkSession, sf: str) -> DataFrame:
+    t = chain(spark, sf)
+    return records.crop_context(t["crops"], t["detections"], t["images"]).select("crop_id", "det_id", "image_id", "side", "x", "orig_path", "run_id", "station_id", "captured_at")
+
+
+@query(sql("SELECT activity_id, station_id, name, start_date, row_number() OVER (ORDER BY name, start_date, activity_id) AS place FROM site_activity JOIN sites USING (station_id)"))
+def station_activity(spark: SparkSession, sf: str) -> DataFrame:
+    return d.in_order(catalogue.station_activity(d.site_activity(spark, sf), d.sites(spark, sf))).select("activity_id", "station_id", "name", "start_date", "place")
 
 
 def package(spark: SparkSession, sf: str) -> dict[str, DataFrame]:
@@ -232,15 +281,15 @@ def package_media(spark: SparkSession, sf: str) -> DataFrame:
 _FEATURE = "to_json({{'type': 'Feature',{id} 'geometry': {{'type': 'Point', 'coordinates': [lon, lat]}}, 'properties': {{'station_id': station_id, 'name': name, 'zone': zone, 'village_dist_km': village_dist_km{more}}}}})"
 
 
-@query(sql(f"SELECT CAST({_FEATURE.format(id='', more='')} AS VARCHAR) AS feature FROM stations"))
+@query(sql(f"SELECT CAST({_FEATURE.format(id='', more='')} AS VARCHAR) AS feature FROM sites"))
 def station_features(spark: SparkSession, sf: str) -> DataFrame:
-    return exchange.station_features(d.stations(spark))
+    return exchange.station_features(d.sites(spark, sf))
 
 
-@query(sql(f"""SELECT CAST({_FEATURE.format(id=" 'id': station_id,", more=", 'folder_hint': NULL, 'camera_make': 'M' || station_id % 3, 'camera_model': NULL, 'camera_serial': NULL")} AS VARCHAR) AS feature FROM stations"""))
+@query(sql(f"""SELECT CAST({_FEATURE.format(id=" 'id': station_id,", more=", 'folder_hint': NULL, 'camera_make': 'M' || station_id % 3, 'camera_model': NULL, 'camera_serial': NULL")} AS VARCHAR) AS feature FROM sites"""))
 def station_features_full(spark: SparkSession, sf: str) -> DataFrame:
     make = F.concat(F.lit("M"), (F.col("station_id") % 3).cast("string"))
-    return exchange.station_features(d.stations(spark).withColumn("camera_make", make), full=True)
+    return exchange.station_features(d.sites(spark, sf).withColumn("camera_make", make), full=True)
 
 
 @query()
@@ -259,17 +308,18 @@ def confidence_by_half(spark: SparkSession, sf: str) -> DataFrame:
 @query(sql("SELECT DISTINCT ind_id FROM captures WHERE run_id < 2 UNION SELECT DISTINCT ind_id FROM captures WHERE run_id = 2"))
 def eligible_or_seen(spark: SparkSession, sf: str) -> DataFrame:
     c = d.captures(spark, sf)
-    return c.filter("run_id < 2").select("ind_id").union(c.filter("run_id = 2").select("ind_id")).distinct()
+    return catalogue.eligible_or_seen(c.filter("run_id < 2"), c.filter("run_id = 2"))
 
 
 @query("SELECT o_orderstatus, count(*) AS n FROM orders WHERE o_orderstatus IN ('O', 'P') GROUP BY 1")
 def active_jobs(spark: SparkSession, sf: str) -> DataFrame:
-    return catalogue.counted(d.table(spark, sf, "orders").filter(F.col("o_orderstatus").isin("O", "P")), "o_orderstatus")
+    jobs = d.table(spark, sf, "orders").select(F.col("o_orderkey").alias("job_id"), F.col("o_orderdate").alias("created_at"), F.col("o_orderstatus").alias("state"))
+    return catalogue.counted(lists.active_jobs(jobs, ("O", "P")), "state").withColumnRenamed("state", "o_orderstatus")
 
 
-@query(sql("SELECT station_id, min(start_date) AS first_start FROM activity GROUP BY station_id"))
+@query(sql("SELECT station_id, min(start_date) AS first_start FROM site_activity GROUP BY station_id"))
 def first_starts(spark: SparkSession, sf: str) -> DataFrame:
-    return catalogue.first_starts(d.activity(spark))
+    return catalogue.first_starts(d.site_activity(spark, sf))
 
 
 @query(sql("SELECT station_id, count(*) AS n_events FROM (SELECT DISTINCT station_id, event_no FROM bursts) GROUP BY station_id"))

@@ -152,14 +152,20 @@ def partner_semi(spark: SparkSession, sf: str) -> DataFrame:
     return catalogue.with_partner(d.table(spark, sf, "customer").select("c_custkey", "c_name"), open_, "c_custkey")
 
 
-@query(sql("SELECT * FROM station_days"))
+@query(sql("""SELECT station_id, run_id, round(sum(epoch_us(least(coalesce(end_date, period_end), period_end)) - epoch_us(greatest(start_date, period_start))) / 86400000000.0, 2) AS days
+FROM site_activity, periods WHERE least(coalesce(end_date, period_end), period_end) > greatest(start_date, period_start) GROUP BY station_id, run_id"""))
 def effort_days(spark: SparkSession, sf: str) -> DataFrame:
+    return effort.station_days(d.site_activity(spark, sf), periods(spark, sf)).select("station_id", "run_id", "days")
+
+
+def survey_days(spark: SparkSession, sf: str) -> DataFrame:
     return effort.station_days(d.activity(spark), periods(spark, sf))
 
 
-@query(sql("SELECT 'R' AS reserve_id, run_id, period_start, period_end FROM periods"))
+@query(sql("""SELECT reserve_id, run_id, started_at AS period_start, coalesce(lead(started_at) OVER w, started_at + coalesce(started_at - lag(started_at) OVER w, INTERVAL 90 DAY)) AS period_end
+FROM order_runs WINDOW w AS (PARTITION BY reserve_id ORDER BY started_at, run_id)"""))
 def cycle_periods(spark: SparkSession, sf: str) -> DataFrame:
-    out = periods(spark, sf)
+    out = sessions.cycle_periods(d.order_runs(spark, sf), 90)
     return out.select("reserve_id", "run_id", F.col("period_start").cast("timestamp_ntz").alias("period_start"), F.col("period_end").cast("timestamp_ntz").alias("period_end"))
 
 
@@ -199,10 +205,8 @@ c AS (SELECT run_id, ind_id, round(avg(lat), 5) AS lat, round(avg(lon), 5) AS lo
 SELECT r.run_id, c.ind_id, c.lat AS prior_lat, c.lon AS prior_lon FROM (SELECT run_id, lag(run_id) OVER (ORDER BY started_at) AS prior FROM runs) r JOIN c ON c.run_id = r.prior"""))
 def prior_centroids(spark: SparkSession, sf: str) -> DataFrame:
     placed = d.captures(spark, sf).join(d.stations(spark).select("station_id", "lat", "lon"), "station_id")
-    centers = placed.groupBy("run_id", "ind_id").agg(F.round(F.avg("lat"), 5).alias("prior_lat"), F.round(F.avg("lon"), 5).alias("prior_lon"))
-    order = Window.partitionBy("reserve_id").orderBy("started_at")
-    prior = d.runs(spark).select("run_id", F.lag("run_id").over(order).alias("prior"))
-    return prior.join(centers.withColumnRenamed("run_id", "prior"), "prior").select("run_id", "ind_id", "prior_lat", "prior_lon")
+    centers = placed.groupBy("run_id", "ind_id").agg(F.round(F.avg("lat"), 5).alias("centroid_lat"), F.round(F.avg("lon"), 5).alias("centroid_lon"))
+    return catalogue.prior_centroids(d.runs(spark), centers).select("run_id", "ind_id", "prior_lat", "prior_lon")
 
 
 @query(sql("""-- more
@@ -232,13 +236,16 @@ def travel_speed(spark: SparkSession, sf: str) -> DataFrame:
     return transits(events, d.stations(spark), ["ind_id"]).select("ind_id", "station_id", "event_no", "from_station", F.round("km", 4).alias("km"), F.round("kmh", 4).alias("kmh"))
 
 
-@query("""WITH n AS (SELECT DISTINCT substr(p_name, 1, length(p_name) - 1) || 'x' AS name FROM part), s AS (SELECT min(p_partkey) AS station_id, regexp_replace(upper(p_name), '[^A-Z0-9]', '', 'g') AS m FROM part GROUP BY p_name),
+@query("""WITH n AS (SELECT DISTINCT substr(p_name, 1, length(p_name) - 1) || 'x' AS name FROM part UNION SELECT DISTINCT p_type || ' 7' FROM part UNION SELECT DISTINCT '#' || (p_partkey + 3) FROM part),
+k AS (SELECT p_name AS station_name, min(p_type) AS folder_hint, min(p_partkey) AS station_id FROM part GROUP BY p_name),
+s AS (SELECT DISTINCT station_id, regexp_replace(upper(m), '[^A-Z0-9]', '', 'g') AS m FROM (SELECT station_id, unnest([CAST(station_id AS VARCHAR), station_name, folder_hint]) AS m FROM k)),
 p AS (SELECT name, station_id, levenshtein(regexp_replace(upper(name), '[^A-Z0-9]', '', 'g'), m) AS distance FROM n, s)
 SELECT name, station_id, CAST(distance AS INTEGER) AS distance FROM (SELECT *, row_number() OVER (PARTITION BY name ORDER BY distance, station_id) AS r FROM p WHERE distance <= 2) WHERE r = 1""")
 def station_fuzzy(spark: SparkSession, sf: str) -> DataFrame:
     part = d.table(spark, sf, "part")
     names = part.select(F.concat(F.substr("p_name", F.lit(1), F.char_length("p_name") - 1), F.lit("x")).alias("name"))
-    known = part.groupBy(F.col("p_name").alias("station_name")).agg(F.min("p_partkey").alias("station_id"))
+    names = names.union(part.select(F.concat("p_type", F.lit(" 7")))).union(part.select(F.concat(F.lit("#"), (F.col("p_partkey") + 3).cast("string"))))
+    known = part.groupBy(F.col("p_name").alias("station_name")).agg(F.min("p_type").alias("folder_hint"), F.min("p_partkey").alias("station_id"))
     return identity.fuzzy_station(names, known)
 
 
@@ -254,18 +261,18 @@ def filename_times(spark: SparkSession, sf: str) -> DataFrame:
     return d.table(spark, sf, "orders").select("o_orderkey", filename_timestamp(name).cast("timestamp_ntz").alias("named_at"))
 
 
-@query(sql("SELECT station_id, round(round_even(lat / (2.0 / 111.0), 0) * (2.0 / 111.0), 6) AS lat, round(round_even(lon / (2.0 / 111.0), 0) * (2.0 / 111.0), 6) AS lon FROM stations"))
+@query(sql("SELECT station_id, round(round_even(lat / (2.0 / 111.0), 0) * (2.0 / 111.0), 6) AS lat, round(round_even(lon / (2.0 / 111.0), 0) * (2.0 / 111.0), 6) AS lon FROM sites"))
 def generalise_grid(spark: SparkSession, sf: str) -> DataFrame:
-    return d.stations(spark).select("station_id", F.round(geo.generalised(F.col("lat"), 2.0), 6).alias("lat"), F.round(geo.generalised(F.col("lon"), 2.0), 6).alias("lon"))
+    return d.sites(spark, sf).select("station_id", F.round(geo.generalised(F.col("lat"), 2.0), 6).alias("lat"), F.round(geo.generalised(F.col("lon"), 2.0), 6).alias("lon"))
 
 
 @query(sql("""SELECT a.station_id AS a_id, b.station_id AS b_id, round(sqrt(power((b.lat - a.lat) * 111.0, 2) + power((b.lon - a.lon) * 111.320 * cos(radians((a.lat + b.lat) / 2)), 2)), 6) AS km,
 round((degrees(atan2(sin(radians(b.lon - a.lon)) * cos(radians(b.lat)), cos(radians(a.lat)) * sin(radians(b.lat)) - sin(radians(a.lat)) * cos(radians(b.lat)) * cos(radians(b.lon - a.lon)))) + 720) % 360, 6) AS bearing
-FROM stations a JOIN stations b ON b.station_id = (a.station_id * 7 + 5) % 36 AND a.station_id <> b.station_id"""))
+FROM sites a JOIN sites b ON b.station_id = a.station_id + 1 + a.station_id % 3"""))
 def distances_and_bearings(spark: SparkSession, sf: str) -> DataFrame:
-    a = d.stations(spark).select(F.col("station_id").alias("a_id"), F.col("lat").alias("a_lat"), F.col("lon").alias("a_lon"))
-    b = d.stations(spark).select(F.col("station_id").alias("b_id"), F.col("lat").alias("b_lat"), F.col("lon").alias("b_lon"))
-    pairs = a.join(b, (F.col("b_id") == (F.col("a_id") * 7 + 5) % 36) & (F.col("a_id") != F.col("b_id")))
+    a = d.sites(spark, sf).select(F.col("station_id").alias("a_id"), F.col("lat").alias("a_lat"), F.col("lon").alias("a_lon"))
+    b = d.sites(spark, sf).select(F.col("station_id").alias("b_id"), F.col("lat").alias("b_lat"), F.col("lon").alias("b_lon"))
+    pairs = a.join(b, F.col("b_id") == F.col("a_id") + 1 + F.col("a_id") % 3)
     ends = [F.col(c) for c in ("a_lat", "a_lon", "b_lat", "b_lon")]
     return pairs.select("a_id", "b_id", F.round(geo.distance_km(*ends), 6).alias("km"), F.round(geo.bearing(*ends), 6).alias("bearing"))
 
@@ -349,9 +356,9 @@ def evenly_spaced(spark: SparkSession, sf: str) -> DataFrame:
 def individual_captures(spark: SparkSession, sf: str) -> DataFrame:
     """Captures of one individual up to a time; undated ones count as before it."""
     until = F.lit("2024-01-12").cast("timestamp_ntz")
-    return d.captures(spark, sf).filter((F.col("ind_id") == 3) & (F.col("captured_at").isNull() | (F.col("captured_at") <= until))).select("image_id", "captured_at", "station_id")
+    return catalogue.open_until(d.captures(spark, sf).filter("ind_id = 3"), "captured_at", until).select("image_id", "captured_at", "station_id")
 
 
 @query(sql("SELECT ind_id, arg_max(image_id, (captured_at, image_id)) AS image_id, max(captured_at) AS captured_at FROM captures GROUP BY ind_id"))
 def latest_capture(spark: SparkSession, sf: str) -> DataFrame:
-    return d.captures(spark, sf).groupBy("ind_id").agg(F.max_by("image_id", F.struct("captured_at", "image_id")).alias("image_id"), F.max("captured_at").alias("captured_at"))
+    return catalogue.latest_of(d.captures(spark, sf), "ind_id", "captured_at", "image_id")

@@ -77,3 +77,15 @@ def preflight(scanned: DataFrame, free_bytes: int) -> DataFrame:
     needed = F.round(total * 1.1 / 1048576, 1)
     warning = F.when(F.count("*") == 0, "no files").when(total * 1.1 > free_bytes, "not enough space")
     return scanned.agg(F.count("*").alias("files"), F.round(total / 1048576, 1).alias("mb"), needed.alias("needed_mb"), warning.alias("warning"))
+
+
+def annotations(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
+    """images (id, file_name, location, date_captured) and annotations (image_id, category_id) of an annotation file in JSON, as ``lists.image_truth`` takes them."""
+    schema = "images array<struct<id:string,file_name:string,location:string,date_captured:string>>, annotations array<struct<image_id:string,category_id:int>>"
+    whole = spark.read.schema(schema).option("multiLine", "true").json(path)
+    return whole.select(F.inline("images")), whole.select(F.inline("annotations"))
+
+
+def found_images(images: DataFrame, files: DataFrame) -> DataFrame:
+    """``images`` whose file was found (``files``: name, path), with its path; of files of one name the first by path."""
+    return images.join(files.groupBy(F.col("name").alias("file_name")).agg(F.min("path").alias("orig_path")), "file_name")
