@@ -123,5 +123,26 @@ def test_repeated_ids_and_rows(spark, tokenizer):
     assert again == got
 
 
+def test_equal_rows_take_turns_in_the_ranges_that_end_with_them():
+    bounds = [tf._order(None, 5), tf._order(3, 1), tf._order(3, 1), tf._order(3, 1), tf._order(9, 0)]
+    assert {tf.range_of(bounds, tf._order(3, 1), i) for i in range(20)} == {1, 2, 3, 4}
+    rows = [(None, 4), (None, 6), (1, 0), (3, 0), (3, 1), (3, 2), (9, 0), (9, 1)]
+    found = [[tf.range_of(bounds, tf._order(*r), i) for i in range(9)] for r in rows]
+    assert all(max(a) <= min(b) for a, b in zip(found, found[1:], strict=False))
+
+
+def test_many_files_and_a_hot_row(spark, monkeypatch):
+    monkeypatch.setattr(tf, "FILE_DOCS", 20)
+    rows = [(i, f"text {i}") for i in range(200)] + [(77, "the hot row")] * 150
+    got = [tuple(r) for r in tf.report(spark.createDataFrame(rows, "doc_id long, text string").repartition(6)).collect()]
+    assert len(got) == 350 and sorted(r[0] for r in got) == sorted(r[0] for r in rows)
+    in_order = sorted(got, key=lambda r: r[1])
+    assert [r[0] for r in in_order] == sorted(r[0] for r in rows)
+    assert [r[1] for r in in_order] == [sum(x[2] for x in in_order[:i]) for i in range(350)]
+    seen = spark.createDataFrame(rows, "doc_id long, text string").repartition(6)
+    files = tf.write(seen, tf.folder_for(spark))
+    assert files.count() > 8 and files.agg({"n_docs": "max"}).first()[0] < 120
+
+
 def test_empty_table(spark):
     assert tf.report(spark.createDataFrame([], "doc_id long, text string")).count() == 0

@@ -9,9 +9,10 @@ A file holds the documents of one range of ids, in order.  Its layout, all numbe
 - the block offsets (uint64 each) and CRC-32s (uint32 each);
 - 48 bytes: position of the documents and of the offsets, number of blocks, of ids and of documents (uint64), the magic.
 
-Texts are encoded where they are read; ids alone (16 or 32 bits each) are written, dealt out by ranges of (doc_id, hash of
-the text, place in the table) and sorted there, so copies of one id are no single group.  A task writes one file under a
-name of its own and moves it into place when it is whole: one that is repeated writes the same file.  Files are read
+Texts are encoded where they are read; ids alone (16 or 32 bits each) are shuffled, to ranges of (doc_id, hash of the
+text) that a sample of these balances by bytes, and sorted there.  Rows that are equal in both, however many, are spread
+over all ranges that end with them.  A task writes one file under a name of its own and moves it into place when it is
+whole: one that is repeated writes the same file.  Files are read
 and written through pyarrow's file systems, in a folder that driver and executors share.
 """
 
@@ -20,6 +21,7 @@ from __future__ import annotations
 import json
 import uuid
 import zlib
+from bisect import bisect_left, bisect_right
 from collections.abc import Iterator
 from functools import lru_cache
 from pathlib import Path
@@ -31,7 +33,7 @@ from pyarrow import fs
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import BinaryType, LongType, StringType, StructField, StructType
+from pyspark.sql.types import BinaryType, IntegerType, LongType, StringType, StructField, StructType
 
 from tracklake.llm.common import checkpointed, removed, shared_folder, text_or_empty
 
@@ -41,6 +43,8 @@ MAGIC = b"TRACKID1"
 BLOCK_IDS = 1 << 16
 #: A file's bytes and documents, about.
 FILE_BYTES, FILE_DOCS = 128 << 20, 4_000_000
+#: Bytes of text an id, as a guess of the files' number; bytes that a row counts beside its text; rows sampled for a range of ids.
+BYTES_AN_ID, OVERHEAD, PER_RANGE = 4, 16, 40
 #: Bytes of text that are encoded at a time; a longer text is encoded alone.
 SLICE = 1 << 22
 #: Word pieces that a worker keeps with their ids, and pieces that are encoded as one text.
@@ -286,17 +290,26 @@ def _binary(lengths: np.ndarray, ids: np.ndarray) -> pa.Array:
     return pa.Array.from_buffers(pa.binary(), len(lengths), [None, pa.py_buffer(offsets.astype(np.int32)), pa.py_buffer(ids)])
 
 
-def encoded(docs: DataFrame, tokenizer: str = TOKENIZER, end_id: int = END_ID) -> tuple[DataFrame, int]:
-    """doc_id, key (hash of the text), n and ids (bytes of uint16 or uint32) of every row with ``end_id`` behind; and the bits an id needs."""
-    data = Path(tokenizer).read_bytes()
-    size = max(Encoder(data).size, end_id + 1)
+def _order(doc_id, key: int) -> tuple:
+    """Null ids first."""
+    return (False, key) if doc_id is None else (True, doc_id, key)
+
+
+def range_of(bounds: list[tuple], order: tuple, nth: int) -> int:
+    """The range of a row: that before the first bound above it; rows that equal bounds take turns in the ranges beside these."""
+    low, high = bisect_left(bounds, order), bisect_right(bounds, order)
+    return low + nth % (high - low + 1)
+
+
+def encoded(docs: DataFrame, data: bytes, end_id: int, size: int, bounds: list[tuple]) -> DataFrame:
+    """doc_id, key (hash of the text), n, ids (bytes of uint16 or uint32) and range of every row, with ``end_id`` behind its ids."""
     kind = np.dtype("<u2" if size <= 1 << 16 else "<u4")
-    shared = docs.sparkSession.sparkContext.broadcast(data)
+    shared = docs.sparkSession.sparkContext.broadcast((data, bounds))
     rows = docs.select("doc_id", F.xxhash64(text_or_empty()).alias("key"), text_or_empty().alias("text"))
-    schema = StructType([*rows.schema.fields[:2], StructField("n", LongType()), StructField("ids", BinaryType())])
+    schema = StructType([*rows.schema.fields[:2], StructField("n", LongType()), StructField("ids", BinaryType()), StructField("range", IntegerType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = _encoder(shared.value)
+        own, bounds, nth = _encoder(shared.value[0]), shared.value[1], TaskContext.get().partitionId()
         for batch in batches:
             for i, j in slices(batch.column(2)):
                 some = batch.slice(i, j - i)
@@ -305,9 +318,22 @@ def encoded(docs: DataFrame, tokenizer: str = TOKENIZER, end_id: int = END_ID) -
                 out = np.full(len(ids) + len(n), end_id, kind)
                 place = np.arange(len(ids)) + np.repeat(np.arange(len(n)), lengths)
                 out[place] = ids
-                yield pa.RecordBatch.from_arrays([some.column(0), some.column(1), pa.array(n), _binary(n, out)], schema.names)
+                orders = map(_order, some.column(0).to_pylist(), some.column(1).to_pylist())
+                ranges = [range_of(bounds, order, nth + k) for k, order in enumerate(orders)] if bounds else [0] * len(n)
+                nth += len(n)
+                yield pa.RecordBatch.from_arrays([some.column(0), some.column(1), pa.array(n), _binary(n, out), pa.array(ranges, pa.int32())], schema.names)
+
+    return rows.mapInArrow(run, schema)
+
 
-    return rows.mapInArrow(run, schema), bits_for(size)
+def range_bounds(docs: DataFrame, n: int, total: int) -> list[tuple]:
+    """n - 1 bounds of ranges of about equally many bytes (of ``total``, with OVERHEAD a row), from a sample of ids and hashes, PER_RANGE a range."""
+    if n == 1:
+        return []
+    weight = F.octet_length(text_or_empty()) + OVERHEAD
+    sample = docs.filter(F.rand(7) * total < PER_RANGE * n * weight).select("doc_id", F.xxhash64(text_or_empty()).alias("key")).collect()
+    found = sorted(_order(*r) for r in sample)
+    return [found[len(found) * i // n] for i in range(1, n)] if found else []
 
 
 # ---- jobs -----------------------------------------------------------------------------------------------------------
@@ -320,12 +346,14 @@ def write(docs: DataFrame, folder: str, tokenizer: str = TOKENIZER, end_id: int
     the end; very long texts are encoded whole; rows may repeat; an empty table gives no files.  Extra columns are ignored.
     """
     spark = docs.sparkSession
-    first, bits = encoded(docs, tokenizer, end_id)
-    kind, at = "<u2" if bits <= 16 else "<u4", f"{folder}/encoded"
-    first.write.parquet(at)
-    rows = spark.read.parquet(at)
-    total = rows.agg(F.count("*"), F.coalesce(F.sum("n"), F.lit(0))).first()
-    n_files = max(1, -(-total[1] * bits // 8 // FILE_BYTES), -(-total[0] // FILE_DOCS), min(spark.sparkContext.defaultParallelism, total[1] >> 20))
+    data = Path(tokenizer).read_bytes()
+    size = max(Encoder(data).size, end_id + 1)
+    bits = bits_for(size)
+    kind = "<u2" if bits <= 16 else "<u4"
+    rows, text = docs.agg(F.count("*"), F.coalesce(F.sum(F.octet_length(text_or_empty())), F.lit(0))).first()
+    likely = (text // BYTES_AN_ID + rows) * bits // 8
+    n_files = max(1, -(-likely // FILE_BYTES), -(-rows // FILE_DOCS), min(spark.sparkContext.defaultParallelism, likely >> 20))
+    bounds = range_bounds(docs, n_files, text + OVERHEAD * rows)
     filesystem, path = _opened(f"{folder}/files")
     filesystem.create_dir(path)
     schema = StructType([StructField("file", LongType()), StructField("path", StringType()), StructField("n_docs", LongType()), StructField("n_ids", LongType())])
@@ -345,10 +373,8 @@ def write(docs: DataFrame, folder: str, tokenizer: str = TOKENIZER, end_id: int
             out.close()
             yield pa.RecordBatch.from_arrays([pa.array([x]) for x in (number, uri, out.n_docs, out.n_ids)], schema.names)
 
-    # The place in the written table is the same in every run of a task, and splits rows that are equal otherwise.
-    placed = rows.withColumn("place", F.monotonically_increasing_id()).repartitionByRange(n_files, "doc_id", "key", "place").sortWithinPartitions("doc_id", "key", "place")
-    files = placed.select("doc_id", "n", "ids").mapInArrow(run, schema).collect()  # a row a file of FILE_BYTES
-    removed(spark, at)
+    placed = encoded(docs, data, end_id, size, bounds).repartitionById(len(bounds) + 1, "range").sortWithinPartitions("doc_id", "key")
+    files = placed.select("doc_id", "n", "ids").mapInArrow(run, schema).collect()  # a row a file
     start, listed = 0, []
     for r in sorted(files):
         listed.append((*r, start))
