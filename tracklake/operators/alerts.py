@@ -1,7 +1,8 @@
 """Movement alerts across cycles, with suppression by survey effort.
 
-Each rule is a projection of one wide frame with a row for every run and individual: the current occupancy, what earlier
-rows say (windows over existing rows, so cycles without a row are skipped), the coverage and the identity confidence.
+Each rule is a projection of one wide frame with a row for every run and individual: the current occupancy, the three
+rows before it (of those that exist, so cycles without a row are skipped), its new stations, the coverage and the identity
+confidence.  No row carries its whole past, so the frame grows with the runs and not with their square.
 """
 
 from __future__ import annotations
@@ -40,125 +41,187 @@ def history(occupancy: DataFrame, runs: DataFrame, stations: DataFrame, confiden
     ``occupancy``: run_id, ind_id, station_set, centroid_lat, centroid_lon, event_count.  ``runs``: run_id, started_at,
     and reserve_id where there are several reserves.  ``confidences``: run_id, ind_id, id_conf.  ``coverages``: run_id,
     ind_id, coverage.  Individuals are carried into every run of their reserve from their first row on, so that absences
-    show; with ``individuals`` (ind_id) only those that still exist are.
+    show; with ``individuals`` (ind_id) only those that still exist are.  last, last2 and last3 are the rows before, from
+    the nearest on; fresh are the stations that the individual was never at before, with their zones.  n_earlier counts
+    the reserve's earlier runs: there are no alerts in the first.
     """
-    numbered = in_reserves(runs).select("run_id", "reserve_id", "started_at")
+    earlier_runs = F.count("*").over(Window.partitionBy("reserve_id").orderBy("started_at").rowsBetween(Window.unboundedPreceding, -1))
+    numbered = in_reserves(runs).select("run_id", "reserve_id", "started_at", earlier_runs.alias("n_earlier"))
     if individuals is not None:
         occupancy = occupancy.join(individuals.select("ind_id").distinct(), "ind_id", "left_semi")
-    first = occupancy.join(numbered, "run_id").groupBy("reserve_id", "ind_id").agg(F.min("started_at").alias("first_at"))
+    dated = occupancy.join(numbered, "run_id")
+    first = dated.groupBy("reserve_id", "ind_id").agg(F.min("started_at").alias("first_at"))
     # Runs are few and their number is that of the survey's cycles; individuals meet those of their own reserve.
-    spread = first.join(numbered, "reserve_id").filter(F.col("started_at") >= F.col("first_at")).select("reserve_id", "ind_id", "run_id", "started_at")
-    rows = spread.join(occupancy.withColumn("_present", F.lit(True)), ["run_id", "ind_id"], "left").join(confidences, ["run_id", "ind_id"], "left").join(coverages, ["run_id", "ind_id"], "left")
-    zones = stations.select("station_id", "name", "zone", "lat", "lon", "village_dist_km")
-    # Zone share and nearest village of a row, from its stations; a reserve's stations are few.
-    about = (
-        occupancy.select("run_id", "ind_id", F.explode("station_set").alias("station_id")).join(zones, "station_id").groupBy("run_id", "ind_id")
-        .agg(F.avg((F.col("zone") == "buffer").cast("int")).alias("buffer_share"), F.min("village_dist_km").alias("nearest_km"))
-    )
-    rows = rows.join(about, ["run_id", "ind_id"], "left")
+    spread = first.join(numbered, "reserve_id").filter(F.col("started_at") >= F.col("first_at")).select("reserve_id", "ind_id", "run_id", "started_at", "n_earlier")
+    # Zones, the nearest village and first visits of a row's stations; a station is new just in the run of its first visit.
+    used = dated.select("run_id", "reserve_id", "started_at", "ind_id", F.posexplode("station_set").alias("at", "station_id")).join(stations.select("station_id", "zone", "village_dist_km"), "station_id", "left")
+    visit = Window.partitionBy("reserve_id", "ind_id", "station_id")
+    used = used.withColumn("is_new", F.col("started_at") == F.min("started_at").over(visit))
+    about = used.groupBy("run_id", "ind_id").agg(
+        F.avg(F.when(F.col("zone").isNotNull(), (F.col("zone") == "buffer").cast("int"))).alias("buffer_share"),
+        F.min("village_dist_km").alias("nearest_km"),
+        F.array_sort(F.collect_list(F.when(F.col("is_new"), F.struct("at", "station_id", "zone")))).alias("fresh"),
+    )
+    rows = spread.join(occupancy.withColumn("_present", F.lit(True)), ["run_id", "ind_id"], "left").join(confidences, ["run_id", "ind_id"], "left").join(coverages, ["run_id", "ind_id"], "left").join(about, ["run_id", "ind_id"], "left")
     past = Window.partitionBy("reserve_id", "ind_id").orderBy("started_at").rowsBetween(Window.unboundedPreceding, -1)
-    row = F.struct("run_id", "station_set", "centroid_lat", "centroid_lon", "event_count", "buffer_share", "nearest_km")
-    rows = rows.withColumn("prior", F.collect_list(F.when(F.col("_present"), row)).over(past))
-    rows = rows.withColumn("conf_last", F.last(F.when(F.col("event_count") > 0, F.struct("id_conf")), ignorenulls=True).over(past)["id_conf"])
-    rows = rows.withColumn("seen_before", F.array_distinct(F.flatten(F.transform("prior", lambda p: p["station_set"]))))
-    rows = rows.withColumn("last", F.try_element_at("prior", F.lit(-1))).withColumn("n_prior", F.size("prior"))
-    fresh = F.array_except(F.coalesce("station_set", F.array().cast("array<bigint>")), "seen_before")
-    earlier_runs = F.count("*").over(Window.partitionBy("reserve_id").orderBy("started_at").rowsBetween(Window.unboundedPreceding, -1))
-    with_rank = numbered.select("run_id", earlier_runs.alias("n_earlier"))
-    return rows.withColumn("fresh", fresh).join(with_rank, "run_id").filter("n_earlier > 0")
+    rows = rows.withColumn("_row", F.when(F.col("_present"), F.struct("centroid_lat", "centroid_lon", "event_count", "buffer_share", "nearest_km")))
+    # Rows that exist, however many runs back: a run without one is skipped.
+    back = lambda n: F.expr(f"lag(_row, {n}) IGNORE NULLS OVER (PARTITION BY reserve_id, ind_id ORDER BY started_at)")
+    rows = rows.withColumns({"last": back(1), "last2": back(2), "last3": back(3), "n_prior": F.count("_row").over(past)})
+    return rows.withColumn("conf_last", F.last(F.when(F.col("event_count") > 0, F.struct("id_conf")), ignorenulls=True).over(past)["id_conf"]).drop("_row", "_present")
 
 
-def _alert(df: DataFrame, kind: str, severity: str, strength: Column, suppress: Column | None = None, reason: Column | None = None, key: Column | None = None, confidence: Column | None = None) -> DataFrame:
+def _candidate(kind: str, severity: str, when: Column, strength: Column, suppress: Column | None = None, reason: Column | None = None, key: Column | None = None, confidence: Column | None = None) -> Column:
+    """What a rule says of a row of the frame: a struct where it raises an alert, else null."""
     held = F.coalesce(suppress, F.lit(False)) if suppress is not None else F.lit(False)
-    return df.select(
-        "run_id", "ind_id", F.lit(kind).alias("type"), F.lit(severity).alias("severity"), F.coalesce(key.cast("string"), F.lit("")).alias("key") if key is not None else F.lit("").alias("key"),
-        strength.cast("double").alias("strength"), (confidence if confidence is not None else F.col("id_conf")).alias("id_conf"), "coverage", held.alias("suppressed"), (F.when(held, reason) if reason is not None else F.lit(None).cast("string")).alias("suppress_reason"),
-    )
+    said = F.struct(
+        F.lit(kind).alias("type"),
+        F.lit(severity).alias("severity"),
+        F.coalesce(key.cast("string"), F.lit("")).alias("key") if key is not None else F.lit("").alias("key"),
+        strength.cast("double").alias("strength"),
+        (confidence if confidence is not None else F.col("id_conf")).alias("id_conf"),
+        held.alias("suppressed"),
+        (F.when(held, reason) if reason is not None else F.lit(None).cast("string")).alias("suppress_reason"),
+    )
+    return F.when((F.col("n_earlier") > 0) & when, said)
 
 
-def centroid_shift(h: DataFrame) -> DataFrame:
-    """The centroid moved further than the zone of the previous row allows."""
+def _raised(h: DataFrame, *candidates: Column) -> DataFrame:
+    """The alerts of some rules, in one pass over the frame."""
+    each = h.select("run_id", "ind_id", "coverage", F.explode(F.array_compact(F.array(*candidates))).alias("a"))
+    return each.select("run_id", "ind_id", "a.type", "a.severity", "a.key", "a.strength", "a.id_conf", "coverage", "a.suppressed", "a.suppress_reason")
+
+
+def _centroid_shift() -> Column:
     km = geo.distance_km(F.col("last.centroid_lat"), F.col("last.centroid_lon"), F.col("centroid_lat"), F.col("centroid_lon"))
     limit = F.when(F.col("last.buffer_share") > 0.5, A.buffer_shift_km).otherwise(A.core_shift_km)
-    moved = h.filter((F.col("event_count") > 0) & (F.col("last.event_count") > 0)).withColumn("_km", km).withColumn("_limit", limit).filter("_km > _limit")
     few = F.least("event_count", "last.event_count")
-    strength = F.least(F.lit(0.95), 0.55 + 0.25 * (F.col("_km") - F.col("_limit")) / F.col("_limit"))
-    return _alert(moved, "centroid_shift", "watch", strength, few < A.min_events_for_centroid, F.concat(F.lit("only "), few.cast("string"), F.lit(" events, below the minimum")))
+    strength = F.least(F.lit(0.95), 0.55 + 0.25 * (km - limit) / limit)
+    moved = (F.col("event_count") > 0) & (F.col("last.event_count") > 0) & (km > limit)
+    return _candidate("centroid_shift", "watch", moved, strength, few < A.min_events_for_centroid, F.concat(F.lit("only "), few.cast("string"), F.lit(" events, below the minimum")))
+
+
+def centroid_shift(h: DataFrame) -> DataFrame:
+    """The centroid moved further than the zone of the previous row allows."""
+    return _raised(h, _centroid_shift())
 
 
 def new_station(h: DataFrame, stations: DataFrame, days: DataFrame, runs: DataFrame) -> DataFrame:
     """First capture at a station outside the buffer; suppressed where the station or the individual could not have been seen there before."""
-    each = h.filter("n_prior > 0").withColumn("station_id", F.explode("fresh")).join(stations.select("station_id", "zone"), "station_id").filter("zone <> 'buffer'")
+    each = h.filter("n_earlier > 0 and n_prior > 0").select("run_id", "ind_id", "reserve_id", "started_at", "id_conf", "coverage", F.explode("fresh").alias("f")).filter("f.zone <> 'buffer'").withColumn("station_id", F.col("f.station_id"))
     active = days.filter("days > 0").join(in_reserves(runs).select("run_id", "reserve_id", F.col("started_at").alias("d_start")), "run_id").select("station_id", "reserve_id", F.col("run_id").alias("d_run"), "d_start")
-    met = each.join(active, ["station_id", "reserve_id"], "left")
-    before = F.col("d_start") < F.col("started_at")
-    detected = F.exists("prior", lambda p: (p["run_id"] == F.col("d_run")) & (p["event_count"] > 0))
+    met = each.join(active, ["station_id", "reserve_id"], "left").withColumn("before", F.col("d_start") < F.col("started_at"))
+    seen = h.filter("event_count > 0").select(F.col("run_id").alias("d_run"), "ind_id", F.lit(True).alias("detected"))
+    met = met.join(seen, ["d_run", "ind_id"], "left")
     keys = ["run_id", "ind_id", "station_id"]
-    found = met.groupBy(*keys).agg(F.count_if(before).alias("active_before"), F.count_if(before & detected).alias("watched"), F.first("id_conf").alias("id_conf"), F.first("coverage").alias("coverage"))
+    found = met.groupBy(*keys).agg(F.count_if("before").alias("active_before"), F.count_if(F.col("before") & F.col("detected")).alias("watched"), F.first("id_conf").alias("id_conf"), F.first("coverage").alias("coverage"))
     installed = F.col("active_before") < 1
     reason = F.when(installed, "station was installed this cycle").otherwise("individual was not detected while the station was active")
-    return _alert(found, "new_station", "info", F.lit(0.6), installed | (F.col("watched") == 0), reason, F.col("station_id"))
+    alert = _candidate("new_station", "info", F.lit(True), F.lit(0.6), installed | (F.col("watched") == 0), reason, F.col("station_id"))
+    return _raised(found.withColumn("n_earlier", F.lit(1)), alert)
+
 
+def _first_fresh(zone: str) -> Column:
+    """The first of a row's new stations that lies in a zone; null without one."""
+    return F.get(F.filter("fresh", lambda f: f["zone"] == zone), F.lit(0))["station_id"]
 
-def first_fresh_in_zone(h: DataFrame, stations: DataFrame, zone: str) -> DataFrame:
-    """Rows with the first of their new stations that lies in a zone."""
-    each = h.select("run_id", "ind_id", F.posexplode("fresh").alias("place", "station_id")).join(stations.filter(F.col("zone") == zone).select("station_id"), "station_id")
-    first = each.groupBy("run_id", "ind_id").agg(F.min(F.struct("place", "station_id"))["station_id"].alias("first_station"))
-    return h.join(first, ["run_id", "ind_id"])
+
+def _buffer_ward() -> Column:
+    at = _first_fresh("buffer")
+    return _candidate("buffer_ward", "act", at.isNotNull(), 0.85 * F.when(F.col("ratio") > A.buffer_spike, A.buffer_damping).otherwise(1.0), key=at)
+
+
+def _with_ratio(h: DataFrame, buffer_ratio: DataFrame) -> DataFrame:
+    return h.join(buffer_ratio.select("run_id", "ratio"), "run_id", "left")
 
 
 def buffer_ward(h: DataFrame, stations: DataFrame, buffer_ratio: DataFrame) -> DataFrame:
     """First capture in the buffer, history or not; weaker where the buffer was watched much more than before (run_id, ratio)."""
-    df = first_fresh_in_zone(h, stations, "buffer").join(buffer_ratio, "run_id", "left")
-    strength = 0.85 * F.when(F.col("ratio") > A.buffer_spike, A.buffer_damping).otherwise(1.0)
-    return _alert(df, "buffer_ward", "act", strength, key=F.col("first_station"))
+    return _raised(_with_ratio(h, buffer_ratio), _buffer_ward())
+
+
+def _absence() -> Column:
+    # The last cycles with a row.
+    recent = F.array(*[F.col(f"last{n if n > 1 else ''}.event_count") for n in range(1, A.absence_cycles + 1)])
+    gone = (F.col("n_prior") >= A.absence_cycles) & F.forall(recent, lambda n: n > 0) & (F.coalesce("event_count", F.lit(0)) == 0)
+    covered = F.coalesce("coverage", F.lit(0.0))
+    return _candidate("absence", "watch", gone, F.lit(0.7), covered < A.min_coverage, F.concat(F.lit("coverage "), covered.cast("string"), F.lit(" is too low")), confidence=F.col("conf_last"))
 
 
 def absence(h: DataFrame) -> DataFrame:
     """Present in each of the last cycles with a row, absent now."""
-    recent = F.slice("prior", F.greatest(F.lit(1), F.col("n_prior") - A.absence_cycles + 1), A.absence_cycles)
-    gone = h.filter((F.col("n_prior") >= A.absence_cycles) & F.forall(recent, lambda p: p["event_count"] > 0) & (F.coalesce("event_count", F.lit(0)) == 0))
-    low = F.coalesce("coverage", F.lit(0.0)) < A.min_coverage
-    return _alert(gone, "absence", "watch", F.lit(0.7), low, F.concat(F.lit("coverage "), F.coalesce("coverage", F.lit(0.0)).cast("string"), F.lit(" is too low")), confidence=F.col("conf_last"))
+    return _raised(h, _absence())
 
 
-def directional_trend(h: DataFrame) -> DataFrame:
-    """Three centroids in a row, both legs of a kilometre or more, in about one direction."""
-    df = h.filter("n_prior >= 2").withColumn("_p", F.try_element_at("prior", F.lit(-2)))
+def _directional_trend() -> Column:
     at = lambda r: [F.col(f"{r}.centroid_lat"), F.col(f"{r}.centroid_lon")]
     now = [F.col("centroid_lat"), F.col("centroid_lon")]
-    legs = df.withColumn("_d1", geo.distance_km(*at("_p"), *at("last"))).withColumn("_d2", geo.distance_km(*at("last"), *now)).withColumn("_a", geo.angle_between(geo.bearing(*at("_p"), *at("last")), geo.bearing(*at("last"), *now)))
-    moved = legs.filter((F.col("_d1") >= A.min_leg_km) & (F.col("_d2") >= A.min_leg_km))
-    return _alert(moved, "directional_trend", "watch", F.lit(0.75), F.col("_a") > A.max_angle_deg, F.lit("movement is not in one direction"))
+    first, second = geo.distance_km(*at("last2"), *at("last")), geo.distance_km(*at("last"), *now)
+    turn = geo.angle_between(geo.bearing(*at("last2"), *at("last")), geo.bearing(*at("last"), *now))
+    moved = (F.col("n_prior") >= 2) & (first >= A.min_leg_km) & (second >= A.min_leg_km)
+    return _candidate("directional_trend", "watch", moved, F.lit(0.75), turn > A.max_angle_deg, F.lit("movement is not in one direction"))
+
+
+def directional_trend(h: DataFrame) -> DataFrame:
+    """Three centroids in a row, both legs of a kilometre or more, in about one direction."""
+    return _raised(h, _directional_trend())
+
+
+def _decreasing_village_distance() -> Column:
+    near = (F.col("nearest_km") < F.col("last.nearest_km")) & (F.col("nearest_km") <= A.village_warn_km)
+    return _candidate("decreasing_village_distance", "act", near, F.lit(0.85))
 
 
 def decreasing_village_distance(h: DataFrame) -> DataFrame:
-    near = h.filter((F.col("nearest_km") < F.col("last.nearest_km")) & (F.col("nearest_km") <= A.village_warn_km))
-    return _alert(near, "decreasing_village_distance", "act", F.lit(0.85))
+    """A station nearer to a village than those of the row before, and near."""
+    return _raised(h, _decreasing_village_distance())
+
+
+def _activity_collapse() -> Column:
+    recent = F.array_compact(F.array(*[F.col(f"{r}.event_count") for r in ("last", "last2", "last3")]))
+    mean = F.try_divide(F.aggregate(recent, F.lit(0.0), lambda acc, n: acc + n), F.size(recent))
+    fallen = (F.col("n_prior") > 0) & (mean >= A.collapse_min_mean) & (F.col("event_count") > 0) & (F.col("event_count") <= A.collapse_ratio * mean)
+    return _candidate("activity_collapse", "watch", fallen, F.lit(0.75), F.coalesce("coverage", F.lit(0.0)) < A.min_coverage, F.lit("survey coverage dropped"))
 
 
 def activity_collapse(h: DataFrame) -> DataFrame:
-    recent = F.slice("prior", F.greatest(F.lit(1), F.col("n_prior") - 2), 3)
-    mean = F.try_divide(F.aggregate(recent, F.lit(0.0), lambda acc, p: acc + p["event_count"]), F.size(recent))
-    df = h.filter("n_prior > 0").withColumn("_mean", mean).filter((F.col("_mean") >= A.collapse_min_mean) & (F.col("event_count") > 0) & (F.col("event_count") <= A.collapse_ratio * F.col("_mean")))
-    return _alert(df, "activity_collapse", "watch", F.lit(0.75), F.coalesce("coverage", F.lit(0.0)) < A.min_coverage, F.lit("survey coverage dropped"))
+    """Far fewer events than in the last three rows, but some."""
+    return _raised(h, _activity_collapse())
+
+
+def _new_corridor() -> Column:
+    at = _first_fresh("corridor")
+    return _candidate("new_corridor", "watch", (F.col("n_prior") > 0) & at.isNotNull(), F.lit(0.8), key=at)
 
 
 def new_corridor(h: DataFrame, stations: DataFrame) -> DataFrame:
-    return _alert(first_fresh_in_zone(h.filter("n_prior > 0"), stations, "corridor"), "new_corridor", "watch", F.lit(0.8), key=F.col("first_station"))
+    """First capture in a corridor of an individual with history."""
+    return _raised(h, _new_corridor())
+
+
+def _travel_time_anomaly() -> Column:
+    key = F.concat_ws("_", F.col("move.from_station").cast("string"), F.col("move.station_id").cast("string"))
+    return _candidate("travel_time_anomaly", "watch", (F.col("n_prior") > 0) & F.col("move").isNotNull(), F.lit(0.85), key=key)
+
+
+def _with_moves(h: DataFrame, moves: DataFrame) -> DataFrame:
+    fast = moves.filter((F.col("kmh") > A.max_speed_kmh) & (F.col("km") > A.min_transit_km))
+    return h.join(fast.groupBy("run_id", "ind_id").agg(F.min(F.struct("started_at", "event_no", "from_station", "station_id")).alias("move")), ["run_id", "ind_id"], "left")
 
 
 def travel_time_anomaly(h: DataFrame, moves: DataFrame) -> DataFrame:
     """The first move of a run that no animal can have made; ``moves`` from ``transits`` by run and individual."""
-    fast = moves.filter((F.col("kmh") > A.max_speed_kmh) & (F.col("km") > A.min_transit_km))
-    first = fast.groupBy("run_id", "ind_id").agg(F.min(F.struct("started_at", "event_no", "from_station", "station_id")).alias("_m"))
-    df = h.filter("n_prior > 0").join(first, ["run_id", "ind_id"])
-    return _alert(df, "travel_time_anomaly", "watch", F.lit(0.85), key=F.concat_ws("_", F.col("_m.from_station").cast("string"), F.col("_m.station_id").cast("string")))
+    return _raised(_with_moves(h, moves), _travel_time_anomaly())
+
+
+def _identity_confidence_collapse() -> Column:
+    fallen = (F.col("n_prior") > 0) & (F.col("conf_last") >= A.confidence_from) & (F.col("conf_last") - F.col("id_conf") >= A.confidence_drop)
+    return _candidate("identity_confidence_collapse", "watch", fallen, F.lit(0.8))
 
 
 def identity_confidence_collapse(h: DataFrame) -> DataFrame:
-    df = h.filter((F.col("n_prior") > 0) & (F.col("conf_last") >= A.confidence_from) & (F.col("conf_last") - F.col("id_conf") >= A.confidence_drop))
-    return _alert(df, "identity_confidence_collapse", "watch", F.lit(0.8))
+    """Identified with far less confidence than when last seen."""
+    return _raised(h, _identity_confidence_collapse())
 
 
 def finalised(candidates: DataFrame, t_low: float = SETTINGS.t_low) -> DataFrame:
@@ -173,16 +236,11 @@ def finalised(candidates: DataFrame, t_low: float = SETTINGS.t_low) -> DataFrame
 
 
 def alerts(h: DataFrame, stations: DataFrame, days: DataFrame, runs: DataFrame, moves: DataFrame, buffer_ratio: DataFrame) -> DataFrame:
-    """All ten rules, finalised.  The frame is written once, as every rule reads it."""
-    h, stations, days = checkpointed(h), checkpointed(stations), checkpointed(days)
-    rules = [
-        centroid_shift(h), new_station(h, stations, days, runs), buffer_ward(h, stations, buffer_ratio), absence(h), directional_trend(h), decreasing_village_distance(h), activity_collapse(h), new_corridor(h, stations),
-        travel_time_anomaly(h, moves), identity_confidence_collapse(h),
-    ]
-    out = rules[0]
-    for r in rules[1:]:
-        out = out.unionByName(r)
-    return finalised(out)
+    """All ten rules, finalised.  Nine look at a row of the frame, in one pass; new stations meet the days on which they were active."""
+    h = checkpointed(h)
+    rows = _with_moves(_with_ratio(h, buffer_ratio), moves)
+    rules = [_centroid_shift(), _buffer_ward(), _absence(), _directional_trend(), _decreasing_village_distance(), _activity_collapse(), _new_corridor(), _travel_time_anomaly(), _identity_confidence_collapse()]
+    return finalised(_raised(rows, *rules).unionByName(new_station(h, stations, days, runs)))
 
 
 def survey_alerts(captures: DataFrame, stations: DataFrame, activity: DataFrame, runs: DataFrame, gap_seconds: float = SETTINGS.burst_gap_seconds) -> DataFrame:
