@@ -207,3 +207,10 @@ def test_one_id_that_is_repeated_is_sampled_once_and_bytes_are_bounded(spark, mo
     assert secret == sorted(f"abc{i:05d}xyz" for i in range(4, 40))
     monkeypatch.setattr(secret_scan, "SAMPLE_BYTES", 200)
     assert 0 < len(secret_scan.sample_strings(docs.union(more).select("doc_id", "text"))[0]) < 9
+
+
+def test_slices_of_texts(monkeypatch):
+    monkeypatch.setattr(secret_scan, "SLICE_CHARS", 10)
+    texts = ["", "a" * 4, "b" * 6, "c" * 30, "", "d" * 10, "e"]
+    assert list(secret_scan.slices(texts)) == [["", "aaaa", "bbbbbb"], ["c" * 30], ["", "d" * 10], ["e"]]
+    assert list(secret_scan.slices([])) == []

@@ -43,6 +43,8 @@ SEED, SYNTHETIC, SHORTEST, LONGEST = 11, 12_000, 6, 64
 FALSE_SHARE, LEAST_RATIO = 0.001, 25.0
 #: Scores of distinct runs that a worker keeps.
 MOST_KNOWN = 500_000
+#: Characters whose runs are held at a time.
+SLICE_CHARS = 1 << 20
 ALPHABET = "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789+/_=-"
 CODE = {c: i for i, c in enumerate(ALPHABET)}
 
@@ -121,9 +123,23 @@ class Detector:
 
     def added(self, texts: list[str], bases: list[list[tuple[str, int, int]]]) -> list[list[tuple[str, int, int]]]:
         """The spans that the models add to each text's base spans."""
-        runs = [list(re.finditer(f"{RUN}{{{self.shortest},}}", t)) for t in texts]
-        self.random({m[0] for own in runs for m in own})
-        return [[("markov", m.start(), m.end()) for m in own if self.known[m[0]] and not any(a < m.end() and m.start() < b for _, a, b in base)] for own, base in zip(runs, bases, strict=True)]
+        pattern = re.compile(f"{RUN}{{{self.shortest},}}")
+        self.random({run for t in texts for run in pattern.findall(t)})
+        runs = ((m for m in pattern.finditer(t) if self.known[m[0]]) for t in texts)
+        return [[("markov", m.start(), m.end()) for m in own if not any(a < m.end() and m.start() < b for _, a, b in base)] for own, base in zip(runs, bases, strict=True)]
+
+
+def slices(texts: list[str]) -> Iterator[list[str]]:
+    """The texts in order, some SLICE_CHARS at a time; a longer one alone."""
+    some, size = [], 0
+    for t in texts:
+        if some and size + len(t) > SLICE_CHARS:
+            yield some
+            some, size = [], 0
+        some.append(t)
+        size += len(t)
+    if some:
+        yield some
 
 
 def strings_of(text: str) -> tuple[set[str], set[str]]:
@@ -201,10 +217,12 @@ def find_secrets(docs: DataFrame) -> DataFrame:
     def find(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         detector = shared.value
         for batch in batches:
-            texts = [t or "" for t in batch]
-            bases = [base_spans(t) for t in texts]
-            spans = [sorted(base + more, key=lambda s: (s[1], order(s[0]))) for base, more in zip(bases, detector.added(texts, bases), strict=True)]
-            yield pd.Series([[{"kind": k, "start": a, "end": b, "base": k != "markov"} for k, a, b in own] for own in spans])
+            found = []
+            for texts in slices([t or "" for t in batch]):
+                bases = [base_spans(t) for t in texts]
+                spans = [sorted(base + more, key=lambda s: (s[1], order(s[0]))) for base, more in zip(bases, detector.added(texts, bases), strict=True)]
+                found += [[{"kind": k, "start": a, "end": b, "base": k != "markov"} for k, a, b in own] for own in spans]
+            yield pd.Series(found, dtype=object)
 
     find.__annotations__ = {"batches": Iterator[pd.Series], "return": Iterator[pd.Series]}
     return docs.withColumn("secrets", F.pandas_udf(find, SCHEMA)("text"))
