@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from tracklake.functions import geo, vision
 from tracklake.operators import alerts as rules
-from tracklake.operators import catalogue, changes, effort, evaluation, identity, occupancy, tiles, triage
+from tracklake.operators import catalogue, changes, effort, evaluation, identity, occupancy, sessions, tiles, triage
 from tracklake.plans import derived as d
 from tracklake.plans import survey
 from tracklake.plans.derived import sql
@@ -412,11 +412,21 @@ def alerts(spark: SparkSession, sf: str) -> DataFrame:
     return rules.alerts(h, d.stations(spark), days, d.runs(spark), moves, buffer_ratio(spark, sf, days))
 
 
-@query(sql(f"""-- more{_OCC},
-x AS (SELECT run_id, ind_id, event_count, lag(event_count, 1) OVER o AS e1, lag(event_count, 2) OVER o AS e2 FROM occ WINDOW o AS (PARTITION BY ind_id ORDER BY run_id))
-SELECT run_id, ind_id FROM x WHERE e1 IS NOT NULL AND (e1 + coalesce(e2, 0)) / (CASE WHEN e2 IS NULL THEN 1 ELSE 2 END) >= 4 AND event_count > 0 AND event_count <= 0.25 * (e1 + coalesce(e2, 0)) / (CASE WHEN e2 IS NULL THEN 1 ELSE 2 END)"""))
+@query(sql("""-- more
+t AS (SELECT * FROM captures WHERE NOT (run_id = 2 AND ind_id % 2 = 1) OR image_id % 40 = 0),
+f AS (SELECT *, CASE WHEN captured_at - lag(captured_at) OVER (PARTITION BY station_id ORDER BY captured_at, image_id) <= INTERVAL 6 HOUR THEN 0 ELSE 1 END AS fresh FROM t),
+e AS (SELECT *, sum(fresh) OVER (PARTITION BY station_id ORDER BY captured_at, image_id ROWS UNBOUNDED PRECEDING) AS event_no FROM f),
+n AS (SELECT run_id, ind_id, count(DISTINCT (station_id, event_no)) AS n FROM e GROUP BY 1, 2),
+w AS (SELECT *, avg(n) OVER (PARTITION BY ind_id ORDER BY run_id ROWS BETWEEN 3 PRECEDING AND 1 PRECEDING) AS mean FROM n)
+SELECT run_id, ind_id, n AS event_count FROM w WHERE mean >= 4 AND n <= 0.25 * mean"""))
 def alerts_activity_collapse(spark: SparkSession, sf: str) -> DataFrame:
-    return rules.activity_collapse(alert_frame(spark, sf)[0]).select("run_id", "ind_id")
+    """All captures, but of every second individual's last run only every 40th: those individuals are hardly seen any more."""
+    c = d.captures(spark, sf).filter("not (run_id = 2 and ind_id % 2 = 1) or image_id % 40 = 0")
+    events = sessions.burst_sessions(c, d.BURST_SECONDS).groupBy("run_id", "ind_id", "station_id").agg(F.countDistinct("event_no").alias("event_count"))
+    none = spark.range(0).select(F.lit(0).alias("run_id"), F.col("id").alias("ind_id"))
+    ranges = occupancy.occupancy(events, d.stations(spark), survey.survey_days(spark, sf), events.limit(0)).select("run_id", "ind_id", "station_set", "centroid_lat", "centroid_lon", "event_count")
+    h = rules.history(ranges, d.runs(spark), d.stations(spark), none.withColumn("id_conf", F.lit(1.0)), none.withColumn("coverage", F.lit(1.0)))
+    return rules.activity_collapse(h).join(h.select("run_id", "ind_id", "event_count"), ["run_id", "ind_id"]).select("run_id", "ind_id", "event_count")
 
 
 @query(sql("""-- more
