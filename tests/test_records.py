@@ -128,3 +128,44 @@ def test_of_several_updates_of_a_key_the_same_wins(spark):
         df = spark.createDataFrame(updates, "image_id long, status string, triage_stage string").repartition(parts)
         assert records.with_status(images, df, 7, ["image_id", "status"]).first()["status"] == "s"
         assert records.set_many(images, df.select("image_id", "status"), "image_id").first()["status"] == "s"
+
+
+CROPS = "crop_id string, det_id long, side string, rect_ok boolean, quality double, embedding array<double>, embed_model_version string, side_confidence double, side_source string"
+
+
+def test_crops_are_recorded_end_early_and_get_vectors(spark):
+    crops = spark.createDataFrame([("c1", 1, "L", True, 0.9, None, None, 0.8, "model")], CROPS)
+    ended = records.terminal_crops(spark.createDataFrame([(7, None, None), (8, "R", 0.7), (9, "both", 0.1)], "det_id long, side string, side_confidence double"), F.lit("model"))
+    both = records.recorded_crops(crops, ended)
+    assert both.columns == crops.columns
+    assert {r["det_id"]: (r["side"], r["rect_ok"], r["quality"], r["embedding"]) for r in both.collect()} == {1: ("L", True, 0.9, None), 7: ("unknown", False, 0.0, None), 8: ("R", False, 0.0, None), 9: ("unknown", False, 0.0, None)}
+    for bad in (crops, ended.withColumn("side", F.lit("top"))):
+        with pytest.raises(ValueError):
+            records.recorded_crops(crops, bad).count()
+    got = {r["crop_id"]: (r["embedding"], r["embed_model_version"]) for r in records.with_embeddings(both, spark.createDataFrame([("c1", [1.0, 0.0]), ("zz", [0.0, 1.0]), ("c9", None)], "crop_id string, embedding array<double>"), "m@2").collect()}
+    assert got["c1"] == ([1.0, 0.0], "m@2") and sum(v[0] is not None for v in got.values()) == 1
+    detections = spark.createDataFrame([(1, None, None, None), (2, "deer", 0.5, "x")], "det_id long, species string, species_conf double, species_source string")
+    said = spark.createDataFrame([(1, "tiger", 0.9, "model")], detections.schema)
+    assert sorted(map(tuple, records.with_species(detections, said).collect())) == [(1, "tiger", 0.9, "model"), (2, "deer", 0.5, "x")]
+
+
+def test_a_run_s_first_screen_and_notes(spark):
+    from tracklake.operators import cascade, catalogue
+
+    images = spark.createDataFrame([(1, 1, "blank", "exif", '["dark"]'), (2, 1, "subject", "exif", '["dark", "drift"]'), (3, 1, "subject", "filename", "oops"), (4, 2, "blank", "exif", None)], "image_id long, run_id int, status string, time_source string, flags string")
+    raised = spark.createDataFrame([(1, "act", False), (1, "watch", True), (2, "act", False)], "run_id int, severity string, suppressed boolean")
+    told = catalogue.run_dashboard(1, images, F.col("status") == "subject", raised)
+    (counts,) = told["counts"].collect()
+    assert (counts["n_images"], counts["n_blank"], counts["n_animal"]) == (3, 1, 2)
+    assert [tuple(r) for r in told["timestamp_sources"].collect()] == [("exif", 2), ("filename", 1)] and [tuple(r) for r in told["flags"].collect()] == [("dark", 2), ("drift", 1)]
+    assert told["alerts"].first()["total"] == 2
+    assert "nothing is left" in cascade.pending_note(0) and cascade.pending_note(5).startswith("5 ")
+
+
+def test_merges_rebuild_entities(spark):
+    assignments = spark.createDataFrame([("a1", "c1", "x", None), ("a2", "c2", "y", None), ("a3", "c3", "y", "a9")], "assign_id string, crop_id string, ind_id string, superseded_by string")
+    crops = spark.createDataFrame([("c1", "L", datetime(2026, 1, 1)), ("c2", "L", datetime(2026, 1, 2)), ("c3", "R", datetime(2026, 1, 3))], "crop_id string, side string, captured_at timestamp")
+    entities = spark.createDataFrame([("x-L", "x", "L", 1, datetime(2026, 1, 1)), ("y-L", "y", "L", 1, None)], "entity_id string, ind_id string, side string, crop_count long, first_seen timestamp")
+    moved, found = records.merged_with_entities(assignments.withColumn("entity_id", F.when(F.col("superseded_by").isNull(), F.concat("ind_id", F.lit("-L")))), crops, entities, spark.createDataFrame([("y", "x")], "source string, target string"))
+    assert {(r["assign_id"], r["ind_id"], r["entity_id"]) for r in moved.filter("superseded_by is null").collect()} == {("a1", "x", "x-L"), ("a2", "x", "x-L")}
+    assert {(r["entity_id"], r["crop_count"], r["first_seen"]) for r in found.collect()} == {("x-L", 2, datetime(2026, 1, 1)), ("y-L", 1, None)}

@@ -240,3 +240,8 @@ def outcome_note(counts: dict[str, int]) -> str:
     """One sentence on the counts by outcome that an operator reads."""
     said = [f"{counts[name]} {text}" for name, text in (("auto", "matched"), ("review", "sent for review"), ("enroll", "enrolled"), ("cross_flank_candidate", "enrolled with a possible other flank"), ("refuse", "of low quality"), ("side_unknown", "of unknown side"), ("unknown_species", "of unknown species"), ("non_target_species", "of other species")) if counts.get(name)]
     return "; ".join(said) + "." if said else "No detections."
+
+
+def pending_note(pending: int, target: str = "tiger") -> str:
+    """One sentence on what is left to identify in a run, for an operator who starts a job that finds nothing new."""
+    return f"{pending} animal detections still wait to be looked at for {target}." if pending else "Every animal detection has its crop; nothing is left to do."

@@ -211,3 +211,16 @@ def prior_centroids(runs: DataFrame, occupancy: DataFrame) -> DataFrame:
 def station_activity(activity: DataFrame, stations: DataFrame) -> DataFrame:
     """Intervals of activity with their station's name and place, by name and start."""
     return activity.join(stations.select("station_id", "name", "lat", "lon"), "station_id").orderBy("name", "start_date", "activity_id")
+
+
+def run_dashboard(run_id, images: DataFrame, animal: Column, alerts: DataFrame, time_source: str = "time_source", flags: str = "flags") -> dict[str, DataFrame]:
+    """What a run's first screen tells: its counts, where its times come from, its flags and its alerts, each a small table."""
+    from tracklake.operators.review import alert_counts
+
+    own = images.filter(F.col("run_id") == F.lit(run_id))
+    return {
+        "counts": run_counts(own, "run_id", "status", animal),
+        "timestamp_sources": counted(own, time_source).orderBy(F.col("n").desc(), time_source),
+        "flags": flag_counts(own, flags).orderBy(F.col("n").desc(), "flag"),
+        "alerts": alert_counts(alerts.filter(F.col("run_id") == F.lit(run_id))),
+    }

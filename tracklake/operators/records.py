@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from tracklake.functions.text import row_hash
 from tracklake.operators.changes import inserted_only, inserted_strictly, merged_individuals, upserted
 from tracklake.operators.sessions import burst_events
+from tracklake.storage import checkpointed
 
 UNREADABLE = ("corrupt", "unreadable")
 
@@ -151,6 +152,53 @@ def _decided(associations: DataFrame, ids: DataFrame, status: str, user: str, no
 # Crops and review --------------------------------------------------------------------------------------------------
 
 
+SIDES = ("L", "R", "unknown")
+
+
+def recorded_crops(crops: DataFrame, new: DataFrame) -> DataFrame:
+    """``crops`` and new rows of them (of a part of their columns, the others null); a known crop_id, or a side other than L, R and unknown, is an error."""
+    if not new.filter(~F.coalesce(F.col("side").isin(*SIDES), F.lit(False))).isEmpty():
+        raise ValueError(f"a side is one of {SIDES}")
+    whole = new.select(*[F.col(f.name) if f.name in new.columns else F.lit(None).cast(f.dataType).alias(f.name) for f in crops.schema])
+    return inserted_strictly(crops, whole, ["crop_id"])
+
+
+def terminal_crops(detections: DataFrame, side_source: Column) -> DataFrame:
+    """Crops of detections (det_id, side, side_confidence) that end before matching: without a usable rectangle, quality 0 and no vector; unknown where no side is known."""
+    number = F.concat(F.lit("crop_"), F.left(F.sha2(F.concat_ws("|", F.lit("terminal"), F.col("det_id").cast("string")), 256), F.lit(12)))
+    side = F.when(F.col("side").isin("L", "R"), F.col("side")).otherwise("unknown")
+    return detections.select(number.alias("crop_id"), "det_id", side.alias("side"), F.lit(False).alias("rect_ok"), F.lit(0.0).alias("quality"), "side_confidence", side_source.alias("side_source"))
+
+
+def with_embeddings(crops: DataFrame, vectors: DataFrame, model: str) -> DataFrame:
+    """``crops`` with the vectors (crop_id, embedding) of a model; a vector that is null leaves a crop as it was."""
+    found = vectors.filter("embedding is not null").select("crop_id", "embedding", F.lit(model).alias("embed_model_version"))
+    return set_many(crops, found, "crop_id")
+
+
+def with_species(detections: DataFrame, said: DataFrame) -> DataFrame:
+    """``detections`` with species, species_conf, species_source and, where ``said`` (det_id, ...) has it, species_model_version."""
+    return set_many(detections, said, "det_id")
+
+
+def activity_of(activity: DataFrame, station_id) -> DataFrame:
+    """A station's intervals of activity, the earliest first."""
+    return activity.filter(F.col("station_id") == F.lit(station_id)).orderBy("start_date", "activity_id")
+
+
+def merged_with_entities(assignments: DataFrame, crops: DataFrame, entities: DataFrame, merges: DataFrame, individuals: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+    """Assignments (with entity_id) after merges of individuals, and the entities that follow from them, with their crops counted anew.
+
+    Entities that nothing belongs to any more stay.  What ``merged_individuals`` calls an error is one here.
+    """
+    moved = merged_individuals(assignments, merges, individuals)
+    # What live assignments belong to follows from where they are now.
+    moved = checkpointed(moved.withColumn("entity_id", F.when(F.col("superseded_by").isNotNull(), F.col("entity_id"))))
+    found, filled = entities_from_crops(moved, crops, entities.limit(0).select("entity_id", "ind_id", "side", "crop_count"))
+    whole = found.select(*[F.col(f.name) if f.name in found.columns else F.lit(None).cast(f.dataType).alias(f.name) for f in entities.schema])
+    return filled, upserted(entities, whole, ["entity_id"], ["crop_count"])
+
+
 def crop_context(crops: DataFrame, detections: DataFrame, images: DataFrame) -> DataFrame:
     """crop_id with its side, its detection's box, and its image's path, run, reserve, station and time; crops whose detection or image is gone are left out."""
     own = crops.select("crop_id", "det_id", "side").join(detections.select("det_id", "image_id", "x", "y", "w", "h"), "det_id")
