@@ -48,7 +48,7 @@ BYTES_AN_ID, OVERHEAD, PER_RANGE = 4, 16, 40
 #: Bytes of text that are encoded at a time; a longer text is encoded alone.
 SLICE = 1 << 22
 #: Word pieces that a worker keeps with their ids, and pieces that are encoded as one text.
-MOST_KNOWN, JOINED = 600_000, 20_000
+MOST_KNOWN, JOINED = 400_000, 20_000
 #: A run of letters that no normalisation joins with what follows, and the signs behind it.
 _SIMPLE = r"^(?P<letters>[A-Za-zÀ-ÖØ-öø-ÿ]*)(?P<signs>[!-/:-@\[-`{-~]*)$"
 
