@@ -15,9 +15,9 @@ def at(seconds):
     return None if seconds is None else START + datetime.timedelta(seconds=seconds)
 
 
-@pytest.fixture(params=[7, 1_000_000])
+@pytest.fixture(params=[61, None])
 def blocks(request, monkeypatch):
-    monkeypatch.setattr(segments, "ROWS_PER_BLOCK", request.param)
+    monkeypatch.setattr(segments, "BLOCKS", request.param)
     return request.param
 
 
@@ -47,7 +47,7 @@ def test_bursts(spark, blocks):
 
 
 def test_one_station_in_fifty_blocks(spark, monkeypatch):
-    monkeypatch.setattr(segments, "ROWS_PER_BLOCK", 20)
+    monkeypatch.setattr(segments, "BLOCKS", 50)
     rows = [("a", f"i{i:04d}", START if i < 400 else at(i)) for i in range(1000)]  # a clock that stood still
     df = spark.createDataFrame(rows, "station_id string, image_id string, captured_at timestamp")
     cut = segments.in_blocks(df, "station_id", ["captured_at", "image_id"])

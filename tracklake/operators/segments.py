@@ -7,22 +7,19 @@ a group and block, and is carried along these rows alone.
 
 from __future__ import annotations
 
-import math
-
 from pyspark.sql import DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
 from tracklake.storage import checkpointed
 
-#: About the rows of a block, and the fewest for which another block is worth while.
-ROWS_PER_BLOCK, LEAST_ROWS = 1_000_000, 20_000
+#: Blocks of a table; with none Spark's own number of shuffle partitions, small ones of which it joins.
+BLOCKS: int | None = None
 
 
 def in_blocks(df: DataFrame, group: str, order: list[str]) -> DataFrame:
     """``df`` with _block: the number of a row's range of (group, order), written once, as the ranges come from samples."""
-    n, wide = df.count(), df.sparkSession.sparkContext.defaultParallelism
-    blocks = max(1, math.ceil(n / ROWS_PER_BLOCK), min(wide, math.ceil(n / LEAST_ROWS)))
-    return checkpointed(df.repartitionByRange(blocks, group, *order).withColumn("_block", F.spark_partition_id()))
+    ranged = df.repartitionByRange(BLOCKS, group, *order) if BLOCKS else df.repartitionByRange(group, *order)
+    return checkpointed(ranged.withColumn("_block", F.spark_partition_id()))
 
 
 def inside(group: str, order: list[str] | None = None) -> WindowSpec:
