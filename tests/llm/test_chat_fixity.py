@@ -137,7 +137,7 @@ def test_pipeline_stages_keep_the_columns(spark):
 
 
 def test_every_number_has_a_query():
-    assert {n.split("_")[0] for n in QUERIES} == {f"op{i}" for i in range(1, 11)}
+    assert {n.split("_")[0] for n in QUERIES} == {f"op{i}" for i in range(1, 14)}
 
 
 def test_many_pages_of_one_number(spark, monkeypatch):
