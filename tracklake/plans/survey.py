@@ -179,7 +179,7 @@ hist AS (SELECT DISTINCT r.run_id, ind_id, station_id FROM visits c JOIN runs r
 tot AS (SELECT h.run_id, h.ind_id, s.run_id AS d_run, round(sum(days), 2) AS total FROM hist h JOIN station_days s USING (station_id) GROUP BY 1, 2, 3)
 SELECT run_id, ind_id, round(coalesce(sum(total) FILTER (d_run = run_id), 0) / (sum(total) FILTER (d_run < run_id) / run_id), 3) AS coverage FROM tot GROUP BY run_id, ind_id"""))
 def effort_coverage(spark: SparkSession, sf: str) -> DataFrame:
-    return effort.coverage(earlier_stations(spark, sf), effort_days(spark, sf), periods(spark, sf))
+    return effort.coverage(earlier_stations(spark, sf), survey_days(spark, sf), periods(spark, sf))
 
 
 @query(sql("""-- more
