@@ -97,3 +97,16 @@ def test_the_same_rows_stay_whatever_the_partitions(spark):
         assert got == want and len(got) == 3
     docs = spark.createDataFrame(rows[::-1], docs.schema)
     assert sorted(map(str, near_copies.first_of_each_group(docs).collect())) == want
+
+
+def test_rare_meetings_leave_few_pairs_that_are_not_near(spark):
+    rng = random.Random(11)
+    base = [f"v{rng.randrange(5000)}" for _ in range(200)]
+    # Many copies that differ little, and some that are just too far from all of them.
+    texts = [edited(rng, base, rng.randrange(1, 3)) for _ in range(80)] + [edited(rng, base, 4) for _ in range(40)]
+    s = [sets(t) for t in texts]
+    tokens = spark.createDataFrame([(i, sorted(hash(x) for x in own)) for i, own in enumerate(s)], "key long, s array<long>")
+    apart = spark.createDataFrame([(i, 0 if i < 80 else i) for i in range(120)], "key long, component long")
+    got = {(r["a"], r["b"]) for r in near_copies._rare_meetings(apart, tokens).collect()}
+    true = {(i, j) for j in range(80, 120) for i in range(j) if len(s[i] & s[j]) >= 0.8 * len(s[i] | s[j])}
+    assert true <= got and len(got - true) < 1000, (len(true), len(got))

@@ -27,6 +27,7 @@ from tracklake.llm.components import components
 SHINGLE = 5
 BANDS, ROWS = 16, 4
 LEADERS = 2
+PARITIES = 8
 
 _RANDOM = np.random.default_rng(42)
 _FACTORS = _RANDOM.integers(0, 1 << 63, (BANDS * ROWS, 1), dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -79,6 +80,14 @@ def _sets(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
         yield pd.Series([shingles(t).view(np.int64) for t in batch])
 
 
+@F.pandas_udf(ArrayType(LongType()))
+def _parities(sets: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    """For each of 64 * PARITIES classes of shingles whether a set holds an odd number of them, as bits."""
+    for batch in sets:
+        odd = [np.bincount(np.asarray(s, np.int64) & (64 * PARITIES - 1), minlength=64 * PARITIES) & 1 for s in batch]
+        yield pd.Series([np.packbits(o.astype(np.uint8)).view(np.int64) for o in odd])
+
+
 def _digest() -> Column:
     """What a text is told by: its SHA-256, null as empty."""
     return F.unhex(F.sha2(text_or_empty().cast("binary"), 256))
@@ -111,16 +120,20 @@ def _rare_meetings(apart: DataFrame, sets: DataFrame) -> DataFrame:
 
     Of two sets of n and m shingles with that similarity, 4/9 (n + m) are common, and the first common one in any order of
     all shingles stands at a place with that many left from it on, in both.  It is among the first n - 0.8 n + 1 of each.
+    At most (n + m) / 9 shingles are in one of them alone, and each class in which their parities differ has one of these.
     """
     rows = sets.join(apart, "key")
+    parities = sets.join(apart.select("key").distinct(), "key").select("key", _parities("s").alias("odd"))
     tokens = rows.select("key", "component", F.explode("s").alias("token"))
     counts = tokens.groupBy("token").agg(F.count("*").alias("c"))
     ordered = tokens.join(counts, "token").groupBy("key", "component").agg(F.sort_array(F.collect_list(F.struct("c", "token"))).alias("o"))
     first = ordered.select("key", "component", F.size("o").alias("n"), F.posexplode(F.slice("o", 1, (F.size("o") / 5).cast("int") + 1)).alias("at", "t"))
-    known = checkpointed(first.filter("t.c > 1").select("key", "component", "n", "at", F.col("t.token").alias("token")))
+    known = checkpointed(first.filter("t.c > 1").select("key", "component", "n", "at", F.col("t.token").alias("token")).join(parities, "key"))
     other = known.select(*[F.col(c).alias(f"o_{c}") for c in known.columns])
     left = F.least(F.col("n") - F.col("at"), F.col("o_n") - F.col("o_at"))
     room = _may_be_close(F.col("n"), F.col("o_n")) & (9 * left >= 4 * (F.col("n") + F.col("o_n")))
+    apart_bits = sum((F.bit_count(F.col("odd")[i].bitwiseXOR(F.col("o_odd")[i])) for i in range(PARITIES)), F.lit(0))
+    room = room & (9 * apart_bits <= F.col("n") + F.col("o_n"))
     met = known.join(other, (F.col("token") == F.col("o_token")) & (F.col("key") < F.col("o_key")) & (F.col("component") != F.col("o_component")) & room)
     return met.select(F.col("key").alias("a"), F.col("o_key").alias("b")).distinct()
 
