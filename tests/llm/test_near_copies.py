@@ -110,3 +110,49 @@ def test_rare_meetings_leave_few_pairs_that_are_not_near(spark):
     got = {(r["a"], r["b"]) for r in near_copies._rare_meetings(apart, tokens).collect()}
     true = {(i, j) for j in range(80, 120) for i in range(j) if len(s[i] & s[j]) >= 0.8 * len(s[i] | s[j])}
     assert true <= got and len(got - true) < 1000, (len(true), len(got))
+
+
+def read_with_bands(spark, texts, bands):
+    """What ``linked`` takes, with given bands, and the documents."""
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    read = docs.select(near_copies.F.col("doc_id").alias("key"), near_copies._digest().alias("digest"), near_copies._read("text").alias("r")).select("key", "digest", "r.*")
+    return read.drop("bands").join(spark.createDataFrame(list(enumerate(bands)), "key long, bands array<long>"), "key"), docs
+
+
+def test_small_bands_lose_no_pair(spark):
+    """Bands of two to five texts, whose two leaders may be one: all near pairs of a band are linked."""
+    rng = random.Random(21)
+    texts, bands = [], []
+    for band in range(40):
+        size, base = 2 + band % 4, [f"v{rng.randrange(5000)}" for _ in range(80)]
+        for _ in range(size):
+            # One in three is another text.
+            texts.append(edited(rng, base if rng.random() < 0.67 else [f"u{rng.randrange(5000)}" for _ in range(80)], rng.randrange(3)))
+            bands.append([band])
+    label = components(texts)
+    got = {r["node"]: r["component"] for r in near_copies.linked(*read_with_bands(spark, texts, bands)).collect()}
+    assert [got.get(i, i) for i in range(len(texts))] == label and len(set(label)) < len(texts)
+
+
+def test_sets_are_made_for_possible_pairs_alone(spark, monkeypatch):
+    """Texts that share a band of two but too few shingles are told apart without their sets."""
+    rng = random.Random(22)
+    texts, bands = [], []
+    for band in range(30):
+        base = [f"v{rng.randrange(5000)}" for _ in range(80)]
+        texts += [" ".join(base), edited(rng, base, 1 if band < 5 else 12)]
+        bands += [[band], [band]]
+    made, sets_of = [], near_copies._sets_of
+    monkeypatch.setattr(near_copies, "_sets_of", lambda keys, docs: made.append(keys.count()) or sets_of(keys, docs))
+    got = near_copies.linked(*read_with_bands(spark, texts, bands))
+    assert got.select("component").distinct().count() == 5 and made == [10]
+
+
+def test_the_same_rows_with_nothing_broadcast(spark, monkeypatch):
+    rng = random.Random(23)
+    base = [f"v{rng.randrange(5000)}" for _ in range(90)]
+    texts = [edited(rng, base, rng.randrange(5)) for _ in range(30)] + [f"other {i}" for i in range(10)] * 2
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    few = sorted(r["doc_id"] for r in near_copies.first_of_each_group(docs).collect())
+    monkeypatch.setattr(near_copies, "MAX_BROADCAST_ROWS", 0)
+    assert sorted(r["doc_id"] for r in near_copies.first_of_each_group(docs).collect()) == few == sorted(set(components(texts)))
