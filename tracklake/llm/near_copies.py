@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, LongType, StructField, StructType
 
 from tracklake.llm import simhash
-from tracklake.llm.common import checkpointed, private, text_or_empty
+from tracklake.llm.common import checkpointed, packed, private, text_or_empty
 from tracklake.llm.components import components
 
 SHINGLE = 5
@@ -187,7 +187,7 @@ def linked(nodes: DataFrame, docs: DataFrame) -> DataFrame:
     sets = _sets_of(nodes.select("key", "digest").join(needed, "key"), docs)
     near = _checked(met, sets)
     # op5's links: equal fingerprints through their smallest key, others by anchors.
-    same = checkpointed(nodes.groupBy("fp").agg(F.min("key").alias("node")))
+    same = checkpointed(packed(nodes.groupBy("fp").agg(F.min("key").alias("node")), nodes.count()))
     alike = nodes.join(same, "fp").filter("key <> node").select(F.col("key").alias("a"), F.col("node").alias("b"))
     known = checkpointed(near.union(alike).union(simhash.links(same)))
     found = components(known)
@@ -196,7 +196,8 @@ def linked(nodes: DataFrame, docs: DataFrame) -> DataFrame:
     mixed = placed.groupBy("band").agg(F.min("component").alias("low"), F.max("component").alias("high")).filter("low <> high").select("band")
     apart = placed.join(mixed, "band", "left_semi").select("key", "component").distinct()
     more = checkpointed(_checked(_rare_meetings(apart, sets), sets))
-    return found if more.isEmpty() else components(known.union(more))
+    # Components so far are stars: they stand for the links that they come from.
+    return found if more.isEmpty() else components(more.union(found))
 
 
 def first_of_each_group(docs: DataFrame) -> DataFrame:
@@ -208,11 +209,12 @@ def first_of_each_group(docs: DataFrame) -> DataFrame:
     are kept, whatever their names.  An empty table gives an empty table.
     """
     read = checkpointed(docs.select("doc_id", _digest().alias("digest"), _read("text").alias("r")).select("doc_id", "digest", "r.*"))
+    count = read.count()
     # Texts are told apart by their digests, and numbered once, so that what follows compares short numbers.
     one = read.groupBy("digest").agg(*[F.first(c).alias(c) for c in ("fp", "n", "bands", "odd")])
-    nodes = checkpointed(one.withColumn("key", F.monotonically_increasing_id()))
+    nodes = checkpointed(packed(one, count).withColumn("key", F.monotonically_increasing_id()))
     placed = nodes.select("key", "digest").join(linked(nodes, docs).select(F.col("node").alias("key"), "component"), "key", "left").select("digest", F.coalesce("component", "key").alias("component"))
-    rows = checkpointed(read.groupBy("digest", "doc_id").count().join(placed, "digest"))
+    rows = checkpointed(packed(read.groupBy("digest", "doc_id").count().join(packed(placed, count), "digest"), count))
     best = rows.groupBy("component").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "digest")).alias("best"))
     first = F.col("digest").eqNullSafe(F.col("best.digest")) & F.col("doc_id").eqNullSafe(F.col("best.doc_id"))
     digest, named = private("digest", docs), private("id", docs)
