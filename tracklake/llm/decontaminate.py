@@ -60,7 +60,9 @@ def contamination(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     known = windows.agg(F.count("*").alias("n"), F.collect_set("win_len").alias("lengths")).first()
     lengths = sorted(known["lengths"] or []) or [WINDOW]
     small = known["n"] <= MAX_BROADCAST_WINDOWS
-    base = docs.select("doc_id", F.xxhash64("text").alias("text_hash"), words(F.col("text")).alias("words")).withColumn("hashes", _hashes("words"))
+    base = docs.select("doc_id", F.xxhash64("text").alias("text_hash"), words(F.col("text")).alias("words"))
+    # The number of words goes with a row, so that the words end where hits are compared: the aggregation keeps its rows, and would keep all documents.
+    base = base.withColumns({"hashes": _hashes("words"), "n_words": F.size("words").cast("long")})
     last = F.greatest(F.lit(-1), F.size("words") - lengths[0])
     probes = base.withColumn("at", F.explode(F.sequence(F.lit(-1), last)))  # -1 keeps the document itself
     if len(lengths) > 1:
@@ -80,7 +82,7 @@ def contamination(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     hits = found.filter((F.col("at") < 0) | F.coalesce(verified, F.lit(False)))
     one = F.col("win_text").isNotNull()
     return hits.groupBy("doc_id", "text_hash").agg(
-        F.max(F.size("words")).cast("long").alias("n_words"),
+        F.max("n_words").alias("n_words"),
         F.sort_array(F.collect_set(F.when(one, F.struct(F.col("at").alias("start"), "length")))).alias("hits"),
         F.sort_array(F.array_distinct(F.flatten(F.collect_set(F.when(one, F.col("items")))))).alias("items"),
         F.count_if(F.col("at") < 0).cast("long").alias("copies"),
